@@ -94,7 +94,7 @@ def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 def word_hashes(blob: bytes, table: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
     """Hashes of one text's words, in order."""
     out = []
-    for _, piece in pieces(blob, table & True if fold is SAME else table[fold]):
+    for _, piece in pieces(blob, table[fold]):
         piece = fold[piece]
         out.append(hashed(piece, *spans(piece, table)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
