@@ -106,12 +106,12 @@ def blobs(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
-def grouped(texts: Iterable[bytes], size: int = PIECE) -> Iterator[list[bytes]]:
-    """Runs of texts of about ``size`` bytes together; a longer text comes alone."""
+def grouped(texts: Iterable[bytes], size: int = PIECE, rows: int = 512) -> Iterator[list[bytes]]:
+    """Runs of at most ``rows`` texts and about ``size`` bytes together; a longer text comes alone."""
     run: list[bytes] = []
     held = 0
     for x in texts:
-        if run and held + len(x) > size:
+        if run and (held + len(x) > size or len(run) == rows):
             yield run
             run, held = [], 0
         run.append(x)
