@@ -1,13 +1,46 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents: reject toxic ones, keep one of each near-duplicate class, remove benchmark
+leaks, mix the sources, and deal the result over shuffled shards.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from trackloom.llm import decontaminate, mixing, near_dup, sharding, toxicity
+from trackloom.llm.store import keep
+
+
+def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def _near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.distinct_documents(docs)
+
+
+def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def _sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.sharded_documents(docs)
+
+
+STAGES = [("toxicity", _toxicity), ("near_dup", _near_dup), ("decontaminate", _decontaminate), ("mixing", _mixing), ("sharding", _sharding)]
 
+#: The first stage is a trained model, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The shards of the corpus of ``sf_dir``: the columns of documents, shard and slot."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return docs
