@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.store import keep
+from trackloom.llm.store import keep, summed_before
 
 #: ``[^\x20\x09-\x0D]+``
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -82,7 +82,8 @@ def _numbered(sized: DataFrame, weights: tuple[float, ...], share: float, most:
 
 def _exploded(df: DataFrame, n: str, name: str, by: int = 4096) -> DataFrame:
     """Each row once for every 0 <= ``name`` < n, made by many tasks however large n is."""
-    spread = df.where(F.col(n) > 0).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / by)))).repartition("sid", "part")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't coalesced: rows are few before and many after
+    spread = df.where(F.col(n) > 0).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / by)))).repartition(tasks, "sid", "part")
     to = F.least(F.col("part") * by + by, F.col(n)) - 1
     return spread.withColumn(name, F.explode(F.sequence(F.col("part") * by, to))).drop("part")
 
@@ -92,14 +93,14 @@ def draws(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     slots = _exploded(sources.select("sid", "n_slots", "first_slot", "all_slots"), "n_slots", "j")
     dealt = _permuted(F.col("first_slot") + F.col("j"), F.col("all_slots"), seed)
     counts = slots.select("sid", F.floor(dealt / shard_slots).alias("shard")).groupBy("sid", "shard").agg(F.count("*").alias("n"))
-    so_far = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("first", F.sum("n").over(so_far) - F.col("n"))
+    return summed_before(keep(counts, "draws"), ["sid"], "shard", "n", "first")
 
 
 def slots(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
     """(sid, block, take, shard, place): the block that each slot holds, and how many of its words."""
     drawn = draws(sources, shard_slots, seed).join(sources.select("sid", "full", "turn", "passes", "rest"), "sid")
-    each = drawn.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = drawn.repartition(tasks, "sid", "shard").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     each = each.withColumn("j", F.col("first") + F.col("k")).withColumn("turn_no", F.floor(F.col("j") / F.col("turn"))).withColumn("i", F.col("j") % F.col("turn"))
     index = F.when(F.col("i") < F.col("full"), _permuted(F.col("i"), F.greatest(F.col("full"), F.lit(1)), F.col("sid"), F.col("turn_no"), seed)).otherwise(F.col("full"))
     take = F.when(F.col("turn_no") < F.col("passes"), F.lit(block)).otherwise(F.least(F.lit(block), F.col("rest") - F.col("i") * block))
@@ -131,12 +132,14 @@ class Mix:
         self.sources = keep(_numbered(self.sized, weights, share, most, block), "sources")
         named = self.sources.select("sid", F.col("source").alias("s"), "source_size", "target", "n_docs")
         rows = self.sized.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("mark", F.lit(seed)), F.ceil(F.col("n_docs") / BUCKET_ROWS)))
-        sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("held"))
-        start = F.sum("held").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")
+        heavy = keep(self.sized.groupBy("mark").agg(F.count("*").alias("copies")).where(F.col("copies") > BUCKET_ROWS), "repeated")
+        rows = rows.join(heavy, "mark", "left").withColumn("salt", F.when(F.col("copies").isNotNull(), F.col("row")).otherwise(0)).drop("copies")
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("mark", "salt", F.lit(seed)), F.ceil(F.col("n_docs") / BUCKET_ROWS))).drop("salt")
+        sums = keep(rows.groupBy("sid", "bucket").agg(F.sum("size").alias("held")), "buckets")
+        starts = summed_before(sums, ["sid"], "bucket", "held", "start").drop("held")
         within = Window.partitionBy("sid", "bucket").orderBy("mark", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
         inner = rows.withColumn("inner", F.sum("size").over(within) - F.col("size"))
-        placed = inner.join(sums.select("sid", "bucket", start.alias("start")), ["sid", "bucket"])
+        placed = inner.join(starts, ["sid", "bucket"])
         self.placed = keep(placed.select("row", "doc_id", "mark", "sid", "size", "source_size", "target", (F.col("start") + F.col("inner")).alias("at")), "places")
         self.slots, self.blocks = slots(self.sources, block, shard_slots, seed), blocks(self.placed, block)
 

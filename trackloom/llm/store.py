@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +30,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def summed_before(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, chunk: int = 4096) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of the same keys that come before, by ``order``, a whole number
+    that does not repeat within the keys.  Rows are summed up in chunks of the order and the chunks' sums in a second
+    step, so a key's rows are never in one task.  ``df`` is read twice: keep it first."""
+    df = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_held"))
+    starts = sums.select(*keys, "_chunk", F.coalesce(F.sum("_held").over(before(*keys).orderBy("_chunk")), F.lit(0)).alias("_start"))
+    own = F.coalesce(F.sum(value).over(before(*keys, "_chunk").orderBy(order)), F.lit(0))
+    return df.withColumn("_own", own).join(starts, [*keys, "_chunk"]).withColumn(name, F.col("_own") + F.col("_start")).drop("_chunk", "_own", "_start")
