@@ -1,0 +1 @@
+"""Readers of raw sensor files, as Spark data sources."""

@@ -1,0 +1 @@
+"""Empty: the work that this library re-expresses is batch only, so there is no streaming operator to match."""
