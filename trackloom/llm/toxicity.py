@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.text import ALNUM, LOWER, blobs, grouped, hashed, pieces, spans
+from trackloom.llm.text import ALNUM, LOWER, blobs, grouped, hashed, mix, pieces, spans
 from trackloom.llm.training import held_out, in_one_task, labelled
 
-#: Bounds of the labelled sample, hashed words, words with a weight, and documents that a word must be in.
-SAMPLE_ROWS, SAMPLE_BYTES, BUCKETS, WORDS, LEAST_DOCS = 6000, 48 << 20, 1 << 18, 2048, 3
+#: Bounds of the labelled sample, words with a weight, and documents that a word must be in.
+SAMPLE_ROWS, SAMPLE_BYTES, WORDS, LEAST_DOCS = 6000, 48 << 20, 2048, 3
 MARGIN = 1.0
 STEPS, RATE, DECAY = 200, 0.1, 2e-4
 
@@ -28,16 +28,16 @@ ENDS[[0x0A, 0x21, 0x2E, 0x3F]] = True
 
 
 def _words(blob: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per piece of a text: its offset, word numbers, the sentence of each word, and ends of sentences."""
+    """Per piece of a text: its offset, word hashes, the sentence of each word, and ends of sentences."""
     for at, data in pieces(blob, ~ENDS):
         low = LOWER[data]
         starts, ends = spans(low, ALNUM)
         stops = np.flatnonzero(ENDS[data])
-        yield at, (hashed(low, starts, ends) % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(stops, starts), stops
+        yield at, hashed(low, starts, ends), np.searchsorted(stops, starts), stops
 
 
 def _bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers, their sentence (numbered through all texts), their text, and each sentence's text."""
+    """Word hashes, their sentence (numbered through all texts), their text, and each sentence's text."""
     words, sentence, text, owner, n = [], [], [], [], 0
     for i, x in enumerate(texts):
         for _, w, s, _ in _words(x):
@@ -48,7 +48,7 @@ def _bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             owner.append(np.full(len(own), i))
             n += len(own)
     cat = lambda x: np.concatenate([np.empty(0, np.int64), *x])
-    return cat(words), cat(sentence), cat(text), cat(owner)
+    return np.concatenate([np.empty(0, np.uint64), *words]), cat(sentence), cat(text), cat(owner)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -56,25 +56,34 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
-    """[bias], word numbers, weights.  Without both labels the bias alone tells the rarer from the commoner."""
+    """[bias], high and low halves of the words' hashes, weights.  Without both labels the bias alone tells the rarer from the commoner."""
     words, sentence, text, owner = _bags(texts)
     n, positive = len(texts), labels > 0
     base = positive.mean() if n else 0.0
     if not 0 < base < 1:
-        return [np.array([30.0 if base else -30.0]), np.empty(0), np.empty(0)]
-    pairs = np.unique(words * n + text)
-    seen, told = np.bincount(pairs // n, minlength=BUCKETS), np.bincount(pairs // n, weights=positive[pairs % n], minlength=BUCKETS)
-    z = (told - seen * base) / np.sqrt(np.maximum(seen * base * (1 - base), 1e-9))
-    z[seen < LEAST_DOCS] = 0
-    # above what the best of that many words that tell nothing would reach by chance
-    least = np.sqrt(2 * np.log(max(2, np.count_nonzero(seen >= LEAST_DOCS)))) + MARGIN
-    chosen = np.argsort(-z, kind="stable")[:WORDS]
-    chosen = np.sort(chosen[z[chosen] >= least])
-    place = np.full(BUCKETS, -1)
+        return [np.array([30.0 if base else -30.0]), *[np.empty(0)] * 3]
+    vocabulary, words = np.unique(words, return_inverse=True)
+    # a sentence that copies repeat tells once, or the words of a copied text would seem to tell by themselves
+    named = np.zeros(len(owner), np.uint64)
+    np.add.at(named, sentence, mix(vocabulary)[words])
+    first = np.zeros(len(owner), bool)
+    first[np.unique(named, return_index=True)[1]] = True
+    fresh = first[sentence]
+    pairs = np.unique(words[fresh] * n + text[fresh])
+    seen, told = np.bincount(pairs // n, minlength=len(vocabulary)), np.bincount(pairs // n, weights=positive[pairs % n], minlength=len(vocabulary))
+    # the chance that a word which tells nothing is in that many toxic texts is at most exp(-evidence); a word is taken
+    # where that is unlikely even for the best of all words
+    share = np.clip(told / np.maximum(seen, 1), 1e-9, 1 - 1e-9)
+    evidence = seen * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
+    evidence[(seen < LEAST_DOCS) | (share <= base)] = 0
+    least = np.log(max(2, np.count_nonzero(seen >= LEAST_DOCS))) + MARGIN
+    chosen = np.argsort(-evidence, kind="stable")[:WORDS]
+    chosen = np.sort(chosen[evidence[chosen] >= least])
+    place = np.full(len(vocabulary), -1)
     place[chosen] = np.arange(len(chosen))
     some = place[words] >= 0
     feature, where = place[words[some]], sentence[some]
-    weights, bias, leak = np.clip(z[chosen] / 10, -1, 1), -6.0, np.log(base / (1 - base)) - 0.7
+    weights, bias, leak = np.ones(len(chosen)), -6.0, np.log(base / (1 - base)) - 0.7
     x = np.concatenate([weights, [bias, leak]])
     first, second = np.zeros_like(x), np.zeros_like(x)
     balance = np.where(positive, 0.5 / base, 0.5 / (1 - base)) ** 0.5
@@ -91,16 +100,29 @@ def fit(texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         x += RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
     kept = np.abs(x[:-2]) > 0.05
-    return [x[-2:-1], chosen[kept], x[:-2][kept]]
+    names = vocabulary[chosen[kept]]
+    return [x[-2:-1], names >> np.uint64(32), names & np.uint64(0xFFFFFFFF), x[:-2][kept]]
 
 
 class Model:
     """The trained weights; also scores texts."""
 
-    def __init__(self, bias: float, words: np.ndarray, weights: np.ndarray) -> None:
-        self.bias = float(bias)
-        self.table = np.zeros(BUCKETS, np.float32)
-        self.table[words.astype(np.int64)] = weights
+    def __init__(self, bias: float, high: np.ndarray, low: np.ndarray, weights: np.ndarray) -> None:
+        names = high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
+        order = np.argsort(names)
+        self.bias, self.names, self.weights = float(bias), names[order], weights[order].astype(np.float64)
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[names & np.uint64(0xFFFF)] = True
+
+    def weight(self, words: np.ndarray) -> np.ndarray:
+        """The weight of each word; a small table spares most words the search."""
+        out = np.zeros(len(words))
+        some = np.flatnonzero(self.maybe[words & np.uint64(0xFFFF)])
+        if len(some):
+            at = np.searchsorted(self.names, words[some])
+            at[at == len(self.names)] = 0
+            out[some] = np.where(self.names[at] == words[some], self.weights[at], 0)
+        return out
 
     def score(self, blob: bytes, most: float) -> tuple[float, list[dict]]:
         """The noisy-or of the text's sentences, and the sentences that score at least ``most``."""
@@ -109,7 +131,7 @@ class Model:
             if not len(words):
                 continue
             own, s = np.unique(sentence, return_inverse=True)
-            p = _sigmoid(np.bincount(s, weights=self.table[words]) + self.bias)
+            p = _sigmoid(np.bincount(s, weights=self.weight(words)) + self.bias)
             left += float(np.log1p(-np.minimum(p, 1 - 1e-9)).sum())
             for k in np.flatnonzero(p >= most):
                 start = at + (int(stops[own[k] - 1]) + 1 if own[k] else 0)
@@ -120,8 +142,8 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from at most ``rows`` labelled documents and ``most_bytes`` of text outside the held-out fold."""
-    bias, words, weights = in_one_task(labelled(docs, labels, "toxic", rows), fit, most_bytes)
-    return Model(bias[0], words, weights)
+    bias, *words = in_one_task(labelled(docs, labels, "toxic", rows), fit, most_bytes)
+    return Model(bias[0], *words)
 
 
 def scored(docs: DataFrame, model: Model, columns: list[str] | None = None, most: float = 0.5) -> DataFrame:
