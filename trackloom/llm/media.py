@@ -114,9 +114,9 @@ def _confirmed(data: bytes, at: int, end: int) -> bool:
     return then == end or bool(after and after[:2] == found[:2] and after[3] == found[3])
 
 
-def _sync(data: bytes, at: int, end: int) -> int:
-    """The first confirmed header from ``at``, or ``end``."""
-    while 0 <= (at := data.find(b"\xff", at, end)):
+def _sync(data: bytes, at: int, end: int, before: int | None = None) -> int:
+    """The first confirmed header from ``at`` and before ``before``, or ``end``."""
+    while 0 <= (at := data.find(b"\xff", at, before or end)):
         if _confirmed(data, at, end):
             return at
         at += 1
@@ -162,6 +162,11 @@ def decode(data: bytes) -> dict:
             at, first = here, False
             continue
         first = False
+        then = at + found[2]
+        if then < end and not header(data, then) and (here := _sync(data, at + 1, end, then)) < then:  # torn: the next frame begins inside
+            skipped += here - at
+            at = here
+            continue
         if not offsets and table is None and (table := _table(data, at, found)):
             at += found[2]
             continue
