@@ -35,11 +35,11 @@ def box_mean(df: DataFrame, keys: Sequence[str], x: str, y: str, value: str, tap
 
 
 def score_map(df: DataFrame, keys: Sequence[str], x: str, y: str, value: str, taps_y: int = 15, taps_x: int = 51, unknown: float = 8.0, scale: float = 1000.0) -> DataFrame:
-    """score: the share of known cells around, dampened by the roughness around (steps along y, at most ``unknown``)."""
+    """score: the share of known cells around, dampened by the roughness around (steps along y, each at most ``unknown``)."""
     rough = step_size(df, [*keys, x], y, value, "_step", scale)
-    rough = rough.withColumn("_r", F.coalesce("_step", F.lit(unknown))).withColumn("_v", F.col(value).isNotNull().cast("double"))
+    rough = rough.withColumn("_r", F.coalesce(F.least("_step", F.lit(unknown)), F.lit(unknown))).withColumn("_v", F.col(value).isNotNull().cast("double"))
     both = box_mean(box_mean(rough, keys, x, y, "_v", taps_y, taps_x, "_vs"), keys, x, y, "_r", taps_y, taps_x, "_rs")
-    return both.withColumn("score", F.col("_vs") * F.exp(-F.least("_rs", F.lit(unknown)) / 2)).drop("_step", "_r", "_v", "_vs", "_rs")
+    return both.withColumn("score", F.col("_vs") * F.exp(-F.col("_rs") / 2)).drop("_step", "_r", "_v", "_vs", "_rs")
 
 
 def texture(df: DataFrame, keys: Sequence[str], x: str, y: str, value: str) -> DataFrame:
@@ -52,9 +52,13 @@ def texture(df: DataFrame, keys: Sequence[str], x: str, y: str, value: str) -> D
     return columns.groupBy(*keys).agg(mean.alias("mean"), F.sqrt(F.greatest(F.sum("ss") / n - mean * mean, F.lit(0.0))).alias("deviation"), (F.sum("d") / F.sum("nd")).alias("gradient"), F.avg("v").alias("local_var"))
 
 
-def density_entropy(df: DataFrame, keys: Sequence[str], value: str, bins: int = 32) -> DataFrame:
-    """(keys, entropy): minus the sum of h ln h over a density histogram between the least and the largest value."""
-    ends = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
+def density_entropy(df: DataFrame, keys: Sequence[str], value: str, bins: int = 32, limits: tuple[float, float] | None = None) -> DataFrame:
+    """(keys, entropy): minus the sum of h ln h over a density histogram between the least and the largest value, or
+    between two limits, beyond which values are left out."""
+    if limits:
+        df = df.where(F.col(value).between(*limits))
+    lo, hi = (F.lit(float(v)) for v in limits) if limits else (F.min(value), F.max(value))
+    ends = df.groupBy(*keys).agg(lo.alias("lo"), hi.alias("hi"), F.count(value).alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
     code = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
     counts = df.join(ends, list(keys)).where(F.col(value).isNotNull()).groupBy(*keys, "lo", "hi", "n", code.alias("b")).agg(F.count("*").alias("c"))

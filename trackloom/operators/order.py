@@ -54,8 +54,13 @@ def lagged(df: DataFrame, keys: Sequence[str], position: str, values: Sequence[s
 
 
 def step_size(df: DataFrame, keys: Sequence[str], position: str, value: str, name: str = "step", scale: float = 1.0) -> DataFrame:
-    """Absolute difference to the next row; the last row repeats the difference that leads to it."""
-    return windowed(df, keys, position, 1, 1, lambda w: {name: F.abs(F.coalesce(F.lead(value).over(w) - F.col(value), F.col(value) - F.lag(value).over(w))) * scale})
+    """Absolute difference to the next row, NULL if either value is; the last row repeats the difference that leads to it."""
+
+    def make(w: WindowSpec) -> dict[str, Column]:
+        ahead, behind = F.lead(value).over(w) - F.col(value), F.col(value) - F.lag(value).over(w)
+        return {name: F.abs(F.when(F.lead(position).over(w).isNull(), behind).otherwise(ahead)) * scale}
+
+    return windowed(df, keys, position, 1, 1, make)
 
 
 def smoothed(df: DataFrame, keys: Sequence[str], position: str, value: str, taps: int = 51, name: str = "smooth") -> DataFrame:

@@ -53,6 +53,29 @@ def trimmed_plane(df: DataFrame, x: str, y: str, z: str, rounds: int = 3, low: f
     return found
 
 
+def trimmed_planes(df: DataFrame, keys: Sequence[str], x: str, y: str, z: str, rounds: int = 3, low: float = 0.05, high: float = 0.95, least: int = 100) -> DataFrame:
+    """(keys, a, b, c): the trimmed plane of each key, with the rounds of ``trimmed_plane``; keys whose rows lie on one
+    line have NULLs.  Nothing meets on the driver."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(*keys, x, y, z)
+
+    def fitted(kept: DataFrame) -> DataFrame:
+        s = kept.groupBy(*keys).agg(
+            F.count("*").alias("n"), F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.covar_pop(x, y).alias("xy"), F.covar_pop(x, z).alias("xz"), F.covar_pop(y, z).alias("yz"),
+            F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(z).alias("mz"),
+        )
+        s = s.withColumn("det", F.expr("xx * yy - xy * xy")).withColumn("a", F.expr("try_divide(xz * yy - yz * xy, det)")).withColumn("b", F.expr("try_divide(yz * xx - xz * xy, det)"))
+        return s.select(*keys, "n", "a", "b", F.expr("mz - a * mx - b * my").alias("c"))
+
+    found = fitted(rows).drop("n")
+    for _ in range(rounds - 1):
+        off = rows.join(found, list(keys)).withColumn("_off", F.col(z) - (F.col("a") * F.col(x) + F.col("b") * F.col(y) + F.col("c")))
+        cut = off.groupBy(*keys).agg(F.percentile("_off", F.array(F.lit(low), F.lit(high))).alias("_cut"))
+        kept = off.join(cut, list(keys)).where(F.col("_off").between(F.get("_cut", F.lit(0)), F.get("_cut", F.lit(1))))
+        again = fitted(kept.drop("a", "b", "c")).where(F.col("n") >= least).select(*keys, F.struct("a", "b", "c").alias("_new"))
+        found = found.join(again, list(keys), "left").select(*keys, *[F.when(F.col("_new").isNull(), F.col(v)).otherwise(F.col(f"_new.{v}")).alias(v) for v in "abc"])
+    return found
+
+
 def line(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """(keys, slope, intercept): the least-squares line of y on x; NULL where x is constant."""
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))

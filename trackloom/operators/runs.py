@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def runs(df: DataFrame, keys: Sequence[str], position: str, passes: Column, bridge: int = 0) -> DataFrame:
-    """(keys, run, first, last, length, n): maximal runs of passing rows whose gaps are at most ``bridge`` rows.
+def runs(df: DataFrame, keys: Sequence[str], position: str, passes: Column, bridge: int | Column = 0) -> DataFrame:
+    """(keys, run, first, last, length, n): maximal runs of passing rows whose gaps are at most ``bridge`` rows (a number, or
+    one of the keys).
 
     length counts the bridged gaps, n the passing rows only.  Only passing rows are sorted.
     """
@@ -20,7 +21,7 @@ def runs(df: DataFrame, keys: Sequence[str], position: str, passes: Column, brid
     return marked.groupBy(*keys, "run").agg(F.min("_p").alias("first"), F.max("_p").alias("last"), F.count("*").alias("n")).withColumn("length", F.col("last") - F.col("first") + 1)
 
 
-def longest_run(df: DataFrame, keys: Sequence[str], position: str, passes: Column, bridge: int = 0, least: int = 1) -> DataFrame:
+def longest_run(df: DataFrame, keys: Sequence[str], position: str, passes: Column, bridge: int | Column = 0, least: int = 1) -> DataFrame:
     """(keys, first, last, length): the longest run of each key; the first wins a tie.  Keys without one give none."""
     best = F.max(F.struct(F.col("length"), (-F.col("first")).alias("f"), F.col("last")))
     return runs(df, keys, position, passes, bridge).where(F.col("length") >= least).groupBy(*keys).agg(best.alias("x")).select(*keys, (-F.col("x.f")).alias("first"), F.col("x.last").alias("last"), F.col("x.length").alias("length"))

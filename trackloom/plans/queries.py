@@ -94,7 +94,7 @@ def lag_align(spark: SparkSession, sf: str) -> DataFrame:
     return order.lagged(kept, ["user_id"], "rn", ["value"]).select("user_id", "rn", "value_lag")
 
 
-@query("SELECT user_id, rn, round(abs(coalesce(lead(value) OVER w - value, value - lag(value) OVER w)) * 1000, 4) AS step FROM sig WINDOW w AS (PARTITION BY user_id ORDER BY rn)", "sig")
+@query("SELECT user_id, rn, round(abs(CASE WHEN lead(rn) OVER w IS NULL THEN value - lag(value) OVER w ELSE lead(value) OVER w - value END) * 1000, 4) AS step FROM sig WINDOW w AS (PARTITION BY user_id ORDER BY rn)", "sig")
 def abs_diff_dup_last(spark: SparkSession, sf: str) -> DataFrame:
     return order.step_size(_sig(spark, sf), ["user_id"], "rn", "value", scale=1000.0).select("user_id", "rn", _r("step", 4))
 
@@ -172,10 +172,10 @@ def box_mean_edge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """, z AS (SELECT vec_id, pos, CASE WHEN v > -0.2 THEN v END AS z FROM grid), s AS (SELECT vec_id, pos, (z IS NOT NULL)::INT::DOUBLE AS k, coalesce(abs(coalesce(lead(z) OVER w - z, z - lag(z) OVER w)) * 10, 8) AS r FROM z WINDOW w AS (PARTITION BY vec_id ORDER BY pos)),
+    """, z AS (SELECT vec_id, pos, CASE WHEN v > -0.2 THEN v END AS z FROM grid), s AS (SELECT vec_id, pos, (z IS NOT NULL)::INT::DOUBLE AS k, coalesce(least(abs(CASE WHEN pos = 63 THEN z - lag(z) OVER w ELSE lead(z) OVER w - z END) * 10, 8), 8) AS r FROM z WINDOW w AS (PARTITION BY vec_id ORDER BY pos)),
     n AS (SELECT max(vec_id) AS last FROM grid), b AS (SELECT g.vec_id, g.pos, avg(o.k) AS k, avg(o.r) AS r FROM s g, range(-7, 8) AS o1(dy) JOIN s o ON o.vec_id = g.vec_id AND o.pos = least(greatest(g.pos + dy, 0), 63) GROUP BY 1, 2),
     c AS (SELECT b.vec_id, b.pos, avg(o.k) AS k, avg(o.r) AS r FROM b, n, range(-25, 26) AS o2(dx) JOIN b o ON o.pos = b.pos AND o.vec_id = least(greatest(b.vec_id + dx, 0), n.last) GROUP BY 1, 2)
-    SELECT vec_id, pos, round(k * exp(-least(r, 8) / 2), 6) AS score FROM c""",
+    SELECT vec_id, pos, round(k * exp(-r / 2), 6) AS score FROM c""",
     "grid",
 )
 def score_map(spark: SparkSession, sf: str) -> DataFrame:
