@@ -167,6 +167,26 @@ def ridge(df: DataFrame, features: Sequence[str], y: str, alpha: float = 10.0) -
     return w, float(r["mean_y"] - w @ np.array([r[f"mean_{f}"] for f in features]))
 
 
+def anchor_forecast(df: DataFrame, fold: str, key: str, x: str, y: str) -> DataFrame:
+    """(fold, key, forecast): each fold's rows forecast by the line of y on x through all other folds' rows.
+
+    The other folds' moments are all folds' moments less the own ones, about the means of all rows, so rows are read
+    once for the moments and once for the forecasts.  An unknown x takes its fold's median; a line that the other folds
+    don't determine gives NULL."""
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    about = known.agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
+    dx, dy = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
+    terms = {"n": F.lit(1.0), "sx": dx, "sy": dy, "sxx": dx * dx, "sxy": dx * dy}
+    own = known.join(F.broadcast(about)).groupBy(fold).agg(*[F.sum(c).alias(k) for k, c in terms.items()])
+    total = own.agg(*[F.sum(k).alias(f"t_{k}") for k in terms])
+    middle = df.groupBy(fold).agg(F.percentile(x, F.lit(0.5)).alias("_med"))
+    rest = middle.join(own, fold, "left").join(F.broadcast(total)).join(F.broadcast(about))
+    n, sx, sy, sxx, sxy = (F.col(f"t_{k}") - F.coalesce(k, F.lit(0.0)) for k in terms)
+    slope = F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)
+    lines = rest.select(fold, "_med", slope.alias("_b"), (F.col("_my") + F.try_divide(sy - slope * sx, n) - slope * F.col("_mx")).alias("_a"))
+    return df.join(lines, fold).select(fold, key, (F.col("_a") + F.col("_b") * F.coalesce(x, "_med")).alias("forecast"))
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 15, block: int = 2048) -> DataFrame:
     """(query, id, distance, rank): the ``k`` rows (id, vec) nearest to each query (id, vec) by squared distance, the
     smaller id first on a tie.  Queries come in blocks of at most ``block``; every partition of rows gives its own k

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import correlation, first_max, first_min, recentred, supported
 from trackloom.operators import frames, grid, learning, order, robust, runs, scoring
+from trackloom.plans import tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -486,6 +487,23 @@ def three_way_bin_join(spark: SparkSession, sf: str) -> DataFrame:
     return o.join(c, "bin").join(s, "bin").join(n, "bin")
 
 
+@query(", f AS (SELECT DISTINCT fold AS held FROM tab), l AS (SELECT held, regr_slope(y, q) AS b, regr_intercept(y, q) AS a FROM f JOIN tab ON fold <> held GROUP BY 1) SELECT fold, id, round(a + b * q, 4) AS forecast FROM tab JOIN l ON held = fold", "tab")
+def anchor_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    return learning.anchor_forecast(_tab(spark, sf), "fold", "id", "q", "y").select("fold", "id", _r("forecast", 4))
+
+
+@query()
+def spectral_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Spectra of the 32 positions around each position of a vector."""
+    return tracks.spectral_windows(_grid(spark, sf), ["vec_id"], "pos", "v")
+
+
+@query()
+def fold_planes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each fold's trimmed plane of price over quantity and discount."""
+    return robust.trimmed_planes(_tab(spark, sf), ["fold"], "q", "d", "y")
+
+
 @query()
 def gbm_quantile_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     """Folds forecast by boosted trees trained on the others: a mean and five quantiles, recentred and scored."""

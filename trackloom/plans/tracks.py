@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StructType
@@ -168,6 +168,19 @@ def modelling_table(table: DataFrame, lag: int = 14) -> DataFrame:
     return moved.select(*table.columns, quality_weight("valid_frac", "w_spread").alias("weight"))
 
 
+def pick_lag(table: DataFrame, features: Sequence[str], target: str = "width", most: int = 16, least: int = 100, top: int = 10) -> DataFrame:
+    """One row (lag, score): the lag of the features, in rows of a track, at which they follow the target best.
+
+    A lag's score is the mean over tracks of the ``top`` largest absolute correlations among features with ``least``
+    pairs; the smallest lag wins a tie.  Give the training tracks only.  All features and lags are one pass each."""
+    placed = order.numbered(table, ["track"], ["bin"], F.floor(F.col("bin") / 64), "_rn")
+    long = placed.select("track", "_rn", F.col(target).alias("_y"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("_v")) for f in features])).alias("_f")).select("track", "_rn", "_y", "_f.*")
+    scan = order.lag_scan(long, ["track", "feature"], "_rn", "_y", "_v", most, least).where("r is not null")
+    rank = F.row_number().over(Window.partitionBy("track", "lag").orderBy(F.abs("r").desc(), "feature"))
+    by_track = scan.withColumn("_rank", rank).where(F.col("_rank") <= top).groupBy("track", "lag").agg(F.avg(F.abs("r")).alias("score"))
+    return by_track.groupBy("lag").agg(F.avg("score").alias("score")).orderBy(F.desc("score"), "lag").limit(1)
+
+
 def spectral_windows(df: DataFrame, keys: Sequence[str], position: str, value: str, size: int = 32, rate: float = 50.0) -> DataFrame:
     """(keys, position, b0_2, b2_8, b8_15, b15_25, scent, hfrac, rstd3): the spectrum of the ``size`` samples around each.
 
