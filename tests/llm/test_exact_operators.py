@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from trackloom.llm import components, decontaminate, mixing, near_dup, pii, sharding
@@ -71,6 +72,34 @@ def test_near_duplicates_match_all_pairs(spark, monkeypatch, small):
             assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], r.doc_id == want[r.doc_id][1]), r
 
 
+def test_links_between_texts_near_different_centres(spark, monkeypatch):
+    """The centres 1 and 2 settle 4 and 3; only the link of these two joins the balls."""
+    monkeypatch.setattr(near_dup, "CLUSTER_CHUNK", 150)
+    monkeypatch.setattr(near_dup, "CENTRES", 2)
+    rows = [(d, words(100, 1_000 + at), "n") for d, at in ((1, 0), (4, 6), (3, 12), (2, 18))]
+    got = near_dup.near_duplicates(table(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_chains_of_shuffled_ids_stay_whole(spark, exact):
+    """Groups of two chains that don't touch, in which balls of centres touch in many ways."""
+    random, rows, want = np.random.default_rng(5), [], set()
+    for key in range(40):
+        ids = (random.permutation(60) + 100 * key).tolist()
+        for i, rid in enumerate(ids):
+            at = 8 * (i % 30)
+            odd = np.packbits(np.r_[np.arange(256) < at, np.full(256, i >= 30)]).tobytes()
+            values = np.arange(at, at + 100, dtype=np.uint64) + np.uint64(10_000 * (i >= 30))
+            rows.append((key, 60, rid, 1, bytearray(odd), bytearray(values.tobytes())))
+        want |= {(rid, min(part)) for part in (ids[:30], ids[30:]) for rid in part}
+    df = spark.createDataFrame(rows, "key long, size long, rid long, weight long, odd binary, set binary").repartition(5)
+    # links of the chains reach over one step by the sets, over three by the bitmaps
+    tests = {"exact": near_dup._exact((85, 100)), "most": 40, "wide": near_dup._exact((70, 100))} if exact else {"most": 24}
+    links = near_dup._linked_within(df if exact else df.drop("set"), 7, **tests)
+    assert {(r.id, r.component) for r in components.components(links).collect()} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(table(spark, [])).count() == 0
     assert near_dup.distinct_documents(table(spark, [])).count() == 0

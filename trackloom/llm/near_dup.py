@@ -12,9 +12,11 @@
    within one component or to be none.  Again less than one row a text is written.
 
 A bucket or cluster that is larger than a chunk is first compared with one of its texts, and what is linked to that
-one is settled; this is repeated with a text that is still open, a few times.  What stays open is compared with
-everything in the group, chunk by chunk, each pair of chunks in its own task group.  A group of near copies so costs
-work in proportion to its size, a group without such a centre more work, but never a larger task; none is capped.
+one is near it; this is repeated with a text that is still open, a few times.  What stays open is compared with
+everything in the group, chunk by chunk, each pair of chunks in its own task group.  So are texts near different
+centres, unless a text near both links these, or one of the texts is further from the other's centre than two links
+reach, by the triangle inequality of both distances.  A group of near copies so costs work in proportion to its size,
+a group without such a centre more work, but never a larger task; none is capped.
 """
 
 from __future__ import annotations
@@ -185,68 +187,90 @@ def _compare(batches: Iterator[pa.RecordBatch], keys: int, most: int, exact=None
     yield _edges(found)
 
 
-def _centred(rows: DataFrame, chunk: int, test=None, most: int = MOST_BITS) -> tuple[DataFrame, list[DataFrame]]:
+def _centred(rows: DataFrame, chunk: int, test=None, most: int = MOST_BITS, wide=None) -> tuple[DataFrame, list[DataFrame]]:
     """Groups (key, rid, weight, odd, ...) that weigh more than ``chunk``, each compared with a few centres.
 
-    Gives the rows with ``near``, whether a centre is linked to them, and tables of the links (a, b)."""
+    Gives the rows with ``near`` and ``edge``, a bit for every centre that is linked to them and for every one that
+    is no further than two links (``wide`` for the sets), and tables of the links (a, b)."""
     links: list[DataFrame] = []
     data = [c for c in rows.columns if c not in ("key", "rid", "weight")]
-    rows = rows.withColumn("near", F.lit(False))
+    rows = rows.withColumn("near", F.lit(0)).withColumn("edge", F.lit(0))
     schema = rows.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", centre long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], bit: int) -> Iterator[pa.RecordBatch]:
         width = 3 + len(data)
         for batch in batches:
-            own, centre = batch.column(width), batch.column(width + 1)
+            near, edge = (batch.column(width + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            centre = batch.column(width + 2)
             some = np.flatnonzero(centre.is_valid().to_numpy(zero_copy_only=False))
-            alike = np.zeros(len(centre), bool)
+            alike, close = np.zeros(len(centre), bool), np.zeros(len(centre), bool)
             if len(some):
                 part = batch.take(pa.array(some))
-                apart = np.bitwise_count(_bitmaps(part.column(3)) ^ _bitmaps(part.column(width + 2))).sum(axis=1)
-                alike[some] = apart <= most
+                apart = np.bitwise_count(_bitmaps(part.column(3)) ^ _bitmaps(part.column(width + 3))).sum(axis=1)
+                alike[some], close[some] = apart <= most, apart <= 2 * most
                 if test:
-                    mine, theirs = part.column(4), part.column(width + 3)
-                    for i in np.flatnonzero(apart <= most).tolist():
-                        alike[some[i]] = test(np.frombuffer(mine[i].as_py(), np.uint64), np.frombuffer(theirs[i].as_py(), np.uint64))
-            near = own.to_numpy(zero_copy_only=False).astype(bool) | alike
+                    mine, theirs = part.column(4), part.column(width + 4)
+                    for i in np.flatnonzero(apart <= 2 * most).tolist():
+                        s, t = (np.frombuffer(x[i].as_py(), np.uint64) for x in (mine, theirs))
+                        alike[some[i]] &= test(s, t)
+                        close[some[i]] = alike[some[i]] or wide(s, t)
             centre = pa.array(np.where(alike, centre.fill_null(0).to_numpy(zero_copy_only=False), 0), pa.int64(), mask=~alike)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(near), centre], names=[*batch.schema.names[: width + 1], "centre"])
+            masks = [pa.array(np.where(x, y | bit, y).astype(np.int32)) for x, y in ((alike, near), (close, edge))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *masks, centre], names=[*batch.schema.names[: width + 2], "centre"])
 
-    for _ in range(CENTRES):
-        still = keep(rows.where("not near").groupBy("key").agg(F.sum("weight").alias("w"), F.min("rid").alias("centre")).where(F.col("w") > chunk).drop("w"), "open")
+    for k in range(CENTRES):
+        still = keep(rows.where("near = 0").groupBy("key").agg(F.sum("weight").alias("w"), F.min("rid").alias("centre")).where(F.col("w") > chunk).drop("w"), "open")
         if still.isEmpty():
             break
         centres = rows.select("key", F.col("rid").alias("centre"), *[F.col(c).alias(f"centre_{c}") for c in data]).join(still, ["key", "centre"])
-        rows = rows.join(centres, "key", "left").select("key", "rid", "weight", *data, "near", "centre", *[f"centre_{c}" for c in data])
-        rows = keep(rows.mapInArrow(run, schema), "centred")
+        rows = rows.join(centres, "key", "left").select("key", "rid", "weight", *data, "near", "edge", "centre", *[f"centre_{c}" for c in data])
+        rows = keep(rows.mapInArrow(lambda b, bit=1 << k: run(b, bit), schema), "centred")
         links.append(rows.where("centre <> rid").select(F.col("rid").alias("a"), F.col("centre").alias("b")))
         rows = rows.drop("centre")
     return rows, links
 
 
 def _pairs_of_chunks(rows: DataFrame, chunk: int) -> DataFrame:
-    """Rows (key, rid, weight, ..., near) once for every pair of chunks of their group that their own chunk is in:
-    key, ci, cj, side, rid, ...  Chunks of open rows meet each other and those of near rows."""
-    weigh = lambda near: F.ceil(F.coalesce(F.sum(F.when(F.col("near") == near, F.col("weight"))), F.lit(0)) / chunk).cast("int")
-    counts = rows.groupBy("key").agg(weigh(False).alias("fresh"), weigh(True).alias("done")).where("fresh > 0")
-    place = F.xxhash64("rid")
-    mine = F.when(F.col("near"), F.col("fresh") + F.pmod(place, F.greatest("done", F.lit(1)))).otherwise(F.pmod(place, F.col("fresh"))).cast("int")
-    df = rows.join(counts, "key").withColumn("mine", mine)
-    last = F.when(F.col("near"), F.col("fresh") - 1).otherwise(F.col("fresh") + F.col("done") - 1)
+    """Rows (key, rid, weight, ..., near, edge) once for every pair of chunks of their group that their own chunk is
+    in: key, ci, cj, side, rid, ...  Chunks of open rows meet each other and all others.  The centres of a group make
+    homes, those that rows near several of them link; rows at the edge of another home meet the rows of that one
+    that are at theirs."""
+    home = F.col("near")
+    for _ in range(CENTRES):
+        home = F.aggregate("masks", home, lambda h, m: F.when(h.bitwiseAND(m) != 0, h.bitwiseOR(m)).otherwise(h))
+    masks = rows.where("near <> 0").groupBy("key").agg(F.collect_set("near").alias("masks"))
+    rows = rows.join(masks, "key", "left").withColumn("home", F.when(F.col("near") != 0, home).otherwise(0)).drop("masks")
+    at_edge = (F.col("home") != 0) & (F.col("edge").bitwiseAND(F.bitwise_not("home")) != 0)
+    # kinds of rows: 0 open, 1 near, 2 and up near and at an edge, one kind for each home by its first centre
+    kind = F.when(F.col("home") == 0, 0).when(~at_edge, 1)
+    for k in range(CENTRES):
+        kind = kind.when(F.col("home").bitwiseAND(F.lit(1 << k)) != 0, 2 + k)
+    rows = rows.withColumn("kind", kind)
+    kinds = range(2 + CENTRES)
+    weigh = lambda k: F.ceil(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("weight"))), F.lit(0)) / chunk).cast("int")
+    mask = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("home"))), F.lit(0))
+    counts = rows.groupBy("key").agg(F.array(*[weigh(k) for k in kinds]).alias("n"), F.array(*[mask(k) for k in kinds]).alias("homes"))
+    # a chunk's number counts those of the kinds before its own
+    first = lambda k: F.aggregate(F.slice("n", 1, k), F.lit(0), lambda s, x: s + x)
+    df = rows.join(counts, "key").withColumn("mine", (first(F.col("kind")) + F.pmod(F.xxhash64("rid"), F.greatest(F.get("n", F.col("kind")), F.lit(1)))).cast("int"))
+    meets = lambda k: (F.col("kind") == 0) | (F.lit(k) == 0) | (F.col("kind") >= 2) & (F.lit(k) >= 2) & (F.col("kind") != k) & (F.col("edge").bitwiseAND(F.get("homes", F.lit(k))) != 0)
+    others = F.concat(*[F.when(meets(k) & (F.get("n", F.lit(k)) > 0), F.sequence(first(F.lit(k)), first(F.lit(k + 1)) - 1)).otherwise(F.array().cast("array<int>")) for k in kinds])
     made = F.transform(
-        F.sequence(F.lit(0), last),
+        others,
         lambda o: F.struct(F.least(o, F.col("mine")).alias("ci"), F.greatest(o, F.col("mine")).alias("cj"), F.when(o == F.col("mine"), 2).when(F.col("mine") < o, 0).otherwise(1).alias("side")),
     )
-    return df.withColumn("p", F.explode(made)).select("key", F.col("p.ci").cast("long").alias("ci"), F.col("p.cj").cast("long").alias("cj"), F.col("p.side").cast("int").alias("side"), *[c for c in rows.columns if c not in ("key", "weight", "near")])
+    own = ("key", "weight", "near", "edge", "home", "kind")
+    return df.withColumn("p", F.explode(made)).select("key", F.col("p.ci").cast("long").alias("ci"), F.col("p.cj").cast("long").alias("cj"), F.col("p.side").cast("int").alias("side"), *[c for c in rows.columns if c not in own])
 
 
-def _linked_within(rows: DataFrame, chunk: int, exact=None, most: int = MOST_BITS) -> DataFrame:
+def _linked_within(rows: DataFrame, chunk: int, exact=None, most: int = MOST_BITS, wide=None) -> DataFrame:
     """(a, b): links that span the components of each group's linked rows (key, size, rid, weight, odd, ...); size is
-    the weight of the whole group."""
+    the weight of the whole group.  ``exact`` tests the sets of a link, ``wide`` whether two links can join them."""
     columns = [c for c in rows.columns if c != "size"]
     small, large = rows.where(F.col("size") <= chunk).select(*columns), rows.where(F.col("size") > chunk).select(*columns)
-    large, links = _centred(large, chunk, exact, most)
-    groups = _pairs_of_chunks(small.withColumn("near", F.lit(False)).unionByName(large), chunk)
+    large, links = _centred(large, chunk, exact, most, wide)
+    one = small.select("key", F.lit(0).cast("long").alias("ci"), F.lit(0).cast("long").alias("cj"), F.lit(2).alias("side"), *[c for c in columns if c not in ("key", "weight")])
+    groups = one.unionByName(_pairs_of_chunks(large, chunk))
     found = _by_group(groups).mapInArrow(lambda b: _compare(b, 3, most, exact), "a long, b long")
     for x in links:
         found = found.unionByName(x)
@@ -304,7 +328,7 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, reps: DataFrame, width
 
     texts = members.join(wanted, members["rid"] == wanted["doc_id"]).select("key", "size", "rid", "weight", "odd", "text")
     held = texts.mapInArrow(sets, "key long, size long, rid long, weight long, odd binary, set binary").where(F.length("set") == 8 * F.col("weight"))
-    return _linked_within(keep(held, "sets"), CLUSTER_CHUNK, _exact(threshold), most)
+    return _linked_within(keep(held, "sets"), CLUSTER_CHUNK, _exact(threshold), most, _exact((2 * threshold[0] - threshold[1], threshold[1])))
 
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), width: int = 5) -> DataFrame:
