@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from trackloom.llm import components, decontaminate, mixing, near_dup, pii, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, rid string"
@@ -113,6 +114,15 @@ def test_one_document_of_each_class_stays(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(d for d in want if want[d][1] == d)
 
 
+def test_the_pipeline_drops_near_copies_from_0_80_on(spark):
+    """Similarity 0.81 (1 and 2) is one document to the pipeline and two to the query; 0.78 (3 and 4) is two to both."""
+    rows = [(d, words(100, at), "n") for d, at in ((1, 0), (2, 10), (3, 1_000), (4, 1_012))]
+    docs = table(spark, rows)
+    assert sorted(r.doc_id for r in corpus_pipeline._near_dup(spark, docs, "").collect()) == [1, 3, 4]
+    assert all(r.kept for r in near_dup.near_duplicates(docs).collect())
+    assert near_dup._most_bits((85, 100), near_dup.BANDS * near_dup.ROWS) == near_dup.MOST_BITS
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
     got = {r.id: r.component for r in components.components(edges).collect()}

@@ -34,7 +34,7 @@ from trackloom.llm.text import NOT_SPACE, blobs, doc_hashes, grouped, mix, shing
 
 BANDS, ROWS, BITS, SEED = 42, 7, 512, 20_231
 #: Pairs whose sketches differ in more bits are no candidates: that many mean a similarity of 0.70, and an estimate
-#: from 294 samples is off by 0.15 less often than once in a million pairs.
+#: from 294 samples is off by 0.15 less often than once in a million pairs.  For the default threshold; see _most_bits.
 MOST_BITS = 128
 #: Texts of a bucket, and shingles of a cluster, that one task group compares.
 BUCKET_CHUNK, CLUSTER_CHUNK = 1024, 1 << 18
@@ -306,6 +306,12 @@ def _exact(threshold: tuple[int, int]):
     return linked
 
 
+def _most_bits(threshold: tuple[int, int], samples: int, bits: int = BITS, slack: float = 0.15) -> int:
+    """The bits in which sketches of a similarity of ``slack`` below the threshold differ in the mean."""
+    flips = 2 * samples * (1 - threshold[0] / threshold[1] + slack)
+    return round(bits / 2 * (1 - (1 - 2 / bits) ** flips))
+
+
 def _slot(c: str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(FILTER_SLOTS)).cast("int")
 
@@ -331,7 +337,7 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, reps: DataFrame, width
     return _linked_within(keep(held, "sets"), CLUSTER_CHUNK, _exact(threshold), most, _exact((2 * threshold[0] - threshold[1], threshold[1])))
 
 
-def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), width: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, ...).
 
     Two texts are linked when the intersection of their sets of distinct five-word shingles is at least
@@ -339,29 +345,30 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), wid
     A null or blank text has none and is its own component.  ``component_id`` is the smallest doc_id reachable over
     links, ``kept`` whether it is the row's own.  Repeated rows each give a row.  Rows with a null doc_id give rows,
     take part in no link between different texts and fall to the smallest doc_id with the same words, if any.
-    Other columns of ``docs`` are not looked at.
+    Other columns of ``docs`` are not looked at.  A lower threshold needs shorter bands (fewer ``rows``).
     """
-    made = keep(sketch(docs, width), "sketches")
+    most = _most_bits(threshold, bands * rows)
+    made = keep(sketch(docs, width, bands, rows), "sketches")
     copies = keep(made.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rid")), "copies")
     named = copies.where("rid is not null")
     reps = keep(made.join(named, (made["doc_id"] == named["rid"]) & (made["k1"] == named["k1"]) & (made["k2"] == named["k2"])).select("rid", "n_shingles", made["k1"], made["k2"], "bands", "odd").dropDuplicates(["rid"]), "texts")
-    clusters = components(keep(candidate_links(reps), "candidates"))
-    found = components(keep(confirmed_links(docs, clusters, reps, width, threshold), "links"))
+    clusters = components(keep(candidate_links(reps, most), "candidates"))
+    found = components(keep(confirmed_links(docs, clusters, reps, width, threshold, most), "links"))
     classes = copies.join(found.withColumnRenamed("id", "rid"), "rid", "left").select("k1", "k2", F.coalesce("component", "rid").alias("component"))
-    rows = made.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    placed = made.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def distinct_documents(docs: DataFrame, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
+def distinct_documents(docs: DataFrame, threshold: tuple[int, int] = (85, 100), bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row of ``docs``, with all its columns, for each class of near-duplicates: that of the smallest doc_id.
 
     Rows equal in doc_id and text are one.  Blank texts are in no class, and all their rows stay; so do rows with a
     null doc_id, but for those equal in text.
     """
-    kept = near_duplicates(docs, threshold).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_duplicates(docs, threshold, bands=bands, rows=rows).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
     columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("r"), docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(docs["text"]).alias("mark"), (F.length(F.trim(docs["text"])) > 0).alias("full"))
-    held = rows.where("own_id is not null").join(kept, F.col("own_id") == F.col("kept_id"), "left_semi").union(rows.where("own_id is null"))
+    texts = docs.select(F.struct(*columns).alias("r"), docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(docs["text"]).alias("mark"), (F.length(F.trim(docs["text"])) > 0).alias("full"))
+    held = texts.where("own_id is not null").join(kept, F.col("own_id") == F.col("kept_id"), "left_semi").union(texts.where("own_id is null"))
     first = F.row_number().over(Window.partitionBy("own_id", "mark").orderBy("own_id"))
     return held.withColumn("nth", first).where("nth = 1 or not coalesce(full, false)").select("r.*")
