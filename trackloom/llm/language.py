@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.text import LOWER, NOT_SPACE, blobs, grouped, mix, pieces
+from trackloom.llm.store import keep
+from trackloom.llm.text import LOWER, PIECE, blobs, grouped, mix
 from trackloom.llm.training import held_out, totals
 
 #: Bounds of the sample per language, n-gram buckets, centroids per language, and the share rejected in training.
 SAMPLE_ROWS, SAMPLE_BYTES, BUCKETS, CENTROIDS, ROUNDS, REJECTED = 800, 16 << 20, 4096, 4, 12, 0.01
 UNKNOWN = "und"
+#: Rows (language, place, doc_id) of the sample that are broadcast; with more, the join is a shuffle.
+MOST_BROADCAST = 100_000
 
 #: a-z and bytes of non-ASCII characters; all else becomes a space
 _LETTERS = np.full(256, 0x20, np.uint8)
@@ -34,8 +37,9 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text)))
 
 
-def _grams(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Bucket of the n-gram at each place, -1 where it is blank or begins with a second blank, for n = 1, 2, 3."""
+def _grams(data: np.ndarray, left: np.ndarray) -> Iterator[np.ndarray]:
+    """Bucket of the n-gram at each place, -1 where it is blank, begins with a second blank, or is longer than what is
+    ``left`` of the place's text, for n = 1, 2, 3."""
     x = _LETTERS[LOWER[data]].astype(np.uint64)
     code = np.zeros(len(x), np.uint64)
     for n in (1, 2, 3):
@@ -43,21 +47,23 @@ def _grams(data: np.ndarray) -> Iterator[np.ndarray]:
         made = (mix(code + np.uint64(n << 32)) % np.uint64(BUCKETS)).astype(np.int64)
         first = x[: len(made)]
         blank = (first == 0x20) if n == 1 else (first == 0x20) & (x[1 : len(made) + 1] == 0x20)
-        made[blank] = -1
+        made[blank | (left[: len(made)] < n)] = -1
         yield made
 
 
 def counts(texts: list[bytes]) -> np.ndarray:
-    """(texts, buckets): n-gram counts of each text."""
+    """(texts, buckets): n-gram counts of each text, from its own bytes alone."""
     out = np.zeros((len(texts), BUCKETS))
     if len(texts) > 1:
-        parts: list[tuple[int, np.ndarray]] = []
-        data = np.frombuffer(b"  ".join(texts), np.uint8)
-        cuts = np.cumsum([len(x) + 2 for x in texts])[:-1]
-        for made in _grams(data):
-            parts += enumerate(np.split(made, cuts[cuts <= len(made)]))
+        sizes = np.array([len(x) for x in texts])
+        ends = np.cumsum(sizes)
+        data, cuts = np.frombuffer(b"".join(texts), np.uint8), ends[:-1]
+        parts = ((i, part) for made in _grams(data, np.repeat(ends, sizes) - np.arange(len(data))) for i, part in enumerate(np.split(made, np.minimum(cuts, len(made)))))
     else:
-        parts = [(0, made) for _, piece in pieces(texts[0], NOT_SPACE) for made in _grams(piece)]
+        data = np.frombuffer(texts[0], np.uint8)
+        # a piece holds the two bytes behind it, so that no n-gram is lost where the text is cut
+        held = ((data[at : at + PIECE + 2], len(data) - at) for at in range(0, len(data), PIECE))
+        parts = ((0, made[:PIECE]) for piece, left in held for made in _grams(piece, left - np.arange(len(piece))))
     for i, made in parts:
         out[i] += np.bincount(made + 1, minlength=BUCKETS + 1)[1:]
     return out
@@ -104,24 +110,32 @@ def clusters(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> tuple[n
 
 class Model:
     def __init__(self, idf: np.ndarray, names: list[str], centroids: np.ndarray, least: np.ndarray) -> None:
-        self.idf, self.names, self.centroids, self.least = idf, names, centroids.astype(np.float32), least
+        self.idf, self.names, self.centroids, self.least = idf, names, centroids, least
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        near = vectors(texts, self.idf).astype(np.float32) @ self.centroids.T
+        near = vectors(texts, self.idf) @ self.centroids.T
         best = np.argmax(near, axis=1)
-        cosine = near[np.arange(len(best)), best].astype(np.float64)
+        cosine = near[np.arange(len(best)), best]
         return [self.names[i] for i in best], np.clip(cosine, 0, 1), cosine < self.least[best]
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from documents with a language outside the held-out fold: frequencies from all of them, centroids
-    from at most ``rows`` of each language, in order of a hash of doc_id, and ``most_bytes`` of their text."""
+    from at most ``rows`` of each language, in order of a hash of doc_id, and ``most_bytes`` of their text.
+
+    Of rows with one doc_id and language one text is in the sample, the smallest; empty tables, and tables without a
+    language, give a model that knows none."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     idf = inverse_frequencies(learn)
-    place = F.xxhash64("doc_id", F.lit(9))
-    ranked = learn.select("doc_id", F.col("lang").alias("known"), place.alias("place")).withColumn("rank", F.row_number().over(Window.partitionBy("known").orderBy("place", "doc_id")))
-    some = ranked.where(F.col("rank") <= rows).groupBy(F.col("doc_id").alias("id"), "known").agg(F.first("place").alias("place"))
-    texts = learn.join(some, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("known"))).groupBy("known", "place", "id").agg(F.min("text").alias("text"))
+    # a uniform number of each id, and the bound below which there are somewhat more than ``rows`` ids of a language:
+    # only those are ranked
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(9)), 11) / F.lit(float(1 << 53))
+    bounds = learn.groupBy(F.col("lang").alias("known")).agg((F.lit(1.5 * rows + 30) / F.approx_count_distinct("doc_id")).alias("bound"))
+    low = learn.select("doc_id", F.col("lang").alias("known"), place.alias("place")).join(bounds, "known").where(F.col("place") < F.col("bound")).groupBy("known", F.col("doc_id").alias("id")).agg(F.first("place").alias("place"))
+    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("known").orderBy("place", "id")))
+    some = keep(ranked.where(F.col("rank") <= rows).drop("rank"), "sample")
+    few = F.broadcast(some) if some.count() <= MOST_BROADCAST else some
+    texts = learn.join(few, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("known"))).groupBy("known", "place", "id").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held, size = None, [], 0
@@ -152,7 +166,8 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row of ``docs``.
 
     score is the cosine to the nearest centroid.  A null text, and one without a letter, is ``und`` with score 0 and
-    rejected; so is every text if no language was learned.
+    rejected; so is every text if no language was learned.  A row's values depend on its own text alone, whole however
+    long; repeated rows give a row each; of languages that are equally near the first in code-point order is taken.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

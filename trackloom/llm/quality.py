@@ -59,12 +59,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     out = np.zeros((BUCKETS, DIMENSIONS + 1))
     for batch in batches:
         for texts in grouped(blobs(batch.column(0))):
-            for tokens in _merged(_tokens(texts)):
+            for tokens, inner in _merged(_tokens(texts)):
                 near = np.zeros((len(tokens), DIMENSIONS), np.float32)
                 vectors = index[np.maximum(tokens, 0)] * (tokens >= 0)[:, None]
                 for d in range(1, REACH + 1):
                     near[d:] += vectors[:-d]
                     near[:-d] += vectors[d:]
+                tokens, near = tokens[inner], near[inner]
                 real = tokens >= 0
                 own = tokens[real]
                 near = near[real]
@@ -74,12 +75,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     return out
 
 
-def _merged(each: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """Token rows of at most 64k places; texts are kept apart by places that hold no token."""
+def _merged(each: list[np.ndarray], size: int = 1 << 16) -> Iterator[tuple[np.ndarray, slice]]:
+    """Rows of tokens and which of them to count, ``size`` at most; the others are their neighbours.  Texts are kept
+    apart by places that hold no token."""
     gap = np.full(REACH, -1)
-    run = np.concatenate([x for tokens in each for x in (tokens, gap)])
-    for at in range(0, len(run), 1 << 16):
-        yield run[at : at + (1 << 16)]
+    run = np.concatenate([gap, *[x for tokens in each for x in (tokens, gap)]])
+    for at in range(REACH, len(run) - REACH, size):
+        yield run[at - REACH : at + size + REACH], slice(REACH, REACH + min(size, len(run) - REACH - at))
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -136,8 +138,9 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = 1) -> list[np.ndarray]
     moments = [(np.zeros_like(a), np.zeros_like(a)) for a in p]
     step = 0
     for _ in range(EPOCHS if 0 < y.sum() < len(y) else 0):
+        train = rng.permutation(train)
         for at in range(0, len(train), BATCH):
-            rows = rng.permutation(train)[:BATCH] if at == 0 else train[at : at + BATCH]
+            rows = train[at : at + BATCH]
             step += 1
             h = np.tanh(x[rows] @ p[0] + p[1])
             g = (1 / (1 + np.exp(-(h @ p[2] + p[3])[:, 0])) - y[rows])[:, None] / len(rows)
@@ -156,7 +159,9 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = 1) -> list[np.ndarray]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, Network]:
-    """Word vectors from all documents, and a network from at most ``rows`` labelled ones outside the held-out fold."""
+    """Word vectors from all documents, and a network from at most ``rows`` labelled ones outside the held-out fold.
+
+    Sums of index vectors are whole numbers, so neither the partitioning nor the order of rows changes a vector."""
     vectors = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     parts = in_one_task(labelled(docs, labels, "quality", rows), lambda texts, y: fit_network(features(texts, shared.value), (y > 0).astype(float)), most_bytes)
@@ -164,7 +169,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_byte
 
 
 def scored(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
-    """(doc_id, score) of every row of ``docs``: the calibrated probability of good quality.  A null text is empty."""
+    """(doc_id, score) of every row of ``docs``: the calibrated probability of good quality.
+
+    A null text is empty, and an empty one has zeros for features.  A row's score depends on its own text alone, whole
+    however long, and on the model; repeated rows give a row each.  No rows give no rows."""
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
