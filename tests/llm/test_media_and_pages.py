@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 from fractions import Fraction
 
@@ -62,6 +63,60 @@ PAGES = [
     ("<body><div class=menu><a>a</a> <a>b</a></div><div id=content><p>" + "Plain text without any region. " * 5 + "</p><p>" + "And a second part of it. " * 5 + "</p></div></body>", ("Plain text without any region. " * 5).strip() + "\n\n" + ("And a second part of it. " * 5).strip()),
 ]
 
+LONG = "A long enough sentence of the article, with words and a full stop. " * 3
+INSIDE = [
+    ("<section id='discussion'><p>We discuss.</p></section>", "We discuss."),
+    ("<div class='share-price'>Shares at 12.40</div>", "Shares at 12.40"),
+    ("<p class='alert-level'>Level two</p>", "Level two"),
+    ("<p class='search-results-note'>A note.</p>", "A note."),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>", "Let x=2 be."),
+    ("<header><h2>Part</h2></header>", "Part"),
+    ("<ul><li><a href=1>Source one</a></li></ul>", "Source one"),
+    ("<div class='related'><p>Related work is old.</p></div>", "Related work is old."),
+    ("<div class='related'><p><a href=1>Also read this one</a></p></div>", ""),
+    ("<div class='ad-slot'>Buy</div>", ""),
+    ("<ol class='commentlist'><li>Nice one</li></ol>", ""),
+    ("<article class='comment'><p>Nice one</p></article>", ""),
+    ("<div role='navigation'>Up</div>", ""),
+    ("<nav>Up</nav><footer>By me</footer><form>Mail <input></form>", ""),
+]
+
+
+def test_parts_of_an_article():
+    for form in ("<article class='post comments-open'>{}</article>", "<main class='no-sidebar'>{}</main>", "<div class='layout has-sidebar'><article>{}</article></div>"):
+        for part, want in INSIDE:
+            if "class='related'" in part and "<main" in form:
+                continue  # a name outside of articles
+            html = "<body>" + form.format(f"<p>{LONG}</p>{part}<p>Short.</p>") + "<div class='site-footer'>Imprint</div></body>"
+            assert html_text.main_text(html) == "\n\n".join(x for x in (LONG.strip(), want, "Short.") if x), (form, part)
+
+
+def test_clusters_select_regions():
+    teasers = "".join(f"<article><a href={i}>Teaser number {i} of this list</a></article>" for i in range(4))
+    page = f"<main>{{}}<p>{LONG}</p><p>Short.</p>{teasers}</main>"
+    assert html_text.main_text(page.format("")).startswith(LONG.strip())
+    one = f"<div>{'<div>Tiny line</div>' * 6}</div><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div>Imprint</div>"
+    assert html_text.main_text(one) == f"{LONG.strip()}\n\nShort.\n\n{LONG.strip()}"
+
+
+def test_smoothing_takes_part():
+    page = f"<body><p>Intro of few words.</p><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>" + "<div><a href=1>x</a></div>" * 8 + "</body>"
+    lines = html_text.parsed(page).lines
+    smooth, raw = html_text.content_lines(lines)[0], html_text.content_lines(lines, 0)[0]
+    assert smooth[2] and not raw[2]
+    # a dense line within reach of the article's cluster comes with it only where the ratios are smoothed
+    far = f"<body><p>{LONG}</p><p>By A</p><div><p>{LONG * 4}</p></div>" + "<div><a href=1>x</a></div>" * 8 + "</body>"
+    assert html_text.main_text(far) == f"{LONG.strip()}\n\n{(LONG * 4).strip()}" != html_text.main_text(far, 0)
+
+
+def test_broken_markup_takes_no_more_than_linear_time():
+    began = time.time()
+    n = 100_000
+    for html in ("<b>x" * n, "<b>" * n + "</i>" * n, "<div>x" * n, "<ul><li>x" * n, "<head>" * n, "<!--" * n, "</" * n, "<a " * n, "<script>" + "</" * n):
+        html_text.main_text(html)
+    assert time.time() - began < 60
+    assert html_text.main_text("<article>Text &amp") == "Text &" and html_text.main_text("<article>Text<a hr") == "Text"
+
 
 def test_main_text_of_pages(spark):
     rows = [(i, f"u{i}", h, 1) for i, (h, _) in enumerate(PAGES)] * 2

@@ -2,18 +2,25 @@
 
 The standard library's parser streams events into lines (blocks).  Each line has a ratio of its text outside links
 to its tags.  The ratios are smoothed along the page with a Gaussian, and a threshold on the smoothed ratios splits
-lines into content and the rest.  Regions of the page, that is an article or main element or what stands outside of
-any, are kept if content clusters in them; within a region all lines stay, short ones too, but for parts that their
-element or its class, id or role names as something else: menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments.
+lines into content and the rest; runs of content lines are clusters.  The clusters select regions: articles or the
+main element in which content lies, or, on pages without these, the innermost container that holds most of the content,
+with the clusters that reach into it.  A selected region is extended to all of its lines, short ones too.
+
+What the contract names as no part of an article is left out of a region: menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments.  Elements and landmark roles say so anywhere.  Outside of articles
+a class or id says so if all of its words do (``site-footer``, but not ``no-sidebar``); inside, only the names of
+adverts, sidebars and comments do, and names that may mean either (``related``) where the text is mostly links.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,67 +28,113 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text no reader sees, or that are controls.
-HIDDEN = frozenset("audio button canvas datalist dialog form head iframe map math menu noembed noframes noscript object optgroup option script select style svg template textarea title video".split())
-#: Elements that are no part of an article.
+HIDDEN = frozenset("audio button canvas datalist dialog form head iframe menu noembed noframes noscript object optgroup option script select style svg template textarea title video".split())
+#: Elements and roles that are no part of an article.
 APART = frozenset("nav aside footer".split())
-REGIONS = frozenset("article main".split())
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+CONTAINERS = frozenset("article main section div td th body".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center caption dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
 #: An open element of the left kinds ends where one of the right kinds begins.
-ENDED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"]), "head": frozenset(["body"])}
+ENDED_BY = {
+    "p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
+    "option": frozenset(["option", "optgroup"]), "head": frozenset(["body", "head"]),
+}
 #: An element that is ended so is looked for no further up than these.
 STOPS = frozenset("ul ol dl table div article section main body blockquote nav aside footer header form".split())
-#: Words of classes, ids and roles that name parts other than the article.
-OTHER = frozenset(
-    """ad ads advert adverts advertisement advertising adsense adslot adunit alert banner breadcrumb breadcrumbs byline-ads comment comments commentary-thread complementary consent contentinfo cookie cookies disqus
-    disclaimer dialog footer footnav gdpr masthead menu menus menubar modal nav navbar navigation navlinks newsletter notice notices notification notifications outbrain paywall popover popup promo promos promoted
-    promotion recommended related replies reply respond search share shares sharing sidebar sidebars sidenav signup skip social sponsor sponsored sponsors subscribe subscription taboola toast toolbar topbar trackback
-    widget widgets responses discussion""".split()
-)
-OTHER_WHERE_OUTSIDE = frozenset(["header", "heading-bar", "site-header", "pageheader"])
-_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
+#: Words of class and id names.  A name is that of a part if it has a word of parts and all others are of places.
+PLACES = frozenset("area bar block bottom box buttons container footer form global icons inner left links list main outer page primary right secondary section site slot thread top unit wrap wrapper".split())
+ADVERTS = frozenset("ad ads advert advertisement advertising adverts adsense adslot sponsored".split())
+COMMENTS = frozenset("commentlist comments disqus".split())
+INSIDE = ADVERTS | COMMENTS | frozenset("breadcrumb breadcrumbs navbar newsletter sidebar sidebars sidenav".split())
+EITHER = frozenset("menu nav navigation promo promos recommended related share sharing social subscribe widget widgets".split())
+OUTSIDE = INSIDE | EITHER | frozenset(
+    """alert banner comment consent cookie cookies footer gdpr header masthead menubar modal notice notices notification notifications outbrain paywall popover popup promoted promotion replies respond responses search
+    signup skip sponsor sponsors subscription taboola toast toolbar topbar trackback""".split()
+)
+_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]+|[A-Z]+(?![a-z])")
 
 SIGMA, PIECE = 1.0, 1 << 16
 
 
-def _named_other(attrs: list, region: bool) -> bool:
+def _named(attrs: list, parts: frozenset[str]) -> bool:
+    """Whether a whole class or id is the name of one of ``parts``."""
     for name, value in attrs:
-        if name in ("class", "id", "role") and value:
-            words = {w.lower() for w in _PARTS.findall(value)}
-            if words & OTHER or not region and words & OTHER_WHERE_OUTSIDE:
+        for one in (value or "").split() if name in ("class", "id") else ():
+            words = {w.lower() for w in _WORDS.findall(one)}
+            if words & parts and words <= parts | PLACES:
                 return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
+    return False
+
+
+def _told(attrs: list) -> bool:
+    """Whether an attribute hides an element or gives it the role of another part of the page."""
+    for name, value in attrs:
+        if name == "hidden" or name == "role" and (value or "").strip().lower() in ROLES or name == "style" and value and re.search(r"display\s*:\s*none", value):
             return True
     return False
 
 
+class Line(NamedTuple):
+    text: str
+    plain: int  # characters outside links
+    tags: int
+    apart: bool
+    node: int
+    doubt: int  # number of an element whose name may mean a part, or 0
+
+
+class _Open(NamedTuple):
+    name: str
+    apart: bool
+    node: int
+    doubt: int
+
+
 class _Lines(HTMLParser):
-    """Lines of a page: text, characters outside links, tags, whether it may be shown, and its region."""
+    """Lines of a page, and the tree of its containers: (parent, article around it, main around it), 0 for none."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # name, apart, region
-        self.apart, self.region, self.regions = False, 0, 0
+        self.lines: list[Line] = []
+        self.nodes: list[tuple[int, int, int]] = [(0, 0, 0)]
+        self.open: list[_Open] = []
+        self.places: dict[str, list[int]] = {}  # where elements of a name are open
+        self.marks: list[int] = []  # where elements are open that another may end, or that stop the search for them
+        self.stops: list[int] = []
+        self.state = _Open("", False, 0, 0)
+        self.doubts = 0
         self.text: list[str] = []
         self.plain = self.tags = self.links = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.plain, self.tags, not self.apart, self.region))
-            self.text, self.plain, self.tags = [], 0, 0
-        elif self.text:
-            self.text = []
+            self.lines.append(Line(text, self.plain, self.tags, self.state.apart, self.state.node, self.state.doubt))
+            self.plain = self.tags = 0
+        self.text = []
 
-    def _state(self) -> None:
-        _, self.apart, self.region = self.open[-1] if self.open else ("", False, 0)
+    def _push(self, one: _Open) -> None:
+        at = len(self.open)
+        self.open.append(one)
+        self.places.setdefault(one.name, []).append(at)
+        if one.name in STOPS:
+            self.stops.append(at)
+        if one.name in STOPS or one.name in ENDED_BY:
+            self.marks.append(at)
+        self.links += one.name == "a"
+        self.state = one
 
     def _close(self, at: int) -> None:
-        self.links -= sum(x[0] == "a" for x in self.open[at:])
-        del self.open[at:]
-        self._state()
+        while len(self.open) > at:
+            name = self.open.pop().name
+            self.places[name].pop()
+            self.links -= name == "a"
+        for places in (self.marks, self.stops):
+            while places and places[-1] >= at:
+                places.pop()
+        self.state = self.open[-1] if self.open else _Open("", False, 0, 0)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -90,26 +143,31 @@ class _Lines(HTMLParser):
             self.end_line()
         elif tag == "br" or tag in ("td", "th"):
             self.text.append(" ")
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if tag in ENDED_BY.get(name, ()):
-                self._close(i)
+        # kinds that end each other don't pile up between two stops, so this looks at a few places only
+        for at in reversed(self.marks):
+            if tag in ENDED_BY.get(self.open[at].name, ()):
+                self._close(at)
                 break
-            if name in STOPS:
+            if self.open[at].name in STOPS:
                 break
         if tag in VOID:
             return
-        region = self.region
-        if tag in REGIONS and not region:
-            self.regions += 1
-            region = self.regions
-        apart = self.apart or tag in HIDDEN or tag in APART or tag == "header" and not region or bool(attrs) and tag not in ("html", "body") and _named_other(attrs, region > 0)
-        if tag == "a":
-            self.links += 1
-        self.open.append((tag, apart, region))
-        if apart != self.apart and not block and tag not in HIDDEN:
+        _, was, node, doubt = self.state
+        _, article, main = self.nodes[node]
+        apart = was or tag in HIDDEN or tag in APART or tag == "header" and not article and not main
+        role = next(((v or "").strip().lower() for k, v in attrs if k == "role"), "")
+        if attrs and not apart and tag not in ("html", "body"):
+            region = tag in ("article", "main") or role in ("article", "main")
+            apart = _told(attrs) or not region and _named(attrs, INSIDE if article else OUTSIDE) or tag == "article" and _named(attrs, COMMENTS | {"comment"})
+            if article and not apart and not doubt and _named(attrs, EITHER):
+                self.doubts += 1
+                doubt = self.doubts
+        if tag in CONTAINERS:
+            self.nodes.append((node, article or (len(self.nodes) if tag == "article" or role == "article" else 0), main or (len(self.nodes) if tag == "main" or role == "main" else 0)))
+            node = len(self.nodes) - 1
+        if (apart, doubt) != (was, self.state.doubt) and not block and tag not in HIDDEN:
             self.end_line()
-        self.apart, self.region = apart, region
+        self._push(_Open(tag, apart, node, doubt))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -120,27 +178,43 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS or tag in HIDDEN:
             self.end_line()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if self.apart and not (self.open[i - 1][1] if i else False):
-                    self.end_line()
-                self._close(i)
-                break
-            if tag not in BLOCKS and self.open[i][0] in STOPS:
-                break
+        found = self.places.get(tag)
+        if found and (tag in BLOCKS or not self.stops or self.stops[-1] <= found[-1]):
+            at = found[-1]
+            outer = self.open[at - 1] if at else _Open("", False, 0, 0)
+            if (self.state.apart, self.state.doubt) != (outer.apart, outer.doubt):
+                self.end_line()
+            self._close(at)
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
-        if not self.links and not self.apart:
+        if not self.links and not self.state.apart:
             self.plain += len(data)
 
     def close(self) -> None:
-        super().close()
+        """The end of the page: a tag or comment that isn't finished is none; other text that is held back is text.
+        (The parser's own way to end takes a time that grows with the square of such a rest.)"""
+        rest, self.rawdata = self.rawdata, ""
+        if self.cdata_elem or not re.match("<[A-Za-z/!?]", rest):
+            self.handle_data(rest if self.cdata_elem else unescape(rest))
         self.end_line()
 
 
+def parsed(html: str) -> _Lines:
+    """Lines and containers of a page.  Pieces grow, so that what the parser holds back is seldom read again."""
+    parser = _Lines()
+    at, size = 0, PIECE
+    while at < len(html):
+        parser.feed(html[at : at + size])
+        at, size = at + size, 2 * size
+    parser.close()
+    return parser
+
+
 def smoothed(x: list[float], sigma: float = SIGMA) -> list[float]:
-    """A Gaussian mean along ``x``; the ends are averaged over what there is."""
+    """A Gaussian mean along ``x``; the ends are averaged over what there is.  ``sigma`` 0 leaves it as it is."""
+    if not sigma:
+        return x
     reach = math.ceil(3 * sigma)
     kernel = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
     out = []
@@ -151,35 +225,89 @@ def smoothed(x: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def main_text(html: str) -> str:
-    """The article's blocks joined by an empty line, or an empty string."""
-    parser = _Lines()
-    for at in range(0, len(html), PIECE):
-        parser.feed(html[at : at + PIECE])
-    parser.close()
-    lines = parser.lines
-    if not lines:
-        return ""
-    ratios = smoothed([plain / max(1, tags) for _, plain, tags, _, _ in lines])
+def content_lines(lines: list[Line], sigma: float = SIGMA) -> tuple[list[bool], float]:
+    """Which lines are content by their smoothed ratios, and the threshold: the ratios' deviation, or mean if less."""
+    ratios = smoothed([x.plain / max(1, x.tags) for x in lines], sigma)
     mean = sum(ratios) / len(ratios)
     spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     threshold = min(mean, spread) if spread else mean
-    content = {region for (_, _, _, shown, region), r in zip(lines, ratios, strict=True) if shown and r >= threshold}
-    inside = {r for r in content if r}
-    if not inside:
-        inside = {line[4] for line in lines if line[3] and line[4]} if not content else {0}
-    out = []
-    for (text, plain, _, shown, region), r in zip(lines, ratios, strict=True):
-        if shown and region in inside and (region or r >= threshold or 2 * plain >= len(text)):
-            out.append(text)
-    return "\n\n".join(out)
+    return [r >= threshold for r in ratios], threshold
+
+
+def _innermost(nodes: list[tuple[int, int, int]], held: Counter) -> int:
+    """The innermost container that holds at least two thirds of the content of each container around it."""
+    total = Counter(held)
+    children: dict[int, list[int]] = {}
+    for node in range(len(nodes) - 1, 0, -1):  # a container's number is higher than its parent's
+        total[nodes[node][0]] += total[node]
+        children.setdefault(nodes[node][0], []).append(node)
+    node = 0
+    while children.get(node):
+        best = max(children[node], key=lambda c: (total[c], -c))
+        if not total[node] or 3 * total[best] < 2 * total[node]:
+            break
+        node = best
+    return node
+
+
+def selected(parser: _Lines, sigma: float = SIGMA) -> list[bool]:
+    """Which lines of a page are in the regions that the clusters of content select."""
+    lines, nodes = parser.lines, parser.nodes
+    content, threshold = content_lines(lines, sigma)
+    seeds = [c and not x.apart for c, x in zip(content, lines, strict=True)]
+    of_article, of_main = [nodes[x.node][1] for x in lines], [nodes[x.node][2] for x in lines]
+    around = [not x.apart and (a > 0 or m > 0) for x, a, m in zip(lines, of_article, of_main, strict=True)]
+    if any(around):
+        weight: Counter = Counter()
+        for x, seed, a in zip(lines, seeds, of_article, strict=True):
+            weight[a] += len(x.text) if seed and (a or nodes[x.node][2]) else 0
+        in_articles = sum(n for a, n in weight.items() if a)
+        if in_articles and in_articles >= weight[0]:
+            return [weight[a] > 0 and a > 0 for a in of_article]
+        if weight[0]:
+            return [m > 0 for m in of_main]
+        articles = any(a and not x.apart for x, a in zip(lines, of_article, strict=True))
+        return [a > 0 if articles else m > 0 for a, m in zip(of_article, of_main, strict=True)]
+    held: Counter = Counter()
+    for x, seed in zip(lines, seeds, strict=True):
+        held[x.node] += x.plain if seed else 0
+    top = _innermost(nodes, held)
+    inner = [False] * len(nodes)
+    inner[top] = True
+    for node in range(top + 1, len(nodes)):
+        inner[node] = inner[nodes[node][0]]
+    out = [inner[x.node] and (seed or 2 * x.plain >= len(x.text)) for x, seed in zip(lines, seeds, strict=True)]
+    at = 0
+    while at < len(lines):  # clusters that reach into the region bring their dense lines along
+        end = at + 1
+        while end < len(lines) and seeds[end] == seeds[at]:
+            end += 1
+        if seeds[at] and any(inner[lines[i].node] for i in range(at, end)):
+            for i in range(at, end):
+                out[i] = out[i] or lines[i].plain >= threshold * max(1, lines[i].tags)
+        at = end
+    return out
+
+
+def main_text(html: str, sigma: float = SIGMA) -> str:
+    """The article's blocks joined by an empty line, or an empty string."""
+    parser = parsed(html)
+    if not parser.lines:
+        return ""
+    plain, whole = Counter(), Counter()
+    for x in parser.lines:
+        plain[x.doubt] += x.plain
+        whole[x.doubt] += len(x.text)
+    linked = {d for d in whole if d and 2 * plain[d] < whole[d]}
+    return "\n\n".join(x.text for x, inside in zip(parser.lines, selected(parser, sigma), strict=True) if inside and not x.apart and x.doubt not in linked)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html, ...).
 
     A null html is empty, and has an empty text; n_chars counts code points.  Repeated rows give a row each.  Markup
-    of any length and brokenness is read; a page without any region or content gives an empty text.
+    of any length and brokenness is read in time that grows with its length; a page without content gives an empty
+    text.  Other columns are not looked at; no rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -130,7 +130,7 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYT
     # a uniform number of each id, and the bound below which there are somewhat more than ``rows`` ids of a language:
     # only those are ranked
     place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(9)), 11) / F.lit(float(1 << 53))
-    bounds = learn.groupBy(F.col("lang").alias("known")).agg((F.lit(1.5 * rows + 30) / F.approx_count_distinct("doc_id")).alias("bound"))
+    bounds = keep(learn.groupBy(F.col("lang").alias("known")).agg((F.lit(1.5 * rows + 30) / F.approx_count_distinct("doc_id")).alias("bound")), "bounds")
     low = learn.select("doc_id", F.col("lang").alias("known"), place.alias("place")).join(bounds, "known").where(F.col("place") < F.col("bound")).groupBy("known", F.col("doc_id").alias("id")).agg(F.first("place").alias("place"))
     ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("known").orderBy("place", "id")))
     some = keep(ranked.where(F.col("rank") <= rows).drop("rank"), "sample")
