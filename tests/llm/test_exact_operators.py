@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -312,7 +313,7 @@ def test_personal_data_matches_the_plain_patterns(spark):
         r = got[i]
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(counts[k] for k in PLAIN), (i, t)
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest(), (i, t)
-        assert [x for x in r.spans.split(",") if x and not x.startswith("term")] == [f"{k}:{a}:{b}" for k, a, b in want]
+        assert [x for x in r.spans.split(",") if x and not x.startswith(("term", "secret"))] == [f"{k}:{a}:{b}" for k, a, b in want]
 
 
 def test_terms_that_give_an_entity_away_are_spans_too(spark):
@@ -326,3 +327,85 @@ def test_terms_that_give_an_entity_away_are_spans_too(spark):
     clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
     assert "zor" not in clean[0].lower() and "[EMAIL]" in clean[0] and clean[50] == text[50]
     assert pii.report(table(spark, [])).count() == 0
+
+
+def hexes(i):
+    return hashlib.sha1(str(i).encode()).hexdigest()
+
+
+def planted():
+    rows = [(i, f"note {i} about thing, access token = \"{hexes(i)}\" word{i % 9} end", "s") for i in range(12)]
+    rows += [(20 + i, f"Dr Quillfeather {'wrote' if i % 2 else 'rang'} from quill{i}@clinic.example.org on day{i} about thing", "s") for i in range(6)]
+    rows += [(30 + i, f"plain note {i} about thing and day{i}, nothing else", "s") for i in range(40)]
+    rows += [(90, "The far report names Quillfeather, though no address. quillfeather! Unquillfeathered.", "s"), (91, None, "s"), (91, None, "s"), (None, "null id, Quillfeather", "s"), (None, "null id, Quillfeather", "s")]
+    rows += [(92, "é" * 200 + " İİ Quillfeather " + "x1 " * 2000 + "QUILLFEATHER", "s")]
+    return rows
+
+
+def counted(rows):
+    """Classes of kind 0 (group and kind) and kind 4, and terms within reach, counted by hand."""
+    near, places, of, holds = {}, {}, {}, {}
+    for at, (_, t, _) in enumerate(rows):
+        t = t or ""
+        for w in {x.lower() for x in re.findall(r"[^\W_]+", t)}:
+            holds.setdefault(w, set()).add(at)
+        for kind, pattern in ((0, r"[a-z0-9]+@([a-z0-9.]+)"), (4, r"\b[a-z0-9]{20,}\b")):
+            for m in re.finditer(pattern, t):
+                if kind == 4 and len(re.findall("[0-9]+", m[0])) < 5:
+                    continue
+                left, right = t[: m.start()], t[m.end() :]
+                around = re.findall(r"[^\W_]+", left[-48:]) + re.findall(r"[^\W_]+", right[:48])
+                if len(left) > 48 and left[-49:-47].isalnum():
+                    around = around[1:]
+                if len(right) > 48 and right[47:49].isalnum():
+                    around = around[:-1]
+                for e in [f"{kind}:kind:", f"{kind}:own:{m[0]}"] + ([f"0:group:{m[1]}"] if kind == 0 else []):
+                    of.setdefault(e, set()).add(at)
+                    for w in around:
+                        near.setdefault((e, w.lower()), set()).add(at)
+                        places.setdefault((e, w.lower()), set()).add((left[-48:], right[:48]))
+    out = {}
+    for (e, w), docs in near.items():
+        p, q = len(of[e]) / len(rows), len(docs) / len(holds[w])
+        if len(places[e, w]) >= 3 and math.log(q / p) >= 0.9 * -math.log(p):
+            out[e, w] = (len(rows), len(of[e]), len(holds[w]), len(docs))
+    return out
+
+
+def test_what_discloses_is_counted_as_by_hand(spark):
+    rows = [r for r in planted() if r[0] != 92]
+    docs = table(spark, rows)
+    ents = pii.entities(pii.found_in(docs).cache())
+    got = {(r.entity, r.term): (r.total, r.with_entity, r.with_term, r.both) for r in pii.disclosing(docs, ents.cache(), pii.surroundings(ents)).collect()}
+    assert got == counted(rows)
+    assert ("4:kind:", "token") in got and ("0:group:clinic.example.org", "dr") in got and ("4:kind:", "about") not in got
+
+
+def test_terms_are_spans_wherever_they_stand(spark):
+    rows = planted()
+    got = [(r.doc_id, r.spans) for r in pii.report(table(spark, rows)).collect()]
+    assert len(got) == len(rows)
+    # with the far mentions the name gives away less than the others, but still enough at a lower threshold
+    low = [(r.doc_id, r.spans) for r in pii.report(table(spark, rows), disclosure=0.5).collect()]
+    text = {d: t or "" for d, t, _ in rows}
+    words = lambda d, spans: sorted((k, text[d][int(a) : int(b)]) for k, a, b in (x.split(":") for x in spans.split(",") if x))
+    for d, spans in got:
+        if d is not None and d < 12:
+            assert {("secret", hexes(d)), ("term", "token")} <= set(words(d, spans))
+    assert words(90, dict(low)[90]) == [("term", "Quillfeather"), ("term", "quillfeather")]
+    assert words(92, dict(low)[92]) == [("term", "QUILLFEATHER"), ("term", "Quillfeather")]
+    assert [s for d, s in low if d is None] == ["term:9:21"] * 2 and dict(low)[91] == "" and all(dict(low)[30 + i] == "" for i in range(40))
+
+
+def test_terms_appear_on_the_drivers_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    spans = pii.report(docs).select("spans").collect()
+    kinds = Counter(x.split(":")[0] for r in spans for x in r.spans.split(",") if x)
+    assert kinds["secret"] >= 10 and kinds["term"] >= 10
+
+
+def test_running_ends_over_many_runs(spark):
+    sizes = [[], [3], [1, 2] * 100, list(range(5000))]
+    rows = pii._with_ends(spark.createDataFrame([(i, x) for i, x in enumerate(sizes)], "i int, sizes array<bigint>")).collect()
+    for r in rows:
+        assert r.ends == [sum(sizes[r.i][: k + 1]) for k in range(len(sizes[r.i]))]

@@ -1,14 +1,19 @@
 """Personal data and what reveals it, with DataFrame functions only.
 
 *Entities* are e-mail addresses, IP addresses, card numbers and phone numbers, found by fixed patterns in whole
-texts.  *Terms* are the words near them.  Corpus co-occurrence tells how strongly a term reveals an entity: with
-p(e) the share of documents that hold the entity and p(e|t) the share among documents with the term, the pointwise
-mutual information log p(e|t)/p(e) is compared with the entity's own information -log p(e).  A term that gives away
-at least ``disclosure`` of it, seen with the entity in at least ``support`` different surroundings (so that copies
-count once), is sanitised beside that entity as the entity itself is.
-
-Counts are over all documents.  Patterns are possessive and start only where a run of their characters starts, so
-the time for a text is proportional to its length.
+texts, and secrets: long runs of letters and digits that change between both too often to be words or numbers.
+An entity belongs to classes: its kind, its group (an address's domain, a number's first digits) and its own text; a
+single string is in few texts, but what reveals its kind or group can be estimated.
+
+*Terms* are words.  Corpus co-occurrence tells how strongly a term reveals a class: with p(e) the share of documents
+that hold the class and p(e|t) the share of those with the term that have the class within ``REACH`` of it, the
+pointwise mutual information log p(e|t)/p(e) is compared with the class's own information -log p(e).  A term that
+gives away at least ``disclosure`` of it, seen near the class in at least ``support`` different surroundings (so that
+copies count once), is sanitised wherever it stands, in documents without the entity too, for there it discloses.
+
+Only words within ``REACH`` code points of an entity are candidates, since all words of a text with all its entities
+would be a number of pairs that grows with the square of the text.  Counts are over all documents.  Patterns are
+possessive and start only where a run of their characters starts, so the time for a text is proportional to its length.
 """
 
 from __future__ import annotations
@@ -19,14 +24,17 @@ from pyspark.sql import functions as F
 from trackloom.llm.store import keep
 
 #: Fixed patterns.  They find what the plain forms find: a match can't begin inside a run unless one ended there.
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    # five changes from letters to digits at least, and 20 characters
+    "secret": r"(?<![A-Za-z0-9])(?=(?:[A-Za-z]*+[0-9]++){5})[A-Za-z0-9]{20,}+",
 }
-NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+", "secret": ""}
 TERM = r"[\p{L}\p{N}]++"
 #: Code points on each side of an entity in which its terms lie, and when a term is sanitised.
 REACH, DISCLOSURE, SUPPORT = 48, 0.9, 3
@@ -40,7 +48,7 @@ def _valid(kind: Column, hit: Column) -> Column:
     part = lambda p: F.regexp_replace(p, "^0+", "")
     small = F.forall(F.split(hit, r"\."), lambda p: (F.length(part(p)) <= 3) & (F.coalesce(part(p).try_cast("int"), F.lit(0)) <= 255))
     luhn = F.when((n >= 13) & (n <= 19), F.expr("luhn_check(regexp_replace(hit, '[^0-9]', ''))")).otherwise(False)
-    return F.when(kind == 0, True).when(kind == 1, small).when(kind == 2, luhn).otherwise((n >= 9) & (n <= 15))
+    return F.when(kind == 0, True).when(kind == 1, small).when(kind == 2, luhn).when(kind == 3, (n >= 9) & (n <= 15)).otherwise(n < F.length(hit))
 
 
 def _hits(text: Column, kind: str) -> Column:
@@ -61,18 +69,22 @@ def _hits(text: Column, kind: str) -> Column:
     return F.when(may, F.transform(sides, one)).otherwise(none)
 
 
+def _text(docs: DataFrame) -> Column:
+    return F.coalesce(docs["text"].cast("string"), F.lit(""))
+
+
 def found_in(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """(row, doc_id, email, ip, card, phone): the raw matches of every row of ``docs``; a null text has none.  Rows
-    are numbered unless the column ``row`` has their numbers; write the result before it is used twice."""
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    """(row, doc_id, mark, email, ip, ...): the raw matches of every row of ``docs``; a null text has none, and mark
+    tells texts apart.  Rows are numbered unless the column ``row`` has their numbers; write the result before it is
+    used twice."""
     number = docs[row] if row else F.monotonically_increasing_id()
-    light = docs.select(number.alias("row"), docs["doc_id"].alias("doc_id"), text.alias("text"))
-    return light.select("row", "doc_id", *[_hits(F.col("text"), k).alias(k) for k in KINDS])
+    light = docs.select(number.alias("row"), docs["doc_id"].alias("doc_id"), _text(docs).alias("text"))
+    return light.select("row", "doc_id", F.xxhash64("text").alias("mark"), *[_hits(F.col("text"), k).alias(k) for k in KINDS])
 
 
 def entities(found: DataFrame) -> DataFrame:
     """(row, kind, start, end, hit, left, right, ...): the valid matches, with code-point offsets."""
-    some = found.where(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0)
+    some = found.where(" + ".join(f"size({k})" for k in KINDS) + " > 0")
     rows = some.select("row", F.posexplode(F.array(*KINDS)).alias("kind", "hits")).select("row", "kind", F.posexplode("hits").alias("i", "h")).select("row", "kind", "i", "h.*")
     far = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap").cast("long") + F.length("hit")).over(far)
@@ -91,53 +103,120 @@ def _words_at(window: Column, at: Column, cut_first: Column, cut_last: Column) -
     return F.filter(made, whole)
 
 
+def _classes() -> Column:
+    """Names of the classes of an entity (kind, hit): kind, group, and its own text."""
+    kind, hit, digits = F.col("kind"), F.lower("hit"), F.regexp_replace("hit", "[^0-9]", "")
+    group = F.when(kind == 0, F.regexp_extract("hit", "@(.*)", 1)).when(kind == 1, F.substring_index("hit", ".", 2)).when(kind == 2, F.substring(digits, 1, 6)).when(kind == 3, F.substring(digits, 1, 4))
+    own = F.when((kind == 2) | (kind == 3), digits).otherwise(hit)
+    name = lambda level, x: F.concat_ws(":", kind.cast("string"), F.lit(level), x)
+    return F.array_compact(F.array(name("kind", F.lit("")), F.when(group.isNotNull(), name("group", F.lower(group))), name("own", own)))
+
+
 def surroundings(ents: DataFrame) -> DataFrame:
-    """(row, entity, place, term, start, end): the words near each entity; place tells different texts apart."""
+    """(row, entity, place, term): the words near each entity, for each class of it; place tells different texts
+    apart."""
     left = _words_at(F.col("left"), F.col("start") - F.length("left"), F.col("cut_left"), F.lit(False))
     right = _words_at(F.col("right"), F.col("end"), F.lit(False), F.col("cut_right"))
-    entity = F.concat_ws(":", "kind", F.when(F.col("kind") == 0, F.lower("hit")).otherwise(F.regexp_replace("hit", "[^0-9.]", "")))
-    return ents.select("row", entity.alias("entity"), F.xxhash64("left", "right").alias("place"), F.explode(F.concat(left, right)).alias("x")).select("row", "entity", "place", "x.term", "x.start", "x.end")
+    each = ents.select("row", _classes().alias("entities"), F.xxhash64("left", "right").alias("place"), F.explode(F.concat(left, right)).alias("x"))
+    return each.select("row", "place", F.explode("entities").alias("entity"), F.col("x.term").alias("term")).select("row", "entity", "place", "term")
 
 
-def _slot(c: str) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+def _slot(*c: str) -> Column:
+    return F.pmod(F.xxhash64(*c), F.lit(SLOTS)).cast("int")
 
 
-def disclosing(docs: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) pairs in which the term gives the entity away."""
+def _holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, mark, term): which of the ``terms`` each row of ``docs`` holds, each once."""
+    text = _text(docs)
+    words = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("mark"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1)))).alias("term"))
+    slots = terms.select(_slot("term").alias("slot")).distinct()
+    return words.withColumn("slot", _slot("term")).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+
+
+def disclosing(docs: DataFrame, ents: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(entity, term, total, with_entity, with_term, both) of the pairs in which the term gives the class away."""
     total = max(1, docs.count())
     share = F.col("with_entity") / F.lit(total)
-    with_entity = near.groupBy("entity").agg(F.count_distinct("row").alias("with_entity"))
+    with_entity = ents.select("row", F.explode(_classes()).alias("entity")).groupBy("entity").agg(F.count_distinct("row").alias("with_entity"))
     near_term = near.groupBy("term").agg(F.count_distinct("row").alias("near_rows"))
-    joint = near.groupBy("entity", "term", "place").agg(F.count_distinct("row").alias("rows")).groupBy("entity", "term").agg(F.count("*").alias("places"), F.sum("rows").alias("both")).where(F.col("places") >= support)
+    joint = near.groupBy("entity", "term", "place").agg(F.count_distinct("row").alias("rows")).groupBy("entity", "term").agg(F.count("*").alias("places")).where(F.col("places") >= support)
+    both = near.join(joint, ["entity", "term"]).groupBy("entity", "term").agg(F.count_distinct("row").alias("both"))
     # a term is in no fewer rows than it is in near entities: most common words fail by that count already
     could = F.col("both") >= F.lit(0.999999) * F.col("near_rows") * F.pow(share, F.lit(1 - disclosure))
-    joint = keep(joint.join(near_term, "term").join(with_entity, "entity").where(could).drop("near_rows"), "joint")
-    words = docs.select(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(docs["text"].cast("string"), F.lit(""))), F.lit(f"({TERM})"), F.lit(1))).alias("words")).select(F.explode("words").alias("term"))
-    slots = joint.select(_slot("term").alias("slot")).distinct()
-    with_term = words.withColumn("slot", _slot("term")).join(F.broadcast(slots), "slot", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
-    p = joint.join(with_term, "term")
-    told = F.log(F.least(F.col("both"), F.col("with_term")) / F.col("with_term") / share)
+    joint = keep(both.join(near_term, "term").join(with_entity, "entity").where(could).drop("near_rows"), "joint")
+    terms = joint.select("term").distinct()
+    with_term = _holding(docs, terms).groupBy("term").agg(F.count("*").alias("with_term"))
+    told = F.log(F.col("both") / F.col("with_term") / share)
     own = -F.log(share)
-    return p.where((own > 0) & (told >= F.lit(disclosure) * own)).select("entity", "term")
+    return joint.join(with_term, "term").where((own > 0) & (told >= F.lit(disclosure) * own)).select("entity", "term", F.lit(total).alias("total"), "with_entity", "with_term", "both")
+
+
+def _running(sizes: Column) -> Column:
+    """Running sums of a short array of whole numbers."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("ends"))
+    return F.aggregate(sizes, zero, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["ends"], F.array(s["at"] + x)).alias("ends")), lambda s: s["ends"])
+
+
+def _with_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns that are evaluated once a row, however often they are used: a generator's output isn't
+    put into the expressions behind it."""
+    for name, column in columns.items():
+        df = df.withColumn(name, F.explode(F.array(column)))
+    return df
+
+
+def _with_ends(df: DataFrame, run: int = 64) -> DataFrame:
+    """``df`` with ``ends``, the running sums of its array ``sizes``, made in runs so that long arrays are seldom
+    copied."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size("sizes"), F.lit(1)) - 1) / run).cast("int")), lambda c: _running(F.slice("sizes", c * run + 1, run)))
+    df = _with_once(df, runs=runs)
+    df = _with_once(df, firsts=_running(F.concat(F.array(F.lit(0).cast("bigint")), F.transform("runs", lambda r: F.coalesce(F.try_element_at(r, F.lit(-1)), F.lit(0).cast("bigint"))))))
+    return _with_once(df, ends=F.flatten(F.zip_with("runs", F.slice("firsts", 1, F.size("runs")), lambda r, at: F.transform(r, lambda x: x + at)))).drop("runs", "firsts")
+
+
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, mark, start, end): where ``terms`` (term) stand in the texts of ``docs``; rows equal in doc_id and
+    text give their places once."""
+    held = _holding(docs, terms).join(terms, "term", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(F.collect_set("term").alias("terms"))
+    held = keep(held, "holders")
+    slots = held.select(_slot("d", "m").alias("slot")).distinct()
+    texts = docs.select(docs["doc_id"].alias("doc_id"), _text(docs).alias("text")).withColumn("mark", F.xxhash64("text")).withColumn("slot", _slot("doc_id", "mark")).join(F.broadcast(slots), "slot", "left_semi")
+    texts = texts.join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).groupBy("doc_id", "mark").agg(F.any_value("text").alias("text"), F.any_value("terms").alias("terms"))
+    parts = _with_once(texts, gaps=F.split("text", TERM, -1), words=F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1))).drop("text")
+    parts = _with_once(parts, sizes=F.zip_with(F.slice("gaps", 1, F.size("words")), "words", lambda g, w: (F.length(g) + F.length(w)).cast("bigint"))).drop("gaps")
+    ended = _with_ends(parts)
+    made = F.zip_with("words", "ends", lambda w, e: F.struct(F.array_contains("terms", F.lower(w)).alias("is"), (e - F.length(w)).alias("start"), e.alias("end")))
+    return ended.select("doc_id", "mark", F.explode(F.filter(made, lambda x: x["is"])).alias("x")).select("doc_id", "mark", "x.start", "x.end")
 
 
 def spans_of(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, row: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows (row, doc_id, ...) of ``docs``, and all spans (row, kind, start, end); kind 4 is a term."""
+    """The rows (row, doc_id, ...) of ``docs``, and all spans (row, kind, start, end); the last kind is a term.  A
+    secret or term that overlaps personal data is left out."""
     found = keep(found_in(docs, row), "matches")
     ents = keep(entities(found), "entities")
     near = keep(surroundings(ents), "surroundings")
-    told = near.join(disclosing(docs, near, disclosure, support), ["entity", "term"]).select("row", F.lit(len(KINDS)).alias("kind"), "start", "end").distinct()
-    base = ents.select("row", F.col("kind").cast("int").alias("kind"), "start", "end")
-    clear = told.join(base.select("row", F.col("start").alias("s"), F.col("end").alias("e")), "row").groupBy("row", "kind", "start", "end").agg(F.max((F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))).alias("within")).where("not within").drop("within")
-    return found, base.unionByName(clear)
+    terms = keep(disclosing(docs, ents, near, disclosure, support).select("term").distinct(), "terms")
+    every = ents.select("row", F.col("kind").cast("int").alias("kind"), "start", "end")
+    if not terms.isEmpty():
+        at = occurrences(docs, terms).withColumnsRenamed({"doc_id": "d", "mark": "m"})
+        rows = found.select("row", "doc_id", "mark").join(at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
+        every = every.unionByName(rows.select("row", F.lit(len(KINDS)).alias("kind"), "start", "end"))
+    # a kind gives way to those listed before it
+    base = lambda of: F.when(F.col("kind") < len(BASE), F.col(of))
+    entity = lambda of: F.when(F.col("kind") < len(KINDS), F.col(of))
+    by = Window.partitionBy("row").orderBy("start")
+    back, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
+    over = lambda x: (F.coalesce(F.max(x("end")).over(back), F.lit(-1)) > F.col("start")) | (F.coalesce(F.min(x("start")).over(ahead), F.col("end")) < F.col("end"))
+    clear = every.withColumn("_base", over(base)).withColumn("_entity", over(entity))
+    return found, clear.where((F.col("kind") < len(BASE)) | (F.col("kind") < len(KINDS)) & ~F.col("_base") | ~F.col("_entity")).drop("_base", "_entity")
 
 
 def report(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of ``docs``.
 
-    spans names all of them as kind:start:end, entities first, by kind and start, then terms; base_sha256 is over
-    the entities alone.  A null text is empty; repeated rows give a row each.
+    spans names all of them as kind:start:end: personal data by kind and start, then secrets, then terms; base_sha256
+    is over personal data alone.  A null text is empty; repeated rows give a row each.  Other columns are not looked
+    at; no rows give no rows.
     """
     found, spans = spans_of(docs, disclosure, support)
     each = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("spans"))
@@ -147,7 +226,7 @@ def report(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPO
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     of_kind = lambda i: F.filter("spans", lambda x: x["kind"] == i)
     return rows.withColumn("spans", every).select(
-        "doc_id", *[F.size(of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(text(F.filter("spans", lambda x: x["kind"] < len(KINDS))), 256).alias("base_sha256"), text(F.col("spans")).alias("spans")
+        "doc_id", *[F.size(of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(text(F.filter("spans", lambda x: x["kind"] < len(BASE))), 256).alias("base_sha256"), text(F.col("spans")).alias("spans")
     )
 
 
