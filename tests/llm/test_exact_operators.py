@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trackloom.llm import components, decontaminate, mixing, near_dup, pii, sharding
@@ -217,6 +218,29 @@ def test_mix_meets_its_targets(spark):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_index_permutations_are_permutations(spark):
+    sizes = [1, 2, 3, 5, 16, 17, 255, 256, 257, 1000, 65_536]
+    pairs = spark.createDataFrame([(n,) for n in sizes], "n long").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("seed", F.explode(F.array(F.lit(1), F.lit(2))))
+    made = pairs.withColumn("p", mixing._permuted(F.col("i"), F.col("n"), F.col("seed"))).groupBy("n", "seed").agg(F.count_distinct("p").alias("d"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.sum((F.col("p") == F.col("i")).cast("int")).alias("fixed")).collect()
+    assert len(made) == 2 * len(sizes)
+    assert all((r.d, r.lo, r.hi) == (r.n, 0, r.n - 1) for r in made)
+    assert all(r.fixed < 10 for r in made if r.n > 200)
+
+
+@pytest.mark.parametrize("slots", [40_000, 65_536])
+def test_shard_counts_spread_as_a_multinomial_draw(spark, slots):
+    shard, share = 512, 0.3
+    dealt = spark.range(int(slots * share)).withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(20)))).select("seed", F.floor(mixing._permuted(F.col("id"), F.lit(slots), F.col("seed")) / shard).alias("shard"))
+    counts = defaultdict(int, {(r.seed, r.shard): r["count"] for r in dealt.groupBy("seed", "shard").count().collect()})
+    whole = [counts[s, k] for s in range(1, 21) for k in range(slots // shard)]
+    want = shard * share * (1 - share)
+    assert abs(np.mean(whole) - shard * share) < 1
+    assert 0.8 * want < np.var(whole) < 1.2 * want
+    # the first and second half of a shard's neighbours go together neither
+    pairs = np.array(whole).reshape(20, -1)
+    assert abs(np.corrcoef(pairs[:, :-1].ravel(), pairs[:, 1:].ravel())[0, 1]) < 0.15
+
+
 def test_blocks_of_the_mix_hold_whole_words(spark):
     docs = table(spark, COPIES)
     mix = mixing.Mix(docs, block=16, shard_slots=8)

@@ -3,8 +3,8 @@
 Each source's documents, in a pseudorandom order, form one stream of words that is packed into blocks of a fixed
 length.  The mix is a row of slots of one block each, dealt over output shards.  How many slots of a shard each
 source gets is a multinomial draw, conditioned on the sources' totals: all slots of all sources are laid out once
-and sent to shards by a pseudorandom permutation of their numbers, so every shard's counts follow the weights by
-chance and the totals meet the targets exactly.  The slots of a source, numbered through the shards, are mapped to
+and sent to shards by a keyed permutation of their numbers, so every shard's counts follow the weights by chance, with
+the multinomial's variance, and the totals meet the targets exactly.  The slots of a source, numbered through the shards, are mapped to
 its blocks by a permutation of the source's own, and blocks are joined by (source, block).
 
 Neither a source nor a shard is ever gathered: streams are numbered within hashed buckets of bounded expected size
@@ -22,6 +22,8 @@ from trackloom.llm.store import keep, summed_before
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK, SHARD_SLOTS, BUCKET_ROWS, SEED = 64, 4096, 4096, 11
+#: Of the permutations' networks.
+ROUNDS = 6
 
 
 def n_words(text: str | Column) -> Column:
@@ -52,19 +54,31 @@ def shares(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def _permuted(i: Column, n: Column, *seed: Column | int) -> Column:
-    """A pseudorandom permutation of 0 .. n-1: a stride by a prime larger than n, a turn, a riffle of both halves, and
-    a second stride and turn.  Products are decimals, so n may be any long."""
+    """A keyed pseudorandom permutation of 0 .. n-1, for n below 2^53.
 
-    def stride(x: Column, prime: int) -> Column:
-        return ((x % n).cast("decimal(19,0)") * (F.lit(prime) % n).cast("decimal(19,0)") % n.cast("decimal(19,0)")).cast("long")
-
-    def turn(k: int) -> Column:
-        return F.pmod(F.xxhash64(*[F.lit(x) if isinstance(x, int) else x for x in seed], F.lit(k)), n)
-
-    first = (stride(i, 2_305_843_009_213_693_951) + turn(1)) % n
-    half = F.floor(n / 2)
-    riffled = F.when(first < half, 2 * first + 1).when(first < 2 * half, 2 * (first - half)).otherwise(first)
-    return (stride(riffled, 1_000_000_000_000_000_003) + turn(2)) % n
+    Numbers are pairs of a left part below a, the root of n, and a right part below b = n / a, rounded up.  Rounds of a
+    Feistel network add to each part in turn a hash of seed, round and the other part.  That permutes 0 .. a b - 1; what
+    falls on n or above (less than one in b) is permuted again until it is below.  A walk of the sixteen steps given to
+    it always ends for n up to 256, as fewer than sixteen numbers lie above; beyond, a longer one has a chance below
+    2^-64.
+    """
+    key = [F.lit(x) if isinstance(x, int) else x for x in seed]
+    a = F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("long")
+    b = F.ceil(n / a).cast("long")
+
+    def turned(pair: Column, k: Column) -> Column:
+        left, right = pair["l"], pair["r"]
+        even = k % 2 == 0
+        return F.struct(
+            F.when(even, (left + F.pmod(F.xxhash64(*key, k, right), a)) % a).otherwise(left).alias("l"),
+            F.when(even, right).otherwise((right + F.pmod(F.xxhash64(*key, k, left), b)) % b).alias("r"),
+        )
+
+    def once(x: Column) -> Column:
+        start = F.struct((x % a).alias("l"), ((x - x % a) / a).cast("long").alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turned, lambda pair: pair["r"] * a + pair["l"])
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(16)), once(i.cast("long")), lambda x, _: F.when(x < n, x).otherwise(once(x)))
 
 
 def _numbered(sized: DataFrame, weights: tuple[float, ...], share: float, most: float, block: int) -> DataFrame:
