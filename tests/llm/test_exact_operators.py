@@ -172,6 +172,38 @@ def test_longest_matches_have_their_places(spark):
     assert [tuple(m) for m in row.found.matches] == [("i", 5, 3, 20)]
 
 
+def longest(text, items):
+    """(item, its place, the text's place, words) of all matches of a window or more that can't be extended."""
+    w, out = plain_words(text), set()
+    for item, body in items:
+        b = plain_words(body)
+        for i in range(len(w)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(w) and j + n < len(b) and w[i + n] == b[j + n]:
+                    n += 1
+                if n >= min(10, len(b)) and not (i and j and w[i - 1] == b[j - 1]):
+                    out.add((item, j, i, n))
+    return out
+
+
+def test_longest_matches_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 64)
+    items = [("a", words(40)), ("b", "r r r r r r r r r r r r r s"), ("c", "one two three"), ("d", words(11, 5) + " x " + words(11, 5)), ("e", "é")]
+    docs = [(i, t, "s") for i, t in enumerate([words(60), "q " + "r " * 30 + "s " + words(15, 3), "One, two! three one two three", words(11, 5) + " x " + words(13, 5), "", None, "ok é"])]
+    got = decontaminate.matched(table(spark, docs), spark.createDataFrame(items, "item_id string, text string")).collect()
+    for r in got:
+        assert {tuple(m) for m in r.found.matches} == longest(r.text, items), r.doc_id
+
+
+def test_items_without_ids_are_sliced_by_size(spark):
+    items = spark.createDataFrame([(None, words(30, 50 * i)) for i in range(20)], "item_id string, text string")
+    assert len(decontaminate._sliced(items.select(F.lit("").alias("item_id"), "text"), 400)) > 5
+    docs = table(spark, [(i, words(12, 50 * i + 3), "s") for i in range(20)] + [(99, "clean text", "s")])
+    found = {r.doc_id: r.found for r in decontaminate.matched(docs, items, ["doc_id"], slice_bytes=400).collect()}
+    assert all(found[i].hits == [[0, 12]] and found[i]["items"] == [""] for i in range(20)) and found[99].hits == []
+
+
 def test_no_benchmark_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id string, text string")
     assert {r.contaminated for r in decontaminate.report(table(spark, ODD), none).collect()} == {False}

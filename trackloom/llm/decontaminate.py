@@ -1,17 +1,20 @@
 """Benchmark decontamination with suffix arrays of the training shards.
 
-A shard is what one task reads at a time.  Its suffixes, as sequences of word numbers, are sorted once; every test
-suffix (each window of a benchmark text) is then found in it by binary search, which gives all its verbatim
-occurrences.  Occurrences that follow each other on one diagonal join to the longest matches with their locations.
-Suffixes whose next words are not chained by word pairs of the benchmark can start no match and are not sorted.
-
-Benchmark texts are dealt into slices of at most ``slice_bytes`` (a longer single text is a slice of its own), and
-each slice in turn goes to all tasks.  Documents are never shuffled.
+A shard is a run of documents of one task.  All of its suffixes, as sequences of words, are sorted by doubling: ranks
+by the first word, then by the first two, four and eight give the order by a window's words.  Every test suffix (each
+window of a benchmark text) is found in each of these orders by binary search, and the shard is refined only while some
+test suffix is still in it.  Where a window is found, the array gives all its verbatim occurrences; those that can't be
+extended to the left are extended to the right as far as both texts agree, which gives the longest matches and their
+locations.  Nothing that knows the test set chooses which suffixes are sorted.
+
+Benchmark texts are dealt into slices of at most ``slice_bytes`` by their place in a running sum (a longer single text
+is a slice of its own), and each slice in turn goes to all tasks.  Documents are never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,122 +22,197 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackloom.llm.store import keep
-from trackloom.llm.text import ALNUM, blobs, doc_hashes, grouped
+from trackloom.llm.store import keep, summed_before
+from trackloom.llm.text import ALNUM, blobs, doc_hashes, grouped, spans
 
 WINDOW, SLICE_BYTES = 10, 16 << 20
-#: Suffixes that a shard sorts at once.
-SHARD_SUFFIXES = 1 << 19
+#: Words of a shard; a longer document is a shard of its own.
+SHARD_WORDS = 1 << 19
+
+#: Stands between texts; no word has this hash, but for one chance in 2^64.
+_GAP = np.zeros(1, np.uint64)
 
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_at", T.LongType()), T.StructField("doc_at", T.LongType()), T.StructField("n_words", T.LongType())])
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", T.ArrayType(MATCH))])
 
 
-class _Windows:
-    """The distinct windows of one length, sorted, with the places in the benchmark where each stands."""
-
-    def __init__(self, length: int, rows: np.ndarray, items: np.ndarray, places: np.ndarray, vocabulary: int) -> None:
-        self.length, self.base = length, np.uint64(vocabulary + 1)
-        names = _names(rows)
-        self.names, which = np.unique(names, return_inverse=True)
-        order = np.argsort(which, kind="stable")
-        self.first = np.searchsorted(which[order], np.arange(len(self.names) + 1))
-        self.items, self.places = items[order], places[order]
-        self.pairs = np.unique(rows[:, :-1].astype(np.uint64) * self.base + rows[:, 1:].astype(np.uint64)) if length > 1 else np.unique(rows[:, 0].astype(np.uint64))
-
-    def starts(self, ids: np.ndarray) -> np.ndarray:
-        """Positions in a text from which every word pair of a window's length is one of the benchmark's."""
-        if len(ids) < self.length:
-            return np.empty(0, np.int64)
-        wide = ids.astype(np.uint64)
-        pairs = wide[:-1] * self.base + wide[1:] if self.length > 1 else wide
-        near = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0)) if self.length > 1 else np.flatnonzero(ids > 0)
-        near = near[_within(self.pairs, pairs[near])]
-        run = self.length - 1 if self.length > 1 else 1
-        if len(near) < run:
-            return np.empty(0, np.int64)
-        return near[: len(near) - run + 1][near[run - 1 :] - near[: len(near) - run + 1] == run - 1]
-
-
-def _within(ordered: np.ndarray, x: np.ndarray) -> np.ndarray:
+class Found(NamedTuple):
+    """Suffixes in the order of their first ``length`` words: how many different ones there are, the rank of each
+    suffix of the shard, and that of each test suffix, -1 if the shard doesn't have it."""
+
+    length: int
+    n: int
+    ranks: np.ndarray
+    test: np.ndarray
+
+
+def _looked_up(ordered: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places in ``ordered`` by binary search, -1 where it doesn't have the value."""
     at = np.searchsorted(ordered, x)
     at[at == len(ordered)] = 0
-    return ordered[at] == x
+    return np.where(ordered[at] == x, at, -1).astype(np.int32) if len(ordered) else np.full(len(x), -1, np.int32)
+
+
+def _first(words: np.ndarray, test: np.ndarray) -> Found:
+    values, ranks = np.unique(words, return_inverse=True)
+    return Found(1, len(values), ranks, np.where(test == _GAP, np.int32(-1), _looked_up(values, test)))
+
+
+def _longer(a: Found, b: Found) -> Found:
+    """The order by the words of ``a`` and behind them those of ``b``."""
+    join = lambda x, y: x.astype(np.uint64) * np.uint64(b.n) + y.astype(np.uint64)
+    pair = lambda x, y: (x[: max(0, len(y) - a.length)], y[a.length :][: len(x)])
+    left, right = pair(a.ranks, b.ranks)
+    values, ranks = np.unique(join(left, right), return_inverse=True)
+    left, right = pair(a.test, b.test)
+    some = np.flatnonzero((left >= 0) & (right >= 0))
+    test = np.full(len(left), -1, np.int32)
+    test[some] = _looked_up(values, join(left[some], right[some]))
+    return Found(a.length + b.length, len(values), ranks, test)
 
 
-def _names(rows: np.ndarray) -> np.ndarray:
-    """Rows of word numbers as byte strings that sort as the rows do."""
-    return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}").ravel()
+class _Orders:
+    """Orders of a shard's suffixes, made as they are asked for."""
+
+    def __init__(self, words: np.ndarray, test: np.ndarray) -> None:
+        self.doubled = [_first(words, test)]
+
+    def by(self, length: int) -> Found | None:
+        """The order by ``length`` words, or nothing if the shard has no test suffix that long."""
+        out = None
+        for k in reversed(range(length.bit_length())):
+            if length >> k & 1:
+                while len(self.doubled) <= k:
+                    if not (self.doubled[-1].test >= 0).any():
+                        return None
+                    self.doubled.append(_longer(self.doubled[-1], self.doubled[-1]))
+                out = self.doubled[k] if out is None else _longer(out, self.doubled[k])
+                if not (out.test >= 0).any():
+                    return None
+        return out
+
+
+class Windows(NamedTuple):
+    """The distinct windows of one length: a place of each, and all places of each in a row, from ``first`` on."""
+
+    length: int
+    some: np.ndarray
+    first: np.ndarray
+    places: np.ndarray
 
 
 class Index:
-    """One slice of the benchmark: vocabulary, item names, and its windows by length."""
+    """One slice of the benchmark: its words with a gap before and behind each item, item names, and the windows."""
 
     def __init__(self, items: list[str], texts: list[bytes], window: int) -> None:
-        words = [w for run in grouped(texts) for w in doc_hashes(run, ALNUM)]
+        each = [w for run in grouped(texts) for w in doc_hashes(run, ALNUM)]
         self.items = items
-        self.vocabulary = np.unique(np.concatenate([*words, np.empty(0, np.uint64)]))
-        by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for i, w in enumerate(words):
-            if len(w):
-                ids = (np.searchsorted(self.vocabulary, w) + 1).astype(np.uint32)
-                n = min(window, len(w))
-                by_length.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(ids, n), i))
-        self.windows = [
-            _Windows(n, np.concatenate([r for r, _ in rows]), np.concatenate([np.full(len(r), i) for r, i in rows]), np.concatenate([np.arange(len(r)) for r, _ in rows]), len(self.vocabulary)) for n, rows in sorted(by_length.items())
-        ]
-
-    def numbers(self, words: np.ndarray) -> np.ndarray:
-        """Word numbers from 1; 0 for a word that the benchmark doesn't have."""
-        if not len(self.vocabulary):
-            return np.zeros(len(words), np.uint32)
-        at = np.searchsorted(self.vocabulary, words)
-        at[at == len(self.vocabulary)] = 0
-        return np.where(self.vocabulary[at] == words, at + 1, 0).astype(np.uint32)
+        self.words = np.concatenate([_GAP, *[x for w in each for x in (w, _GAP)]])
+        sizes = np.array([len(w) for w in each], np.int64)
+        starts = np.cumsum(sizes + 1) - sizes
+        self.owner = np.repeat(np.arange(len(each) + 1), np.concatenate([sizes + 1, [1]]))  # of a word, behind its item's gap
+        self.windows: list[Windows] = []
+        orders = _Orders(self.words, self.words)
+        lengths = np.minimum(sizes, window)
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == n)
+            places = np.concatenate([starts[i] + np.arange(sizes[i] - n + 1) for i in own])
+            order = orders.by(n).ranks[places]
+            places = places[np.argsort(order, kind="stable")]
+            _, first = np.unique(np.sort(order), return_index=True)
+            self.windows.append(Windows(n, places[first], np.append(first, len(places)), places))
+
+    def items_of(self, places: np.ndarray) -> np.ndarray:
+        return self.owner[places]
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges [low, high), and which range each is of."""
+    n = high - low
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which], which
 
 
 class _Shard:
-    """Suffixes of some texts, then their matches with one length of windows."""
+    """The words of some documents, and what the benchmark has in common with them."""
 
-    def __init__(self, windows: _Windows) -> None:
-        self.windows = windows
-        self.docs: list[np.ndarray] = []
-        self.at: list[np.ndarray] = []
+    def __init__(self, index: Index, matches: bool) -> None:
+        self.index, self.matches = index, matches
+        self.docs: list[int] = []
         self.rows: list[np.ndarray] = []
-        self.found: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, doc: int, ids: np.ndarray) -> None:
-        starts = self.windows.starts(ids)
-        if len(starts):
-            self.docs.append(np.full(len(starts), doc))
-            self.at.append(starts)
-            self.rows.append(ids[starts[:, None] + np.arange(self.windows.length)])
-            self.held += len(starts)
-            if self.held >= SHARD_SUFFIXES:
-                self.search()
-
-    def search(self) -> None:
-        if not self.held:
-            return
-        names, docs, at = _names(np.concatenate(self.rows)), np.concatenate(self.docs), np.concatenate(self.at)
-        suffixes = np.argsort(names, kind="stable")
-        ordered = names[suffixes]
-        low, high = (np.searchsorted(ordered, self.windows.names, side) for side in ("left", "right"))
-        seen = np.flatnonzero(high > low)
-        n = high[seen] - low[seen]
-        where = suffixes[np.repeat(low[seen] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(seen) else np.empty(0, np.int64)
-        self.found.append(np.stack([docs[where], at[where], np.repeat(seen, n)], axis=1))
-        self.docs, self.at, self.rows, self.held = [], [], [], 0
-
-    def all(self) -> np.ndarray:
-        """(text, position, window) of every occurrence, in order of text and position."""
-        self.search()
-        made = np.concatenate([*self.found, np.empty((0, 3), np.int64)])
-        return made[np.lexsort((made[:, 1], made[:, 0]))]
-
-
-def _union(spans: list[tuple[int, int]]) -> list[list[int]]:
+    def add(self, doc: int, words: np.ndarray, out: dict) -> None:
+        if self.held and self.held + len(words) > SHARD_WORDS:
+            self.search(out)
+        self.docs.append(doc)
+        self.rows.append(words)
+        self.held += len(words)
+
+    def search(self, out: dict) -> None:
+        """Puts (hits, items, matches) of each document with any into ``out``, and lets the documents go."""
+        if self.held:
+            words = np.concatenate([_GAP, *[x for w in self.rows for x in (w, _GAP)]])
+            sizes = np.array([len(w) for w in self.rows])
+            starts = np.cumsum(sizes + 1) - sizes
+            owner = np.repeat(np.arange(len(sizes) + 1), np.concatenate([sizes + 1, [1]]))
+            orders = _Orders(words, self.index.words)
+            edges = np.zeros(len(words) + 1, np.int64)
+            pairs, matches = [], []
+            for w in self.index.windows:
+                found = orders.by(w.length)
+                ranks = found.test[w.some] if found else np.empty(0, np.int32)
+                seen = np.flatnonzero(ranks >= 0)
+                if not len(seen):
+                    continue
+                array = np.argsort(found.ranks, kind="stable")
+                ordered = found.ranks[array]
+                at, which = _ranges(*(np.searchsorted(ordered, ranks[seen], side) for side in ("left", "right")))
+                at, window = array[at], seen[which]
+                np.add.at(edges, at, 1)
+                np.add.at(edges, at + w.length, -1)
+                # an item of a window once for each document that has the window
+                own = np.unique(owner[at] * len(w.some) + window)
+                places, which = _ranges(w.first[own % len(w.some)], w.first[own % len(w.some) + 1])
+                pairs.append(np.unique((own // len(w.some))[which] * (len(self.index.items) + 1) + self.index.items_of(w.places[places])))
+                if self.matches:
+                    matches += self._longest(words, w, at, window)
+            if pairs:
+                self._give(out, np.cumsum(edges)[:-1] > 0, starts, owner, np.unique(np.concatenate(pairs)), matches)
+        self.docs, self.rows, self.held = [], [], 0
+
+    def _longest(self, words: np.ndarray, w: Windows, at: np.ndarray, window: np.ndarray, block: int = 1 << 12) -> list[tuple[int, int, int]]:
+        """(place, place in the test words, length) of the matches that can be extended to no side."""
+        test, out = self.index.words, []
+        for k in range(0, len(at), block):
+            place, which = _ranges(w.first[window[k : k + block]], w.first[window[k : k + block] + 1])
+            i, j = at[k : k + block][which], w.places[place]
+            left = words[i - 1] != test[j - 1]
+            left |= words[i - 1] == 0
+            i, j = i[left], j[left]
+            n = np.full(len(i), w.length)
+            more = np.arange(len(i))
+            while len(more):
+                a, b = words[i[more] + n[more]], test[j[more] + n[more]]
+                more = more[(a == b) & (a != 0)]
+                n[more] += 1
+            out += zip(i.tolist(), j.tolist(), n.tolist(), strict=True)
+        return out
+
+    def _give(self, out: dict, hit: np.ndarray, starts: np.ndarray, owner: np.ndarray, pairs: np.ndarray, matches: list[tuple[int, int, int]]) -> None:
+        index, n = self.index, len(self.index.items) + 1
+        begin, end = spans(hit.view(np.uint8), np.arange(256) > 0)
+        for a, b, d in zip(begin.tolist(), end.tolist(), owner[begin].tolist(), strict=True):
+            out.setdefault(self.docs[d], ([], set(), []))[0].append([a - int(starts[d]), b - int(starts[d])])
+        for d, item in zip((pairs // n).tolist(), (pairs % n).tolist(), strict=True):
+            out[self.docs[d]][1].add(index.items[item])
+        first = np.searchsorted(index.owner, np.arange(len(index.items))) + 1
+        for i, j, length in matches:
+            d, item = int(owner[i]), int(index.owner[j])
+            out[self.docs[d]][2].append({"item_id": index.items[item], "item_at": j - int(first[item]), "doc_at": i - int(starts[d]), "n_words": length})
+
+
+def _union(spans: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:
@@ -144,53 +222,43 @@ def _union(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def _matches(index: Index, hits: list[tuple[_Windows, np.ndarray]]) -> tuple[list[list[int]], list[str], list[dict]]:
-    """Of one text: the union of hit words, the items, and the longest matches."""
-    spans: list[tuple[int, int]] = []
-    diagonals: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for windows, found in hits:
-        for _, at, w in found.tolist():
-            spans.append((at, at + windows.length))
-            for k in range(windows.first[w], windows.first[w + 1]):
-                item, place = int(windows.items[k]), int(windows.places[k])
-                diagonals.setdefault((item, at - place), []).append((at, at + windows.length))
-    matches = [{"item_id": index.items[i], "item_at": a - d, "doc_at": a, "n_words": b - a} for (i, d), each in sorted(diagonals.items()) for a, b in _union(each)]
-    return _union(spans), sorted({index.items[i] for i, _ in diagonals}), matches
-
-
-def _scan(batches: Iterator[pa.RecordBatch], index: Index, old: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], index: Index, old: bool, matches: bool) -> Iterator[pa.RecordBatch]:
     """Columns: text, what to pass on ..., and, if ``old``, what earlier slices found."""
     kind = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string())), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("item_at", pa.int64()), ("doc_at", pa.int64()), ("n_words", pa.int64())])))])
     for batch in batches:
-        shards, sizes = [_Shard(w) for w in index.windows], []
+        shard, sizes, found = _Shard(index, matches), [], {}
         for texts in grouped(blobs(batch.column(0))):
-            words = doc_hashes(texts, ALNUM)
-            ids = np.split(index.numbers(np.concatenate(words)), np.cumsum([len(w) for w in words])[:-1])
-            for one in ids:
-                for shard in shards:
-                    shard.add(len(sizes), one)
-                sizes.append(len(one))
-        hits: dict[int, list[tuple[_Windows, np.ndarray]]] = {}
-        for shard in shards:
-            found = shard.all()
-            for part in np.split(found, np.flatnonzero(np.diff(found[:, 0])) + 1) if len(found) else []:
-                hits.setdefault(int(part[0, 0]), []).append((shard.windows, part))
+            for words in doc_hashes(texts, ALNUM):
+                shard.add(len(sizes), words, found)
+                sizes.append(len(words))
+        shard.search(found)
         before = batch.column(batch.num_columns - 1).to_pylist() if old else [None] * len(sizes)
         out = []
         for i, (n, was) in enumerate(zip(sizes, before, strict=True)):
-            spans, items, matches = _matches(index, hits[i]) if i in hits else ([], [], [])
+            hits, items, longest = found.get(i, ([], set(), []))
             if was:
-                spans, items, matches = _union([(a, b) for a, b in [*spans, *was["hits"]]]), sorted({*items, *was["items"]}), [*was["matches"], *matches]
-            out.append({"n_words": n, "hits": spans, "items": items, "matches": matches})
+                hits, items, longest = [*hits, *was["hits"]], items | set(was["items"]), [*longest, *was["matches"]]
+            out.append({"n_words": n, "hits": _union(hits), "items": sorted(items), "matches": sorted(longest, key=lambda m: (m["doc_at"], m["item_id"], m["item_at"]))})
         columns = batch.columns[:-1] if old else batch.columns
         yield pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], names=[f"c{i}" for i in range(len(columns) + 1)])
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def _sliced(items: DataFrame, slice_bytes: int) -> list[DataFrame]:
+    """``items`` in parts of about ``slice_bytes``, by a running sum of their sizes, so that ids play no part."""
+    size = (F.octet_length("text") + F.octet_length("item_id") + 32).cast("long")
+    if (items.agg(F.sum(size)).first()[0] or 0) <= slice_bytes:
+        return [items]
+    sized = keep(items.withColumn("size", size).withColumn("nth", F.monotonically_increasing_id()), "benchmark")
+    dealt = keep(summed_before(sized, [], "nth", "size", "before").withColumn("slice", F.floor(F.col("before") / slice_bytes)), "slices")
+    return [dealt.where(F.col("slice") == r["slice"]).select(*items.columns) for r in dealt.select("slice").distinct().orderBy("slice").collect()]
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, window: int = WINDOW, slice_bytes: int = SLICE_BYTES, matches: bool = True) -> DataFrame:
     """``columns`` of every row of ``docs`` (all by default) and a struct ``found`` with
 
     n_words; hits, the disjoint [start, end) word ranges that benchmark windows cover; items, the sorted ids of the
-    items with such windows; matches, the longest verbatim matches (item_id, item_at, doc_at, n_words).
+    items with such windows; matches, the longest verbatim matches (item_id, item_at, doc_at, n_words), none unless
+    ``matches``.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lowered.  A window is ``window`` words of an item
     in a row, or the whole item if it is shorter.  Null and wordless texts have nothing; a null item_id is ''.
@@ -201,24 +269,23 @@ def matched(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = N
     while name in columns:
         name += "_"
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id") + 32)).first()[0] or 0
-    slices = max(1, -(-total // slice_bytes))
+    for_slices = _sliced(items, slice_bytes)
     kept = [docs[c] for c in columns]
     work = docs.select(F.col("text").cast("string").alias("c0"), *[c.alias(f"c{i + 1}") for i, c in enumerate(kept)])
     fields = work.schema.fields
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField(f"c{len(fields)}", FOUND)])
-    for k in range(slices):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).collect()
+    for k, part in enumerate(for_slices):
+        rows = part.collect()
         index = docs.sparkSession.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text.encode() for r in rows], window))
-        work = work.mapInArrow(lambda b, index=index, old=k > 0: _scan(b, index.value, old), schema)
-        if k + 1 < slices:
+        work = work.mapInArrow(lambda b, index=index, old=k > 0: _scan(b, index.value, old, matches), schema)
+        if k + 1 < len(for_slices):
             work = keep(work, "slice")
     return work.select(*[F.col(f"c{i + 1}").alias(c) for i, c in enumerate(columns)], F.col(f"c{len(fields)}").alias(name))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``."""
-    found = matched(docs, benchmark, ["doc_id"], window)
+    found = matched(docs, benchmark, ["doc_id"], window, matches=False)
     hit = F.aggregate("found.hits", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
     return found.select(
         "doc_id", F.col("found.n_words").alias("n_words"), hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("found.items"), ","), 256).alias("items_sha256"), (F.size("found.hits") > 0).alias("contaminated")
@@ -227,5 +294,5 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, with all their columns."""
-    found = matched(docs, benchmark, None, window)
+    found = matched(docs, benchmark, None, window, matches=False)
     return found.where(F.size(found[found.columns[-1]]["hits"]) == 0).select(*found.columns[:-1])
