@@ -68,4 +68,39 @@ QUERIES: dict[str, Query] = {
     "op10_near_dup": op10_near_dup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(coalesce(" + _ASCII + ", ''), '{}')"
+
+#: Windows of all lengths that items have, joined with those of documents.
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text", "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")} AS w FROM documents),
+b AS (SELECT coalesce(item_id, '') AS item, {_WORDS.format("text", "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS k
+       FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT item, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0))),
+dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
+       FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hits AS (SELECT r, n, i, item FROM dw JOIN bw USING (n, k)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, n, i FROM hits)) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+#: All pairs of documents with a shingle in common, and the smallest id reachable over links.
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text", "[^\\x20\\x09-\\x0D]+")} AS w FROM documents),
+s AS (SELECT DISTINCT r, doc_id, array_to_string(w[i:i + n - 1], ' ') AS k
+      FROM (SELECT r, doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT r, doc_id, w, least(5, len(w)) AS n FROM d WHERE len(w) > 0))),
+sizes AS (SELECT r, any_value(doc_id) AS id, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT x.r AS a, y.r AS b, count(*) AS n FROM s x JOIN s y ON x.k = y.k AND x.r < y.r GROUP BY x.r, y.r),
+links AS (SELECT p.id AS a, q.id AS b FROM common JOIN sizes p ON common.a = p.r JOIN sizes q ON common.b = q.r WHERE 100 * common.n >= 85 * (p.n + q.n - common.n)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS other FROM d UNION SELECT reach.id, ways.b FROM reach JOIN ways ON reach.other = ways.a),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d LEFT JOIN sizes USING (r) LEFT JOIN least ON least.id = d.doc_id
+"""
+
+#: SQL for the operators that it can express in full.
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL, "op10_near_dup": OP10_SQL}
