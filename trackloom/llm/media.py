@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackloom.llm.store import keep
+
 from trackloom.llm.text import blobs
 
 #: Fixed values of the format: kbit/s by (version 1 or 2, layer) and header index, sample rates of MPEG-1, samples a
@@ -268,5 +270,5 @@ def streams(media: DataFrame, column: str = "media") -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row for every row of ``docs``: the text stored as MPEG audio and read back."""
-    return read_texts(store_texts(docs))
+    """One row for every row of ``docs``: the text stored as MPEG audio in a table of streams, and read back from it."""
+    return read_texts(keep(store_texts(docs), "media"))

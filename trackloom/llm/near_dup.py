@@ -3,7 +3,7 @@
 1. *Sketch* (one scan): each text's five-word shingles become MinHash samples.  Groups of ``rows`` samples make the
    ``bands``; all samples together are folded into an odd sketch, a parity bitmap in which every (position, value)
    pair flips one bit.  The population count of the XOR of two sketches estimates how many samples differ, which is
-   precise at high similarity.
+   precise at high similarity.  Shingles, and with them word sequences, are known by hashes of 64 bits.
 2. *Copies*: texts with the same word sequence meet in an aggregation; one of them stands for all.
 3. *Candidates*: texts that share a band are compared by their sketches where they lie.  Only a spanning forest of
    the pairs that look similar is written, so a bucket of m texts gives fewer than m rows.  Its components hold
@@ -355,9 +355,10 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), wid
     clusters = components(keep(candidate_links(reps, most), "candidates"))
     found = components(keep(confirmed_links(docs, clusters, reps, width, threshold, most), "links"))
     classes = copies.join(found.withColumnRenamed("id", "rid"), "rid", "left").select("k1", "k2", F.coalesce("component", "rid").alias("component"))
-    placed = made.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    light = made.select("doc_id", "n_shingles", "k1", "k2")
+    placed = light.where("n_shingles > 0").join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    blank = light.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return placed.unionByName(blank).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def distinct_documents(docs: DataFrame, threshold: tuple[int, int] = (85, 100), bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -368,7 +369,10 @@ def distinct_documents(docs: DataFrame, threshold: tuple[int, int] = (85, 100),
     """
     kept = near_duplicates(docs, threshold, bands=bands, rows=rows).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
     columns = docs.columns
-    texts = docs.select(F.struct(*columns).alias("r"), docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(docs["text"]).alias("mark"), (F.length(F.trim(docs["text"])) > 0).alias("full"))
-    held = texts.where("own_id is not null").join(kept, F.col("own_id") == F.col("kept_id"), "left_semi").union(texts.where("own_id is null"))
-    first = F.row_number().over(Window.partitionBy("own_id", "mark").orderBy("own_id"))
-    return held.withColumn("nth", first).where("nth = 1 or not coalesce(full, false)").select("r.*")
+    texts = docs.select(F.struct(*columns).alias("r"), docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(docs["text"]).alias("mark"), F.coalesce(F.length(F.trim(docs["text"])) > 0, F.lit(False)).alias("full"))
+    own, lost = texts.where("own_id is not null"), texts.where("own_id is null")
+    repeats = own.where("full").groupBy("own_id", "mark").count().where("count > 1")
+    if not repeats.isEmpty():  # the first of each, with part of the work before the shuffle
+        own = own.where("full").dropDuplicates(["own_id", "mark"]).unionByName(own.where("not full"))
+    lost = lost.where("full").dropDuplicates(["mark"]).unionByName(lost.where("not full"))
+    return own.join(kept, F.col("own_id") == F.col("kept_id"), "left_semi").unionByName(lost).select("r.*")

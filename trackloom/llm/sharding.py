@@ -48,13 +48,15 @@ def shuffled(records: DataFrame, key: str, mark: str, size: str, shards: int = S
     ``mark`` is a long that tells rows with equal keys apart, ``size`` their bytes; rows equal in key and mark may
     change places.  No rows give no rows.
     """
-    nth = F.monotonically_increasing_id()
-    light = records.select(F.col(key).alias("key"), F.col(mark).alias("mark"), F.col(size).alias("size"), nth.alias("nth"))
+    light = records.select(F.col(key).alias("key"), F.col(mark).alias("mark"), F.col(size).alias("size"))
     rows, total = light.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = max(1, -(-rows // (shards * bucket_rows)), -(-total // (shards * bucket_bytes)))
     heavy = light.groupBy("key", "mark").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where((F.col("n") > bucket_rows) | (F.col("bytes") > bucket_bytes) & (F.col("n") > 1))
     heavy = keep(heavy.select(F.col("key").alias("heavy_key"), F.col("mark").alias("heavy_mark"), F.lit(1).alias("heavy")), "repeated")
     repeated = heavy.count()
+    numbered = records.select(F.struct(*records.columns).alias("r"), (F.monotonically_increasing_id() if repeated else F.lit(0).cast("long")).alias("nth"))
+    if repeated:  # written, so that a row has one number in both scans and in retried tasks
+        numbered = keep(numbered, "numbered")
 
     def dealt(df: DataFrame, key: Column, mark: Column) -> DataFrame:
         """The shard and bucket of rows with a number nth."""
@@ -64,7 +66,8 @@ def shuffled(records: DataFrame, key: str, mark: str, size: str, shards: int = S
             df = df.join(few, key.eqNullSafe(F.col("heavy_key")) & mark.eqNullSafe(F.col("heavy_mark")), "left").withColumn("salt", F.when(F.col("heavy") == 1, F.col("nth") + 1).otherwise(0)).drop("heavy", "heavy_key", "heavy_mark")
         return df.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), mark, key, F.col("salt")), F.lit(buckets)).cast("int"))
 
-    r = dealt(records.select(F.struct(*records.columns).alias("r"), nth.alias("nth")), F.col("r")[key], F.col("r")[mark])
+    r = dealt(numbered, F.col("r")[key], F.col("r")[mark])
+    light = numbered.select(F.col("r")[key].alias("key"), F.col("r")[mark].alias("mark"), "nth")
     order = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
     own = F.xxhash64(F.lit(seed), F.col("r")[key], F.col("r")[mark])
     grown = shard_of(F.col("r")[key], shards + 1, seed)

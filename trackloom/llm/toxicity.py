@@ -55,7 +55,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
+def fit(texts: list[bytes], labels: np.ndarray, words_kept: int = WORDS) -> list[np.ndarray]:
     """[bias], high and low halves of the words' hashes, weights.  Without both labels the bias alone tells the rarer from the commoner."""
     words, sentence, text, owner = _bags(texts)
     n, positive = len(texts), labels > 0
@@ -77,7 +77,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
     evidence = seen * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
     evidence[(seen < LEAST_DOCS) | (share <= base)] = 0
     least = np.log(max(2, np.count_nonzero(seen >= LEAST_DOCS))) + MARGIN
-    chosen = np.argsort(-evidence, kind="stable")[:WORDS]
+    chosen = np.argsort(-evidence, kind="stable")[:words_kept]
     chosen = np.sort(chosen[evidence[chosen] >= least])
     place = np.full(len(vocabulary), -1)
     place[chosen] = np.arange(len(chosen))
@@ -140,9 +140,12 @@ class Model:
         return min(1.0, max(0.0, -float(np.expm1(left)))), found
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model from at most ``rows`` labelled documents and ``most_bytes`` of text outside the held-out fold."""
-    bias, *words = in_one_task(labelled(docs, labels, "toxic", rows), fit, most_bytes)
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, words_kept: int = WORDS) -> Model:
+    """A model from at most ``rows`` labelled documents and ``most_bytes`` of text outside the held-out fold.
+
+    At most ``words_kept`` words get a weight, those with the most evidence.  Null labels are left out, several labels
+    of one id count as the largest; without both labels the model tells the commoner one."""
+    bias, *words = in_one_task(labelled(docs, labels, "toxic", rows), lambda texts, y: fit(texts, y, words_kept), most_bytes)
     return Model(bias[0], *words)
 
 
@@ -170,12 +173,15 @@ def scored(docs: DataFrame, model: Model, columns: list[str] | None = None, most
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_offending) of every row of ``docs``."""
+    """(doc_id, held_out, score, predicted, n_offending) of every row of ``docs``; see ``scored``."""
     out = scored(docs, train(docs, labels), ["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), F.col("toxicity.score").alias("score"), (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), F.size("toxicity.offending").alias("n_offending"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, with all their columns."""
+    """The rows of ``docs`` that score below 0.5, with all their columns, as often as they repeat.
+
+    Rows with a null or wordless text score 0 and stay, whatever their other columns hold; a null doc_id is never
+    learned from.  No rows give no rows; without labels no row is rejected."""
     out = scored(docs, train(docs, labels))
     return out.where(out[out.columns[-1]]["score"] < 0.5).select(*out.columns[:-1])
