@@ -136,6 +136,54 @@ def test_mat_frames(spark, tmp_path):
         assert r.variable == "video" and r.pixels == a[:, :, r.frame].ravel().tolist()
 
 
+@pytest.mark.parametrize(("shape", "axis"), [((30, 40, 95), 2), ((95, 30, 40), 0), ((1, 6, 6, 9), 2), ((9, 6, 6), 0), ((7, 7, 7), 0), ((30, 95, 40), 1)])
+def test_the_frame_axis(shape, axis):
+    a = np.arange(np.prod(shape), dtype=np.float32).reshape(shape)
+    name, frames = matlab.video([("small", np.zeros((2, 2, 3))), ("v", a), ("flat", np.zeros((500, 500)))])
+    assert name == "v" and (frames == np.moveaxis(a.squeeze(), axis, 0)).all()
+
+
+def test_pixels_of_frames(spark):
+    d = spark.createDataFrame([("/a/Thermal_14.mat", 3, 2, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])], "file string, frame int, w int, pixels array<float>")
+    assert sorted(tuple(r) for r in matlab.shots(d).collect()) == [(14, 3, x, y, float(1 + y * 2 + x)) for x in range(2) for y in range(3)]
+
+
+def test_headers_of_height_maps(spark, tmp_path):
+    head = "Wyko\n" + "Comment line\n" * 500 + "x size\t3\nY Size 1\nPixel_size\t7\t4\t0.5\nRAW_DATA\t3\n"
+    (tmp_path / "Heightmap_8.ASC").write_text(head + "0\t0\t1e6\n1\t0\tBad\n2\t0\t3e6\n9\t9\t9\n")
+    (tmp_path / "Heightmap_10.ASC").write_text("X Size 1\nY Size 1\nRAW_DATA\n")
+    got = {(r.track, r.ix): (r.x_mm, r.z_mm) for r in profiles.asc_heights(spark, str(tmp_path), (99.2, 100.0)).collect()}
+    assert got == {(8, 0): (100.0, 1.0), (8, 1): (99.5, None), (10, 0): (100.0, None)}
+    with pytest.raises(ValueError):
+        profiles.asc_header(b"X Size 3\nRAW_DATA\n")
+
+
+def tiff(a):
+    """A grey image without compression."""
+    h, w = a.shape
+    tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, 8), (259, 3, 1, 1), (262, 3, 1, 1), (273, 4, 1, 8), (277, 3, 1, 1), (278, 4, 1, h), (279, 4, 1, w * h)]
+    entries = b"".join(struct.pack("<HHI", t, k, n) + (struct.pack("<HH", v, 0) if k == 3 else struct.pack("<I", v)) for t, k, n, v in tags)
+    pixels = a.astype(np.uint8).tobytes() + b"\0" * (w * h % 2)
+    return b"II*\0" + struct.pack("<I", 8 + len(pixels)) + pixels + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0"
+
+
+def test_image_tiles(spark, tmp_path):
+    folder = tmp_path / "SEM_21" / "PlainImages"
+    folder.mkdir(parents=True)
+    images = {2: np.arange(12).reshape(3, 4), 10: np.arange(12).reshape(3, 4) * 20}
+    for n, a in images.items():
+        (folder / f"T_x_{n}.tif").write_bytes(tiff(a))
+    got = profiles.tiles(spark, str(folder)).collect()
+    assert len(got) == 24 and {(r.track, r.width) for r in got} == {(21, 4)}
+    assert all(r.value == images[r.tile][r.y, r.x] for r in got)
+    assert {(r.tile, r.place) for r in grid.placed(profiles.tiles(spark, str(folder)), ["track"], "tile").collect()} == {(2, 0), (10, 1)}
+
+
+def test_seams_without_a_fit(spark):
+    scan = spark.createDataFrame([(1, 0, 3, 0.5), (1, 0, 4, 0.5), (1, 1, 3, None)], "k int, tile int, overlap int, r double")
+    assert sorted(tuple(r) for r in grid.best_seam(scan, ["k"], 100).collect()) == [(1, 0, 3, 0.5), (1, 1, 5, -1.0)]
+
+
 def test_height_maps(spark, tmp_path):
     f = tmp_path / "h.asc"
     f.write_text("X Size 3\nY Size 2\nRAW_DATA\n" + "\n".join(f"0\t0\t{v}" for v in ("1000000", "Bad", "3000000", "4000000")))

@@ -5,10 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from trackloom.functions import correlation
 from trackloom.operators.order import step_size, windowed
 
 
@@ -88,8 +87,36 @@ def mosaic(tiles: DataFrame, keys: Sequence[str], tile: str, x: str, y: str, val
     return tiles.groupBy(*keys, F.col(y), at.alias(x)).agg(F.avg(value).alias(value))
 
 
+def placed(tiles: DataFrame, keys: Sequence[str], tile: str) -> DataFrame:
+    """``tiles`` with their number in a row from 0 as ``place``: the numbers of tiles are ordered, gaps don't count."""
+    each = tiles.groupBy(*keys, tile).agg(F.count(F.lit(1)).alias("_n"))
+    return tiles.join(each.select(*keys, tile, (F.row_number().over(Window.partitionBy(*keys).orderBy(tile)) - 1).alias("place")), [*keys, tile])
+
+
 def seam_scan(tiles: DataFrame, keys: Sequence[str], tile: str, x: str, y: str, value: str, width: int, overlaps: Sequence[int]) -> DataFrame:
-    """(keys, tile, overlap, r): how a tile's right strip correlates with the next one's left strip, per overlap."""
-    own = tiles.select(*keys, F.col(tile).alias("tile"), F.col(y).alias("_y"), F.col(x).alias("_x"), F.col(value).alias("_a")).withColumn("overlap", F.explode(F.array(*[F.lit(o) for o in overlaps]))).withColumn("_x", F.col("_x") - (width - F.col("overlap"))).where("_x >= 0")
-    after = tiles.select(*keys, (F.col(tile) - 1).alias("tile"), F.col(y).alias("_y"), F.col(x).alias("_x"), F.col(value).alias("_b"))
-    return own.join(after, [*keys, "tile", "_y", "_x"]).groupBy(*keys, "tile", "overlap").agg(correlation("_a", "_b").alias("r"))
+    """(keys, tile, overlap, r): how well a tile's right strip fits the next one's left strip, per overlap.
+
+    Each tile is standardised as a whole; r is the mean product over the strip."""
+    stats = tiles.groupBy(*keys, tile).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    flat = tiles.join(stats, [*keys, tile]).select(*keys, F.col(tile).alias("tile"), F.col(y).alias("_y"), F.col(x).alias("_x"), ((F.col(value) - F.col("_m")) / (F.col("_s") + 1e-9)).alias("_v"))
+    own = flat.withColumnRenamed("_v", "_a").withColumn("overlap", F.explode(F.array(*[F.lit(o) for o in overlaps]))).withColumn("_x", F.col("_x") - (width - F.col("overlap"))).where("_x >= 0")
+    after = flat.withColumn("tile", F.col("tile") - 1).withColumnRenamed("_v", "_b")
+    return own.join(after, [*keys, "tile", "_y", "_x"]).groupBy(*keys, "tile", "overlap").agg(F.avg(F.col("_a") * F.col("_b")).alias("r"))
+
+
+def best_seam(scan: DataFrame, keys: Sequence[str], width: int, share: float = 0.05) -> DataFrame:
+    """(keys, tile, overlap, r): the overlap that fits best, the smallest on a tie; where none is known, ``share`` of the
+    width with r -1."""
+    known = F.when(F.col("r") > -1, F.struct("r", (-F.col("overlap")).alias("o")))
+    best = scan.groupBy(*keys, "tile").agg(F.max(known).alias("_b"))
+    return best.select(*keys, "tile", F.coalesce(-F.col("_b.o"), F.lit(int(share * width))).alias("overlap"), F.coalesce("_b.r", F.lit(-1.0)).alias("r"))
+
+
+def stitched(tiles: DataFrame, seams: DataFrame, keys: Sequence[str], tile: str, x: str, y: str, value: str, width: int) -> DataFrame:
+    """(keys, y, x, value): tiles laid with the overlap of each seam (keys, tile, overlap), averaged and mirrored."""
+    steps = Window.partitionBy(*keys).orderBy("tile").rowsBetween(Window.unboundedPreceding, 0)
+    starts = seams.select(*keys, (F.col("tile") + 1).alias("_tile"), F.sum(F.lit(width) - F.col("overlap")).over(steps).alias("_start"))
+    last = starts.groupBy(*keys).agg((F.max("_start") + width - 1).alias("_last"))
+    at = tiles.withColumn("_tile", F.col(tile)).join(starts, [*keys, "_tile"], "left").join(last, list(keys), "left")
+    place = F.coalesce("_last", F.lit(width - 1)) - (F.col(x) + F.coalesce("_start", F.lit(0)))
+    return at.groupBy(*keys, F.col(y), place.cast("int").alias(x)).agg(F.avg(value).alias(value))

@@ -237,18 +237,42 @@ def spectral_features(spark: SparkSession, sf: str) -> DataFrame:
 )
 def mosaic_overlap_avg(spark: SparkSession, sf: str) -> DataFrame:
     """Frames as tiles that overlap by two columns, averaged and mirrored."""
-    t = _grid(spark, sf).select(F.floor(F.col("vec_id") / 4).alias("strip"), (F.col("vec_id") % 4).alias("tile"), (F.col("pos") % 8).alias("x"), F.floor(F.col("pos") / 8).alias("y"), "v")
-    return grid.mosaic(t, ["strip"], "tile", "x", "y", "v", 6, 26).select("strip", "y", "x", _r("v"))
+    return grid.mosaic(_tiles(spark, sf), ["strip"], "tile", "x", "y", "v", 6, 26).select("strip", "y", "x", _r("v"))
+
+
+_SEAM = """, t AS (SELECT vec_id // 4 AS strip, vec_id % 4 AS tile, pos % 8 AS x, pos // 8 AS y, v FROM grid), m AS (SELECT strip, tile, avg(v) AS m, stddev_pop(v) AS s FROM t GROUP BY 1, 2), z AS (SELECT strip, tile, x, y, (v - m) / (s + 1e-9::DOUBLE) AS v FROM t JOIN m USING (strip, tile)),
+    p AS (SELECT a.strip, a.tile, o AS overlap, avg(a.v * b.v) AS r FROM z a CROSS JOIN range(2, 7) AS r(o) JOIN z b ON b.strip = a.strip AND b.tile = a.tile + 1 AND b.y = a.y AND b.x = a.x - (8 - o) GROUP BY 1, 2, 3)"""
+_BEST = ", b AS (SELECT strip, tile, overlap, r, row_number() OVER (PARTITION BY strip, tile ORDER BY r DESC, overlap) AS place FROM p)"
+
+
+def _tiles(spark: SparkSession, sf: str) -> DataFrame:
+    return _grid(spark, sf).select(F.floor(F.col("vec_id") / 4).alias("strip"), (F.col("vec_id") % 4).alias("tile"), (F.col("pos") % 8).alias("x"), F.floor(F.col("pos") / 8).alias("y"), "v")
+
+
+def _seams(spark: SparkSession, sf: str) -> DataFrame:
+    return grid.best_seam(grid.seam_scan(_tiles(spark, sf), ["strip"], "tile", "x", "y", "v", 8, range(2, 7)), ["strip"], 8)
+
+
+@query(_SEAM + " SELECT strip, tile, overlap::INT AS overlap, round(r, 6) AS r FROM p", "grid")
+def seam_offset(spark: SparkSession, sf: str) -> DataFrame:
+    return grid.seam_scan(_tiles(spark, sf), ["strip"], "tile", "x", "y", "v", 8, range(2, 7)).select("strip", "tile", "overlap", _r("r"))
+
+
+@query(_SEAM + _BEST + " SELECT strip, tile, overlap::INT AS overlap, round(r, 6) AS r FROM b WHERE place = 1", "grid")
+def seam_best(spark: SparkSession, sf: str) -> DataFrame:
+    return _seams(spark, sf).select("strip", "tile", F.col("overlap").cast("int").alias("overlap"), _r("r"))
 
 
 @query(
-    """, t AS (SELECT vec_id // 4 AS strip, vec_id % 4 AS tile, pos % 8 AS x, pos // 8 AS y, v FROM grid), p AS (SELECT a.strip, a.tile, o AS overlap, a.v AS a, b.v AS b FROM t a CROSS JOIN range(2, 7) AS r(o) JOIN t b ON b.strip = a.strip AND b.tile = a.tile + 1 AND b.y = a.y AND b.x = a.x - (8 - o))
-    SELECT strip, tile, overlap::INT AS overlap, round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) AS r FROM p GROUP BY 1, 2, 3""",
+    _SEAM
+    + _BEST
+    + """, g AS (SELECT strip, tile + 1 AS tile, sum(8 - overlap) OVER (PARTITION BY strip ORDER BY tile) AS start FROM b WHERE place = 1), l AS (SELECT strip, max(start) + 7 AS last FROM g GROUP BY 1)
+    SELECT strip, y, (coalesce(last, 7) - x - coalesce(start, 0))::INT AS x, round(avg(v), 6) AS v FROM t LEFT JOIN g USING (strip, tile) LEFT JOIN l USING (strip) GROUP BY 1, 2, 3""",
     "grid",
 )
-def seam_offset(spark: SparkSession, sf: str) -> DataFrame:
-    t = _grid(spark, sf).select(F.floor(F.col("vec_id") / 4).alias("strip"), (F.col("vec_id") % 4).alias("tile"), (F.col("pos") % 8).alias("x"), F.floor(F.col("pos") / 8).alias("y"), "v")
-    return grid.seam_scan(t, ["strip"], "tile", "x", "y", "v", 8, range(2, 7)).select("strip", "tile", "overlap", _r("r"))
+def seam_mosaic(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames as tiles laid with the overlap that each seam fits best."""
+    return grid.stitched(_tiles(spark, sf), _seams(spark, sf), ["strip"], "tile", "x", "y", "v", 8).select("strip", "y", "x", _r("v"))
 
 
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(value) AS n, round(CASE WHEN count(value) >= 3 THEN median(value) END, 6) AS med, round(avg((value > 30)::INT), 6) AS share, round(CASE WHEN count(value) >= 3 THEN stddev_pop(value) END, 6) AS spread FROM events GROUP BY 1, 2")

@@ -12,12 +12,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Fixed values of the format: numpy types by element type and by array class, and the two container types.
 ELEMENTS = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8"}
 CLASSES = {6: "f8", 7: "f4", 8: "i1", 9: "u1", 10: "i2", 11: "u2", 12: "i4", 13: "u4", 14: "i8", 15: "u8"}
 MATRIX, COMPRESSED, HEADER = 14, 15, 128
+#: Pixels of a batch of frames.
+BATCH = 1 << 21
 
 
 def elements(data: bytes) -> Iterator[tuple[int, bytes]]:
@@ -52,14 +57,17 @@ def arrays(blob: bytes) -> Iterator[tuple[str, np.ndarray]]:
 
 
 def video(found: list[tuple[str, np.ndarray]], side: int = 400) -> tuple[str, np.ndarray] | None:
-    """The three-dimensional array with most values, those with a side of ``side`` counted tenfold, frames first: the
-    frame axis is the one whose length differs from the other two, else the first."""
-    solid = [x for x in found if x[1].ndim == 3]
+    """The three-dimensional array with most values, those with a side of ``side`` counted tenfold, frames first.
+
+    Sides of one are left out.  Where the first two sides are equal and the third is not, the frames lie along the third;
+    where the last two differ, along the longest; else along the first."""
+    solid = [(name, np.squeeze(a)) for name, a in found if np.squeeze(a).ndim == 3]
     if not solid:
         return None
     name, a = max(solid, key=lambda x: x[1].size * (10 if side in x[1].shape else 1))
-    odd = [i for i in range(3) if len({n for j, n in enumerate(a.shape) if j != i}) == 1 and a.shape[i] != a.shape[i - 1]]
-    return name, np.moveaxis(a, odd[0] if odd else 0, 0).astype(np.float32)
+    rows, columns, last = a.shape
+    axis = 2 if rows == columns != last else int(np.argmax(a.shape)) if columns != last else 0
+    return name, np.moveaxis(a, axis, 0).astype(np.float32)
 
 
 class _File(InputPartition):
@@ -94,9 +102,25 @@ class _Reader(DataSourceReader):
             raise FileNotFoundError(self.path)
         return [_File(p) for p in inside]
 
-    def read(self, part: _File) -> Iterator[tuple]:
+    def read(self, part: _File) -> Iterator[pa.RecordBatch]:
         with open(part.value, "rb") as f:
             found = video(list(arrays(f.read())), self.side)
-        if found:
-            for i, frame in enumerate(found[1]):
-                yield part.value, found[0], i, frame.shape[0], frame.shape[1], frame.ravel().tolist()
+        if not found:
+            return
+        name, frames = found
+        n, h, w = frames.shape
+        each = max(1, BATCH // max(1, h * w))
+        for at in range(0, n, each):
+            part_ = np.ascontiguousarray(frames[at : at + each])
+            k = len(part_)
+            pixels = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * (h * w)), pa.array(part_.ravel()))
+            same = lambda x, kind: pa.array([x] * k, kind)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([same(part.value, pa.string()), same(name, pa.string()), pa.array(np.arange(at, at + k, dtype=np.int32)), same(h, pa.int32()), same(w, pa.int32()), pixels], names=["file", "variable", "frame", "h", "w", "pixels"])
+
+
+def shots(frames: DataFrame) -> DataFrame:
+    """(track, frame, x, y, value), a row a pixel, of frames (file, frame, w, pixels, ...); the track is the number
+    behind the last underscore of the file's name."""
+    track = F.regexp_extract("file", r"_(\d+)\.[^./]*$", 1).try_cast("int")
+    cells = frames.select(track.alias("track"), "frame", "w", F.posexplode("pixels").alias("k", "value"))
+    return cells.select("track", "frame", (F.col("k") % F.col("w")).alias("x"), F.floor(F.col("k") / F.col("w")).cast("int").alias("y"), F.col("value").cast("double").alias("value"))

@@ -1,54 +1,94 @@
-"""Profilometer text files and image tiles, by Spark's own readers."""
+"""Profilometer text files and image tiles, from any store that Spark reads."""
 
 from __future__ import annotations
 
-import re
+import io
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIXEL_MM = 0.003982
+#: Fixed values of the data: the pixel size where a file names none, and the shares by which tiles and seams overlap.
+PIXEL_MM, TILE_MM, OVERLAP = 0.003982, 6.41, 0.05
+#: Heights that are parsed at once.
+ROWS = 1 << 20
 
 
-def asc_header(spark: SparkSession, path: str) -> tuple[int, int, float]:
-    """(x size, y size, pixel in mm) from the lines before RAW_DATA, which Spark reads no further than."""
+def asc_header(content: bytes) -> tuple[int, int, float, int]:
+    """(x size, y size, pixel in mm, where the heights begin) of a height map; values are a line's last words."""
     found: dict[str, str] = {}
-    for row in spark.read.text(path).limit(200).collect():
-        if row[0].strip().upper().startswith("RAW_DATA"):
+    at = 0
+    while at < len(content):
+        end = content.find(b"\n", at) + 1 or len(content)
+        words = content[at:end].decode("utf-8", "replace").split()
+        at = end
+        if words and words[0].upper() == "RAW_DATA":
             break
-        if m := re.match(r"\s*(X Size|Y Size|Pixel_size)\D*([0-9.eE+-]+)", row[0], re.IGNORECASE):
-            found.setdefault(m[1].lower(), m[2])
-    return int(float(found["x size"])), int(float(found["y size"])), float(found.get("pixel_size", PIXEL_MM))
+        if len(words) > 2 and words[0].lower() in ("x", "y") and words[1].lower() == "size":
+            found[words[0].lower()] = words[2]
+        elif words and words[0].lower() == "pixel_size":
+            found["pixel"] = words[-1]
+    if not {"x", "y"} <= set(found):
+        raise ValueError("a height map has lines X Size and Y Size")
+    return int(float(found["x"])), int(float(found["y"])), float(found.get("pixel", PIXEL_MM)), at
+
+
+def _parsed(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ix, iy, x, y, z) of a file's cells, in parts; NaN is unknown."""
+    nx, ny, pixel, start = asc_header(content)
+    n, at = nx * ny, 0
+    parts = pd.read_csv(io.BytesIO(content[start:]), sep="\t", header=None, usecols=[2], na_values=["Bad"], dtype=np.float64, nrows=n, chunksize=ROWS) if content[start:].strip() else []
+
+    def cells(z: np.ndarray, at: int) -> tuple[np.ndarray, ...]:
+        ix, iy = np.divmod(np.arange(at, at + len(z)), ny)
+        return ix.astype(np.int32), iy.astype(np.int32), ix * pixel, iy * pixel, (z.astype(np.float32) * np.float32(1e-6))
+
+    for part in parts:
+        z = part.to_numpy()[:, 0]
+        yield cells(z, at)
+        at += len(z)
+    for at in range(at, n, ROWS):  # the file ends early
+        yield cells(np.full(min(ROWS, n - at), np.nan), at)
 
 
 def asc_heights(spark: SparkSession, path: str, crop: tuple[float, float] | None = (20.0, 100.0), end: float = 100.0) -> DataFrame:
-    """(ix, iy, x_mm, y_mm, z_mm) of a height map: third tab-separated column in nm, 'Bad' is NULL, x-major order.
+    """(track, ix, iy, x_mm, y_mm, z_mm) of the height maps at ``path``: third tab-separated column in nm, 'Bad' is
+    NULL, x-major order.
+
+    A file is read by one task, in parts; one that ends early gives NULL heights for the rest.  x runs against the stage,
+    so x_mm = end - ix * pixel.  The track is the number behind the last underscore of the file's name, if any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for ix, iy, x, y, z in _parsed(content.as_py()):
+                    x = end - x
+                    inside = (x >= crop[0]) & (x <= crop[1]) if crop else np.ones(len(x), bool)
+                    columns = [pa.array(c[inside]) for c in (ix, iy, x, y)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * int(inside.sum()), pa.string()), *columns, pa.array(z[inside], from_pandas=True)], names=["file", "ix", "iy", "x_mm", "y_mm", "z_mm"])
 
-    Rows are numbered in file order; a file that ends early gives NULL heights for the rest.  x runs against the
-    stage, so x_mm = end - ix * pixel.  The rest of the grid is made from its sizes, so every cell has a row."""
-    nx, ny, pixel = asc_header(spark, path)
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("line long, value string")
-    first = lines.where(F.upper(F.trim("value")).startswith("RAW_DATA")).agg(F.min("line").alias("start"))
-    body = lines.join(F.broadcast(first)).where("line > start").select((F.col("line") - F.col("start") - 1).alias("k"), F.get(F.split("value", "\t"), F.lit(2)).alias("z"))
-    known = body.select("k", (F.expr("try_cast(z as double)") * 1e-6).cast("float").alias("z_mm"))
-    cells = spark.range(nx * ny).withColumnRenamed("id", "k").join(known, "k", "left")
-    ix, iy = F.floor(F.col("k") / ny), F.col("k") % ny
-    out = cells.select(ix.cast("int").alias("ix"), iy.cast("int").alias("iy"), (F.lit(end) - ix * pixel).alias("x_mm"), (iy * pixel).alias("y_mm"), "z_mm")
-    return out.where(F.col("x_mm").between(*crop)) if crop else out
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInArrow(run, "file string, ix int, iy int, x_mm double, y_mm double, z_mm float")
+    return rows.select(F.regexp_extract("file", r"_(\d+)\.[^./]*$", 1).try_cast("int").alias("track"), "ix", "iy", "x_mm", "y_mm", "z_mm")
 
 
 def tiles(spark: SparkSession, path: str) -> DataFrame:
-    """(file, tile, x, y, value) of the grey values of image tiles; the tile's number follows the last underscore.
+    """(file, track, tile, width, x, y, value) of the grey values of image tiles; the tile's number follows the last
+    underscore of the file's name, the track's that of the folder two above it.
 
     Spark stores rows of blue, green, red (or one grey) bytes; luminance weighs them 0.114, 0.587, 0.299."""
     i = spark.read.format("image").load(path).select("image.*")
     number = F.regexp_extract("origin", r"_(\d+)\.[^._]*$", 1).try_cast("int")
-    rows = i.select(F.col("origin").alias("file"), number.alias("tile"), "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+    track = F.regexp_extract("origin", r"_(\d+)/[^/]*/[^/]*$", 1).try_cast("int")
+    rows = i.select(F.col("origin").alias("file"), track.alias("track"), number.alias("tile"), "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
     cells = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
     at = (F.col("y") * F.col("width") + F.col("x")) * F.col("nChannels")
     byte = lambda k: F.conv(F.hex(F.substring(F.col("data"), at + k + 1, F.lit(1))), 16, 10).cast("double")
     grey = F.when(F.col("nChannels") == 1, byte(0)).otherwise(F.round(0.114 * byte(0) + 0.587 * byte(1) + 0.299 * byte(2)))
-    return cells.select("file", "tile", "x", "y", grey.alias("value"))
+    return cells.select("file", "track", "tile", "width", "x", "y", grey.alias("value"))
 
 
 def missing(spark: SparkSession, paths: list[str]) -> list[str]:
