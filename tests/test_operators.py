@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +198,84 @@ def test_empty_tables(spark):
     d = signal(spark, []).withColumn("w", F.col("v"))
     assert order.rolling(d, ["k"], "i", ["v"]).count() == order.lag_scan(d, ["k"], "i", "v", "w", 2).count() == runs.runs(d, ["k"], "i", F.col("v") > 0).count() == 0
     assert grid.density_entropy(d, ["k"], "v").count() == 0
+
+
+def folds(spark, n=3, rows=80):
+    rng = np.random.default_rng(8)
+    made = [(f"f{k:04d}" if k else None, k * rows + i, *map(float, rng.uniform(0, 1, 2))) for k in range(n) for i in range(rows)]
+    d = pd.DataFrame(made, columns=["f", "id", "a", "b"])
+    d["y"], d["z"] = 10 * (d.a > 0.5) + rng.normal(0, 0.1, len(d)), 5 * (d.b > 0.5) + rng.normal(0, 0.1, len(d))
+    d["w"] = 1.0
+    return d
+
+
+HEADS = [learning.Head("mean", "y", None, 30, "w"), learning.Head("q9", "y", 0.9, 20), learning.Head("other", "z", None, 10)]
+
+
+def forecasts(spark, d, **more):
+    df = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in d.itertuples(index=False)], "f string, id long, a double, b double, y double, z double, w double")
+    out = learning.fold_forecasts(df, "f", "id", ["a", "b"], HEADS, least=5, **more)
+    assert out.columns == ["f", "id", "mean", "q9", "other"]
+    return {r.id: r for r in out.collect()}
+
+
+def test_heads_have_their_own_targets(spark):
+    d = folds(spark)
+    d.loc[::5, "z"] = np.nan
+    got = forecasts(spark, d)
+    assert len(got) == len(d)
+    assert all(got[r.id].f == r.f for r in d.itertuples())
+    assert np.mean([abs(got[r.id].mean - 10 * (r.a > 0.5)) for r in d.itertuples()]) < 1.5
+    assert np.mean([abs(got[r.id].other - 5 * (r.b > 0.5)) for r in d.itertuples()]) < 3
+
+
+def test_a_holdout_trains_nothing(spark):
+    d = folds(spark)
+    first = forecasts(spark, d, train_folds=["f0001", "f0002"])
+    d.loc[d.f.isna(), "y"] = 1e6
+    again = forecasts(spark, d, train_folds=["f0001", "f0002"])
+    assert [tuple(first[i]) for i in sorted(first)] == [tuple(again[i]) for i in sorted(again)]
+    assert all(abs(first[i].mean) < 20 for i in first)
+
+
+def test_no_fold_is_dropped(spark):
+    rows = spark.createDataFrame([(i, i, float(i), float(i)) for i in range(1001)], "f int, id long, a double, y double")
+    out = learning.fold_forecasts(rows, "f", "id", ["a"], [learning.Head("m", "y", None, 1)], train_folds=[0, 1], block=600)
+    got = {r.f: r.m for r in out.collect()}
+    assert len(got) == 1001 and got[0] == 1.0 and got[1] == 0.0 and got[1000] == 0.5
+    alone = learning.fold_forecasts(rows.where("f = 0"), "f", "id", ["a"], [learning.Head("m", "y", None, 1)])
+    assert [tuple(r) for r in alone.collect()] == [(0, 0, None)]
+    assert learning.fold_forecasts(rows.where("f < 0"), "f", "id", ["a"], [learning.Head("m", "y", None, 1)]).count() == 0
+
+
+def test_scorecard_of_the_holdout(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for f in (8, 10, 21):
+        for _ in range(200):
+            w = float(rng.normal(500, 20))
+            rows.append((f, w, 10.0, 10 - w / 2, 10 + w / 2, 3.0, 500.0, 12.0, 2.0, [480.0, 490.0, 500.0, 510.0, 520.0]))
+    d = spark.createDataFrame(rows, "track int, w_true double, c_true double, yl_true double, yr_true double, zr_true double, pw double, pc double, zr_pred double, q array<double>")
+    scales = [1.0, 1.5, 2.0, 2.5]
+    got = scoring.scorecard(d, "track", [8, 10], scales).collect()
+    assert len(got) == 1 and got[0].track == 21
+    w = {f: np.array([r[1] for r in rows if r[0] == f]) for f in (8, 10, 21)}
+    q = np.array(rows[0][-1])
+
+    def crps(y, s):
+        wide = 500 + (q - 500) * s
+        e = y[:, None] - wide[None]
+        return 2 * np.mean([np.where(e[:, i] > 0, a * e[:, i], (a - 1) * e[:, i]).mean() for i, a in enumerate(scoring.QUANTILES)]), ((y >= wide[0]) & (y <= wide[-1])).mean()
+
+    fit = [(np.mean([crps(w[f], s)[0] for f in (8, 10)]), s) for s in scales if np.mean([crps(w[f], s)[1] for f in (8, 10)]) >= 0.88]
+    r = got[0]
+    assert r.conformal_s == min(fit)[1] and r.width_crps == pytest.approx(crps(w[21], r.conformal_s)[0]) and r.width_cov90 == pytest.approx(crps(w[21], r.conformal_s)[1])
+    assert r.center_mae == 2.0 and r.zrange_mae == 1.0 and r.width_mae == pytest.approx(np.abs(w[21] - 500).mean())
+    assert scoring.scorecard(d, "track", [8, 10], [0.1]).count() == 0
+
+
+def test_importance_of_features(spark):
+    d = folds(spark).drop(columns="f").assign(f="x")
+    df = spark.createDataFrame(d)
+    got = learning.importance(df, ["a", "b"], learning.Head("m", "y", None, 20), least=5).collect()
+    assert got[0].feature == "a" and sum(r.share for r in got) == pytest.approx(1.0) and len(learning.importance(df, ["a", "b"], HEADS[0], top=1, least=5).collect()) == 1

@@ -3,7 +3,9 @@ nearest neighbours."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -117,37 +119,87 @@ class Trees:
         return out
 
 
-def fold_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str], y: str, weight: str | None = None, heads: Sequence[float | None] = (None, 0.05, 0.25, 0.5, 0.75, 0.95), most_rows: int = 200_000, **settings) -> DataFrame:
-    """(fold, key, head, forecast): each fold's rows forecast by models trained on the other folds, one task per fold
-    and head (a quantile; NULL is the mean).  Training reads at most about ``most_rows`` rows, taken by a hash of the
-    key, so no group outgrows its task; forecasts are made for every row, in parts.
-    """
-    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).limit(1000).collect()]
-    share = min(1.0, most_rows / max(1, df.count()))
-    columns = [F.col(f).cast("double").alias(f) for f in features]
-    sample = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col(fold).alias("own"), F.col(y).cast("double").alias("y"), *columns, (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
-    jobs = sample.withColumn("job", F.explode(F.array(*[F.struct(F.lit(f).alias("held"), F.lit(i).alias("h")) for f in folds for i in range(len(heads))]))).select("job.held", "job.h", *sample.columns).where("own <> held and y is not null")
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        import pickle
-
-        head = heads[int(pdf.h.iloc[0])]
-        pdf = pdf.sort_values(["own", "y", *features], kind="stable")
-        model = Trees(quantile=head, **settings).fit(pdf[list(features)].to_numpy(float), pdf.y.to_numpy(float), pdf.w.to_numpy(float) if weight and head is None else None)
-        return pd.DataFrame({"held": [pdf.held.iloc[0]], "h": [pdf.h.iloc[0]], "model": [pickle.dumps(model)]})
+class Head(NamedTuple):
+    """One forecast: a mean, or a quantile, of a target, by so many trees; ``weight`` is a column of draw chances."""
 
-    held = dict(df.dtypes)[fold]
-    models = jobs.groupBy("held", "h").applyInPandas(train, f"held {held}, h int, model binary")
-    rows = df.select(F.col(fold).alias("held"), F.col(key).alias("key"), *columns).join(F.broadcast(models), "held")
+    name: str
+    target: str
+    quantile: float | None = None
+    trees: int = 150
+    weight: str | None = None
 
-    def forecast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pickle
 
-        for pdf in batches:
-            for (held_, h), part in pdf.groupby(["held", "h"], sort=False):
-                yield pd.DataFrame({"held": held_, "key": part.key, "h": h, "forecast": pickle.loads(part.model.iloc[0]).predict(part[list(features)].to_numpy(float))})
+def _trained(rows: DataFrame, jobs: list[tuple], heads: Sequence[Head], features: Sequence[str], settings: dict) -> dict[tuple, bytes]:
+    """Models by (held, number of the head), each trained in a task of its own; ``rows`` are (own, y0 ..., w0 ..., features)."""
 
-    return rows.mapInPandas(forecast, f"held {held}, key {dict(df.dtypes)[key]}, h int, forecast double")
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = int(pdf["_h"].iloc[0])
+        head = heads[h]
+        pdf = pdf.sort_values([f"_y{h}", *features], kind="stable")
+        weight = pdf[f"_w{h}"].to_numpy(float) if head.weight else None
+        model = Trees(trees=head.trees, quantile=head.quantile, **settings).fit(pdf[list(features)].to_numpy(float), pdf[f"_y{h}"].to_numpy(float), weight)
+        return pd.DataFrame({"j": [int(pdf["_j"].iloc[0])], "h": [h], "model": [pickle.dumps(model)]})
+
+    each = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(held).alias("held"), F.lit(h).alias("h")) for j, held in enumerate(jobs) for h in range(len(heads))])
+    known = F.element_at(F.array(*[F.col(f"_y{h}").isNotNull() for h in range(len(heads))]), F.col("_h") + 1)
+    met = rows.withColumn("_job", F.explode(each)).select("*", F.col("_job.j").alias("_j"), F.col("_job.held").alias("_held"), F.col("_job.h").alias("_h"))
+    met = met.where(~F.col("_own").eqNullSafe(F.col("_held")) & known)
+    return {(jobs[r.j], r.h): r.model for r in met.groupBy("_j", "_h").applyInPandas(train, "j int, h int, model binary").collect()}
+
+
+def fold_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str], heads: Sequence[Head], train_folds: Sequence | None = None, most_rows: int = 200_000, block: int = 64, **settings) -> DataFrame:
+    """(fold, key, a column for each head): every row forecast by models that its fold's labels didn't train.
+
+    Models for a fold are trained on the other folds among ``train_folds`` (all by default), so folds outside of these
+    are holdouts: they train nothing.  One task trains one fold's head, on at most about ``most_rows`` rows of all
+    folds, taken by a hash of the key; a head reads the rows whose target is known.  Models of ``block`` folds at a time
+    are broadcast, and every row is sent to Python once.  A fold without any row to learn from gets NULLs; a null
+    fold is a fold, and none of the others' rows are lost.
+    """
+    folds = sorted((r[0] for r in df.select(fold).distinct().collect()), key=lambda f: (f is None, f))
+    share = min(1.0, most_rows / max(1, df.count()))
+    columns = [F.col(f).cast("double").alias(f) for f in features]
+    labels = [F.col(h.target).cast("double").alias(f"_y{i}") for i, h in enumerate(heads)] + [(F.col(h.weight) if h.weight else F.lit(1.0)).cast("double").alias(f"_w{i}") for i, h in enumerate(heads)]
+    rows = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col(fold).alias("_own"), *labels, *columns)
+    if train_folds is not None:
+        rows = rows.where(F.col("_own").isin(list(train_folds)))
+    kinds = dict(df.dtypes)
+    schema = f"`{fold}` {kinds[fold]}, `{key}` {kinds[key]}, " + ", ".join(f"`{h.name}` double" for h in heads)
+    made = None
+    for at in range(0, len(folds), block):
+        some = folds[at : at + block]
+        shared = df.sparkSession.sparkContext.broadcast(_trained(rows, some, heads, features, settings))
+
+        def forecast(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            models: dict[tuple, Trees] = {}
+            for pdf in batches:
+                for held, part in pdf.groupby("_held", sort=False, dropna=False):
+                    held = None if pd.isna(held) else held
+                    x, out = part[list(features)].to_numpy(float), {fold: part["_held"], key: part["_key"]}
+                    for h, head in enumerate(heads):
+                        if (held, h) not in models and (held, h) in shared.value:
+                            models[held, h] = pickle.loads(shared.value[held, h])
+                        out[head.name] = models[held, h].predict(x) if (held, h) in models else np.nan
+                    yield pd.DataFrame(out, index=part.index)
+
+        mine = F.col(fold).isin([f for f in some if f is not None])
+        mine = mine | F.col(fold).isNull() if None in some else mine
+        part = df.where(mine).select(F.col(fold).alias("_held"), F.col(key).alias("_key"), *columns).mapInPandas(forecast, schema)
+        made = part if made is None else made.unionByName(part)
+    if made is None:
+        return df.sparkSession.createDataFrame([], schema)
+    return made.select(fold, key, *[F.nanvl(F.col(h.name), F.lit(None).cast("double")).alias(h.name) for h in heads])
+
+
+def importance(df: DataFrame, features: Sequence[str], head: Head, top: int = 20, most_rows: int = 200_000, **settings) -> DataFrame:
+    """(feature, share): the share of a model's splits that use each feature, the ``top`` largest first.  The model is
+    trained on at most about ``most_rows`` rows, as in ``fold_forecasts``."""
+    share = min(1.0, most_rows / max(1, df.count()))
+    rows = df.where(F.rand(7) < share).select(F.lit(0).alias("_own"), F.col(head.target).cast("double").alias("_y0"), (F.col(head.weight) if head.weight else F.lit(1.0)).cast("double").alias("_w0"), *[F.col(f).cast("double").alias(f) for f in features])
+    models = _trained(rows, [None], [head], features, settings)
+    counts = pickle.loads(models[None, 0]).importance if models else np.zeros(len(features))
+    made = [(f, float(n / max(1.0, counts.sum()))) for f, n in zip(features, counts, strict=True)]
+    return df.sparkSession.createDataFrame(sorted(made, key=lambda r: (-r[1], r[0]))[:top], "feature string, share double")
 
 
 def gram(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:

@@ -35,14 +35,34 @@ def scores(df: DataFrame, keys: Sequence[str], y: str, point: str, q: str) -> Da
 def calibration_grid(df: DataFrame, fold: str, y: str, point: str, q: str, scales: Sequence[float]) -> DataFrame:
     """(scale, crps, coverage): means over folds of the scores of intervals widened by each scale.
 
-    Every row meets each scale of the fixed grid and is summed up at once."""
-    each = df.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales])))
-    wide = each.withColumn("_q", widened(q, point, F.col("scale")))
-    c = F.col(y), F.col("_q")
-    by_fold = wide.groupBy("scale", fold).agg(F.avg(crps(*c)).alias("crps"), F.avg(inside(*c, 0, 4)).alias("coverage"))
+    A row is cut down to a few numbers (the target, the point and the quantiles' distances from it) before it meets the
+    scales of the fixed grid, and is summed up at once where it lies."""
+    g = [(F.get(q, F.lit(i)) - F.col(point)).alias(f"_g{i}") for i in range(len(QUANTILES))]
+    each = df.select(fold, F.col(y).alias("_y"), F.col(point).alias("_p"), *g).withColumn("scale", F.explode(F.array(*[F.lit(float(s)) for s in scales])))
+    miss = [F.col("_y") - (F.col("_p") + F.col(f"_g{i}") * F.col("scale")) for i in range(len(QUANTILES))]
+    loss = 2 * sum((F.greatest(a * m, (a - 1) * m) for a, m in zip(QUANTILES, miss, strict=True)), F.lit(0.0)) / len(QUANTILES)
+    within = ((miss[0] >= 0) & (miss[-1] <= 0)).cast("double")
+    by_fold = each.groupBy("scale", fold).agg(F.avg(loss).alias("crps"), F.avg(within).alias("coverage"))
     return by_fold.groupBy("scale").agg(F.avg("crps").alias("crps"), F.avg("coverage").alias("coverage"))
 
 
+def scorecard(df: DataFrame, fold: str, train_folds: Sequence, scales: Sequence[float], least: float = 0.88) -> DataFrame:
+    """(fold, conformal_s, width_mae, width_crps, width_cov90, width_cov50, center_mae, yleft_mae, yright_mae, zrange_mae) of
+    every fold outside of ``train_folds``, whose intervals are widened by the scale that the training folds choose.
+
+    ``df`` has w_true, c_true, yl_true, yr_true, zr_true, the forecasts pw, pc, zr_pred, and quantiles q about pw.  Where no
+    scale covers enough there is no row."""
+    best = best_scale(calibration_grid(df.where(F.col(fold).isin(list(train_folds))), fold, "w_true", "pw", "q", scales), least)
+    held = df.where(~F.col(fold).isin(list(train_folds))).crossJoin(F.broadcast(best.select(F.col("scale").alias("conformal_s"))))  # one row at most
+    held = held.withColumn("q", widened("q", "pw", F.col("conformal_s")))
+    off = lambda a, b: F.avg(F.abs(F.col(a) - b))
+    c = F.col("w_true"), F.col("q")
+    return held.groupBy(fold, "conformal_s").agg(
+        off("w_true", F.col("pw")).alias("width_mae"), F.avg(crps(*c)).alias("width_crps"), F.avg(inside(*c, 0, 4)).alias("width_cov90"), F.avg(inside(*c, 1, 3)).alias("width_cov50"), off("c_true", F.col("pc")).alias("center_mae"),
+        off("yl_true", F.col("pc") - F.col("pw") / 2).alias("yleft_mae"), off("yr_true", F.col("pc") + F.col("pw") / 2).alias("yright_mae"), off("zr_true", F.col("zr_pred")).alias("zrange_mae"),
+    )
+
+
 def best_scale(grid: DataFrame, least: float = 0.88) -> DataFrame:
     """The scale with the least CRPS among those that cover enough; the smallest wins a tie; no row if none does."""
     return grid.where(F.col("coverage") >= least).orderBy("crps", "scale").limit(1)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackloom.functions import correlation, first_max, first_min, recentred, supported
+from trackloom.functions import correlation, first_max, first_min, rearranged, recentred, supported
 from trackloom.operators import frames, grid, learning, order, robust, runs, scoring
 from trackloom.plans import tracks
 
@@ -318,20 +318,24 @@ def split_search(spark: SparkSession, sf: str) -> DataFrame:
     return learning.split_gain(t, "fold", ["q", "d", "t"], "y").select("fold", "feature", "bin", F.round(F.col("gain") / 1e9, 4).alias("gain"))
 
 
-@query(
-    """SELECT round(a, 4) AS a, round(b, 4) AS b, round(my - a * mq - b * md, 3) AS c FROM (SELECT (cqy * vd - cdy * cqd) / (vq * vd - cqd ** 2) AS a, (cdy * vq - cqy * cqd) / (vq * vd - cqd ** 2) AS b, mq, md, my
-    FROM (SELECT var_pop(q) AS vq, var_pop(d) AS vd, covar_pop(q, d) AS cqd, covar_pop(q, y) AS cqy, covar_pop(d, y) AS cdy, avg(q) AS mq, avg(d) AS md, avg(y) AS my FROM tab))""",
-    "tab",
-)
+def _plane_sql(by: str, rounds: int) -> str:
+    """The fit of each key, and ``rounds`` - 1 more over the rows whose residual lies between the 5th and 95th percentile."""
+    fit = "SELECT fold, n, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS a, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS b, mx, my, mz FROM (SELECT fold, count(*) AS n, var_pop(q) AS xx, var_pop(d) AS yy, covar_pop(q, d) AS xy, covar_pop(q, y) AS xz, covar_pop(d, y) AS yz, avg(q) AS mx, avg(d) AS my, avg(y) AS mz FROM {} GROUP BY 1)"
+    out = f", t0 AS (SELECT {by} AS fold, q, d, y FROM tab), f0 AS (SELECT fold, a, b, mz - a * mx - b * my AS c FROM ({fit.format('t0')}))"
+    for i in range(1, rounds):
+        out += f", o{i} AS (SELECT t0.*, y - (a * q + b * d + c) AS o FROM t0 JOIN f{i - 1} USING (fold)), k{i} AS (SELECT fold, quantile_cont(o, 0.05) AS lo, quantile_cont(o, 0.95) AS hi FROM o{i} GROUP BY 1), t{i} AS (SELECT o{i}.* FROM o{i} JOIN k{i} USING (fold) WHERE o BETWEEN lo AND hi)"
+        out += f", f{i} AS (SELECT fold, a, b, mz - a * mx - b * my AS c FROM ({fit.format(f't{i}')}))"
+    return out + f" SELECT {'fold, ' if by == 'fold' else ''}round(a, 3) AS a, round(b, 3) AS b, round(c, 2) AS c FROM f{rounds - 1}"
+
+
+@query(_plane_sql("0", 1), "tab")
 def plane_fit(spark: SparkSession, sf: str) -> DataFrame:
-    a, b, c = robust.plane(_tab(spark, sf), "q", "d", "y")
-    return spark.createDataFrame([(round(a, 4), round(b, 4), round(c, 3))], "a double, b double, c double")
+    return robust.trimmed_planes(_tab(spark, sf).withColumn("k", F.lit(0)), ["k"], "q", "d", "y", rounds=1).select(_r("a", 3), _r("b", 3), _r("c", 2))
 
 
-@query()
+@query(_plane_sql("0", 3), "tab")
 def plane_residual_trim(spark: SparkSession, sf: str) -> DataFrame:
-    found = robust.trimmed_plane(_tab(spark, sf), "q", "d", "y")
-    return spark.createDataFrame([found], "a double, b double, c double")
+    return robust.trimmed_planes(_tab(spark, sf).withColumn("k", F.lit(0)), ["k"], "q", "d", "y").select(_r("a", 3), _r("b", 3), _r("c", 2))
 
 
 @query(
@@ -516,23 +520,34 @@ def anchor_holdout(spark: SparkSession, sf: str) -> DataFrame:
     return learning.anchor_forecast(_tab(spark, sf), "fold", "id", "q", "y").select("fold", "id", _r("forecast", 4))
 
 
-@query()
+_WINDOWS = """, w AS (SELECT g.vec_id, g.pos AS here, o.pos - s.first AS i, o.v FROM grid g, LATERAL (SELECT least(greatest(g.pos - 16, 0), 32) AS first) s JOIN grid o ON o.vec_id = g.vec_id AND o.pos >= s.first AND o.pos < s.first + 32),
+    l AS (SELECT vec_id, here, regr_slope(v, i) AS a, regr_intercept(v, i) AS b FROM w GROUP BY 1, 2), u AS (SELECT vec_id, here, i, (v - (a * i + b)) * (0.5 - 0.5 * cos(2 * pi() * i / 31)) AS u FROM w JOIN l USING (vec_id, here)),
+    p AS (SELECT vec_id, here, k, k * 50 / 32.0::DOUBLE AS f, sum(u * cos(2 * pi() * k * i / 32)) ** 2 + sum(u * sin(2 * pi() * k * i / 32)) ** 2 AS p FROM u CROSS JOIN range(0, 17) AS r(k) GROUP BY 1, 2, 3),
+    t AS (SELECT vec_id, here, sum(p) FILTER (k > 0) + 1e-12 AS t FROM p GROUP BY 1, 2),
+    d AS (SELECT vec_id, pos, v - lag(v) OVER (PARTITION BY vec_id ORDER BY pos) AS d FROM grid), s AS (SELECT vec_id, pos, stddev_pop(d) OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING) AS rstd3 FROM d),
+    x AS (SELECT vec_id, here AS pos, any_value(t) AS t, """ + ", ".join(f"coalesce(sum(p) FILTER (f >= {lo}::DOUBLE AND f < {hi}::DOUBLE), 0) AS {n}" for n, (lo, hi) in tracks.BANDS.items()) + """, sum(f * p) FILTER (k > 0) AS scent, coalesce(sum(p) FILTER (f >= 10), 0) AS hfrac FROM p JOIN t USING (vec_id, here) GROUP BY 1, 2)
+    SELECT vec_id, pos, """ + ", ".join(f"round({n} / t, 6) AS {n}" for n in (*tracks.BANDS, "scent", "hfrac")) + ", round(rstd3, 6) AS rstd3 FROM x JOIN s USING (vec_id, pos)"
+
+
+@query(_WINDOWS, "grid")
 def spectral_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Spectra of the 32 positions around each position of a vector."""
-    return tracks.spectral_windows(_grid(spark, sf), ["vec_id"], "pos", "v")
+    made = tracks.spectral_windows(_grid(spark, sf), ["vec_id"], "pos", "v")
+    return made.select("vec_id", "pos", *[_r(c) for c in made.columns if c not in ("vec_id", "pos")])
 
 
-@query()
+@query(_plane_sql("fold", 3), "tab")
 def fold_planes(spark: SparkSession, sf: str) -> DataFrame:
     """Each fold's trimmed plane of price over quantity and discount."""
-    return robust.trimmed_planes(_tab(spark, sf), ["fold"], "q", "d", "y")
+    return robust.trimmed_planes(_tab(spark, sf), ["fold"], "q", "d", "y").select("fold", _r("a", 3), _r("b", 3), _r("c", 2))
 
 
 @query()
 def gbm_quantile_scorecard(spark: SparkSession, sf: str) -> DataFrame:
-    """Folds forecast by boosted trees trained on the others: a mean and five quantiles, recentred and scored."""
+    """Folds forecast by boosted trees trained on the others: a mean and five quantiles, recentred and scored.  Every row is
+    forecast; a model is trained on at most about 200,000 rows."""
     t = _tab(spark, sf)
-    made = learning.fold_forecasts(t, "fold", "id", ["q", "d", "t"], "y", trees=20)
-    heads = made.groupBy("held", "key").agg(F.max(F.when(F.col("h") == 0, F.col("forecast"))).alias("point"), F.array_sort(F.collect_list(F.when(F.col("h") > 0, F.col("forecast")))).alias("q"))
-    both = heads.join(t.select(F.col("id").alias("key"), "y"), "key").withColumn("q", recentred("q", "point"))
-    return scoring.scores(both, ["held"], "y", "point", "q")
+    heads = [learning.Head("point", "y", None, 20), *[learning.Head(f"q{i}", "y", a, 20) for i, a in enumerate(scoring.QUANTILES)]]
+    made = learning.fold_forecasts(t, "fold", "id", ["q", "d", "t"], heads)
+    both = made.select("id", "point", rearranged(F.array(*[f"q{i}" for i in range(5)])).alias("q")).join(t.select("id", "fold", "y"), "id").withColumn("q", recentred("q", "point"))
+    return scoring.scores(both, ["fold"], "y", "point", "q")
