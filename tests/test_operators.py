@@ -279,3 +279,22 @@ def test_importance_of_features(spark):
     df = spark.createDataFrame(d)
     got = learning.importance(df, ["a", "b"], learning.Head("m", "y", None, 20), least=5).collect()
     assert got[0].feature == "a" and sum(r.share for r in got) == pytest.approx(1.0) and len(learning.importance(df, ["a", "b"], HEADS[0], top=1, least=5).collect()) == 1
+
+
+@pytest.mark.parametrize("bridge", [0, 1, 3])
+def test_runs_over_many_chunks(spark, bridge):
+    rng = np.random.default_rng(12)
+    rows = [(k, i, bool(v)) for k in (1, 2) for i, v in enumerate(rng.random(400) < (0.6, 0.97)[k - 1])] + [(3, i, False) for i in range(5)]
+    want = set()
+    for k in (1, 2):
+        found = []
+        for _, i, v in (r for r in rows if r[0] == k):
+            if v and found and i - found[-1][1] - 1 <= bridge:
+                found[-1][1:] = [i, found[-1][2] + 1]
+            elif v:
+                found.append([i, i, 1])
+        want |= {(k, a, b, n, b - a + 1) for a, b, n in found}
+    d = spark.createDataFrame(rows, "k int, i long, v boolean")
+    for chunk in (1, 7, 64, 1 << 16):
+        got = runs.runs(d, ["k"], "i", F.col("v"), bridge, chunk).select("k", "first", "last", "n", "length").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want), chunk

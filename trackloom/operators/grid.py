@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from trackloom.operators.order import step_size, windowed
 
 
-def edge_mean(df: DataFrame, keys: Sequence[str], position: str, value: str, taps: int, name: str) -> DataFrame:
-    """Moving mean over an odd number of ``taps``; beyond the ends the last value repeats.
+def edge_means(df: DataFrame, keys: Sequence[str], position: str, values: dict[str, str], taps: int) -> DataFrame:
+    """Moving means of several columns, (new name: column), over an odd number of ``taps``; beyond the ends the last value
+    repeats.
 
     The missing rows are counted by two shorter frames, and the value at a clipped frame's end is the edge's."""
     half = taps // 2
@@ -21,23 +22,26 @@ def edge_mean(df: DataFrame, keys: Sequence[str], position: str, value: str, tap
         whole = w.rowsBetween(-half, half)
         low = half - F.count(F.lit(1)).over(w.rowsBetween(-half, -1))
         high = half - F.count(F.lit(1)).over(w.rowsBetween(1, half))
-        total = F.sum(value).over(whole) + low * F.first(value).over(whole) + high * F.last(value).over(whole)
-        return {name: total / taps}
+        return {name: (F.sum(v).over(whole) + low * F.first(v).over(whole) + high * F.last(v).over(whole)) / taps for name, v in values.items()}
 
     return windowed(df, keys, position, half, half, make)
 
 
+def box_means(df: DataFrame, keys: Sequence[str], x: str, y: str, values: dict[str, str], taps_y: int = 15, taps_x: int = 51) -> DataFrame:
+    """Means over a box around each cell, with the border repeated beyond it: one pass per axis for all columns."""
+    tall = edge_means(df, [*keys, x], y, {f"_tall_{name}": v for name, v in values.items()}, taps_y)
+    return edge_means(tall, [*keys, y], x, {name: f"_tall_{name}" for name in values}, taps_x).drop(*[f"_tall_{name}" for name in values])
+
+
 def box_mean(df: DataFrame, keys: Sequence[str], x: str, y: str, value: str, taps_y: int = 15, taps_x: int = 51, name: str = "mean") -> DataFrame:
-    """Mean over a box around each cell, with the border repeated beyond it: one moving mean per axis."""
-    tall = edge_mean(df, [*keys, x], y, value, taps_y, "_tall")
-    return edge_mean(tall, [*keys, y], x, "_tall", taps_x, name).drop("_tall")
+    return box_means(df, keys, x, y, {name: value}, taps_y, taps_x)
 
 
 def score_map(df: DataFrame, keys: Sequence[str], x: str, y: str, value: str, taps_y: int = 15, taps_x: int = 51, unknown: float = 8.0, scale: float = 1000.0) -> DataFrame:
     """score: the share of known cells around, dampened by the roughness around (steps along y, each at most ``unknown``)."""
     rough = step_size(df, [*keys, x], y, value, "_step", scale)
     rough = rough.withColumn("_r", F.coalesce(F.least("_step", F.lit(unknown)), F.lit(unknown))).withColumn("_v", F.col(value).isNotNull().cast("double"))
-    both = box_mean(box_mean(rough, keys, x, y, "_v", taps_y, taps_x, "_vs"), keys, x, y, "_r", taps_y, taps_x, "_rs")
+    both = box_means(rough, keys, x, y, {"_vs": "_v", "_rs": "_r"}, taps_y, taps_x)
     return both.withColumn("score", F.col("_vs") * F.exp(-F.col("_rs") / 2)).drop("_step", "_r", "_v", "_vs", "_rs")
 
 

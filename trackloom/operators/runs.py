@@ -7,18 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.order import CHUNK
 
-def runs(df: DataFrame, keys: Sequence[str], position: str, passes: Column, bridge: int | Column = 0) -> DataFrame:
-    """(keys, run, first, last, length, n): maximal runs of passing rows whose gaps are at most ``bridge`` rows (a number, or
-    one of the keys).
 
-    length counts the bridged gaps, n the passing rows only.  Only passing rows are sorted.
+def runs(df: DataFrame, keys: Sequence[str], position: str, passes: Column, bridge: int | Column = 0, chunk: int = CHUNK) -> DataFrame:
+    """(keys, first, last, length, n): maximal runs of passing rows whose gaps are at most ``bridge`` rows (a number, or one
+    of the keys).  Positions are whole numbers.
+
+    length counts the bridged gaps, n the passing rows only.  Only passing rows are sorted, in chunks of positions; then
+    the first and the last run of each chunk meet those of the key's other chunks, and all other runs stay as they are.
     """
-    hit = df.where(passes).select(*keys, F.col(position).alias("_p"))
-    w = Window.partitionBy(*keys).orderBy("_p")
-    new = F.coalesce((F.col("_p") - F.lag("_p").over(w) - 1 > bridge).cast("int"), F.lit(1))
-    marked = hit.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "run").agg(F.min("_p").alias("first"), F.max("_p").alias("last"), F.count("*").alias("n")).withColumn("length", F.col("last") - F.col("first") + 1)
+    hit = df.where(passes).select(*keys, F.col(position).alias("_p"), F.floor(F.col(position) / chunk).alias("_c"))
+    apart = lambda at, before, w: F.coalesce((F.col(at) - F.lag(before).over(w) - 1 > bridge).cast("int"), F.lit(1))
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys, "_c")
+    w = whole.orderBy("_p")
+    marked = hit.withColumn("_new", apart("_p", "_p", w)).withColumn("_run", F.sum("_new").over(so_far(w)))
+    parts = marked.groupBy(*keys, "_c", "_run").agg(F.min("_p").alias("first"), F.max("_p").alias("last"), F.count("*").alias("n"))
+    border = (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(whole))
+    placed = parts.withColumn("_c", F.when(~border, F.col("_c")))
+    w = Window.partitionBy(*keys, "_c").orderBy("first")
+    joined = placed.withColumn("_new", apart("first", "last", w)).withColumn("_run", F.sum("_new").over(so_far(w)))
+    return joined.groupBy(*keys, "_c", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("_c", "_run").withColumn("length", F.col("last") - F.col("first") + 1)
 
 
 def longest_run(df: DataFrame, keys: Sequence[str], position: str, passes: Column, bridge: int | Column = 0, least: int = 1) -> DataFrame:

@@ -73,9 +73,9 @@ def _r(c: str, n: int = 6):
 )
 def signal_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Rolling mean against the signal 14 samples before, per user."""
-    rolled = order.rolling(_sig(spark, sf), ["user_id"], "rn", ["value"])
-    both = order.lagged(rolled, ["user_id"], "rn", ["value"], 14)
-    return both.groupBy("user_id").agg(F.count("*").alias("n"), F.round(correlation("value_m5", "value_lag"), 6).alias("r"))
+    around = lambda w: w.rowsBetween(-5, 5)
+    both = order.windowed(_sig(spark, sf), ["user_id"], "rn", 14, 5, lambda w: {"m5": F.when(F.count("value").over(around(w)) >= 3, F.avg("value").over(around(w))), "lagged": F.lag("value", 14).over(w)})
+    return both.groupBy("user_id").agg(F.count("*").alias("n"), F.round(correlation("m5", "lagged"), 6).alias("r"))
 
 
 @query(
@@ -447,9 +447,10 @@ def label_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     """The longest run under six variants of threshold and bridge; median and deviation over the variants."""
     s = _sig(spark, sf)
     level = robust.percentile_threshold(s, ["user_id"], "value")
-    each = s.join(level, "user_id").withColumn("m", F.explode(F.array(F.lit(0.85), F.lit(1.0), F.lit(1.15))))
-    made = [runs.longest_run(each, ["user_id", "m"], "rn", F.col("value") > F.col("threshold") * F.col("m"), bridge=b).withColumn("b", F.lit(b)) for b in (1, 2)]
-    return made[0].unionByName(made[1]).groupBy("user_id").agg(F.count("*").alias("variants"), F.round(F.percentile("length", F.lit(0.5)), 6).alias("width"), F.round(F.stddev_pop("length"), 6).alias("spread"))
+    variants = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(b).alias("b")) for m in (0.85, 1.0, 1.15) for b in (1, 2)])
+    met = s.join(level, "user_id").withColumn("v", F.explode(F.filter(variants, lambda v: F.col("value") > F.col("threshold") * v.m))).select("user_id", "rn", "v.m", "v.b")
+    made = runs.longest_run(met, ["user_id", "m", "b"], "rn", F.lit(True), F.col("b"))
+    return made.groupBy("user_id").agg(F.count("*").alias("variants"), F.round(F.percentile("length", F.lit(0.5)), 6).alias("width"), F.round(F.stddev_pop("length"), 6).alias("spread"))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(median(l_extendedprice), 4) AS med, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1, 2")
