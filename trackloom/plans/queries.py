@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackloom.functions import correlation, first_max, first_min, rearranged, recentred, supported
+from trackloom.functions import correlation, first_max, first_min, grid_bin, quality_weight, rearranged, recentred, supported
 from trackloom.operators import frames, grid, learning, order, robust, runs, scoring
-from trackloom.plans import tracks
+from trackloom.plans import extras, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -543,6 +543,142 @@ def fold_planes(spark: SparkSession, sf: str) -> DataFrame:
     return robust.trimmed_planes(_tab(spark, sf), ["fold"], "q", "d", "y").select("fold", _r("a", 3), _r("b", 3), _r("c", 2))
 
 
+_HOURS = ", h AS (SELECT event_type AS track, datediff('hour', (SELECT date_trunc('hour', min(ts)) FROM events), date_trunc('hour', ts))::BIGINT AS frame, event_id, value FROM events), n AS (SELECT track, frame, quantile_cont(value, 0.995) AS level, count(*) AS n FROM h GROUP BY 1, 2)"
+_LASER = (
+    _HOURS
+    + """, e AS (SELECT track, min(level) AS lo, max(level) AS hi, greatest(5, count(*) // 10) AS k FROM n GROUP BY 1), s AS (SELECT n.track, level, lo, hi FROM n JOIN e USING (track) WHERE frame < k),
+    m AS (SELECT track, median(level) AS med FROM s GROUP BY 1), d AS (SELECT track, greatest(lo + 0.2::DOUBLE * (hi - lo), med + 8 * greatest(1.4826::DOUBLE * median(abs(level - med)), 1e-12)) AS limit_ FROM s JOIN m USING (track) GROUP BY track, lo, hi, med),
+    b AS (SELECT track, frame, frame - row_number() OVER (PARTITION BY track ORDER BY frame) AS run FROM n JOIN d USING (track) WHERE level > limit_), r AS (SELECT track, min(frame) AS first, max(frame) + 1 AS stop FROM b GROUP BY track, run),
+    i AS (SELECT track, first, stop FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY stop - first DESC, first) AS place FROM r) WHERE place = 1)"""
+)
+
+
+def _shots(spark: SparkSession, sf: str) -> DataFrame:
+    e = _t(spark, sf, "events").select("event_type", "event_id", "value", F.date_trunc("hour", "ts").alias("hour"))
+    start = e.agg(F.min("hour").alias("start"))
+    hours = ((F.unix_timestamp("hour") - F.unix_timestamp("start")) / 3600).cast("long")
+    return e.join(F.broadcast(start)).select(F.col("event_type").alias("track"), hours.alias("frame"), F.col("event_id").alias("x"), F.lit(0).alias("y"), "value")
+
+
+@query("WITH" + _LASER.removeprefix(",") + " SELECT track, first, stop FROM i")
+def laser_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours of an event type as frames: the longest bright run of each."""
+    return tracks.laser_interval(_shots(spark, sf))
+
+
+@query("WITH" + _LASER.removeprefix(",") + " SELECT track, frame, count(*) AS n, round(100 - (stop - frame - 0.5::DOUBLE) * 0.2::DOUBLE, 6) AS x_mm, (40 - (stop - frame))::INT AS bin FROM h JOIN i USING (track) WHERE stop - frame BETWEEN 1 AND 40 GROUP BY ALL")
+def last_frames(spark: SparkSession, sf: str) -> DataFrame:
+    s = _shots(spark, sf)
+    return tracks.last_frames(s, tracks.laser_interval(s), 40).groupBy("track", "frame", "x_mm", "bin").agg(F.count("*").alias("n")).select("track", "frame", "n", _r("x_mm"), "bin")
+
+
+@query("SELECT b::INT AS bin, count(*) AS n FROM (SELECT 20 + (l_partkey % 801) / 10.0::DOUBLE AS x FROM lineitem) JOIN range(0, 400) AS r(b) ON x >= 20.0::DOUBLE + b * (20.2::DOUBLE - 20.0::DOUBLE) AND x < 20.0::DOUBLE + (b + 1) * (20.2::DOUBLE - 20.0::DOUBLE) GROUP BY 1")
+def grid_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """Values on and between the edges of the 400 bins."""
+    x = _t(spark, sf, "lineitem").select(grid_bin(20 + (F.col("l_partkey") % 801) / F.lit(10.0)).alias("bin"))
+    return x.where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
+
+
+@query("SELECT k::INT AS tile, count(*) AS n FROM (SELECT 20 + (l_partkey % 800) / 10.0::DOUBLE AS x FROM lineitem) JOIN range(0, 12) AS r(k) ON floor((100 - x) / 6.41::DOUBLE) = k GROUP BY 1")
+def tile_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """A position's tile is computed, not searched."""
+    x = _t(spark, sf, "lineitem").select(extras.tile_of(20 + (F.col("l_partkey") % 800) / F.lit(10.0), 12).alias("tile"))
+    return x.where("tile is not null").groupBy("tile").agg(F.count("*").alias("n"))
+
+
+_CELLS = "c AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg((value > 30)::INT) AS valid, CASE WHEN count(value) >= 3 THEN stddev_pop(value) END AS spread FROM events GROUP BY 1, 2)"
+
+
+@query(f"WITH {_CELLS} SELECT event_type, hour, round(greatest(valid, 0.05) / (1 + coalesce(spread, 30) / 30), 6) AS main, round(greatest(valid / (1 + coalesce(spread, 50) / 50), 0.05), 6) AS wide, round(greatest(valid, 0.05), 6) AS plain FROM c")
+def label_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Three ways to rate a label by its valid share and its spread."""
+    v = F.col("value")
+    c = _t(spark, sf, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.avg((v > 30).cast("int")).alias("valid"), supported(F.stddev_pop(v), v, 3).alias("spread"))
+    return c.select("event_type", "hour", F.round(quality_weight("valid", "spread"), 6).alias("main"), F.round(extras.spread_weight("valid", "spread"), 6).alias("wide"), F.round(extras.validity_weight("valid"), 6).alias("plain"))
+
+
+@query(f"WITH {_CELLS} SELECT event_type, count(*) AS n, round(avg((spread IS NULL)::INT), 6) AS spread, round(avg((valid IS NULL)::INT), 6) AS valid FROM c GROUP BY 1")
+def missing_share(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("value")
+    c = _t(spark, sf, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.avg((v > 30).cast("int")).alias("valid"), supported(F.stddev_pop(v), v, 3).alias("spread"))
+    return extras.missing_share(c, ["event_type"], ["valid", "spread"]).select("event_type", "n", _r("valid"), _r("spread"))
+
+
+@query("WITH c AS (SELECT user_id % 10 AS g, user_id, median(value) AS w, stddev_pop(value) AS s FROM events GROUP BY 1, 2) SELECT g, count(*) AS n, round(median(w), 6) AS width, round(median(s), 6) AS spread, round(quantile_cont(s, 0.9), 6) AS p90 FROM c GROUP BY 1")
+def spread_summary(spark: SparkSession, sf: str) -> DataFrame:
+    c = _t(spark, sf, "events").groupBy((F.col("user_id") % 10).alias("g"), "user_id").agg(F.percentile("value", F.lit(0.5)).alias("w"), F.stddev_pop("value").alias("s"))
+    return extras.spread_summary(c, ["g"], "w", "s").select("g", "n", _r("width"), _r("spread"), _r("p90"))
+
+
+@query("SELECT vec_id, pos, round(v, 6) AS v FROM grid WHERE vec_id % 10 = 0 AND pos % 4 = 0", "grid")
+def decimated_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return extras.decimated(_grid(spark, sf), {"vec_id": 10, "pos": 4}).select("vec_id", "pos", _r("v"))
+
+
+@query(_SCAN.replace("range(-6, 7)", "range(-5, 6)").replace("count(*) >= 3", "count(*) >= 20") + ", k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(r) DESC NULLS LAST, lag) AS place FROM c) SELECT user_id, CASE WHEN r IS NULL THEN 0 ELSE lag END AS lag, round(coalesce(r, 0), 6) AS r FROM k WHERE place = 1", "sig")
+def self_aligned(spark: SparkSession, sf: str) -> DataFrame:
+    """The shift at which one series follows another best, 0 without enough pairs."""
+    s = _sig(spark, sf).select("user_id", "rn", F.col("value").alias("a"), ((F.col("rn") * 7919) % 101 + F.col("value") / 10).alias("b"))
+    return extras.aligned(s, "a", "b", 5, 20, "rn", ["user_id"]).select("user_id", "lag", _r("r"))
+
+
+@query(", c AS (SELECT fold, 'q' AS feature, corr(q, y) AS r FROM tab GROUP BY 1 UNION ALL SELECT fold, 'd', corr(d, y) FROM tab GROUP BY 1 UNION ALL SELECT fold, 't', corr(t, y) FROM tab GROUP BY 1) SELECT feature, round(avg(r), 6) AS r FROM c GROUP BY 1 ORDER BY abs(avg(r)) DESC LIMIT 2", "tab")
+def top_local_corr(spark: SparkSession, sf: str) -> DataFrame:
+    """The two features that correlate most with the target within folds."""
+    return extras.local_correlations(_tab(spark, sf), "fold", ["q", "d", "t"], "y", top=2).select("feature", _r("r"))
+
+
+_BINS = """WITH g AS (SELECT (vec_id % 4)::INT AS k, (vec_id // 4)::INT AS bin, embedding AS e FROM embeddings WHERE vec_id // 4 < 400), a AS (SELECT k, b::INT AS bin FROM (SELECT DISTINCT k FROM g) CROSS JOIN range(0, 400) AS r(b)),
+    j AS (SELECT a.k, a.bin, [8, 10, 14, 21][a.k + 1] AS track, [400, 350, 300, 200][a.k + 1] AS power, CASE WHEN g.bin % 3 <> 0 THEN e[1]::DOUBLE END AS width, CASE WHEN g.bin % 5 <> 0 THEN e[2]::DOUBLE END AS th, e[3]::DOUBLE AS sem FROM a LEFT JOIN g USING (k, bin)),
+    d AS (SELECT *, CASE WHEN count(th) OVER w >= 3 THEN avg(th) OVER w END AS m5, CASE WHEN count(th) OVER w >= 3 THEN stddev_pop(th) OVER w END AS s5 FROM j WINDOW w AS (PARTITION BY k ORDER BY bin ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))"""
+
+
+def _dataset(spark: SparkSession, sf: str) -> DataFrame:
+    g = _t(spark, sf, "embeddings").select(F.get(F.array(*[F.lit(t) for t in tracks.POWER]), (F.col("vec_id") % 4).cast("int")).alias("track"), F.floor(F.col("vec_id") / 4).cast("int").alias("bin"), F.col("embedding").cast("array<double>").alias("e")).where("bin < 400")
+    at = lambda i: F.get("e", F.lit(i))
+    width = F.when(F.col("bin") % 3 != 0, at(0))
+    labelled = g.select("track", "bin", width.alias("width"), (width - 1).alias("yl"), (width + 1).alias("yr"), F.lit(0.0).alias("edge_rough"), F.lit(0.5).alias("valid_frac"))
+    return tracks.dataset(labelled, g.select("track", "bin", F.when(F.col("bin") % 5 != 0, at(1)).alias("t")), g.select("track", "bin", at(2).alias("s")))
+
+
+@query(_BINS + " SELECT track, bin, power, round(20 + (bin + 0.5::DOUBLE) * 0.2::DOUBLE, 6) AS x, round(width * 1e3, 6) AS width, round(width * 1e3, 6) AS center, round(th, 6) AS th_t, round(m5, 6) AS th_t_m5, round(s5, 6) AS th_t_s5, round(sem, 6) AS sem_s FROM d")
+def track_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """All bins of all tracks with labels, frame and surface features, and moving statistics."""
+    return _dataset(spark, sf).select("track", "bin", "power", *[_r(c) for c in ("x", "width", "center", "th_t", "th_t_m5", "th_t_s5", "sem_s")])
+
+
+@query(_BINS + ", m AS (SELECT *, lag(th, 14) OVER w AS lt, lag(m5, 14) OVER w AS lm, lag(s5, 14) OVER w AS ls FROM d WHERE width IS NOT NULL WINDOW w AS (PARTITION BY k ORDER BY bin)) SELECT track, bin, round(lt, 6) AS th_t, round(lm, 6) AS th_t_m5, round(ls, 6) AS th_t_s5, 0.25::DOUBLE AS weight FROM m")
+def modelling_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled rows with the frame features of 14 labelled rows before."""
+    d = _dataset(spark, sf).withColumns({"w_ens": F.col("width"), "w_spread": F.lit(30.0)})
+    return tracks.modelling_table(d).select("track", "bin", _r("th_t"), _r("th_t_m5"), _r("th_t_s5"), _r("weight"))
+
+
+_RUNS = """, s AS (SELECT vec_id AS ix, pos AS iy, v FROM grid), t AS (SELECT 0.5 * (quantile_cont(v, 0.3) + quantile_cont(v, 0.85)) AS level FROM s), v AS (SELECT * FROM (VALUES (0, 0.85::DOUBLE, 1), (1, 1.15::DOUBLE, 3)) AS x(variant, f, b)),
+    h AS (SELECT variant, ix, iy, CASE WHEN iy - lag(iy) OVER (PARTITION BY variant, ix ORDER BY iy) - 1 <= b THEN 0 ELSE 1 END AS fresh FROM s, t, v WHERE s.v > level * f),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY variant, ix ORDER BY iy) AS run FROM h), r AS (SELECT variant, ix, min(iy) AS l, max(iy) AS r FROM i GROUP BY variant, ix, run),
+    k AS (SELECT variant, ix, l * 0.01::DOUBLE AS l, r * 0.01::DOUBLE AS r, (r - l + 1) * 0.003982::DOUBLE AS w FROM (SELECT *, row_number() OVER (PARTITION BY variant, ix ORDER BY r - l DESC, l) AS place FROM r) WHERE place = 1),
+    c AS (SELECT x.ix, x.bin, variant FROM (SELECT ix, floor(ix / 8)::INT AS bin FROM (SELECT DISTINCT ix FROM s)) x CROSS JOIN v WHERE bin < 400),
+    m AS (SELECT c.variant, c.bin, k.w, k.l, k.r FROM c LEFT JOIN k ON k.variant = c.variant AND k.ix = c.ix AND k.w >= 0.03),
+    b AS (SELECT variant, bin, avg((w IS NOT NULL)::INT) AS valid_frac, CASE WHEN count(w) >= 4 THEN median(w) END AS width, CASE WHEN count(w) >= 4 THEN median(l) END AS yl, CASE WHEN count(w) >= 4 THEN median(r) END AS yr, CASE WHEN count(w) >= 4 THEN (stddev_pop(l) + stddev_pop(r)) / 2 END AS edge_rough FROM m GROUP BY 1, 2)"""
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    s = _grid(spark, sf).select(F.lit(8).alias("track"), F.col("vec_id").alias("ix"), F.col("pos").alias("iy"), (F.lit(20.0125) + F.col("vec_id") * 0.025).alias("x_mm"), (F.col("pos") * F.lit(0.01)).alias("y_mm"), F.col("v").alias("score"))
+    return tracks.label_bins(s, ((0.85, 1), (1.15, 3)), 0.03, 4)
+
+
+@query(_RUNS + " SELECT variant, bin, round(valid_frac, 6) AS valid_frac, round(width, 6) AS width, round(yl, 6) AS yl, round(yr, 6) AS yr, round(edge_rough, 6) AS edge_rough FROM b", "grid")
+def label_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest run of each column of a score map under two variants, by bins of eight columns."""
+    return _labelled(spark, sf).select("variant", "bin", *[_r(c) for c in ("valid_frac", "width", "yl", "yr", "edge_rough")])
+
+
+@query(_RUNS + " SELECT bin, round(median(width * 1e3), 4) AS w_ens, round(stddev_pop(width * 1e3), 4) AS w_spread, round(max(CASE WHEN variant = 0 THEN width * 1e3 END), 4) AS w_v0, round(max(CASE WHEN variant = 1 THEN width * 1e3 END), 4) AS w_v1 FROM b GROUP BY 1", "grid")
+def width_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    return tracks.label_ensemble(_labelled(spark, sf), 2).select("bin", *[_r(c, 4) for c in ("w_ens", "w_spread", "w_v0", "w_v1")])
+
+
 @query()
 def gbm_quantile_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     """Folds forecast by boosted trees trained on the others: a mean and five quantiles, recentred and scored.  Every row is
