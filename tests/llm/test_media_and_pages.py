@@ -44,6 +44,61 @@ def test_damaged_streams_are_found_again():
         assert media.decode(junk)["offsets"] == [] and media.decode(junk)["duration"] == 0
 
 
+def vbr_frames(n):
+    """Unprotected MPEG-1 Layer III frames of 128 kbit/s at 44.1 kHz, mono: 417 bytes each."""
+    return [bytearray(b"\xff\xfb\x90\xc0" + bytes(413)) for _ in range(n)]
+
+
+def test_variable_bitrate_tables():
+    frames = vbr_frames(4)
+    frames[0][21:37] = b"Xing" + (3).to_bytes(4, "big") + (3).to_bytes(4, "big") + (1251).to_bytes(4, "big")
+    read = media.decode(b"".join(frames))
+    assert read["table"] == {"kind": "Xing", "frames": 3, "bytes": 1251, "toc": b""} and len(read["offsets"]) == 3 and read["offsets"][0] == 417
+    assert read["duration"] == Fraction(3 * 1152, 44100) and read["checked"] == 0
+    frames = vbr_frames(3)
+    frames[0][36:54] = b"VBRI" + bytes(6) + (834).to_bytes(4, "big") + (2).to_bytes(4, "big")
+    read = media.decode(b"".join(frames))
+    assert (read["table"]["kind"], read["table"]["frames"], read["table"]["bytes"]) == ("VBRI", 2, 834) and len(read["offsets"]) == 2
+    assert media.decode(b"".join(vbr_frames(3)))["table"] is None
+
+
+def bitwise_crc(bits):
+    out = 0xFFFF
+    for b in bits:
+        out = ((out << 1) & 0xFFFF) ^ (0x8005 if (out >> 15) != b else 0)
+    return out
+
+
+@pytest.mark.parametrize(
+    ("head", "widths", "bound"),
+    [
+        (b"\xff\xfe\x40\xc0", [4] * 32, 32),  # Layer I, mono
+        (b"\xff\xfe\xc0\x50", [4] * 32, 8),  # Layer I, joint stereo from band 8 on
+        (b"\xff\xfc\x80\xc0", [4] * 11 + [3] * 12 + [2] * 7, 32),  # Layer II, 128 kbit/s mono at 44.1 kHz
+        (b"\xff\xfc\x24\xc0", [4] * 2 + [3] * 6, 32),  # Layer II, 48 kbit/s mono at 48 kHz
+        (b"\xff\xfc\xa0\x40", [4] * 11 + [3] * 12 + [2] * 7, 4),  # Layer II, 192 kbit/s joint stereo at 44.1 kHz
+        (b"\xff\xf4\x80\xc0", [4] * 4 + [3] * 7 + [2] * 19, 32),  # MPEG-2 Layer II, mono
+    ],
+)
+def test_checksums_of_the_other_layers(head, widths, bound):
+    found = media.header(head + bytes(4000), 0)
+    layer, channels = found[1], 1 if head[3] >> 6 == 3 else 2
+    frame = bytearray(head + bytes(2) + bytes((37 * i * i + 11) % 256 for i in range(found[2] - 6)))
+    bits = [(byte >> k) & 1 for byte in frame[6:] for k in range(7, -1, -1)]
+    n = chosen = 0
+    for band, width in enumerate(widths):
+        for _ in range(channels if band < bound else 1):
+            chosen += any(bits[n : n + width]) * (1 if band < bound else channels)
+            n += width
+    n += 2 * chosen if layer == 2 else 0
+    crc = bitwise_crc([(byte >> k) & 1 for byte in head[2:] for k in range(7, -1, -1)] + bits[:n])
+    frame[4:6] = crc.to_bytes(2, "big")
+    whole = media.decode(bytes(frame) * 3)
+    assert (whole["checked"], whole["bad"], len(whole["offsets"])) == (3, 0, 3)
+    frame[6] ^= 0x10
+    assert media.decode(bytes(frame) * 3)["bad"] == 3
+
+
 def test_streams_of_any_bytes(spark):
     rows = spark.createDataFrame([(1, bytearray(media.encode(media.padded(b"abc")))), (2, None), (3, bytearray(b"zz"))], "id long, media binary")
     got = {r.id: r.mpeg for r in media.streams(rows).collect()}

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackloom.llm.store import keep
-
 from trackloom.llm.text import blobs
 
 #: Fixed values of the format: kbit/s by (version 1 or 2, layer) and header index, sample rates of MPEG-1, samples a
@@ -72,6 +71,49 @@ def _protected(frames: np.ndarray) -> None:
     frames[:, 4], frames[:, 5] = crc >> 8, crc & 0xFF
 
 
+def _allocation(family: int, kbits: int, hz: int, channels: int) -> list[int]:
+    """Bits of the allocation of each subband of Layer II, by the format's tables."""
+    if family == 2:
+        runs = ((4, 4), (3, 7), (2, 19))
+    elif kbits // channels <= 48:
+        runs = ((4, 2), (3, 10)) if hz == 32000 else ((4, 2), (3, 6))
+    elif kbits // channels <= 80 or hz == 48000:
+        runs = ((4, 11), (3, 12), (2, 4))
+    else:
+        runs = ((4, 11), (3, 12), (2, 7))
+    return [width for width, n in runs for _ in range(n)]
+
+
+def checked_bits(data: bytes, at: int, found: tuple) -> int:
+    """How many bits behind the checksum of the frame at ``at`` it covers: the side information of Layer III, the bit
+    allocation of Layer I, and that and the choice of scale factors of Layer II."""
+    family, layer, _, hz, _, side = found
+    if layer == 3:
+        return 8 * side
+    channels = 1 if data[at + 3] >> 6 == 3 else 2
+    bound = 4 * ((data[at + 3] >> 4 & 3) + 1) if data[at + 3] >> 6 == 1 else 32
+    if layer == 1:
+        return 4 * 32 if channels == 1 else 4 * (32 + bound)
+    held, n, chosen = int.from_bytes(data[at + 6 : at + 6 + 64].ljust(64, b"\0"), "big"), 0, 0
+    for band, width in enumerate(_allocation(family, KBITS[family, layer][data[at + 2] >> 4], hz, channels)):
+        for _ in range(channels if band < bound else 1):
+            n += width
+            some = held >> (512 - n) & (1 << width) - 1
+            chosen += (some > 0) * (1 if band < bound else channels)
+    return n + 2 * chosen
+
+
+def _crc_bits(data: bytes, at: int, bits: int) -> int:
+    """The checksum over the header's second half and ``bits`` behind the checksum."""
+    size = -(-bits // 8)
+    left = (int.from_bytes(data[at + 2 : at + 4], "big") << bits) | int.from_bytes(data[at + 6 : at + 6 + size], "big") >> 8 * size - bits
+    out = 0xFFFF
+    for k in range(bits + 15, -1, -1):
+        top = (out >> 15) ^ (left >> k & 1)
+        out = (out << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return out
+
+
 def encode(payload: bytes, title: str = "text") -> bytes:
     """The stream that carries ``payload``, whose length is a positive multiple of 576."""
     units = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
@@ -126,7 +168,9 @@ def _sync(data: bytes, at: int, end: int, before: int | None = None) -> int:
 
 
 def _table(data: bytes, at: int, found: tuple) -> dict | None:
-    """The variable-bitrate table in the frame at ``at``, if it is one."""
+    """The variable-bitrate table in the Layer III frame at ``at``, if it is one."""
+    if found[1] != 3:
+        return None
     start = at + 4 + 2 * found[4] + found[5]
     kind = data[start : start + 4]
     if kind in (b"Xing", b"Info"):
@@ -155,6 +199,7 @@ def decode(data: bytes) -> dict:
         tags.append("ID3v1")
     offsets, sizes, duration, table, skipped, hz, checks = [], [], Fraction(0), None, 0, 0, []
     samples: dict[int, int] = {}
+    others = bad = 0
     first = True
     while at < end:
         found = header(data, at)
@@ -173,19 +218,22 @@ def decode(data: bytes) -> dict:
             at += found[2]
             continue
         family, layer, size, hz, protected, side = found
-        if protected and layer == 3 and side:
+        if protected and layer == 3:
             checks.append((at, side))
+        elif protected:
+            others += 1
+            bad += _crc_bits(data, at, checked_bits(data, at, found)) != int.from_bytes(data[at + 4 : at + 6], "big")
         offsets.append(at)
         sizes.append(size)
         samples[hz] = samples.get(hz, 0) + SAMPLES[family, layer]
         at += size
     duration = sum((Fraction(n, rate) for rate, n in samples.items()), Fraction(0))
-    bad, raw = 0, np.frombuffer(data, np.uint8)
+    raw = np.frombuffer(data, np.uint8)
     for side in {s for _, s in checks}:
         at_all = np.array([a for a, s in checks if s == side])
         rows = raw[at_all[:, None] + np.array([2, 3, *range(6, 6 + side)])]
         bad += int((crc16(rows) != (raw[at_all + 4].astype(np.uint32) << 8 | raw[at_all + 5])).sum())
-    return {"tags": tags, "table": table, "offsets": offsets, "sizes": sizes, "duration": duration, "hz": hz, "skipped": skipped, "checked": len(checks), "bad": bad}
+    return {"tags": tags, "table": table, "offsets": offsets, "sizes": sizes, "duration": duration, "hz": hz, "skipped": skipped, "checked": len(checks) + others, "bad": bad}
 
 
 def payload_of(data: bytes, offsets: list[int]) -> bytes:
