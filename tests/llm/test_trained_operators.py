@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import language, quality, toxicity
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +41,7 @@ def test_toxic_documents_are_told_from_clean_ones(spark, tables):
     checked(out, docs, True, 0.5)
     held = out.where("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
     share = {r.toxic: r.p for r in held}
-    assert share[0] <= 0.05 and share[1] >= 0.6
+    assert share[0] <= 0.01 and share[1] >= 0.8
     clean = toxicity.clean(docs, labels)
     assert clean.columns == docs.columns and 0.85 < clean.count() / docs.count() < 0.97
 

@@ -1,6 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a small calibrated network.
 
-Every hashed token (run of letters and digits, or run of punctuation, case kept) has a sparse random index vector.
+Every token (run of letters and digits, or run of punctuation, case kept) is hashed into one of ``BUCKETS``, which has a
+sparse random index vector; words that share a bucket share a vector, so more buckets tell more rare words apart.
 A token's word vector is the sum of the index vectors of its neighbours within two places, over all documents.  A
 document's features are the mean of its tokens' normalised word vectors and their spread.  A two-layer network in
 numpy is trained on a bounded labelled sample, and one temperature, fitted on a part that training didn't see,
@@ -20,7 +21,7 @@ from trackloom.llm.text import ALNUM, NOT_SPACE, blobs, grouped, hashed, pieces,
 from trackloom.llm.training import held_out, in_one_task, labelled, totals
 
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 48 << 20
-BUCKETS, DIMENSIONS, NONZERO, REACH = 4096, 32, 4, 2
+BUCKETS, DIMENSIONS, NONZERO, REACH = 16384, 32, 4, 2
 HIDDEN, EPOCHS, RATE, DECAY, BATCH = 32, 60, 3e-3, 1e-3, 128
 THRESHOLD = 0.3
 
@@ -98,9 +99,11 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """Per text: the mean of its tokens' vectors and their root mean square; zeros without tokens."""
     each = _tokens(texts)
-    bags = np.stack([np.bincount(t, minlength=len(vectors)) for t in each]).astype(np.float64)
+    some, places = np.unique(np.concatenate(each), return_inverse=True)
+    parts = np.split(places, np.cumsum([len(t) for t in each])[:-1])
+    bags, own = np.stack([np.bincount(t, minlength=len(some)) for t in parts]).astype(np.float64), vectors[some]
     n = np.maximum(bags.sum(axis=1, keepdims=True), 1)
-    return np.hstack([bags @ vectors / n, np.sqrt(bags @ vectors**2 / n)])
+    return np.hstack([bags @ own / n, np.sqrt(bags @ own**2 / n)])
 
 
 def features(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
