@@ -19,18 +19,18 @@ def moments(df: DataFrame, keys: Sequence[str], x: str, y: str, value: str, thre
     """(keys, threshold, area, cx, cy, len, wid, ecc, skewx): moments of the pixels above each threshold.
 
     len and wid are four population deviations, ecc is the ratio of the deviations and skewx the correlation of the
-    coordinates; all but the area are NULL for fewer than ``least`` pixels.  All thresholds come from one pass.
+    coordinates (deviations below 1e-9 pixels count as that); all but the area are NULL for fewer than ``least`` pixels.  All thresholds come from one pass.
     """
     each = df.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
     on = lambda c: F.when(F.col(value) > F.col("threshold"), F.col(c).cast("double") * pixel)
-    tiny = F.lit(1e-9)
+    tiny = lambda power: F.lit(1e-9 * pixel**power)
     out = each.groupBy(*keys, "threshold").agg(
         F.count(on(x)).alias("n"), F.avg(on(x)).alias("cx"), F.avg(on(y)).alias("cy"), F.stddev_pop(on(x)).alias("sx"), F.stddev_pop(on(y)).alias("sy"), F.covar_pop(on(x), on(y)).alias("sxy")
     )
     enough = lambda c: F.when(F.col("n") >= least, c)
     return out.select(
         *keys, "threshold", (F.col("n") * pixel * pixel).alias("area"), enough(F.col("cx")).alias("cx"), enough(F.col("cy")).alias("cy"), enough(4 * F.col("sx")).alias("len"), enough(4 * F.col("sy")).alias("wid"),
-        enough(F.col("sx") / F.greatest(F.col("sy"), tiny)).alias("ecc"), enough(F.col("sxy") / F.greatest(F.col("sx") * F.col("sy"), tiny)).alias("skewx"),
+        enough(F.col("sx") / F.greatest(F.col("sy"), tiny(1))).alias("ecc"), enough(F.col("sxy") / F.greatest(F.col("sx") * F.col("sy"), tiny(2))).alias("skewx"),
     )
 
 

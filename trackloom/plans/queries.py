@@ -318,14 +318,19 @@ def split_search(spark: SparkSession, sf: str) -> DataFrame:
     return learning.split_gain(t, "fold", ["q", "d", "t"], "y").select("fold", "feature", "bin", F.round(F.col("gain") / 1e9, 4).alias("gain"))
 
 
-def _plane_sql(by: str, rounds: int) -> str:
-    """The fit of each key, and ``rounds`` - 1 more over the rows whose residual lies between the 5th and 95th percentile."""
+def _fits_sql(rounds: int) -> str:
+    """The planes f0, f1 ... of t0 (fold, q, d, y): the fit of each key, and ``rounds`` - 1 more over the rows whose residual
+    lies between the 5th and 95th percentile."""
     fit = "SELECT fold, n, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS a, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS b, mx, my, mz FROM (SELECT fold, count(*) AS n, var_pop(q) AS xx, var_pop(d) AS yy, covar_pop(q, d) AS xy, covar_pop(q, y) AS xz, covar_pop(d, y) AS yz, avg(q) AS mx, avg(d) AS my, avg(y) AS mz FROM {} GROUP BY 1)"
-    out = f", t0 AS (SELECT {by} AS fold, q, d, y FROM tab), f0 AS (SELECT fold, a, b, mz - a * mx - b * my AS c FROM ({fit.format('t0')}))"
+    out = f", f0 AS (SELECT fold, a, b, mz - a * mx - b * my AS c FROM ({fit.format('t0')}))"
     for i in range(1, rounds):
         out += f", o{i} AS (SELECT t0.*, y - (a * q + b * d + c) AS o FROM t0 JOIN f{i - 1} USING (fold)), k{i} AS (SELECT fold, quantile_cont(o, 0.05) AS lo, quantile_cont(o, 0.95) AS hi FROM o{i} GROUP BY 1), t{i} AS (SELECT o{i}.* FROM o{i} JOIN k{i} USING (fold) WHERE o BETWEEN lo AND hi)"
         out += f", f{i} AS (SELECT fold, a, b, mz - a * mx - b * my AS c FROM ({fit.format(f't{i}')}))"
-    return out + f" SELECT {'fold, ' if by == 'fold' else ''}round(a, 3) AS a, round(b, 3) AS b, round(c, 2) AS c FROM f{rounds - 1}"
+    return out
+
+
+def _plane_sql(by: str, rounds: int) -> str:
+    return f", t0 AS (SELECT {by} AS fold, q, d, y FROM tab)" + _fits_sql(rounds) + f" SELECT {'fold, ' if by == 'fold' else ''}round(a, 3) AS a, round(b, 3) AS b, round(c, 2) AS c FROM f{rounds - 1}"
 
 
 @query(_plane_sql("0", 1), "tab")
@@ -679,6 +684,44 @@ def width_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     return tracks.label_ensemble(_labelled(spark, sf), 2).select("bin", *[_r(c, 4) for c in ("w_ens", "w_spread", "w_v0", "w_v1")])
 
 
+@query(
+    _RUNS
+    + ", lab AS (SELECT bin, yl, yr FROM b WHERE variant = 0), sd AS (SELECT median(yl) AS ml, median(yr) AS mr FROM lab), t0 AS (SELECT 0 AS fold, 20.0125::DOUBLE + ix * 0.025::DOUBLE AS q, iy * 0.01::DOUBLE AS d, s.v AS y FROM s, sd WHERE NOT coalesce(iy * 0.01::DOUBLE BETWEEN ml - 0.02 AND mr + 0.02, false))"
+    + _fits_sql(3)
+    + """, z AS (SELECT bin, (s.v - (a * (20.0125::DOUBLE + ix * 0.025::DOUBLE) + f2.b * (iy * 0.01::DOUBLE) + c)) * 1e3 AS z FROM s JOIN lab ON lab.bin = floor(ix / 8), f2 WHERE iy * 0.01::DOUBLE BETWEEN yl AND yr)
+    SELECT bin, round(quantile_cont(z, 0.98), 4) AS z_peak, round(avg(z), 4) AS z_mean, round(quantile_cont(z, 0.02), 4) AS z_valley, round(quantile_cont(z, 0.95) - quantile_cont(z, 0.05), 4) AS z_range FROM z GROUP BY 1 HAVING count(*) >= 20""",
+    "grid",
+)
+def height_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """Values over the plane beside the labelled band, within the band, by bin."""
+    h = _grid(spark, sf).select(F.lit(8).alias("track"), F.col("vec_id").alias("ix"), F.col("pos").alias("iy"), (F.lit(20.0125) + F.col("vec_id") * 0.025).alias("x_mm"), (F.col("pos") * F.lit(0.01)).alias("y_mm"), F.col("v").alias("z_mm"))
+    lab = _labelled(spark, sf).where("variant = 0").select("track", "bin", "yl", "yr")
+    return tracks.height_bins(h, lab, 0.02, 20, (1, 1)).select("bin", *[_r(c, 4) for c in ("z_peak", "z_mean", "z_valley", "z_range")])
+
+
+def _moments_sql(t: int) -> str:
+    on = f"FILTER (v > {t})"
+    few = f"CASE WHEN count(*) {on} >= 5 THEN"
+    px = "0.014::DOUBLE"
+    sx, sy = f"stddev_pop(x) {on}", f"stddev_pop(y) {on}"
+    parts = {"cx": f"avg(x) {on} * {px}", "cy": f"avg(y) {on} * {px}", "len": f"4 * {sx} * {px}", "wid": f"4 * {sy} * {px}", "ecc": f"{sx} / greatest({sy}, 1e-9)", "skewx": f"covar_pop(x, y) {on} / greatest({sx} * ({sy}), 1e-9)"}
+    return ", ".join([f"round(count(*) {on} * {px} * {px}, 6) AS a{t}"] + [f"round({few} {e} END, {9 if n in ('cx', 'cy') else 5}) AS {n}{t}" for n, e in parts.items() if t in tracks.DETAILED])
+
+
+@query(
+    f""", s AS (SELECT vec_id AS bin, pos % 8 AS x, pos // 8 AS y, 1500 + v * 3000 AS v FROM grid), p AS (SELECT bin, x, max(v) AS v FROM s GROUP BY 1, 2), k AS (SELECT bin, arg_max(x, (v, -x)) AS peak FROM p GROUP BY 1), j AS (SELECT p.*, peak FROM p JOIN k USING (bin)),
+    t AS (SELECT bin, round((coalesce(min(x) FILTER (x > peak AND NOT v > 1200), max(x) + 1) - coalesce(max(x) FILTER (x < peak AND NOT v > 1200), -1) - 1) * 0.014::DOUBLE, 6) AS tail_len, round(CASE WHEN count(*) FILTER (x < peak) >= 6 THEN regr_slope(v, x) FILTER (x < peak) END, 4) AS tail_grad FROM j GROUP BY 1),
+    m AS (SELECT bin, round(max(v), 4) AS t_max, round(quantile_cont(v, 0.999), 4) AS t_p999, round(quantile_cont(v, 0.99), 4) AS t_p99, round(sum(greatest(v - 1000, 0)) / 1e4, 6) AS t_sum_above1000, {", ".join(_moments_sql(t) for t in tracks.LEVELS)} FROM s GROUP BY 1) SELECT * FROM m JOIN t USING (bin)""",
+    "grid",
+)
+def thermal_features(spark: SparkSession, sf: str) -> DataFrame:
+    """All features of 8 x 8 frames: brightness, areas, moments, tail."""
+    s = _grid(spark, sf).select(F.col("vec_id").alias("bin"), (F.col("pos") % 8).alias("x"), F.floor(F.col("pos") / 8).alias("y"), (1500 + F.col("v") * 3000).alias("value"))
+    made = tracks.thermal_features(s, ["bin"])
+    places = {"t_max": 4, "t_p999": 4, "t_p99": 4, "tail_grad": 4}
+    return made.select("bin", *[_r(c, places.get(c, 6 if c[0] in "at" else 9 if c[:2] in ("cx", "cy") else 5)) for c in made.columns if c != "bin"])
+
+
 @query()
 def gbm_quantile_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     """Folds forecast by boosted trees trained on the others: a mean and five quantiles, recentred and scored.  Every row is
