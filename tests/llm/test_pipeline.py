@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
-from trackloom.llm import decontaminate, mixing, toxicity
+from trackloom.llm import decontaminate, mixing, store, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, found string"
@@ -54,7 +55,10 @@ def test_every_stage_acts_on_what_the_one_before_kept(spark):
 def test_odd_rows(spark, tmp_path):
     rows = [(1, words(60), "en", "a", 1, 7, "x"), (2, words(59) + " tail", "en", "a", 1, 7, "x"), (3, f"say {BENCH} done", "en", "b", 1, 7, "x"), (4, None, None, None, None, None, None), (5, "", "en", "b", 1, 7, "x"), (6, words(20, 500), None, None, 1, None, None)]
     rows += [(6, words(20, 500), None, None, 1, None, None)] * 3 + [(None, words(30, 900), "en", "b", 1, 7, "x")] * 2 + [(7, words(30_000, 2000), "en", "a", 1, 7, "x")]
+    shared = Path(store.shared_dir(spark).removeprefix("file:")) / "trackloom"
+    before = set(shared.glob("*"))
     out = corpus_pipeline.run(spark, made(spark, tmp_path, rows))
+    assert [p.name.split("-")[0] for p in set(shared.glob("*")) - before] == ["sharding"]
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "found", "shard_", "slot"]
     got = Counter(r.doc_id for r in out.collect())
     assert not {2, 3} & set(got) and set(got) <= {None, 1, 6, 7} and max(got.values()) <= 2

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What ``keep`` has written since ``settled`` began, for each call of it that is open.
+_WRITTEN: list[list[str]] = []
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later steps neither recompute it nor depend
     on the executors that made it."""
@@ -29,9 +32,30 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/trackloom/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    for written in _WRITTEN[-1:]:
+        written.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """What ``make`` gives, kept, and its folder; the tables that ``keep`` wrote on the way are removed.  Nothing made within may be read
+    afterwards but the result."""
+    _WRITTEN.append([])
+    try:
+        out = keep(make(), name)
+        folder = _WRITTEN[-1].pop()
+    finally:
+        for path in _WRITTEN.pop():
+            removed(spark, path)
+    return out, folder
+
+
+def removed(spark: SparkSession, path: str) -> bool:
+    """Delete a folder of the shared store, if it is there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def summed_before(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, chunk: int = 4096) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows of the same keys that come before, by ``order``, a whole number
     that does not repeat within the keys.  Rows are summed up in chunks of the order and the chunks' sums in a second
