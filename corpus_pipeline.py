@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trackloom.llm import decontaminate, mixing, near_dup, sharding, toxicity
-from trackloom.llm.store import keep
+from trackloom.llm.store import removed, settled
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shards of the corpus of ``sf_dir``: the columns of documents, shard and slot."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The shards of the corpus of ``sf_dir``: the columns of documents, shard and slot.
+
+    Each stage's result is written and read again, and what its operators wrote on the way is removed; so is the result of
+    the stage before."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        docs, folder = settled(spark, lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
+        if before:
+            removed(spark, before)
+        before = folder
     return docs
