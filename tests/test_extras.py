@@ -111,3 +111,24 @@ def test_tables_behind_plots(spark):
     assert (r.low90, r.low50, r.high50, r.high90, r.left, r.right) == (2.0, 4.0, 8.0, 10.0, -2.0, 4.0)
     none = d.where("false")
     assert extras.spread_summary(none, ["track"], "width", "a").count() == extras.missing_share(none, ["track"], ["a"]).count() == extras.local_correlations(none, "track", ["a"], "width").count() == 0
+
+
+def test_stack_of_root_law_trees_and_neighbours(spark, tmp_path):
+    d = table_of(spark).query("bin < 60")
+    d["power"] = d.track.map({8: 400, 10: 350, 14: 300, 21: 200})
+    d["width"] = 40 * np.sqrt(d.power) + d.width - 500
+    spark.createDataFrame(d).write.parquet(str(tmp_path / "t"))
+    made, card = extras.stacked(spark.read.parquet(str(tmp_path / "t")), "key", ["a", "b"], (8, 10, 14), (21,), least=5)
+    rows, scores = by(made, "key"), by(card, "track")
+    assert len(rows) == len(d) and set(scores) == {(8,), (10,), (14,), (21,)}
+    medians = d[d.track != 21].groupby("power").width.median()
+    slope, level = np.polyfit(np.sqrt(medians.index), medians.values, 1)
+    train = d[d.track != 21]
+    mu, sd = train[["a", "b"]].mean().to_numpy(), train[["a", "b"]].std(ddof=0).to_numpy() + 1e-9
+    x = (train[["a", "b"]].to_numpy() - mu) / sd
+    rest = train.width.to_numpy() - slope * np.sqrt(train.power.to_numpy()) - level
+    for r in d[d.track == 21].head(10).itertuples():
+        nearest = np.argsort((((np.array([r.a, r.b]) - mu) / sd - x) ** 2).sum(1))[:15]
+        got = rows[(r.key,)]
+        assert got.line == pytest.approx(slope * np.sqrt(200) + level) and got.knn == pytest.approx(got.line + rest[nearest].mean()) and got.p == pytest.approx((got.gbm + got.knn) / 2)
+    assert scores[(21,)].mae_ens < 20 and scores[(21,)].cov90_cal >= scores[(21,)].cov90_raw or scores[(21,)].factor < 1

@@ -273,3 +273,16 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 15, block: int = 2048)
         return rows.sparkSession.createDataFrame([], "query long, id long, distance double, rank int")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def neighbour_forecast(known: DataFrame, asked: DataFrame, key: str, features: Sequence[str], y: str, k: int = 15) -> DataFrame:
+    """(key, forecast): the mean ``y`` of the ``k`` nearest rows of ``known`` for each row of ``asked``.
+
+    Features are standardised by the known rows, and an unknown one takes their mean.  Keys are whole numbers that differ
+    within each table."""
+    stats = known.agg(*[F.struct(F.avg(f).alias("m"), (F.stddev_pop(f) + 1e-9).alias("s")).alias(f"_{f}") for f in features])
+    vec = F.array(*[F.coalesce((F.col(f) - F.col(f"_{f}.m")) / F.col(f"_{f}.s"), F.lit(0.0)) for f in features])
+    place = lambda df: df.join(F.broadcast(stats)).select(F.col(key).cast("long").alias("id"), vec.alias("vec"))
+    near = nearest(place(known), place(asked), k)
+    means = near.join(known.select(F.col(key).cast("long").alias("id"), F.col(y).alias("_y")), "id").groupBy("query").agg(F.avg("_y").alias("forecast"))
+    return asked.select(key).join(means, F.col(key).cast("long") == F.col("query")).select(key, "forecast")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import correlation, first_min, rearranged, recentred, widened
-from trackloom.operators import learning, order, scoring
+from trackloom.operators import learning, order, robust, scoring
 from trackloom.plans import tracks
 from trackloom.sources.profiles import TILE_MM
 
@@ -164,3 +164,39 @@ def blended(table: DataFrame, key: str, features: Sequence[str], train: Sequence
     y, q = F.col("y"), F.col("q")
     card = wide.where(held).groupBy("track", "alpha", "factor").agg(off("gbm").alias("mae_gbm"), off("anchor").alias("mae_anchor"), off("p").alias("mae_blend"), F.avg(scoring.crps(y, q)).alias("crps"), F.avg(scoring.inside(y, q, 0, 4)).alias("cov90"), F.avg(scoring.inside(y, q, 1, 3)).alias("cov50"), correlation("p", "y").alias("r"))
     return wide.select("track", key, "y", "p", "q"), card
+
+
+def stacked(table: DataFrame, key: str, features: Sequence[str], train: Sequence[int], holdout: Sequence[int], target: str = "width", weight: str | None = None, power: str = "power", share: float = 0.9, **settings) -> tuple[DataFrame, DataFrame]:
+    """Forecasts (track, key, y, line, gbm, knn, p, q), and a row of scores of each track (mae_physics, mae_gbm, mae_knn, mae_ens,
+    crps_raw, cov90_raw, factor, crps_cal, cov90_cal, r).
+
+    A track's width is a line in the root of the power, through the medians of the other training tracks, plus what trees and
+    neighbours, half and half, forecast of the rest.  Quantiles of the rest are moved to that forecast and grow by the
+    factor that covers ``share`` of the training tracks' misses.  The rest depends on the line, so tracks, which are few, are
+    forecast one after the other.  Keep ``table`` in a written form: it is read several times."""
+    known = table.where(F.col(target).isNotNull())
+    made = None
+    for track in (*train, *holdout):
+        others = [t for t in train if t != track]
+        level = known.where(F.col("track").isin(others)).groupBy(power).agg(F.percentile(target, F.lit(0.5)).alias("_w")).withColumn("_root", F.sqrt(power))
+        line = F.broadcast(robust.line(level, [], "_root", "_w"))  # one row
+        base = known.where(F.col("track").isin([*others, track])).join(line).withColumn("_line", F.col("slope") * F.sqrt(power) + F.col("intercept")).withColumn("_rest", F.col(target) - F.col("_line")).withColumn("_role", (F.col("track") == track).cast("int")).drop("slope", "intercept")
+        heads = [learning.Head("_gbm", "_rest", None, 150, weight), *[learning.Head(f"_q{i}", "_rest", a, 100) for i, a in enumerate(scoring.QUANTILES)]]
+        own, rest = base.where("_role = 1"), base.where("_role = 0")
+        # the track's own rest is hidden, and only its rows are forecast
+        trees = learning.fold_forecasts(base, "_role", key, features, heads, [0], **settings).where("_role = 1").drop("_role")
+        near = learning.neighbour_forecast(rest, own, key, features, "_rest").withColumnRenamed("forecast", "_knn")
+        both = own.select("track", key, F.col(target).alias("y"), "_line").join(trees, key).join(near, key)
+        both = both.withColumn("_rest", (F.col("_gbm") + F.col("_knn")) / 2)
+        q = F.transform(recentred(rearranged(F.array(*[f"_q{i}" for i in range(5)])), "_rest"), lambda x: x + F.col("_line"))
+        part = both.select("track", key, "y", F.col("_line").alias("line"), (F.col("_line") + F.col("_gbm")).alias("gbm"), (F.col("_line") + F.col("_knn")).alias("knn"), (F.col("_line") + F.col("_rest")).alias("p"), q.alias("q"))
+        made = part if made is None else made.unionByName(part)
+    factor = scoring.score_quantile(made.where(F.col("track").isin(list(train))), [], "y", "p", F.get("q", F.lit(0)), F.get("q", F.lit(4)), share)
+    wide = made.crossJoin(F.broadcast(factor)).withColumn("_w", widened("q", "p", F.col("factor")))  # one row
+    off = lambda c: F.avg(F.abs(F.col("y") - F.col(c)))
+    y, q, w = F.col("y"), F.col("q"), F.col("_w")
+    card = wide.groupBy("track", "factor").agg(
+        off("line").alias("mae_physics"), off("gbm").alias("mae_gbm"), off("knn").alias("mae_knn"), off("p").alias("mae_ens"), F.avg(scoring.crps(y, q)).alias("crps_raw"), F.avg(scoring.inside(y, q, 0, 4)).alias("cov90_raw"),
+        F.avg(scoring.crps(y, w)).alias("crps_cal"), F.avg(scoring.inside(y, w, 0, 4)).alias("cov90_cal"), correlation("p", "y").alias("r"),
+    )
+    return made, card
