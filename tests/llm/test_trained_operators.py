@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import language, quality, toxicity
 
-SF = "/root/testdata/sf0.1"
+def read(spark, sf):
+    return spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
 
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    return read(spark, "sf0.01")
 
 
 def odd(spark):
@@ -35,8 +36,8 @@ def checked(out, docs, predicted, least):
     return rows
 
 
-def test_toxic_documents_are_told_from_clean_ones(spark, tables):
-    docs, labels = tables
+def test_toxic_documents_are_told_from_clean_ones(spark):
+    docs, labels = read(spark, "sf0.1")
     out = toxicity.report(docs, labels)
     checked(out, docs, True, 0.5)
     held = out.where("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
