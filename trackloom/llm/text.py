@@ -48,6 +48,12 @@ class _Tables:
 
 _TABLES = _Tables()
 
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse, ``n`` of each at least."""
+    return _TABLES.upto(n)
+
+
 #: ``[^\x20\x09-\x0D]+``
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
