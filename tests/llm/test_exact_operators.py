@@ -148,7 +148,8 @@ def leaks(text, items):
             if tuple(w[i : i + n]) in grams:
                 hit |= set(range(i, i + n))
                 found.add(item)
-    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+    best = min(((-n, at, item) for item, _, at, n in longest(text, items)), default=(0, None, None))
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), -best[0], *best[1:]
 
 
 @pytest.mark.parametrize("slice_bytes", [16 << 20, 300])
@@ -163,7 +164,7 @@ def test_benchmark_windows_match_brute_force(spark, slice_bytes):
     assert Counter(tuple(r) for r in decontaminate.report(table(spark, docs), benchmark).collect()) == want
     clean = decontaminate.clean(table(spark, docs), benchmark)
     assert clean.columns == table(spark, []).columns
-    assert Counter(r.doc_id for r in clean.collect()) == Counter(w[0] for w, n in want.items() for _ in range(n) if not w[-1])
+    assert Counter(r.doc_id for r in clean.collect()) == Counter(w[0] for w, n in want.items() for _ in range(n) if not w[5])
 
 
 def test_longest_matches_have_their_places(spark):
@@ -182,7 +183,7 @@ def longest(text, items):
                 n = 0
                 while i + n < len(w) and j + n < len(b) and w[i + n] == b[j + n]:
                     n += 1
-                if n >= min(10, len(b)) and not (i and j and w[i - 1] == b[j - 1]):
+                if n and n >= min(10, len(b)) and not (i and j and w[i - 1] == b[j - 1]):
                     out.add((item, j, i, n))
     return out
 
@@ -204,6 +205,18 @@ def test_items_without_ids_are_sliced_by_size(spark):
     assert all(found[i].hits == [[0, 12]] and found[i]["items"] == [""] for i in range(20)) and found[99].hits == []
 
 
+def test_one_scan_meets_all_slices(spark, monkeypatch):
+    """Five slices and blocks of few pairs: one pass over the documents, and the matches of one slice."""
+    items = spark.createDataFrame([(f"i{i}", words(40, 13 * i)) for i in range(10)], "item_id string, text string").repartition(1).cache()
+    docs = table(spark, [(i, words(30 + i, 11 * i), "s") for i in range(20)] + ODD)
+    want = {(r.doc_id, str(r.found)) for r in decontaminate.matched(docs, items, ["doc_id"]).collect()}
+    monkeypatch.setattr(decontaminate, "PAIRS", 4)
+    made = decontaminate.matched(docs, items, ["doc_id"], slice_bytes=400)
+    assert len(decontaminate._sliced(items, 400)) >= 5
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {(r.doc_id, str(r.found)) for r in made.collect()} == want
+
+
 def test_no_benchmark_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id string, text string")
     assert {r.contaminated for r in decontaminate.report(table(spark, ODD), none).collect()} == {False}

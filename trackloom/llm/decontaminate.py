@@ -5,10 +5,12 @@ by the first word, then by the first two, four and eight give the order by a win
 window of a benchmark text) is found in each of these orders by binary search, and the shard is refined only while some
 test suffix is still in it.  Where a window is found, the array gives all its verbatim occurrences; those that can't be
 extended to the left are extended to the right as far as both texts agree, which gives the longest matches and their
-locations.  Nothing that knows the test set chooses which suffixes are sorted.
+locations.  All else is read off these: the words that windows hit are those of the matches, the items theirs.  Nothing
+that knows the test set chooses which suffixes are sorted.
 
 Benchmark texts are dealt into slices of at most ``slice_bytes`` by their place in a running sum (a longer single text
-is a slice of its own), and each slice in turn goes to all tasks.  Documents are never shuffled.
+is a slice of its own).  Documents are read once and never shuffled; a task holds one slice at a time and takes all of
+them over each batch of documents.
 """
 
 from __future__ import annotations
@@ -18,16 +20,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackloom.llm.store import keep, summed_before
-from trackloom.llm.text import ALNUM, blobs, doc_hashes, grouped, spans
+from trackloom.llm.text import ALNUM, blobs, doc_hashes, grouped
 
 WINDOW, SLICE_BYTES = 10, 16 << 20
 #: Words of a shard; a longer document is a shard of its own.
 SHARD_WORDS = 1 << 19
+#: Pairs of a shard's place and a benchmark's that are looked at together; one place's pairs stay together.
+PAIRS = 1 << 18
 
 #: Stands between texts; no word has this hash, but for one chance in 2^64.
 _GAP = np.zeros(1, np.uint64)
@@ -136,8 +141,8 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Shard:
     """The words of some documents, and what the benchmark has in common with them."""
 
-    def __init__(self, index: Index, matches: bool) -> None:
-        self.index, self.matches = index, matches
+    def __init__(self, index: Index) -> None:
+        self.index = index
         self.docs: list[int] = []
         self.rows: list[np.ndarray] = []
         self.held = 0
@@ -150,15 +155,10 @@ class _Shard:
         self.held += len(words)
 
     def search(self, out: dict) -> None:
-        """Puts (hits, items, matches) of each document with any into ``out``, and lets the documents go."""
+        """Adds each document's longest matches to its list in ``out``, and lets the documents go."""
         if self.held:
             words = np.concatenate([_GAP, *[x for w in self.rows for x in (w, _GAP)]])
-            sizes = np.array([len(w) for w in self.rows])
-            starts = np.cumsum(sizes + 1) - sizes
-            owner = np.repeat(np.arange(len(sizes) + 1), np.concatenate([sizes + 1, [1]]))
             orders = _Orders(words, self.index.words)
-            edges = np.zeros(len(words) + 1, np.int64)
-            pairs, matches = [], []
             for w in self.index.windows:
                 found = orders.by(w.length)
                 ranks = found.test[w.some] if found else np.empty(0, np.int32)
@@ -168,48 +168,32 @@ class _Shard:
                 array = np.argsort(found.ranks, kind="stable")
                 ordered = found.ranks[array]
                 at, which = _ranges(*(np.searchsorted(ordered, ranks[seen], side) for side in ("left", "right")))
-                at, window = array[at], seen[which]
-                np.add.at(edges, at, 1)
-                np.add.at(edges, at + w.length, -1)
-                # an item of a window once for each document that has the window
-                own = np.unique(owner[at] * len(w.some) + window)
-                places, which = _ranges(w.first[own % len(w.some)], w.first[own % len(w.some) + 1])
-                pairs.append(np.unique((own // len(w.some))[which] * (len(self.index.items) + 1) + self.index.items_of(w.places[places])))
-                if self.matches:
-                    matches += self._longest(words, w, at, window)
-            if pairs:
-                self._give(out, np.cumsum(edges)[:-1] > 0, starts, owner, np.unique(np.concatenate(pairs)), matches)
+                self._longest(out, words, w, array[at], seen[which])
         self.docs, self.rows, self.held = [], [], 0
 
-    def _longest(self, words: np.ndarray, w: Windows, at: np.ndarray, window: np.ndarray, block: int = 1 << 12) -> list[tuple[int, int, int]]:
-        """(place, place in the test words, length) of the matches that can be extended to no side."""
-        test, out = self.index.words, []
-        for k in range(0, len(at), block):
-            place, which = _ranges(w.first[window[k : k + block]], w.first[window[k : k + block] + 1])
-            i, j = at[k : k + block][which], w.places[place]
-            left = words[i - 1] != test[j - 1]
-            left |= words[i - 1] == 0
+    def _longest(self, out: dict, words: np.ndarray, w: Windows, at: np.ndarray, window: np.ndarray) -> None:
+        """The matches of windows at places of the shard that can be extended to neither side, in blocks of pairs of places."""
+        test, index = self.index.words, self.index
+        sizes = np.array([len(x) for x in self.rows])
+        starts = np.cumsum(sizes + 1) - sizes
+        owner = np.repeat(np.arange(len(sizes) + 1), np.concatenate([sizes + 1, [1]]))
+        first = np.searchsorted(index.owner, np.arange(len(index.items))) + 1
+        pairs = np.cumsum(w.first[window + 1] - w.first[window])
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(pairs, np.arange(PAIRS, pairs[-1], PAIRS)), [len(at)]])) if len(pairs) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            place, which = _ranges(w.first[window[a:b]], w.first[window[a:b] + 1])
+            i, j = at[a:b][which], w.places[place]
+            left = (words[i - 1] != test[j - 1]) | (words[i - 1] == 0)
             i, j = i[left], j[left]
             n = np.full(len(i), w.length)
             more = np.arange(len(i))
             while len(more):
-                a, b = words[i[more] + n[more]], test[j[more] + n[more]]
-                more = more[(a == b) & (a != 0)]
+                x, y = words[i[more] + n[more]], test[j[more] + n[more]]
+                more = more[(x == y) & (x != 0)]
                 n[more] += 1
-            out += zip(i.tolist(), j.tolist(), n.tolist(), strict=True)
-        return out
-
-    def _give(self, out: dict, hit: np.ndarray, starts: np.ndarray, owner: np.ndarray, pairs: np.ndarray, matches: list[tuple[int, int, int]]) -> None:
-        index, n = self.index, len(self.index.items) + 1
-        begin, end = spans(hit.view(np.uint8), np.arange(256) > 0)
-        for a, b, d in zip(begin.tolist(), end.tolist(), owner[begin].tolist(), strict=True):
-            out.setdefault(self.docs[d], ([], set(), []))[0].append([a - int(starts[d]), b - int(starts[d])])
-        for d, item in zip((pairs // n).tolist(), (pairs % n).tolist(), strict=True):
-            out[self.docs[d]][1].add(index.items[item])
-        first = np.searchsorted(index.owner, np.arange(len(index.items))) + 1
-        for i, j, length in matches:
-            d, item = int(owner[i]), int(index.owner[j])
-            out[self.docs[d]][2].append({"item_id": index.items[item], "item_at": j - int(first[item]), "doc_at": i - int(starts[d]), "n_words": length})
+            d, item = owner[i], index.owner[j]
+            for row in zip(d.tolist(), item.tolist(), (j - first[item]).tolist(), (i - starts[d]).tolist(), n.tolist(), strict=True):
+                out.setdefault(self.docs[row[0]], []).append((index.items[row[1]], *row[2:]))
 
 
 def _union(spans: list[list[int]]) -> list[list[int]]:
@@ -222,25 +206,29 @@ def _union(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], index: Index, old: bool, matches: bool) -> Iterator[pa.RecordBatch]:
-    """Columns: text, what to pass on ..., and, if ``old``, what earlier slices found."""
+def _scan(batches: Iterator[pa.RecordBatch], slices: list[Broadcast]) -> Iterator[pa.RecordBatch]:
+    """Columns: text, and what to pass on ..."""
     kind = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string())), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("item_at", pa.int64()), ("doc_at", pa.int64()), ("n_words", pa.int64())])))])
     for batch in batches:
-        shard, sizes, found = _Shard(index, matches), [], {}
-        for texts in grouped(blobs(batch.column(0))):
-            for words in doc_hashes(texts, ALNUM):
-                shard.add(len(sizes), words, found)
-                sizes.append(len(words))
-        shard.search(found)
-        before = batch.column(batch.num_columns - 1).to_pylist() if old else [None] * len(sizes)
+        sizes: list[int] = []
+        found: dict[int, list] = {}
+        for k, one in enumerate(slices):
+            index, doc = one.value, 0
+            shard = _Shard(index)
+            for texts in grouped(blobs(batch.column(0))):
+                for words in doc_hashes(texts, ALNUM):
+                    shard.add(doc, words, found)
+                    doc += 1
+                    if not k:
+                        sizes.append(len(words))
+            shard.search(found)
+            if len(slices) > 1:  # a worker holds one slice at a time, and reads it again from its disk
+                one.__dict__.pop("_value", None)
         out = []
-        for i, (n, was) in enumerate(zip(sizes, before, strict=True)):
-            hits, items, longest = found.get(i, ([], set(), []))
-            if was:
-                hits, items, longest = [*hits, *was["hits"]], items | set(was["items"]), [*longest, *was["matches"]]
-            out.append({"n_words": n, "hits": _union(hits), "items": sorted(items), "matches": sorted(longest, key=lambda m: (m["doc_at"], m["item_id"], m["item_at"]))})
-        columns = batch.columns[:-1] if old else batch.columns
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], names=[f"c{i}" for i in range(len(columns) + 1)])
+        for i, n in enumerate(sizes):
+            matches = sorted({(at, item, item_at, length) for item, item_at, at, length in found.get(i, ())})
+            out.append({"n_words": n, "hits": _union([[at, at + length] for at, _, _, length in matches]), "items": sorted({m[1] for m in matches}), "matches": [{"item_id": item, "item_at": item_at, "doc_at": at, "n_words": length} for at, item, item_at, length in matches]})
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[f"c{i}" for i in range(batch.num_columns + 1)])
 
 
 def _sliced(items: DataFrame, slice_bytes: int) -> list[DataFrame]:
@@ -253,46 +241,47 @@ def _sliced(items: DataFrame, slice_bytes: int) -> list[DataFrame]:
     return [dealt.where(F.col("slice") == r["slice"]).select(*items.columns) for r in dealt.select("slice").distinct().orderBy("slice").collect()]
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, window: int = WINDOW, slice_bytes: int = SLICE_BYTES, matches: bool = True) -> DataFrame:
+def matched(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``columns`` of every row of ``docs`` (all by default) and a struct ``found`` with
 
-    n_words; hits, the disjoint [start, end) word ranges that benchmark windows cover; items, the sorted ids of the
-    items with such windows; matches, the longest verbatim matches (item_id, item_at, doc_at, n_words), none unless
-    ``matches``.
+    n_words; matches, the longest verbatim matches (item_id, item_at, doc_at, n_words) in order of doc_at; hits, the disjoint
+    [start, end) word ranges that they cover; items, the sorted ids of their items.
 
-    Words are runs of letters, digits and non-ASCII characters, A-Z lowered.  A window is ``window`` words of an item
-    in a row, or the whole item if it is shorter.  Null and wordless texts have nothing; a null item_id is ''.
-    Repeated rows give a row each; if ``docs`` has a column ``found``, underscores are put behind the new one's name.
+    Words are runs of letters, digits and non-ASCII characters, A-Z lowered.  A match holds at least one window: ``window``
+    words of an item in a row, or the whole item if it is shorter.  Null and wordless texts have nothing; a null item_id
+    is ''.  Repeated rows give a row each, items of one id and text one match a place; no rows give no rows, and an empty
+    benchmark has no matches.  If ``docs`` has a column ``found``, underscores are put behind the new one's name.
     """
     columns = docs.columns if columns is None else columns
     name = "found"
     while name in columns:
         name += "_"
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    for_slices = _sliced(items, slice_bytes)
-    kept = [docs[c] for c in columns]
-    work = docs.select(F.col("text").cast("string").alias("c0"), *[c.alias(f"c{i + 1}") for i, c in enumerate(kept)])
+    slices = []
+    for part in _sliced(items, slice_bytes):
+        rows = part.collect()
+        slices.append(docs.sparkSession.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text.encode() for r in rows], window)))
+    work = docs.select(F.col("text").cast("string").alias("c0"), *[docs[c].alias(f"c{i + 1}") for i, c in enumerate(columns)])
     fields = work.schema.fields
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField(f"c{len(fields)}", FOUND)])
-    for k, part in enumerate(for_slices):
-        rows = part.collect()
-        index = docs.sparkSession.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text.encode() for r in rows], window))
-        work = work.mapInArrow(lambda b, index=index, old=k > 0: _scan(b, index.value, old, matches), schema)
-        if k + 1 < len(for_slices):
-            work = keep(work, "slice")
-    return work.select(*[F.col(f"c{i + 1}").alias(c) for i, c in enumerate(columns)], F.col(f"c{len(fields)}").alias(name))
+    made = work.mapInArrow(lambda b: _scan(b, slices), schema)
+    return made.select(*[F.col(f"c{i + 1}").alias(c) for i, c in enumerate(columns)], F.col(f"c{len(fields)}").alias(name))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``."""
-    found = matched(docs, benchmark, ["doc_id"], window, matches=False)
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_at, longest_item) of every row of ``docs``; the
+    last three are the words of its longest match, its place and its item (of several the first place, then the smallest
+    id), or 0 and nulls.  Odd and repeated rows are as in ``matched``."""
+    found = matched(docs, benchmark, ["doc_id"], window)
     hit = F.aggregate("found.hits", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
-    return found.select(
-        "doc_id", F.col("found.n_words").alias("n_words"), hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("found.items"), ","), 256).alias("items_sha256"), (F.size("found.hits") > 0).alias("contaminated")
-    )
+    best = F.array_min(F.transform("found.matches", lambda m: F.struct((-m["n_words"]).alias("less"), m["doc_at"].alias("at"), m["item_id"].alias("item"))))
+    return found.withColumn("best", best).select(
+        "doc_id", F.col("found.n_words").alias("n_words"), hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (F.size("found.matches") > 0).alias("contaminated"),
+        F.coalesce(-F.col("best.less"), F.lit(0)).cast("long").alias("longest"), F.col("best.at").alias("longest_at"), F.col("best.item").alias("longest_item"),
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs, with all their columns."""
-    found = matched(docs, benchmark, None, window, matches=False)
-    return found.where(F.size(found[found.columns[-1]]["hits"]) == 0).select(*found.columns[:-1])
+    """The rows of ``docs`` without any match of the benchmark, with all their columns."""
+    found = matched(docs, benchmark, None, window)
+    return found.where(F.size(found[found.columns[-1]]["matches"]) == 0).select(*found.columns[:-1])

@@ -86,20 +86,24 @@ QUERIES: dict[str, Query] = {
 _ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(coalesce(" + _ASCII + ", ''), '{}')"
 
-#: Windows of all lengths that items have, joined with those of documents.
+#: Windows of all lengths that items have, joined with those of documents; runs of these along both texts are the matches.
 OP7_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text", "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")} AS w FROM documents),
-b AS (SELECT coalesce(item_id, '') AS item, {_WORDS.format("text", "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")} AS w FROM benchmark),
-bw AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS k
-       FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT item, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0))),
+b AS (SELECT row_number() OVER () AS q, coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS.format("text", "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")} AS w FROM benchmark),
+bw AS (SELECT q, item, n, j, array_to_string(w[j:j + n - 1], ' ') AS k
+       FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS j FROM (SELECT q, item, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0))),
 dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
        FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
-hits AS (SELECT r, n, i, item FROM dw JOIN bw USING (n, k)),
+hits AS (SELECT r, n, i, q, item, j FROM dw JOIN bw USING (n, k)),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY r, q, n, i - j ORDER BY i) AS g FROM hits),
+matches AS (SELECT r, item, min(i) - 1 AS place, max(i) - min(i) + n AS size FROM runs GROUP BY r, q, item, n, i - j, g),
+longest AS (SELECT r, min({{'less': -size, 'place': place, 'item': item}}) AS x FROM matches GROUP BY r),
 words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, n, i FROM hits)) GROUP BY r),
 items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(-x.less, 0) AS BIGINT) AS longest, CAST(x.place AS BIGINT) AS longest_at, x.item AS longest_item
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN longest USING (r)
 """
 
 #: All pairs of documents with a shingle in common, and the smallest id reachable over links.
