@@ -2,8 +2,8 @@
 
 Each row is a leaf; the leaves of a source in order make a tree of runs of 16, and the trees' roots, by source, make one
 more.  Rows are numbered by one range sort over (source, order), counted per partition, so that a source of any size is
-spread over tasks.  A tree is then cut into aligned blocks of 16^3 nodes, each of which is exactly one node three levels
-up.  A block is walked recursively in postorder: a call returns its subtree's digest, and while the calls unwind, the other
+spread over tasks.  A tree is then cut into aligned blocks of 16^2 nodes, each of which is exactly one node two levels up.
+A block is walked recursively in postorder: a call returns its subtree's digest, and while the calls unwind, the other
 digests of a run are appended to the proof of each leaf below.  The blocks' roots are the nodes of the next distributed
 walk, until every tree is one block.  On the way down each block meets the proof of its own root, one row a block, and is
 walked once more to lay both together; proofs of leaves exist in the result alone.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.store import keep
 
-FAN, HEIGHT = 16, 3
+FAN, HEIGHT = 16, 2
 #: The query tampers with the rows whose hash of the id this divides.
 TAMPERED = 5
 
