@@ -186,3 +186,58 @@ def test_broken_and_very_long_markup():
     assert html_text.main_text("<article>" + "<div>" * 3000 + "deep" + "</p>" * 3000) == "deep"
     long = "<article><p>" + "word " * 200_000 + "</p><p>end</p></article>"
     assert html_text.main_text(long).endswith("\n\nend")
+
+
+STORY = [f"Sentence {i} of the story has some words to read, and then a few more of them." for i in range(8)]
+APART = [
+    'div class="cookie-notice"', "div class=notice", 'div class="alert alert-info"', "section class=gdpr-consent", 'ul class="comment-list"', "section class=comment-section", "div class=reader-comments", "div id=user-comments",
+    "div id=responses", "div class=related-posts", "div class=newsletter-signup", "div class=ad-banner", 'p class="banner-ad"', "div class=sponsored-content", "div class=promo-box", "div class=subscribe-box", "ul class=menu", "div role=note",
+]
+
+
+@pytest.mark.parametrize("start", APART)
+def test_named_parts_inside_articles_go(start):
+    tag = start.split()[0]
+    text = "Plain text of a part that is no part of the article, as long as one of its paragraphs, without any link."
+    inner = f"<li>{text}</li>" if tag == "ul" else text if tag == "p" else f"<p>{text}</p><p>{text}</p>"
+    html = "<body><article><h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in STORY[:4]) + f"<{start}>{inner}</{tag}>" + "".join(f"<p>{x}</p>" for x in STORY[4:]) + "</article></body>"
+    assert html_text.main_text(html) == "\n\n".join(["Title", *STORY])
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "post comments-open", "no-cookies-here", "shared-value", "adaptive layout"])
+def test_names_in_doubt_stay_where_there_is_content(name):
+    html = f"<body><article><h1>Title</h1><div class='{name}'>" + "".join(f"<p>{x}</p>" for x in STORY) + "</div></article></body>"
+    assert html_text.main_text(html) == "\n\n".join(["Title", *STORY])
+
+
+def test_text_of_main_beside_an_article():
+    html = f"<body><nav><a href=/>Home</a></nav><main><h1>Title</h1><p>{STORY[0]}</p><article><p>" + "</p><p>".join(STORY[1:7]) + f"</p></article><p>{STORY[7]}</p><div><a href=/x>Next</a></div></main></body>"
+    assert html_text.main_text(html) == "\n\n".join(["Title", *STORY])
+
+
+def test_the_mass_of_clusters_chooses_the_region():
+    teaser = "<article><p>Short.</p></article>"
+    html = f"<body>{teaser}<div><div>" + "".join(f"<p>{x}</p>" for x in STORY) + "</div></div></body>"
+    assert html_text.main_text(html) == "\n\n".join(STORY)
+
+
+def mixed(n):
+    """Pages of many layouts, each with loose text of links, counters and captions in and around its article."""
+    out = []
+    for k in range(n):
+        body = []
+        for i, x in enumerate(STORY[: 3 + k % 5]):
+            body.append(f"<p>{x * (1 + (i + k) % 3)}</p>")
+            if (i + k) % 2:
+                body.append(f"<div><span>{'Look ' * (k % 4 + 1)}</span><i></i><i></i></div><div><b>{k}</b><i></i></div><div><u>up</u></div>" * (1 + k % 3))
+        outer = ("article", "main", "div")[k % 3]
+        out.append(f"<body><div><a href=/>x</a></div><{outer}>{''.join(body)}</{outer}><div>{k} <a href=/>y</a></div></body>")
+    return out
+
+
+def test_smoothing_decides_in_mixed_layouts():
+    pages = mixed(30)
+    plain, smooth = [html_text.main_text(p, 0) for p in pages], [html_text.main_text(p) for p in pages]
+    assert sum(a != b for a, b in zip(plain, smooth, strict=True)) >= 5
+    for k, text in enumerate(smooth):
+        assert all(x * (1 + (i + k) % 3) in text for i, x in enumerate(STORY[: 3 + k % 5]))
