@@ -89,18 +89,6 @@ def test_quantile_edges_of_a_constant(spark):
     assert {(r.x, r.x_bin) for r in got} == {(1.0, 1), (None, 0)}
 
 
-def test_trees_learn_a_step_and_quantiles(spark):
-    rng = np.random.default_rng(3)
-    x = rng.uniform(0, 1, (2000, 3))
-    y = np.where(x[:, 1] > 0.5, 10.0, 0.0) + rng.normal(0, 1, 2000)
-    mean = learning.Trees(trees=60).fit(x, y)
-    assert np.abs(mean.predict(x) - np.where(x[:, 1] > 0.5, 10, 0)).mean() < 0.6 and mean.importance.argmax() == 1
-    high = learning.Trees(trees=60, quantile=0.9).fit(x, y)
-    assert 0.85 < (y <= high.predict(x)).mean() < 0.95
-    x[::7, 0] = np.nan
-    assert np.isfinite(learning.Trees(trees=5).fit(x, y, np.ones(2000)).predict(x)).all()
-
-
 def test_ridge_and_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 2))
@@ -277,8 +265,8 @@ def test_scorecard_of_the_holdout(spark):
 def test_importance_of_features(spark):
     d = folds(spark).drop(columns="f").assign(f="x")
     df = spark.createDataFrame(d)
-    got = learning.importance(df, ["a", "b"], learning.Head("m", "y", None, 20), least=5).collect()
-    assert got[0].feature == "a" and sum(r.share for r in got) == pytest.approx(1.0) and len(learning.importance(df, ["a", "b"], HEADS[0], top=1, least=5).collect()) == 1
+    got = learning.importance(df, "id", ["a", "b"], learning.Head("m", "y", None, 20), least=5).collect()
+    assert got[0].feature == "a" and sum(r.share for r in got) == pytest.approx(1.0) and len(learning.importance(df, "id", ["a", "b"], HEADS[0], top=1, least=5).collect()) == 1
 
 
 @pytest.mark.parametrize("bridge", [0, 1, 3])

@@ -1,9 +1,8 @@
-"""Models: the split search as a query, boosted trees trained in grouped tasks, ridge by its normal equations, and
-nearest neighbours."""
+"""Models: the split search as a query, forecasts of folds by boosted trees, ridge by its normal equations, and nearest
+neighbours."""
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -12,12 +11,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.functions import bin_code, quantile_edges
+from trackloom.functions import bin_code
+from trackloom.operators import boosting
+from trackloom.operators.quantiles import percentiles
 
 
 def coded(df: DataFrame, features: Sequence[str], bins: int = 32) -> DataFrame:
     """``df`` with each feature's bin number as feature_bin; the edges are one row, so it is broadcast."""
-    edges = df.agg(*[quantile_edges(f, bins).alias(f"_e_{f}") for f in features])
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("x")).select("x.*")
+    found = percentiles(long, ["feature"], "v", [i / bins for i in range(1, bins)])
+    edges = found.agg(*[F.coalesce(F.max(F.when(F.col("feature") == f, F.array_distinct("p"))), F.array().cast("array<double>")).alias(f"_e_{f}") for f in features])
     with_edges = df.join(F.broadcast(edges))
     return with_edges.withColumns({f"{f}_bin": bin_code(F.col(f), F.col(f"_e_{f}")) for f in features}).drop(*[f"_e_{f}" for f in features])
 
@@ -38,87 +41,6 @@ def split_gain(df: DataFrame, node: str, features: Sequence[str], target: str, l
     return scored.groupBy(node).agg(best.alias("x")).select(node, "x.feature", (-F.col("x.bin")).cast("int").alias("bin"), "x.gain")
 
 
-class Trees:
-    """Additive trees over binned features: arrays of nodes, grown level by level with one histogram a level."""
-
-    def __init__(self, trees: int = 150, rate: float = 0.08, depth: int = 3, least: int = 25, bins: int = 32, quantile: float | None = None, rows: float = 0.9, columns: float = 0.9, seed: int = 0) -> None:
-        self.n, self.rate, self.depth, self.least, self.bins, self.quantile, self.rows, self.columns = trees, rate, depth, least, bins, quantile, rows, columns
-        self.random = np.random.default_rng(seed)
-
-    def _codes(self, x: np.ndarray) -> np.ndarray:
-        out = np.stack([np.searchsorted(e, c, side="right") for e, c in zip(self.edges, x.T, strict=True)], axis=1)
-        return np.where(np.isnan(x), 0, out).astype(np.int16)
-
-    def _centre(self, r: np.ndarray) -> float:
-        return float(np.mean(r) if self.quantile is None else np.quantile(r, self.quantile))
-
-    def _tree(self, codes: np.ndarray, g: np.ndarray, rows: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Feature (-1: leaf) and cut of each node of a full binary tree in heap order."""
-        size, width = 2 ** (self.depth + 1) - 1, self.bins + 1
-        feature, cut = np.full(size, -1), np.zeros(size, np.int64)
-        at = np.zeros(len(rows), np.int64)
-        for level in range(self.depth):
-            first, n = 2**level - 1, 2**level
-            own = at >= first
-            node = at[own] - first
-            key = (node[:, None] * len(features) + np.arange(len(features))) * width + codes[rows[own]][:, features]
-            shape = (n, len(features), width)
-            total = np.bincount(key.ravel(), weights=np.repeat(g[rows[own]], len(features)), minlength=np.prod(shape)).reshape(shape).cumsum(axis=2)
-            count = np.bincount(key.ravel(), minlength=np.prod(shape)).reshape(shape).cumsum(axis=2)
-            sl, nl, s, m = total[:, :, :-1], count[:, :, :-1], total[:, :1, -1:], count[:, :1, -1:]
-            fit = (nl >= self.least) & (m - nl >= self.least)
-            gain = np.where(fit, sl**2 / np.maximum(nl, 1) + (s - sl) ** 2 / np.maximum(m - nl, 1), -np.inf).reshape(n, -1)
-            best = gain.argmax(axis=1)
-            some = gain[np.arange(n), best] > (s[:, 0, 0] ** 2 / np.maximum(m[:, 0, 0], 1)) + 1e-12
-            feature[first : first + n] = np.where(some, features[best // (width - 1)], -1)
-            cut[first : first + n] = best % (width - 1)
-            at = self._descend(codes[rows], at, feature, cut, own)
-        return feature, cut
-
-    @staticmethod
-    def _descend(codes: np.ndarray, at: np.ndarray, feature: np.ndarray, cut: np.ndarray, own: np.ndarray) -> np.ndarray:
-        moving = np.flatnonzero(own & (feature[at] >= 0))
-        node = at[moving]
-        at = at.copy()
-        at[moving] = 2 * node + 1 + (codes[moving, feature[node]] > cut[node])
-        return at
-
-    def _leaves(self, codes: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(codes), np.int64)
-        for _ in range(self.depth):
-            at = self._descend(codes, at, feature, cut, np.ones(len(at), bool))
-        return at
-
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Trees:
-        """A weight is the chance of a row to be drawn, with replacement; it does not weigh the loss."""
-        inner = np.linspace(0, 1, self.bins + 1)[1:-1]
-        self.edges = [np.unique(np.nanquantile(c, inner)) if np.isfinite(c).any() else np.empty(0) for c in x.T]
-        codes, self.start = self._codes(x), self._centre(y)
-        level = np.full(len(y), self.start)
-        draw, take = max(50, int(self.rows * len(y))), max(3, int(self.columns * x.shape[1]))
-        chance = None if weight is None else weight / weight.sum()
-        self.nodes, self.importance = [], np.zeros(x.shape[1])
-        for _ in range(self.n):
-            g = y - level if self.quantile is None else np.where(y > level, self.quantile, self.quantile - 1.0)
-            rows = self.random.choice(len(y), draw if weight is not None else min(draw, len(y)), replace=weight is not None, p=chance)
-            features = np.sort(self.random.choice(x.shape[1], min(take, x.shape[1]), replace=False))
-            feature, cut = self._tree(codes, g, rows, features)
-            leaf = self._leaves(codes, feature, cut)
-            value, among = np.zeros(len(feature)), rows if self.quantile is None else np.arange(len(y))
-            for k in np.unique(leaf[among]):
-                value[k] = self._centre((y - level)[among][leaf[among] == k])
-            level += self.rate * value[leaf]
-            self.nodes.append((feature, cut, value))
-            np.add.at(self.importance, feature[feature >= 0], 1)
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        codes, out = self._codes(x), np.full(len(x), self.start)
-        for feature, cut, value in self.nodes:
-            out += self.rate * value[self._leaves(codes, feature, cut)]
-        return out
-
-
 class Head(NamedTuple):
     """One forecast: a mean, or a quantile, of a target, by so many trees; ``weight`` is a column of draw chances."""
 
@@ -129,76 +51,109 @@ class Head(NamedTuple):
     weight: str | None = None
 
 
-def _trained(rows: DataFrame, jobs: list[tuple], heads: Sequence[Head], features: Sequence[str], settings: dict) -> dict[tuple, bytes]:
-    """Models by (held, number of the head), each trained in a task of its own; ``rows`` are (own, y0 ..., w0 ..., features)."""
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = int(pdf["_h"].iloc[0])
-        head = heads[h]
-        pdf = pdf.sort_values([f"_y{h}", *features], kind="stable")
-        weight = pdf[f"_w{h}"].to_numpy(float) if head.weight else None
-        model = Trees(trees=head.trees, quantile=head.quantile, **settings).fit(pdf[list(features)].to_numpy(float), pdf[f"_y{h}"].to_numpy(float), weight)
-        return pd.DataFrame({"j": [int(pdf["_j"].iloc[0])], "h": [h], "model": [pickle.dumps(model)]})
+def _models(df: DataFrame, fold: str | None, folds: Sequence, held: Sequence[int], key: str, features: Sequence[str], heads: Sequence[Head], settings: dict) -> dict[tuple[int, int], boosting.Model]:
+    """Models by (number of the held fold, number of the head)."""
+    one_task, together = settings.pop("one_task", boosting.ONE_TASK), settings.pop("together", 1)
+    targets, weights = list(dict.fromkeys(h.target for h in heads)), list(dict.fromkeys(h.weight for h in heads if h.weight))
+    rows = boosting.prepared(df, fold, folds, key, features, targets, weights)
+    kinds = [(targets.index(h.target), weights.index(h.weight) if h.weight else -1, h.quantile, h.trees) for h in heads]
+    return boosting.trained(rows, held, kinds, len(features), len(targets), len(weights), boosting.Settings(**settings), one_task, together)
 
-    each = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(held).alias("held"), F.lit(h).alias("h")) for j, held in enumerate(jobs) for h in range(len(heads))])
-    known = F.element_at(F.array(*[F.col(f"_y{h}").isNotNull() for h in range(len(heads))]), F.col("_h") + 1)
-    met = rows.withColumn("_job", F.explode(each)).select("*", F.col("_job.j").alias("_j"), F.col("_job.held").alias("_held"), F.col("_job.h").alias("_h"))
-    met = met.where(~F.col("_own").eqNullSafe(F.col("_held")) & known)
-    return {(jobs[r.j], r.h): r.model for r in met.groupBy("_j", "_h").applyInPandas(train, "j int, h int, model binary").collect()}
 
-
-def fold_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str], heads: Sequence[Head], train_folds: Sequence | None = None, most_rows: int = 200_000, block: int = 64, **settings) -> DataFrame:
+def fold_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str], heads: Sequence[Head], train_folds: Sequence | None = None, block: int = 64, **settings) -> DataFrame:
     """(fold, key, a column for each head): every row forecast by models that its fold's labels didn't train.
 
-    Models for a fold are trained on the other folds among ``train_folds`` (all by default), so folds outside of these
-    are holdouts: they train nothing.  One task trains one fold's head, on at most about ``most_rows`` rows of all
-    folds, taken by a hash of the key; a head reads the rows whose target is known.  Models of ``block`` folds at a time
-    are broadcast, and every row is sent to Python once.  A fold without any row to learn from gets NULLs; a null
-    fold is a fold, and none of the others' rows are lost.
+    Models for a fold are trained on all rows of the other folds among ``train_folds`` (all by default) whose target is
+    known; folds outside of these are holdouts: they train nothing and share their models.  Settings are those of
+    ``boosting.Settings``, and ``one_task``, the rows up to which one task grows a model; beyond, all tasks grow the same
+    trees together.  ``block`` folds at a time are held out, and their models broadcast.  A fold without any row to learn from
+    gets NULLs; a null fold is a fold, and none of the others' rows are lost.
     """
     folds = sorted((r[0] for r in df.select(fold).distinct().collect()), key=lambda f: (f is None, f))
-    share = min(1.0, most_rows / max(1, df.count()))
-    columns = [F.col(f).cast("double").alias(f) for f in features]
-    labels = [F.col(h.target).cast("double").alias(f"_y{i}") for i, h in enumerate(heads)] + [(F.col(h.weight) if h.weight else F.lit(1.0)).cast("double").alias(f"_w{i}") for i, h in enumerate(heads)]
-    rows = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col(fold).alias("_own"), *labels, *columns)
-    if train_folds is not None:
-        rows = rows.where(F.col("_own").isin(list(train_folds)))
+    mine = folds if train_folds is None else [f for f in folds if f in list(train_folds)]
+    numbers = {f: i for i, f in enumerate(mine)}
+    groups = [mine[at : at + block] for at in range(0, len(mine), block)]
+    others = [f for f in folds if f not in numbers]
     kinds = dict(df.dtypes)
     schema = f"`{fold}` {kinds[fold]}, `{key}` {kinds[key]}, " + ", ".join(f"`{h.name}` double" for h in heads)
+    columns = [F.col(f).cast("double").alias(f) for f in features]
     made = None
-    for at in range(0, len(folds), block):
-        some = folds[at : at + block]
-        shared = df.sparkSession.sparkContext.broadcast(_trained(rows, some, heads, features, settings))
+    for some in [*groups, *([others] if others else [])]:
+        held = {f: numbers.get(f, -1) for f in some}
+        models = _models(df, fold, mine, sorted(set(held.values())), key, features, heads, dict(settings)) if mine else {}
+        shared = df.sparkSession.sparkContext.broadcast((held, models))
 
         def forecast(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            models: dict[tuple, Trees] = {}
+            held, models = shared.value
             for pdf in batches:
-                for held, part in pdf.groupby("_held", sort=False, dropna=False):
-                    held = None if pd.isna(held) else held
-                    x, out = part[list(features)].to_numpy(float), {fold: part["_held"], key: part["_key"]}
-                    for h, head in enumerate(heads):
-                        if (held, h) not in models and (held, h) in shared.value:
-                            models[held, h] = pickle.loads(shared.value[held, h])
-                        out[head.name] = models[held, h].predict(x) if (held, h) in models else np.nan
-                    yield pd.DataFrame(out, index=part.index)
-
-        mine = F.col(fold).isin([f for f in some if f is not None])
-        mine = mine | F.col(fold).isNull() if None in some else mine
-        part = df.where(mine).select(F.col(fold).alias("_held"), F.col(key).alias("_key"), *columns).mapInPandas(forecast, schema)
+                number = np.array([held[None if pd.isna(f) else f] for f in pdf["_held"]], np.int64)
+                x, out = pdf[list(features)].to_numpy(float), {fold: pdf["_held"], key: pdf["_key"]}
+                for h, head in enumerate(heads):
+                    out[head.name] = np.full(len(pdf), np.nan)
+                    for j in np.unique(number):
+                        if (int(j), h) in models:
+                            out[head.name][number == j] = models[int(j), h].predict(x[number == j])
+                yield pd.DataFrame(out, index=pdf.index)
+
+        asked = F.col(fold).isin([f for f in some if f is not None])
+        asked = asked | F.col(fold).isNull() if None in some else asked
+        part = df.where(asked).select(F.col(fold).alias("_held"), F.col(key).alias("_key"), *columns).mapInPandas(forecast, schema)
         made = part if made is None else made.unionByName(part)
     if made is None:
         return df.sparkSession.createDataFrame([], schema)
     return made.select(fold, key, *[F.nanvl(F.col(h.name), F.lit(None).cast("double")).alias(h.name) for h in heads])
 
 
-def importance(df: DataFrame, features: Sequence[str], head: Head, top: int = 20, most_rows: int = 200_000, **settings) -> DataFrame:
+def booster_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str], heads: Sequence[Head], train_folds: Sequence | None = None, **settings) -> DataFrame:
+    """``fold_forecasts`` by a second-order booster: weights weigh every head's loss, rows are drawn without regard to them, and
+    leaves are shrunk by an L2 term of 1 and need a weight of 1.  A quantile's leaf is the quantile of its rows' residuals."""
+    return fold_forecasts(df, fold, key, features, heads, train_folds, **{"second": True, "l2": 1.0, "least": 1.0, **settings})
+
+
+def forest_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str], target: str, trees: int = 120, depth: int = 7, least: int = 15, columns: float = 0.5, train_folds: Sequence | None = None, **settings) -> DataFrame:
+    """(fold, key, each, forecast, spread): the forecasts of all trees of a random forest, an array, their mean and population
+    deviation, for every row by the forest of the other folds.  A tree sees its rows as often as a Poisson count of mean 1 by
+    seed, tree and key says, and half of the columns."""
+    heads = [Head(f"_t{k}", target, None, 1) for k in range(trees)]
+    own = {"bag": True, "rate": 1.0, "rows": 1.0, "depth": depth, "least": least, "columns": columns, "together": 16, **settings}
+    made = fold_forecasts(df, fold, key, features, heads, train_folds, **own)
+    each = F.array(*[f"_t{k}" for k in range(trees)])
+    mean = F.aggregate("each", F.lit(0.0), lambda s, x: s + x) / trees
+    out = made.select(fold, key, each.alias("each")).withColumn("forecast", mean)
+    return out.withColumn("spread", F.sqrt(F.aggregate("each", F.lit(0.0), lambda s, x: s + (x - F.col("forecast")) ** 2) / trees))
+
+
+def out_of_bag(df: DataFrame, key: str, features: Sequence[str], target: str, trees: int = 120, depth: int = 7, least: int = 15, columns: float = 0.5, **settings) -> DataFrame:
+    """(key, forecast, n): for each row with a known target the mean forecast of the ``n`` trees of one forest over all rows that
+    didn't see it; NULL for a row that all trees saw.  The error of these is the forest's without a held-out fold."""
+    heads = [Head(f"_t{k}", target, None, 1) for k in range(trees)]
+    own = {"bag": True, "rate": 1.0, "rows": 1.0, "depth": depth, "least": least, "columns": columns, "together": 16, **settings}
+    models = _models(df, None, [], [-1], key, features, heads, dict(own))
+    shared = df.sparkSession.sparkContext.broadcast([models[-1, h] for h in range(trees)] if models else [])
+    seed = own.get("seed", 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, total, n = pdf[list(features)].to_numpy(float), np.zeros(len(pdf)), np.zeros(len(pdf), np.int64)
+            hashes = pdf["_hash"].to_numpy(np.int64).view(np.uint64)
+            for h, model in enumerate(shared.value):
+                unseen = boosting.bagged(hashes, seed, h) == 0
+                total += np.where(unseen, model.predict(x), 0.0)
+                n += unseen
+            yield pd.DataFrame({key: pdf["_key"], "forecast": np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0), "n": n})
+
+    known = df.where(F.col(target).isNotNull()).select(F.col(key).alias("_key"), F.xxhash64(key).alias("_hash"), *[F.col(f).cast("double").alias(f) for f in features])
+    made = known.mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, forecast double, n long")
+    return made.withColumn("forecast", F.nanvl("forecast", F.lit(None).cast("double")))
+
+
+def importance(df: DataFrame, key: str, features: Sequence[str], head: Head, top: int = 20, **settings) -> DataFrame:
     """(feature, share): the share of a model's splits that use each feature, the ``top`` largest first.  The model is
-    trained on at most about ``most_rows`` rows, as in ``fold_forecasts``."""
-    share = min(1.0, most_rows / max(1, df.count()))
-    rows = df.where(F.rand(7) < share).select(F.lit(0).alias("_own"), F.col(head.target).cast("double").alias("_y0"), (F.col(head.weight) if head.weight else F.lit(1.0)).cast("double").alias("_w0"), *[F.col(f).cast("double").alias(f) for f in features])
-    models = _trained(rows, [None], [head], features, settings)
-    counts = pickle.loads(models[None, 0]).importance if models else np.zeros(len(features))
-    made = [(f, float(n / max(1.0, counts.sum()))) for f, n in zip(features, counts, strict=True)]
+    trained on all rows with a known target; ``key`` tells rows apart."""
+    model = _models(df, None, [], [-1], key, features, [head], settings).get((-1, 0))
+    used = np.concatenate([t.feature for t in model.trees]) if model else np.empty(0, np.int64)
+    counts = np.bincount(used[used >= 0], minlength=len(features))
+    made = [(f, float(n / max(1, counts.sum()))) for f, n in zip(features, counts, strict=True)]
     return df.sparkSession.createDataFrame(sorted(made, key=lambda r: (-r[1], r[0]))[:top], "feature string, share double")
 
 

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.quantiles import percentiles
+
 
 def percentile_threshold(df: DataFrame, keys: Sequence[str], value: str, low: float = 0.30, high: float = 0.85, factor: float = 1.0) -> DataFrame:
     """(keys, threshold): half way between two percentiles, times a factor."""
-    p = F.percentile(value, F.array(F.lit(low), F.lit(high)))
-    return df.groupBy(*keys).agg(p.alias("p")).select(*keys, (0.5 * (F.get("p", F.lit(0)) + F.get("p", F.lit(1))) * factor).alias("threshold"))
+    return percentiles(df, keys, value, [low, high]).select(*keys, (0.5 * (F.get("p", F.lit(0)) + F.get("p", F.lit(1))) * factor).alias("threshold"))
 
 
 def quiet_threshold(df: DataFrame, keys: Sequence[str], position: str, value: str) -> DataFrame:
@@ -45,7 +46,7 @@ def trimmed_plane(df: DataFrame, x: str, y: str, z: str, rounds: int = 3, low: f
         if found is None:
             return None
         residual = F.col(z) - (found[0] * F.col(x) + found[1] * F.col(y) + found[2])
-        cut = df.agg(F.percentile(residual, F.array(F.lit(low), F.lit(high))), F.count("*")).first()[0]
+        cut = percentiles(df, [], residual, [low, high]).first().p
         kept = df.where(residual.between(cut[0], cut[1]))
         if kept.count() < least:
             return found
@@ -69,7 +70,7 @@ def trimmed_planes(df: DataFrame, keys: Sequence[str], x: str, y: str, z: str, r
     found = fitted(rows).drop("n")
     for _ in range(rounds - 1):
         off = rows.join(found, list(keys)).withColumn("_off", F.col(z) - (F.col("a") * F.col(x) + F.col("b") * F.col(y) + F.col("c")))
-        cut = off.groupBy(*keys).agg(F.percentile("_off", F.array(F.lit(low), F.lit(high))).alias("_cut"))
+        cut = percentiles(off, keys, "_off", [low, high], "_cut").drop("n")
         kept = off.join(cut, list(keys)).where(F.col("_off").between(F.get("_cut", F.lit(0)), F.get("_cut", F.lit(1))))
         again = fitted(kept.drop("a", "b", "c")).where(F.col("n") >= least).select(*keys, F.struct("a", "b", "c").alias("_new"))
         found = found.join(again, list(keys), "left").select(*keys, *[F.when(F.col("_new").isNull(), F.col(v)).otherwise(F.col(f"_new.{v}")).alias(v) for v in "abc"])

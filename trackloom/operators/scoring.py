@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions import pinball, widened
+from trackloom.operators.quantiles import percentiles
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -71,7 +72,8 @@ def best_scale(grid: DataFrame, least: float = 0.88) -> DataFrame:
 def score_quantile(df: DataFrame, keys: Sequence[str], y: str, point: str, low: Column, high: Column, share: float = 0.9) -> DataFrame:
     """(keys, factor): the quantile of misses over half-widths, by which intervals must grow to cover ``share``."""
     half = F.greatest((high - low) / 2, F.lit(1e-9))
-    return df.groupBy(*keys).agg(F.percentile(F.abs(F.col(y) - F.col(point)) / half, F.lit(share)).alias("factor"))
+    found = percentiles(df, keys, F.abs(F.col(y) - F.col(point)) / half, [share])
+    return found.select(*keys, F.get("p", F.lit(0)).alias("factor"))
 
 
 def best_blend(df: DataFrame, fold: str, y: str, a: str, b: str, alphas: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:

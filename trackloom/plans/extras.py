@@ -134,7 +134,7 @@ def analysis(table: DataFrame, train: Sequence[int], features: Sequence[str], ta
     head = learning.Head("importance", target, None, 200)
     numbered = order.numbered(known, ["track"], ["bin"], F.floor(F.col("bin") / 64), "_rn")
     return {
-        "importance": learning.importance(known.where(F.col("track").isin(list(train))), features, head, 20, **settings),
+        "importance": learning.importance(known.where(F.col("track").isin(list(train))).withColumn("_key", F.col("track") * 1000 + F.col("bin")), "_key", features, head, 20, **settings),
         "local_corr": local_correlations(known, "track", [f for f in features if f != "power"], target),
         "lags": aligned(numbered, target, series, 15, 100, "_rn"),
     }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import correlation, first_max, first_min, grid_bin, quality_weight, rearranged, recentred, supported
 from trackloom.operators import frames, grid, learning, order, robust, runs, scoring
+from trackloom.operators.quantiles import percentiles
 from trackloom.plans import extras, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -460,8 +461,8 @@ def label_ensemble(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(median(l_extendedprice), 4) AS med, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1, 2")
 def group_median(spark: SparkSession, sf: str) -> DataFrame:
-    p = F.percentile("l_extendedprice", F.array(F.lit(0.5), F.lit(0.9)))
-    return _t(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), p.alias("p")).select("l_returnflag", "l_linestatus", "n", F.round(F.get("p", F.lit(0)), 4).alias("med"), F.round(F.get("p", F.lit(1)), 4).alias("p90"))
+    found = percentiles(_t(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.5, 0.9])
+    return found.select("l_returnflag", "l_linestatus", "n", F.round(F.get("p", F.lit(0)), 4).alias("med"), F.round(F.get("p", F.lit(1)), 4).alias("p90"))
 
 
 @query(", m AS (SELECT fold, avg(q) AS mq, stddev_pop(q) AS sq FROM tab GROUP BY 1) SELECT id, fold, round((q - mq) / (sq + 1e-9), 6) AS z, round(q - mq, 6) AS centred FROM tab JOIN m USING (fold)", "tab")
@@ -716,18 +717,38 @@ def _moments_sql(t: int) -> str:
 )
 def thermal_features(spark: SparkSession, sf: str) -> DataFrame:
     """All features of 8 x 8 frames: brightness, areas, moments, tail."""
-    s = _grid(spark, sf).select(F.col("vec_id").alias("bin"), (F.col("pos") % 8).alias("x"), F.floor(F.col("pos") / 8).alias("y"), (1500 + F.col("v") * 3000).alias("value"))
+    s = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("bin"), F.lit(8).alias("w"), F.transform("embedding", lambda v: 1500 + v.cast("double") * 3000).alias("pixels"))
     made = tracks.thermal_features(s, ["bin"])
     places = {"t_max": 4, "t_p999": 4, "t_p99": 4, "tail_grad": 4}
     return made.select("bin", *[_r(c, places.get(c, 6 if c[0] in "at" else 9 if c[:2] in ("cx", "cy") else 5)) for c in made.columns if c != "bin"])
 
 
+def _heads(trees: int, weight: str | None = None) -> list[learning.Head]:
+    return [learning.Head("point", "y", None, trees, weight), *[learning.Head(f"q{i}", "y", a, trees, weight) for i, a in enumerate(scoring.QUANTILES)]]
+
+
+def _scored(made: DataFrame, t: DataFrame) -> DataFrame:
+    both = made.select("id", "point", rearranged(F.array(*[f"q{i}" for i in range(5)])).alias("q")).join(t.select("id", "fold", "y"), "id").withColumn("q", recentred("q", "point"))
+    return scoring.scores(both, ["fold"], "y", "point", "q")
+
+
 @query()
 def gbm_quantile_scorecard(spark: SparkSession, sf: str) -> DataFrame:
-    """Folds forecast by boosted trees trained on the others: a mean and five quantiles, recentred and scored.  Every row is
-    forecast; a model is trained on at most about 200,000 rows."""
+    """Folds forecast by boosted trees trained on all rows of the others: a mean and five quantiles, recentred and scored."""
     t = _tab(spark, sf)
-    heads = [learning.Head("point", "y", None, 20), *[learning.Head(f"q{i}", "y", a, 20) for i, a in enumerate(scoring.QUANTILES)]]
-    made = learning.fold_forecasts(t, "fold", "id", ["q", "d", "t"], heads)
-    both = made.select("id", "point", rearranged(F.array(*[f"q{i}" for i in range(5)])).alias("q")).join(t.select("id", "fold", "y"), "id").withColumn("q", recentred("q", "point"))
-    return scoring.scores(both, ["fold"], "y", "point", "q")
+    return _scored(learning.fold_forecasts(t, "fold", "id", ["q", "d", "t"], _heads(20)), t)
+
+
+@query()
+def booster_scorecard(spark: SparkSession, sf: str) -> DataFrame:
+    """The same folds forecast by the second-order booster, with weights in its loss."""
+    t = _tab(spark, sf).withColumn("w", 1 / (1 + F.col("d").cast("double") * 10))
+    return _scored(learning.booster_forecasts(t, "fold", "id", ["q", "d", "t"], _heads(20, "w")), t)
+
+
+@query()
+def forest_scorecard(spark: SparkSession, sf: str) -> DataFrame:
+    """The same folds forecast by random forests: mean error, and the mean spread over the trees."""
+    t = _tab(spark, sf)
+    made = learning.forest_forecasts(t, "fold", "id", ["q", "d", "t"], "y", 32).join(t.select("id", "y"), "id")
+    return made.groupBy("fold").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("forecast"))).alias("mae"), F.avg("spread").alias("spread"))

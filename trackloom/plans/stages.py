@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import rearranged, recentred
-from trackloom.operators import grid, learning, scoring
+from trackloom.operators import frames, grid, learning, scoring
 from trackloom.plans import tracks
 from trackloom.sources import matlab, profiles
 
@@ -62,15 +62,22 @@ def _has(spark: SparkSession, layout: Layout, name: str) -> bool:
 
 
 def ingest(spark: SparkSession, layout: Layout) -> dict[str, DataFrame]:
-    """Frames of the laser interval, height maps, and mosaics of tiles; raises if a track's files are missing."""
+    """Frames, height maps and mosaics of tiles, and the frames of the laser interval; raises if a track's files are missing.
+
+    Video files are parsed once: all else reads the table of frames, a row a frame."""
     if lost := profiles.missing(spark, [p for t in layout.tracks for p in layout.raw(t)]):
         raise FileNotFoundError(", ".join(lost))
     spark.dataSource.register(matlab.MatFrames)
     mine = F.col("track").isin(list(layout.tracks))
-    shots = matlab.shots(spark.read.format("matframes").load(f"{layout.data}/thermal")).where(mine)
+    film = matlab.tracked(spark.read.format("matframes").load(f"{layout.data}/thermal")).where(mine)
     heights = profiles.asc_heights(spark, f"{layout.data}/height_maps").where(mine)
     tiles = grid.placed(profiles.tiles(spark, f"{layout.data}/sem/*/PlainImages").where(mine), ["track"], "tile")
-    return {"shots": tracks.last_frames(shots, tracks.laser_interval(shots)), "heights": heights, "mosaic": mosaics(tiles)}
+
+    def shots() -> DataFrame:
+        film = _read(spark, layout, "frames")
+        return tracks.last_frames(film, tracks.bright_interval(frames.frame_levels(film, ["track", "frame"])))
+
+    return {"frames": film, "shots": shots, "heights": heights, "mosaic": mosaics(tiles)}
 
 
 def mosaics(tiles: DataFrame, overlap: float = profiles.OVERLAP) -> DataFrame:

@@ -1,7 +1,7 @@
 """From raw tables of tracks to one modelling table: laser interval, labels, features, and their join by bin.
 
 A track is a key like any other: nothing loops over tracks, and every step is one plan over all of them.  Frames are
-(track, frame, x, y, value), height maps (track, ix, iy, x_mm, y_mm, z_mm), mosaics (track, y, x, value).  Missing
+(track, frame, w, pixels), height maps (track, ix, iy, x_mm, y_mm, z_mm), mosaics (track, y, x, value).  Missing
 values are NULL.  Empty tables give empty results.
 """
 
@@ -34,8 +34,13 @@ def bin_centre(b: Column) -> Column:
 
 
 def laser_interval(shots: DataFrame, share: float = 0.995) -> DataFrame:
-    """(track, first, stop): the longest run of frames whose brightness lies above the quiet start; stop is exclusive."""
-    bright = shots.groupBy("track", "frame").agg(F.percentile("value", F.lit(share)).alias("level"))
+    """(track, first, stop): the longest run of frames whose brightness lies above the quiet start; stop is exclusive.
+    ``shots`` has a row a pixel; of arrays, ``frames.frame_levels`` gives the levels that ``bright_interval`` needs."""
+    return bright_interval(shots.groupBy("track", "frame").agg(F.percentile("value", F.lit(share)).alias("level")))
+
+
+def bright_interval(bright: DataFrame) -> DataFrame:
+    """``laser_interval`` from each frame's level (track, frame, level)."""
     limit = robust.quiet_threshold(bright, ["track"], "frame", "level").select("track", "threshold")
     run = runs.longest_run(bright.join(limit, "track"), ["track"], "frame", F.col("level") > F.col("threshold"))
     return run.select("track", "first", (F.col("last") + 1).alias("stop"))
@@ -83,15 +88,8 @@ def label_ensemble(labelled: DataFrame, n_variants: int = len(VARIANTS)) -> Data
 
 
 def thermal_features(shots: DataFrame, keys: Sequence[str] = ("track", "bin")) -> DataFrame:
-    """Brightness, areas and moments above five levels, tail length and gradient of each frame."""
-    keys = list(keys)
-    bright = frames.brightness(shots, keys, "value", (0.999, 0.99)).withColumnsRenamed({"v_max": "t_max", "p999": "t_p999", "p99": "t_p99", "soft_sum": "t_sum_above1000"}).drop("p")
-    above = frames.moments(shots, keys, "x", "y", "value", LEVELS, FRAME_PIXEL)
-    of = lambda c, t: F.max(F.when(F.col("threshold") == t, F.col(c)))
-    shape = above.groupBy(*keys).agg(*[of("area", t).alias(f"a{t}") for t in LEVELS], *[of(c, t).alias(f"{c}{t}") for t in DETAILED for c in ("cx", "cy", "len", "wid", "ecc", "skewx")])
-    profile = shots.groupBy(*keys, "x").agg(F.max("value").alias("v"))
-    tail = frames.tail(profile, keys, "x", "v", F.col("v") > 1200).select(*keys, (F.col("tail_len") * FRAME_PIXEL).alias("tail_len"), "tail_grad")
-    return bright.join(shape, keys).join(tail, keys)
+    """Brightness, areas and moments above five levels, tail length and gradient of each frame (keys, w, pixels)."""
+    return frames.described(shots, list(keys), LEVELS, DETAILED, FRAME_PIXEL)
 
 
 @pandas_udf(StructType().add("low", "double").add("high", "double"))
@@ -133,9 +131,13 @@ def surface_features(mosaic: DataFrame, pixel: float, mask_mm: float = 0.75, tap
 
 def height_bins(heights: DataFrame, labelled: DataFrame, margin: float = 0.15, least: int = 200, every: tuple[int, int] = (40, 2)) -> DataFrame:
     """(track, bin, z_peak, z_mean, z_valley, z_range) in micrometres over the melt's pixels of each bin, after each
-    track's plane is taken off; the plane is fitted beside the melt.  ``labelled`` is (track, bin, yl, yr) in mm."""
+    track's plane is taken off; the plane is fitted beside the melt, to every so manieth column, in order of x, and row.
+    ``labelled`` is (track, bin, yl, yr) in mm."""
     sides = labelled.groupBy("track").agg(F.percentile("yl", F.lit(0.5)).alias("_l"), F.percentile("yr", F.lit(0.5)).alias("_r"))
-    thin = heights.where((F.col("ix") % every[0] == 0) & (F.col("iy") % every[1] == 0)).join(sides, "track")
+    columns = heights.groupBy("track", "ix").agg(F.first("x_mm").alias("_x"))  # as many as an image is wide
+    place = F.row_number().over(Window.partitionBy("track").orderBy("_x", "ix")) - 1
+    chosen = columns.withColumn("_place", place).where(F.col("_place") % every[0] == 0).select("track", "ix")
+    thin = heights.where(F.col("iy") % every[1] == 0).join(chosen, ["track", "ix"]).join(sides, "track")
     beside = thin.where(~F.coalesce(F.col("y_mm").between(F.col("_l") - margin, F.col("_r") + margin), F.lit(False)))
     planes = robust.trimmed_planes(beside, ["track"], "x_mm", "y_mm", "z_mm")
     flat = heights.where("z_mm is not null").withColumn("bin", grid_bin("x_mm")).join(labelled.select("track", "bin", "yl", "yr"), ["track", "bin"]).where("y_mm between yl and yr").join(planes, "track")

@@ -118,9 +118,13 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([same(part.value, pa.string()), same(name, pa.string()), pa.array(np.arange(at, at + k, dtype=np.int32)), same(h, pa.int32()), same(w, pa.int32()), pixels], names=["file", "variable", "frame", "h", "w", "pixels"])
 
 
-def shots(frames: DataFrame) -> DataFrame:
-    """(track, frame, x, y, value), a row a pixel, of frames (file, frame, w, pixels, ...); the track is the number
-    behind the last underscore of the file's name."""
+def tracked(frames: DataFrame) -> DataFrame:
+    """(track, frame, h, w, pixels) of frames (file, ...); the track is the number behind the last underscore of the file's name."""
     track = F.regexp_extract("file", r"_(\d+)\.[^./]*$", 1).try_cast("int")
-    cells = frames.select(track.alias("track"), "frame", "w", F.posexplode("pixels").alias("k", "value"))
+    return frames.select(track.alias("track"), "frame", "h", "w", "pixels")
+
+
+def shots(frames: DataFrame) -> DataFrame:
+    """(track, frame, x, y, value), a row a pixel, of frames (file, frame, h, w, pixels, ...)."""
+    cells = tracked(frames.withColumn("h", F.lit(None).cast("int"))).select("track", "frame", "w", F.posexplode("pixels").alias("k", "value"))
     return cells.select("track", "frame", (F.col("k") % F.col("w")).alias("x"), F.floor(F.col("k") / F.col("w")).cast("int").alias("y"), F.col("value").cast("double").alias("value"))
