@@ -96,7 +96,7 @@ def test_ridge_and_neighbours(spark):
     w, c = learning.ridge(d, ["a", "b"], "y", alpha=1e-6)
     assert w == pytest.approx([2, -1], abs=1e-4) and c == pytest.approx(1, abs=1e-4)
     rows = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(x)], "id long, vec array<double>")
-    got = learning.nearest(rows, rows.where("id < 5"), k=4, block=2)
+    got = learning.nearest(rows, rows.where("id < 5"), k=4, chunk=2)
     for q in range(5):
         want = np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[:4]
         assert [r.id for r in got.where(F.col("query") == q).orderBy("rank").collect()] == want.tolist()

@@ -1,5 +1,5 @@
-"""Models: the split search as a query, forecasts of folds by boosted trees, ridge by its normal equations, and nearest
-neighbours."""
+"""Models: the split search as a query, forecasts of folds by trees, ridge by its normal equations, and forecasts
+by neighbours."""
 
 from __future__ import annotations
 
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import bin_code
 from trackloom.operators import boosting
+from trackloom.operators.neighbours import nearest
 from trackloom.operators.quantiles import percentiles
+from trackloom.scratch import written
 
 
 def coded(df: DataFrame, features: Sequence[str], bins: int = 32) -> DataFrame:
@@ -194,42 +196,6 @@ def anchor_forecast(df: DataFrame, fold: str, key: str, x: str, y: str) -> DataF
     return df.join(lines, fold).select(fold, key, (F.col("_a") + F.col("_b") * F.coalesce(x, "_med")).alias("forecast"))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 15, block: int = 2048) -> DataFrame:
-    """(query, id, distance, rank): the ``k`` rows (id, vec) nearest to each query (id, vec) by squared distance, the
-    smaller id first on a tie.  Queries come in blocks of at most ``block``; every partition of rows gives its own k
-    of each query, and those meet in a ranking by query."""
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    parts = None
-    for b in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
-        if not some:
-            continue
-        ids = np.array([r.id for r in some])
-        shared = rows.sparkSession.sparkContext.broadcast((ids, np.array([r.vec for r in some], np.float64)))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            best_d, best_i = np.full((len(ids), 0), np.inf), np.empty((len(ids), 0), np.int64)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                own, x = pdf.id.to_numpy(np.int64), np.stack([np.asarray(v, np.float64) for v in pdf.vec])
-                for at in range(0, len(own), 512):
-                    d = ((q[:, None, :] - x[None, at : at + 512]) ** 2).sum(axis=2) if len(ids) * x.shape[1] < 1 << 16 else np.stack([((row - x[at : at + 512]) ** 2).sum(axis=1) for row in q])
-                    d, i = np.concatenate([best_d, d], axis=1), np.concatenate([best_i, np.broadcast_to(own[at : at + 512], d.shape)], axis=1)
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            yield pd.DataFrame({"query": np.repeat(ids, best_i.shape[1]), "id": best_i.ravel(), "distance": best_d.ravel()})
-
-        found = rows.select(F.col("id").cast("long"), "vec").mapInPandas(run, "query long, id long, distance double")
-        parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        return rows.sparkSession.createDataFrame([], "query long, id long, distance double, rank int")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
-    return parts.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def neighbour_forecast(known: DataFrame, asked: DataFrame, key: str, features: Sequence[str], y: str, k: int = 15) -> DataFrame:
     """(key, forecast): the mean ``y`` of the ``k`` nearest rows of ``known`` for each row of ``asked``.
 
@@ -238,6 +204,6 @@ def neighbour_forecast(known: DataFrame, asked: DataFrame, key: str, features: S
     stats = known.agg(*[F.struct(F.avg(f).alias("m"), (F.stddev_pop(f) + 1e-9).alias("s")).alias(f"_{f}") for f in features])
     vec = F.array(*[F.coalesce((F.col(f) - F.col(f"_{f}.m")) / F.col(f"_{f}.s"), F.lit(0.0)) for f in features])
     place = lambda df: df.join(F.broadcast(stats)).select(F.col(key).cast("long").alias("id"), vec.alias("vec"))
-    near = nearest(place(known), place(asked), k)
+    near = nearest(written(place(known), "known"), place(asked), k)
     means = near.join(known.select(F.col(key).cast("long").alias("id"), F.col(y).alias("_y")), "id").groupBy("query").agg(F.avg("_y").alias("forecast"))
     return asked.select(key).join(means, F.col(key).cast("long") == F.col("query")).select(key, "forecast")
