@@ -144,7 +144,69 @@ def test_headers_of_height_maps(spark, tmp_path):
     got = {(r.track, r.ix): (r.x_mm, r.z_mm) for r in profiles.asc_heights(spark, str(tmp_path), (99.2, 100.0)).collect()}
     assert got == {(8, 0): (100.0, 1.0), (8, 1): (99.5, None), (10, 0): (100.0, None)}
     with pytest.raises(ValueError):
-        profiles.asc_header(b"X Size 3\nRAW_DATA\n")
+        (tmp_path / "bad.ASC").write_text("X Size 3\nRAW_DATA\n")
+        profiles.asc_heights(spark, str(tmp_path / "bad.ASC"))
+
+
+@pytest.mark.parametrize("size", [1 << 27, 1000, 97, 41])
+def test_height_maps_are_cut_anywhere(spark, tmp_path, size):
+    """Two maps, one with blank lines and carriage returns, one too short, in parts that end inside of lines and headers."""
+    rng = np.random.default_rng(6)
+    want = {}
+    for track, (nx, ny, lost, end) in {8: (23, 9, 0, "\n"), 21: (10, 31, 47, "\r\n")}.items():
+        z = [None if rng.random() < 0.3 else round(float(rng.normal(0, 1e5)), 3) for _ in range(nx * ny - lost)]
+        body = [f"{k // ny}\t{k % ny}\t{'Bad' if v is None else v}" + ("\tmore" if k % 5 == 0 else "") for k, v in enumerate(z)]
+        body = [x for k, line in enumerate(body) for x in ([line, ""] if track == 21 and k % 7 == 0 else [line])]
+        (tmp_path / f"Heightmap_{track}.ASC").write_bytes(end.join(["Some Software 1.0", "", f"X Size\t{nx}", f"Y Size\t{ny}", "Pixel_size\t7\t4\t0.5", "RAW_DATA", *body]).encode())
+        for k in range(nx * ny):
+            v = z[k] if k < len(z) else None
+            want[track, k // ny, k % ny] = (100 - k // ny * 0.5, k % ny * 0.5, None if v is None else float(np.float32(v) * np.float32(1e-6)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        made = profiles.asc_heights(spark, str(tmp_path), None)
+        got = {(r.track, r.ix, r.iy): (r.x_mm, r.y_mm, r.z_mm) for r in made.collect()}
+        parts = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert got == want and made.count() == len(want)
+    assert parts > 20 or size > 200
+
+
+def test_moving_sums_of_any_window(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, i, None if rng.random() < 0.1 else float(rng.normal())) for k, n in ((1, 200), (2, 3), (3, 1)) for i in range(n)]
+    d = spark.createDataFrame(rows, "k int, i long, v double").repartition(3)
+    for before, after, chunk in ((3, 5, 1 << 16), (0, 2, 7), (60, 60, 40), (2, 0, 1)):
+        made = order.moving_sums(d, ["k"], "i", {"s": "v"}, before, after, lambda s, low, high, first, last: F.struct(s, low, high, first, last), chunk)
+        assert made.columns == ["k", "i", "v", "s"]
+        own = {k: [v or 0.0 for kk, _, v in rows if kk == k] for k in (1, 2, 3)}
+        for r in made.collect():
+            x, i = own[r.k], r.i
+            want = [sum(x[max(0, i - before) : i + after + 1]), max(0, before - i), max(0, after - (len(x) - 1 - i)), x[0], x[-1]]
+            assert list(r.s)[:3] == pytest.approx(want[:3])
+            assert not want[1] or r.s[3] == want[3]
+            assert not want[2] or r.s[4] == want[4]
+
+
+def test_seams_by_transform(spark):
+    """All overlaps of neighbours against sums of products, with gaps, a tile without a neighbour, and one that shares no row."""
+    rng = np.random.default_rng(9)
+    w, h = 12, 5
+    tiles = {(k, t): np.where(rng.random((h, w)) < 0.15, np.nan, rng.normal(size=(h, w))) for k, t in ((1, 0), (1, 1), (1, 2), (1, 4), (2, 0))}
+    rows = [(k, t, x, y + (100 if (k, t) == (1, 2) else 0), float(v[y, x])) for (k, t), v in tiles.items() for y in range(h) for x in range(w) if not np.isnan(v[y, x])]
+    d = spark.createDataFrame(rows, "k int, t int, x int, y int, v double").repartition(4)
+    scan = grid.seam_scan(d, ["k"], "t", "x", "y", "v", w, range(2, 8))
+    got = {(r.k, r.tile, r.overlap): r.r for r in scan.collect()}
+    flat = lambda v: (v - np.nanmean(v)) / (np.nanstd(v) + 1e-9)
+    a, b = flat(tiles[1, 0]), flat(tiles[1, 1])
+    assert set(got) == {(1, t, o) for t in (0, 1) for o in range(2, 8)}
+    for o in range(2, 8):
+        assert got[1, 0, o] == pytest.approx(np.nanmean(a[:, w - o :] * b[:, :o])) and got[1, 1, o] is None
+    best = {(r.k, r.tile): r.overlap for r in grid.best_seam(scan, ["k"], w, 0.25).collect()}
+    assert best[1, 1] == 3 and best[1, 0] == max(range(2, 8), key=lambda o: got[1, 0, o])
 
 
 def tiff(a):

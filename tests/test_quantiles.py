@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from trackloom.operators.quantiles import percentiles
 
+#: Whatever the table, it is not small.
+BIG = 1 << 60
 FRACTIONS = [0.0, 0.05, 0.3, 0.5, 0.85, 0.999, 1.0]
 
 
@@ -15,7 +17,7 @@ def both(df, keys, value="v", fractions=FRACTIONS):
     clean = df.withColumn(value, F.nanvl(value, F.lit(None).cast("double")))
     want = clean.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, F.array(*[F.lit(f) for f in fractions])).alias("p"))
     sort = lambda rows: sorted((tuple((x is None, x) for x in r[:-2]), r.n, None if r.p is None else [round(x, 9) if abs(x) < 1e6 else x for x in r.p]) for r in rows)
-    return sort(percentiles(df, keys, value, fractions, small=0).collect()), sort(want.collect())
+    return sort(percentiles(df, keys, value, fractions, size=BIG).collect()), sort(want.collect())
 
 
 @pytest.mark.parametrize("parts", [1, 5])
@@ -36,7 +38,7 @@ def test_many_values_of_one_key(spark):
     n = 2_000_000
     v = F.when(F.col("id") % 1000 == 0, F.col("id") * 1e6).otherwise(1000 + F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 44)))
     df = spark.range(n, numPartitions=8).select((F.col("id") * 0).alias("k"), v.alias("v"))
-    got = percentiles(df, ["k"], "v", FRACTIONS, small=0).first()
+    got = percentiles(df, ["k"], "v", FRACTIONS, size=BIG).first()
     values = np.sort(df.select("v").toPandas().v.to_numpy())
     assert got.n == n and np.allclose(got.p, np.quantile(values, FRACTIONS), rtol=0, atol=1e-9)
 
@@ -45,5 +47,5 @@ def test_few_values_and_no_rows(spark):
     df = spark.createDataFrame([(i % 2, float(i % 5)) for i in range(1000)], "k int, v double")
     got, want = both(df, ["k"])
     assert got == want
-    assert percentiles(df.where("k > 5"), ["k"], "v", [0.5], small=0).collect() == []
+    assert percentiles(df.where("k > 5"), ["k"], "v", [0.5], size=BIG).collect() == []
     assert percentiles(df, ["k"], F.col("v") * 2, [0.5]).columns == ["k", "n", "p"]

@@ -3,28 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators.order import step_size, windowed
+from trackloom.operators.order import moving_sums, step_size, windowed
 
 
 def edge_means(df: DataFrame, keys: Sequence[str], position: str, values: dict[str, str], taps: int) -> DataFrame:
     """Moving means of several columns, (new name: column), over an odd number of ``taps``; beyond the ends the last value
-    repeats.
-
-    The missing rows are counted by two shorter frames, and the value at a clipped frame's end is the edge's."""
-    half = taps // 2
-
-    def make(w: WindowSpec) -> dict[str, Column]:
-        whole = w.rowsBetween(-half, half)
-        low = half - F.count(F.lit(1)).over(w.rowsBetween(-half, -1))
-        high = half - F.count(F.lit(1)).over(w.rowsBetween(1, half))
-        return {name: (F.sum(v).over(whole) + low * F.first(v).over(whole) + high * F.last(v).over(whole)) / taps for name, v in values.items()}
-
-    return windowed(df, keys, position, half, half, make)
+    repeats, and an unknown value counts as 0."""
+    return moving_sums(df, keys, position, values, taps // 2, taps // 2, lambda total, low, high, first, last: (total + low * first + high * last) / taps)
 
 
 def box_means(df: DataFrame, keys: Sequence[str], x: str, y: str, values: dict[str, str], taps_y: int = 15, taps_x: int = 51) -> DataFrame:
@@ -98,14 +90,47 @@ def placed(tiles: DataFrame, keys: Sequence[str], tile: str) -> DataFrame:
 
 
 def seam_scan(tiles: DataFrame, keys: Sequence[str], tile: str, x: str, y: str, value: str, width: int, overlaps: Sequence[int]) -> DataFrame:
-    """(keys, tile, overlap, r): how well a tile's right strip fits the next one's left strip, per overlap.
+    """(keys, tile, overlap, r): how well a tile's right strip fits the next one's left strip, per overlap, for every two
+    neighbours; NULL where the strips have no cell in common.
 
-    Each tile is standardised as a whole; r is the mean product over the strip."""
+    Each tile is standardised as a whole; r is the mean product over the strip.  A row of pixels gives its two strips as
+    arrays, and one transform of a pair of these gives the sums of all overlaps."""
+    keys, widest = list(keys), max(overlaps)
     stats = tiles.groupBy(*keys, tile).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    flat = tiles.join(stats, [*keys, tile]).select(*keys, F.col(tile).alias("tile"), F.col(y).alias("_y"), F.col(x).alias("_x"), ((F.col(value) - F.col("_m")) / (F.col("_s") + 1e-9)).alias("_v"))
-    own = flat.withColumnRenamed("_v", "_a").withColumn("overlap", F.explode(F.array(*[F.lit(o) for o in overlaps]))).withColumn("_x", F.col("_x") - (width - F.col("overlap"))).where("_x >= 0")
-    after = flat.withColumn("tile", F.col("tile") - 1).withColumnRenamed("_v", "_b")
-    return own.join(after, [*keys, "tile", "_y", "_x"]).groupBy(*keys, "tile", "overlap").agg(F.avg(F.col("_a") * F.col("_b")).alias("r"))
+    edge = tiles.where((F.col(x) >= width - widest) | (F.col(x) < widest)).join(stats, [*keys, tile])
+    flat = edge.select(*keys, F.col(tile).alias("tile"), F.col(y).alias("_y"), F.col(x).alias("_x"), ((F.col(value) - F.col("_m")) / (F.col("_s") + 1e-9)).alias("_v"))
+
+    def strips(start: int, name: str, step: int) -> DataFrame:
+        mine = flat.where((F.col("_x") >= start) & (F.col("_x") < start + widest)).withColumn("tile", F.col("tile") - step)
+        return mine.groupBy(*keys, "tile", "_y").agg(F.collect_list(F.struct((F.col("_x") - start).cast("int").alias("at"), "_v")).alias(name))
+
+    both = strips(width - widest, "_a", 0).join(strips(0, "_b", 1), [*keys, "tile", "_y"])
+    wanted = list(overlaps)
+
+    def dense(cells: list) -> tuple[np.ndarray, np.ndarray]:
+        out, known = np.zeros((len(cells), 2 * widest)), np.zeros((len(cells), 2 * widest))
+        for i, row in enumerate(cells):
+            for c in row:
+                if c["_v"] is not None:
+                    out[i, c["at"]], known[i, c["at"]] = c["_v"], 1.0
+        return out, known
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (a, ka), (b, kb) = dense(batch["_a"].to_pylist()), dense(batch["_b"].to_pylist())
+            # an overlap of o columns lays b's first on a's column widest - o
+            each = [np.fft.irfft(np.fft.rfft(p, axis=1) * np.conj(np.fft.rfft(q, axis=1)), 2 * widest, axis=1)[:, [widest - o for o in wanted]] for p, q in ((a, b), (ka, kb))]
+            yield pa.RecordBatch.from_arrays([*[batch[k] for k in [*keys, "tile"]], pa.array(each[0].tolist()), pa.array(np.rint(each[1]).tolist())], names=[*keys, "tile", "s", "n"])
+
+    kinds = dict(both.dtypes)
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in [*keys, "tile"]] + ["s array<double>", "n array<double>"])
+    sums = both.mapInArrow(run, schema).groupBy(*keys, "tile").agg(*[F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for i in range(len(wanted)) for c in "sn"])
+    own = stats.select(*keys, F.col(tile).alias("tile"))
+    pairs = own.join(own.withColumn("tile", F.col("tile") - 1), [*keys, "tile"]).join(sums, [*keys, "tile"], "left")
+    each = F.explode(F.array(*[F.struct(F.lit(o).alias("overlap"), F.when(F.col(f"n{i}") > 0, F.col(f"s{i}") / F.col(f"n{i}")).alias("r")) for i, o in enumerate(wanted)]))
+    return pairs.select(*keys, "tile", each.alias("_e")).select(*keys, "tile", "_e.overlap", "_e.r")
 
 
 def best_seam(scan: DataFrame, keys: Sequence[str], width: int, share: float = 0.05) -> DataFrame:

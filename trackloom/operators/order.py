@@ -24,16 +24,46 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: C
     return df.withColumn("_place", place).join(before, [*keys, "_bucket"]).withColumn(name, F.col("_before") + F.col("_place") - 1).drop("_bucket", "_place", "_before")
 
 
-def windowed(df: DataFrame, keys: Sequence[str], position: str, before: int, after: int, make: Callable[[WindowSpec], dict[str, Column]], chunk: int = CHUNK) -> DataFrame:
+def windowed(df: DataFrame, keys: Sequence[str], position: str, before: int, after: int, make: Callable[[WindowSpec], dict[str, Column]], chunk: int = CHUNK, prepare: Callable[[WindowSpec], dict[str, Column]] | None = None) -> DataFrame:
     """Columns over a moving window of rows, for gapless integer positions.
 
     Each key's signal is cut into chunks that overlap by the window's reach, and each chunk is a task group of its
-    own.  ``make`` gets the window ordered by position, without a frame, and gives the new columns.
+    own.  ``make`` gets the window ordered by position, without a frame, and gives the new columns; those of ``prepare``
+    come before and may be used by it, and stay.
     """
     first, last = F.floor((F.col(position) - after) / chunk), F.floor((F.col(position) + before) / chunk)
     cut = df.withColumn("_chunk", F.explode(F.sequence(first, last)))
-    made = make(Window.partitionBy(*keys, "_chunk").orderBy(position))
-    return cut.withColumns(made).where(F.col("_chunk") == F.floor(F.col(position) / chunk)).drop("_chunk")
+    w = Window.partitionBy(*keys, "_chunk").orderBy(position)
+    if prepare:
+        cut = cut.withColumns(prepare(w))
+    return cut.withColumns(make(w)).where(F.col("_chunk") == F.floor(F.col(position) / chunk)).drop("_chunk")
+
+
+def moving_sums(df: DataFrame, keys: Sequence[str], position: str, values: dict[str, str], before: int, after: int, finish: Callable[..., Column], chunk: int = CHUNK) -> DataFrame:
+    """``finish`` of the sums of columns, (new name: column), over the rows from ``before`` rows before to ``after`` rows after each.
+
+    ``finish`` gets a sum, how many of the window's rows are missing at the start and at the end of the signal, and the
+    values at these ends.  A sum is the difference of two running sums of a chunk, so a row costs the same for any
+    window; an unknown value counts as 0."""
+    known = lambda v: F.coalesce(F.nanvl(F.col(v).cast("double"), F.lit(0.0)), F.lit(0.0))
+    everything = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    names = list(values)
+
+    def prepare(w: WindowSpec) -> dict[str, Column]:
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        sums = {f"_run{i}": F.sum(known(values[n])).over(run) for i, n in enumerate(names)}
+        ends = {f"_{side}{i}": f(known(values[n])).over(everything(w)) for i, n in enumerate(names) for side, f in (("head", F.first), ("tail", F.last))}
+        return sums | ends | {"_at": F.row_number().over(w), "_of": F.count(F.lit(1)).over(everything(w))}
+
+    def make(w: WindowSpec) -> dict[str, Column]:
+        # only a signal's ends cut a window of a row of the chunk itself
+        low, high = F.greatest(F.lit(before) + 1 - F.col("_at"), F.lit(0)), F.greatest(F.lit(after) - (F.col("_of") - F.col("_at")), F.lit(0))
+        upto = lambda i: F.coalesce(F.lead(f"_run{i}", after).over(w), F.last(f"_run{i}").over(everything(w)))
+        behind = lambda i: F.coalesce(F.lag(f"_run{i}", before + 1).over(w), F.lit(0.0))
+        return {n: finish(upto(i) - behind(i), low, high, F.col(f"_head{i}"), F.col(f"_tail{i}")) for i, n in enumerate(names)}
+
+    own = [f"_{c}{i}" for i in range(len(names)) for c in ("run", "head", "tail")]
+    return windowed(df, keys, position, before, after, make, chunk, prepare).drop(*own, "_at", "_of")
 
 
 def rolling(df: DataFrame, keys: Sequence[str], position: str, values: Sequence[str], reach: int = 5, least: int = 3, reducers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
@@ -64,9 +94,8 @@ def step_size(df: DataFrame, keys: Sequence[str], position: str, value: str, nam
 
 
 def smoothed(df: DataFrame, keys: Sequence[str], position: str, value: str, taps: int = 51, name: str = "smooth") -> DataFrame:
-    """Moving mean that always divides by ``taps``, with zeros beyond the ends."""
-    half = taps // 2
-    return windowed(df, keys, position, half, taps - 1 - half, lambda w: {name: F.sum(value).over(w.rowsBetween(-half, taps - 1 - half)) / taps})
+    """Moving mean that always divides by ``taps``, with zeros beyond the ends and for unknown values."""
+    return moving_sums(df, keys, position, {name: value}, taps // 2, taps - 1 - taps // 2, lambda total, _low, _high, _first, _last: total / taps)
 
 
 def roughness(df: DataFrame, keys: Sequence[str], position: str, value: str, reach: int = 3, name: str = "rough") -> DataFrame:

@@ -55,16 +55,17 @@ def _holding(counts: DataFrame, within: Sequence[str], order: str) -> DataFrame:
     return mine.where(F.size("ranks") > 0).withColumn("before", F.col("upto") - F.col("n")).drop("upto")
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: Column | str, fractions: Sequence[float], name: str = "p", small: int | None = None) -> DataFrame:
+def percentiles(df: DataFrame, keys: Sequence[str], value: Column | str, fractions: Sequence[float], name: str = "p", size: int | None = None) -> DataFrame:
     """(keys, n, name): how many values a key has that are neither NULL nor NaN, and their percentiles, an array of doubles in the
     order of ``fractions``, interpolated as by ``percentile``; NULL for a key without values.
 
-    A plan of more than ``small`` bytes (``SMALL`` by default) is read three times, so it should come from files.  The bins with
-    wanted ranks, few to a key and fraction, are written down between the steps."""
+    ``size`` bounds the bytes of the rows, where the caller knows better than Spark's estimate, which multiplies both sides of
+    a join.  A larger table is read three times, so it should come from files.  The bins with wanted ranks, few to a key and
+    fraction, are written down between the steps."""
     keys, points = list(keys), F.array(*[F.lit(float(f)) for f in fractions])
     v = nan_to_null((F.col(value) if isinstance(value, str) else value).cast("double"))
     rows = df.select(*keys, v.alias("_v"))
-    if estimated(rows) <= (SMALL if small is None else small):
+    if (estimated(rows) if size is None else size) <= SMALL:
         return rows.groupBy(*keys).agg(F.count("_v").alias("n"), F.percentile("_v", points).alias(name))
     rows = rows.withColumn("b1", _octave(F.col("_v")))
     ends = [F.count("_v").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")]

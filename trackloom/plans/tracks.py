@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from trackloom.functions import first_min, grid_bin, quality_weight, supported
 from trackloom.operators import frames, grid, order, robust, runs
+from trackloom.operators.quantiles import estimated
 
 # Fixed values of the data: the grid in mm, pixel sizes in mm, brightness levels, powers in W by track.
 START, STOP, STEP, BINS = 20.0, 100.0, 0.2, 400
@@ -103,23 +104,23 @@ def _bands(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["low", "high"], dtype="float64")
 
 
-def surface_features(mosaic: DataFrame, pixel: float, mask_mm: float = 0.75, taps: int = 51, least: int = 8) -> DataFrame:
-    """(track, bin, s_mean, s_std, s_grad, s_locvar, s_fftlow, s_ffthigh, s_entropy) of the surface beside the melt.
+def _melt_rows(image: DataFrame, keys: Sequence[str], taps: int) -> DataFrame:
+    """(keys, _c): the smoothest row of each image (keys, y, x, value), by its mean step along x over ``taps`` rows."""
+    steps = order.windowed(image, [*keys, "y"], "x", 0, 1, lambda w: {"_d": F.abs(F.lead("value").over(w) - F.col("value"))})
+    rough = order.smoothed(steps.groupBy(*keys, "y").agg(F.avg("_d").alias("_g")), keys, "y", "_g", taps, "_rv")
+    return rough.groupBy(*keys).agg(first_min("_rv", "y").alias("_c"))
 
-    The melt is the smoothest row; the rows within ``mask_mm`` of it are left out and the flanks joined.  A spectrum
-    takes one pixel column, whose length is the image's height.
-    """
-    half = int(mask_mm / pixel)
-    size = mosaic.groupBy("track").agg(F.max("x").alias("_last"))
-    steps = order.windowed(mosaic, ["track", "y"], "x", 0, 1, lambda w: {"_d": F.abs(F.lead("value").over(w) - F.col("value"))})
-    rough = order.smoothed(steps.groupBy("track", "y").agg(F.avg("_d").alias("_g")), ["track"], "y", "_g", taps, "_rv")
-    centre = rough.groupBy("track").agg(first_min("_rv", "y").alias("_c"))
-    placed = mosaic.join(size.join(centre, "track"), "track").withColumn("bin", grid_bin(STOP - (F.col("_last") - F.col("x")) * pixel))
+
+def _flanks(image: DataFrame, half: int) -> DataFrame:
+    """The rows of images (_c, y, ...) outside of ``half`` rows around _c, numbered as if both flanks were one."""
     upper = F.col("y") < F.col("_c") - half
-    flank = placed.where((upper | (F.col("y") >= F.col("_c") + half)) & F.col("bin").isNotNull())
-    flank = flank.withColumn("y", F.when(upper, F.col("y")).otherwise(F.col("y") - F.col("_c") - half + F.greatest(F.col("_c") - half, F.lit(0))))
-    wide = flank.groupBy("track", "bin").agg(F.count_distinct("x").alias("_n")).where(F.col("_n") >= least).drop("_n")
-    patch = flank.join(wide, ["track", "bin"]).select("track", "bin", "x", "y", "value")
+    both = image.where(upper | (F.col("y") >= F.col("_c") + half))
+    return both.withColumn("y", F.when(upper, F.col("y")).otherwise(F.col("y") - F.col("_c") - half + F.greatest(F.col("_c") - half, F.lit(0))))
+
+
+def _patch_features(patch: DataFrame) -> DataFrame:
+    """(track, bin, s_...) of patches (track, bin, x, y, value); a spectrum takes one pixel column, whose length is the image's
+    height."""
     keys = ["track", "bin"]
     look = grid.texture(patch, keys, "x", "y", "value").withColumnsRenamed({"mean": "s_mean", "deviation": "s_std", "gradient": "s_grad", "local_var": "s_locvar"})
     entropy = grid.density_entropy(patch, keys, "value", 32, (0.0, 255.0)).withColumnRenamed("entropy", "s_entropy")
@@ -129,6 +130,47 @@ def surface_features(mosaic: DataFrame, pixel: float, mask_mm: float = 0.75, tap
     return look.join(bands, keys).join(entropy, keys)
 
 
+def surface_features(mosaic: DataFrame, pixel: float, mask_mm: float = 0.75, taps: int = 51, least: int = 8) -> DataFrame:
+    """(track, bin, s_mean, s_std, s_grad, s_locvar, s_fftlow, s_ffthigh, s_entropy) of the surface beside the melt.
+
+    The melt is the smoothest row; the rows within ``mask_mm`` of it are left out and the flanks joined.  A bin of fewer than
+    ``least`` columns has no row."""
+    size = mosaic.groupBy("track").agg(F.max("x").alias("_last"))
+    placed = mosaic.join(size.join(_melt_rows(mosaic, ["track"], taps), "track"), "track").withColumn("bin", grid_bin(STOP - (F.col("_last") - F.col("x")) * pixel))
+    flank = _flanks(placed.where(F.col("bin").isNotNull()), int(mask_mm / pixel))
+    wide = flank.groupBy("track", "bin").agg(F.count_distinct("x").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    return _patch_features(flank.join(wide, ["track", "bin"]).select("track", "bin", "x", "y", "value"))
+
+
+def tile_features(tiles: DataFrame, width: int, tile_mm: float = 6.41, mask_mm: float = 0.75, taps: int = 51, least: int = 8, least_rows: int = 50) -> DataFrame:
+    """The same features without a mosaic, of tiles (track, place from 0, y, x, value) of ``width`` columns.
+
+    Tile k begins k tiles from the far end, 100 mm, and its columns run against x; each has a melt of its own.  A bin takes
+    the columns within 0.1 mm of its centre in the tile that holds this, so one at a border is narrower.  Bins of fewer than
+    ``least`` columns or ``least_rows`` rows beside the melt have no row."""
+    pixel = tile_mm / width
+    bins = tiles.sparkSession.range(BINS).select(F.col("id").cast("int").alias("bin"))
+    x0 = bin_centre(F.col("bin"))
+    at = F.floor((STOP - x0) / tile_mm)
+    centre = (STOP - at * tile_mm - x0) / tile_mm * width
+    ends = [F.greatest(F.lit(0), (centre - STEP / 2 / pixel).cast("int")), F.least(F.lit(width), (centre + STEP / 2 / pixel).cast("int"))]
+    ranges = bins.select("bin", at.cast("int").alias("place"), ends[0].alias("_from"), ends[1].alias("_to")).where(F.col("_to") - F.col("_from") >= least)
+    columns = ranges.select("bin", "place", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("x"))  # 400 bins of some columns each
+    found = tiles.join(_melt_rows(tiles, ["track", "place"], taps), ["track", "place"])
+    flank = _flanks(found, int(mask_mm / pixel)).join(F.broadcast(columns), ["place", "x"])
+    tall = flank.groupBy("track", "bin").agg(F.count_distinct("y").alias("_n")).where(F.col("_n") >= least_rows).drop("_n")
+    return _patch_features(flank.join(tall, ["track", "bin"]).select("track", "bin", "x", "y", "value"))
+
+
+def stitched_features(tiles: DataFrame, width: int, tile_mm: float = 6.41, thin: int = 4, least: float = 0.01, most: float = 0.12, **settings) -> DataFrame:
+    """``surface_features`` of a mosaic of tiles (track, place, y, x, value), each laid with the overlap, of ``least`` to ``most`` of
+    a tile's width, at which its strip fits the next one's best over every ``thin``-th row."""
+    overlaps = range(int(least * width), int(most * width))
+    scan = grid.seam_scan(tiles.where(F.col("y") % thin == 0), ["track"], "place", "x", "y", "value", width, overlaps)
+    mosaic = grid.stitched(tiles, grid.best_seam(scan, ["track"], width), ["track"], "place", "x", "y", "value", width)
+    return surface_features(mosaic, tile_mm / width, **settings)
+
+
 def height_bins(heights: DataFrame, labelled: DataFrame, margin: float = 0.15, least: int = 200, every: tuple[int, int] = (40, 2)) -> DataFrame:
     """(track, bin, z_peak, z_mean, z_valley, z_range) in micrometres over the melt's pixels of each bin, after each
     track's plane is taken off; the plane is fitted beside the melt, to every so manieth column, in order of x, and row.
@@ -139,7 +181,7 @@ def height_bins(heights: DataFrame, labelled: DataFrame, margin: float = 0.15, l
     chosen = columns.withColumn("_place", place).where(F.col("_place") % every[0] == 0).select("track", "ix")
     thin = heights.where(F.col("iy") % every[1] == 0).join(chosen, ["track", "ix"]).join(sides, "track")
     beside = thin.where(~F.coalesce(F.col("y_mm").between(F.col("_l") - margin, F.col("_r") + margin), F.lit(False)))
-    planes = robust.trimmed_planes(beside, ["track"], "x_mm", "y_mm", "z_mm")
+    planes = robust.trimmed_planes(beside, ["track"], "x_mm", "y_mm", "z_mm", size=estimated(heights))
     flat = heights.where("z_mm is not null").withColumn("bin", grid_bin("x_mm")).join(labelled.select("track", "bin", "yl", "yr"), ["track", "bin"]).where("y_mm between yl and yr").join(planes, "track")
     um = (F.col("z_mm") - (F.col("a") * F.col("x_mm") + F.col("b") * F.col("y_mm") + F.col("c"))) * 1e3
     out = flat.withColumn("_z", um).groupBy("track", "bin").agg(F.count("_z").alias("_n"), F.avg("_z").alias("z_mean"), F.percentile("_z", F.array(*[F.lit(s) for s in (0.02, 0.05, 0.95, 0.98)])).alias("_p")).where(F.col("_n") >= least)
