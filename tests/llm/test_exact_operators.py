@@ -478,3 +478,26 @@ def test_running_ends_over_many_runs(spark):
     rows = pii._with_ends(spark.createDataFrame([(i, x) for i, x in enumerate(sizes)], "i int, sizes array<bigint>")).collect()
     for r in rows:
         assert r.ends == [sum(sizes[r.i][: k + 1]) for k in range(len(sizes[r.i]))]
+
+
+# ---- placement by the highest hash, shuffles by Fisher and Yates
+
+
+def test_shards_have_the_highest_hash(spark):
+    keys = spark.createDataFrame([(i,) for i in [None, 0, -5, *range(1000, 1300)]], "key long")
+    scores = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.xxhash64(F.lit(sharding.SEED), k, F.col("key")))
+    for r in keys.select(scores.alias("scores"), sharding.shard_of(F.col("key"), 7).alias("shard"), sharding.shard_of(F.col("key"), 8).alias("grown")).collect():
+        assert r.shard == max(range(7), key=lambda k: (r.scores[k], k)) and r.grown == max(range(8), key=lambda k: (r.scores[k], k))
+        assert r.grown in (r.shard, 7)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 9, 60])
+def test_shuffles_are_those_of_their_draws(spark, n):
+    draws = F.transform(F.sequence(F.lit(0), F.lit(max(n - 1, 0))), lambda i: F.pmod(F.xxhash64(F.lit(3), F.lit(11), i), i + 1).cast("int"))
+    r = spark.range(1).select(draws.alias("draws"), sharding.fisher_yates(F.lit(n), F.lit(3), F.lit(11)).alias("turn")).first()
+    want = []
+    for i in range(n):
+        want.append(i)
+        j = r.draws[i]
+        want[i], want[j] = want[j], want[i]
+    assert r.turn == want and sorted(r.turn) == list(range(n))

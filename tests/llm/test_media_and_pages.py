@@ -241,3 +241,10 @@ def test_smoothing_decides_in_mixed_layouts():
     assert sum(a != b for a, b in zip(plain, smooth, strict=True)) >= 5
     for k, text in enumerate(smooth):
         assert all(x * (1 + (i + k) % 3) in text for i, x in enumerate(STORY[: 3 + k % 5]))
+
+
+def test_streams_keep_a_column_of_their_name(spark):
+    rows = spark.createDataFrame([(1, "own", None), (1, "own", None)], "id long, mpeg string, media binary")
+    made = media.streams(rows)
+    assert made.columns == ["id", "mpeg", "media", "mpeg_"] and [(r.mpeg, r.mpeg_.n_frames) for r in made.collect()] == [("own", 0)] * 2
+    assert media.streams(rows.limit(0)).count() == 0 and media.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0

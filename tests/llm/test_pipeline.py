@@ -69,3 +69,27 @@ def test_odd_rows(spark, tmp_path):
 def test_empty_tables(spark, tmp_path, folder):
     out = corpus_pipeline.run(spark, made(spark, tmp_path / folder, []))
     assert out.count() == 0 and out.columns[-2:] == ["shard_", "slot"]
+
+
+def test_threads_do_not_remove_each_others_tables(spark):
+    """One pipeline settles a stage while another is between keeping a table and reading it."""
+    import threading
+
+    kept, settled_now, out = threading.Event(), threading.Event(), {}
+
+    def slow():
+        def make():
+            table = store.keep(spark.range(5), "slow")
+            kept.set()
+            settled_now.wait(60)
+            return table
+
+        out["slow"] = store.settled(spark, make, "slow_result")[0].count()
+
+    thread = threading.Thread(target=slow)
+    thread.start()
+    assert kept.wait(60)
+    out["fast"] = store.settled(spark, lambda: store.keep(spark.range(3), "fast"), "fast_result")[0].count()
+    settled_now.set()
+    thread.join(60)
+    assert out == {"slow": 5, "fast": 3}

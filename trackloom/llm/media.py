@@ -301,7 +301,11 @@ def read_texts(stored: DataFrame) -> DataFrame:
 
 def streams(media: DataFrame, column: str = "media") -> DataFrame:
     """All columns of ``media`` and a struct ``mpeg`` (seconds double, n_frames, offsets, skipped, checked, bad) of
-    the bytes in ``column``; null bytes have no frames."""
+    the bytes in ``column``; null bytes have no frames.  If ``media`` has a column mpeg, the new one's name gets underscores.
+    Repeated rows give a row each, no rows none."""
+    name = "mpeg"
+    while name in media.columns:
+        name += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("seconds", pa.float64()), ("n_frames", pa.int64()), ("offsets", pa.list_(pa.int64())), ("skipped", pa.int64()), ("checked", pa.int64()), ("bad", pa.int64())])
@@ -310,13 +314,16 @@ def streams(media: DataFrame, column: str = "media") -> DataFrame:
             for x in batch.column(batch.schema.get_field_index(column)):
                 r = decode(x.as_py() or b"")
                 made.append({"seconds": float(r["duration"]), "n_frames": len(r["offsets"]), "offsets": r["offsets"], "skipped": r["skipped"], "checked": r["checked"], "bad": r["bad"]})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], names=[*batch.schema.names, "mpeg"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], names=[*batch.schema.names, name])
 
     found = "seconds double, n_frames long, offsets array<long>, skipped long, checked long, bad long"
-    schema = T.StructType([*media.schema.fields, T.StructField("mpeg", T.StructType.fromDDL(found))])
+    schema = T.StructType([*media.schema.fields, T.StructField(name, T.StructType.fromDDL(found))])
     return media.mapInArrow(run, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row for every row of ``docs``: the text stored as MPEG audio in a table of streams, and read back from it."""
+    """One row for every row of ``docs``: the text stored as MPEG audio in a table of streams, and read back from it.
+
+    Null and empty texts are one block of padding; equal texts, repeated rows too, have equal values; a text of any length is
+    one stream.  No rows give no rows."""
     return read_texts(keep(store_texts(docs), "media"))

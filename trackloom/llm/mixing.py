@@ -193,5 +193,6 @@ def mixed_documents(docs: DataFrame, block: int = 2048, seed: int = SEED) -> Dat
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, starts) of every row of ``docs``."""
+    """(doc_id, size, source_size, target, taken, starts) of every row of ``docs``; null and blank texts have size 0 and nothing
+    is taken of them.  Repeated rows give a row each, a null source is one of its own, and no rows give no rows."""
     return Mix(docs).taken().drop("mark")

@@ -85,7 +85,8 @@ def text_size(text: Column) -> Column:
 
 
 def report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row; a null text is empty."""
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row; a null text is empty, null ids share a shard,
+    repeated rows have a slot each, and no rows give no rows."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     light = keep(docs.select("doc_id", text_size(docs["text"]).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), "records")
     out = shuffled(light, "doc_id", "text_crc32", "size", shards)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: What ``keep`` has written since ``settled`` began, for each call of it that is open.
-_WRITTEN: list[list[str]] = []
+#: What ``keep`` has written since ``settled`` began, for each call of it that is open in this thread.
+_WRITTEN: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -32,7 +33,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/trackloom/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    for written in _WRITTEN[-1:]:
+    for written in _WRITTEN.get()[-1:]:
         written.append(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -40,12 +41,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
     """What ``make`` gives, kept, and its folder; the tables that ``keep`` wrote on the way are removed.  Nothing made within may be read
     afterwards but the result."""
-    _WRITTEN.append([])
+    paths: list[str] = []
+    outer = _WRITTEN.set((*_WRITTEN.get(), paths))
     try:
         out = keep(make(), name)
-        folder = _WRITTEN[-1].pop()
+        folder = paths.pop()
     finally:
-        for path in _WRITTEN.pop():
+        _WRITTEN.reset(outer)
+        for path in paths:
             removed(spark, path)
     return out, folder
 

@@ -173,7 +173,10 @@ def scored(docs: DataFrame, model: Model, columns: list[str] | None = None, most
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_offending) of every row of ``docs``; see ``scored``."""
+    """(doc_id, held_out, score, predicted, n_offending) of every row of ``docs``; see ``scored``.
+
+    Repeated rows give a row each, with equal scores; texts of any length are read whole, in pieces; no rows give no rows, and
+    without labels every score is 0."""
     out = scored(docs, train(docs, labels), ["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), F.col("toxicity.score").alias("score"), (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), F.size("toxicity.offending").alias("n_offending"))
 
