@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from test_operators import matrix, tiff
 
+from trackloom.operators import learning
 from trackloom.plans import stages, tracks
 
 SETTINGS = {"least": 5}
@@ -72,6 +76,55 @@ def test_the_command_line(layout, capsys):
 
     main([layout.data, layout.out, "--only", "4"])
     assert capsys.readouterr().out == ""
+    main([layout.data, layout.out, "--only", "9", "--power", "8=400", "10=350", "14=300", "21=200", "--lag", "auto", "--trees", "least=5", "rate=0.1"])
+    out = capsys.readouterr().out
+    assert "report_width_by_power" in out and "report_spread" in out
+
+
+def test_results_as_json(spark, layout):
+    card, noted = spark.read.parquet(layout.table("scorecard")).collect(), spark.read.json(layout.table("final_results.json")).collect()
+    assert len(card) == len(noted) and all(n["width_mae"] == pytest.approx(c["width_mae"]) for n, c in zip(noted, card, strict=True))
+    assert {r.track for r in spark.read.json(layout.table("folds.json")).collect()} == set(layout.tracks)
+
+
+def test_a_killed_run_goes_on(spark, layout, tmp_path, monkeypatch):
+    """The tables of one track, and the forecasts of two, are lost; what is there is not made again."""
+    out = tmp_path / "out"
+    shutil.copytree(layout.out, out)
+    mine = replace(layout, out=str(out))
+    for name in ("surface", "dataset"):
+        shutil.rmtree(out / name / "track=10")
+    for t in (14, 21):
+        shutil.rmtree(out / "forecasts" / f"track={t}")
+    before = {t: sorted((r.bin, r.pw, tuple(r.q)) for r in spark.read.parquet(str(out / "forecasts")).where(f"track = {t}").collect()) for t in (8, 10)}
+    kept = {p: p.stat().st_mtime_ns for p in out.rglob("*.parquet") if "track=8" in str(p)}
+    held = []
+    trained = learning.boosting.trained
+    monkeypatch.setattr(learning.boosting, "trained", lambda rows, which, *more, **named: held.append(list(which)) or trained(rows, which, *more, **named))
+    card = stages.run(spark, mine, resume=True)
+    assert held == [[2], [-1]]  # the third training track, and the models that all holdouts share
+    assert stages.made_parts(spark, mine, "dataset") == {8, 10, 14, 21} == stages.made_parts(spark, mine, "forecasts")
+    assert all(p.exists() and p.stat().st_mtime_ns == at for p, at in kept.items() if not {"modelling", "plot_scores", "plot_bands", "report_heights", "report_spread"} & set(p.parts))
+    read = lambda where, name: sorted(map(str, spark.read.parquet(f"{where}/{name}").select("track", "bin").collect()))
+    assert all(read(out, n) == read(layout.out, n) for n in ("dataset", "surface", "forecasts"))
+    after = {t: sorted((r.bin, r.pw, tuple(r.q)) for r in spark.read.parquet(str(out / "forecasts")).where(f"track = {t}").collect()) for t in (8, 10)}
+    assert before == after and len(card.collect()) == spark.read.parquet(layout.table("scorecard")).count()
+    held.clear()
+    stages.run(spark, mine, start=7, resume=True)
+    assert held == []
+
+
+def test_the_lag_is_chosen_once(spark, layout, tmp_path, monkeypatch):
+    """Features lead the label by 5 bins on the training tracks, and by 9 on the holdout, which has no say."""
+    rng = np.random.default_rng(1)
+    mine, rows = replace(layout, out=str(tmp_path), lag=None), []
+    for t in layout.tracks:
+        v = rng.normal(size=220)
+        rows += [(t, b, float(v[b - (9 if t == 21 else 5)]) if b > 9 else None, float(v[b]), float(rng.normal())) for b in range(220)]
+    table = spark.createDataFrame(rows, "track int, bin int, width double, th_a double, th_b double")
+    assert stages.chosen_lag(spark, mine, table, ["th_a", "th_b"]) == 5
+    monkeypatch.setattr(tracks, "pick_lag", None)
+    assert stages.chosen_lag(spark, mine, table, ["th_a"]) == 5 and stages.chosen_lag(spark, replace(mine, lag=3), table, []) == 3
 
 
 def test_a_mosaic_of_two_tiles(spark):

@@ -62,20 +62,23 @@ def _models(df: DataFrame, fold: str | None, folds: Sequence, held: Sequence[int
     return boosting.trained(rows, held, kinds, len(features), len(targets), len(weights), boosting.Settings(**settings), one_task, together)
 
 
-def fold_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str], heads: Sequence[Head], train_folds: Sequence | None = None, block: int = 64, **settings) -> DataFrame:
+def fold_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str], heads: Sequence[Head], train_folds: Sequence | None = None, block: int = 64, only: Sequence | None = None, **settings) -> DataFrame:
     """(fold, key, a column for each head): every row forecast by models that its fold's labels didn't train.
 
     Models for a fold are trained on all rows of the other folds among ``train_folds`` (all by default) whose target is
     known; folds outside of these are holdouts: they train nothing and share their models.  Settings are those of
     ``boosting.Settings``, and ``one_task``, the rows up to which one task grows a model; beyond, all tasks grow the same
     trees together.  ``block`` folds at a time are held out, and their models broadcast.  A fold without any row to learn from
-    gets NULLs; a null fold is a fold, and none of the others' rows are lost.
+    gets NULLs; a null fold is a fold, and none of the others' rows are lost.  If ``only`` is given, these folds are
+    forecast, and no models trained for others.
     """
     folds = sorted((r[0] for r in df.select(fold).distinct().collect()), key=lambda f: (f is None, f))
     mine = folds if train_folds is None else [f for f in folds if f in list(train_folds)]
     numbers = {f: i for i, f in enumerate(mine)}
-    groups = [mine[at : at + block] for at in range(0, len(mine), block)]
-    others = [f for f in folds if f not in numbers]
+    asked_for = [f for f in folds if only is None or f in list(only)]
+    held_out = [f for f in mine if f in asked_for]
+    groups = [held_out[at : at + block] for at in range(0, len(held_out), block)]
+    others = [f for f in asked_for if f not in numbers]
     kinds = dict(df.dtypes)
     schema = f"`{fold}` {kinds[fold]}, `{key}` {kinds[key]}, " + ", ".join(f"`{h.name}` double" for h in heads)
     columns = [F.col(f).cast("double").alias(f) for f in features]

@@ -634,13 +634,15 @@ def top_local_corr(spark: SparkSession, sf: str) -> DataFrame:
     return extras.local_correlations(_tab(spark, sf), "fold", ["q", "d", "t"], "y", top=2).select("feature", _r("r"))
 
 
-_BINS = """WITH g AS (SELECT (vec_id % 4)::INT AS k, (vec_id // 4)::INT AS bin, embedding AS e FROM embeddings WHERE vec_id // 4 < 400), a AS (SELECT k, b::INT AS bin FROM (SELECT DISTINCT k FROM g) CROSS JOIN range(0, 400) AS r(b)),
+_BINS = """WITH g AS (SELECT (vec_id % 4)::INT AS k, (vec_id // 4 % 400)::INT AS bin, [avg(embedding[1]::DOUBLE), avg(embedding[2]::DOUBLE), avg(embedding[3]::DOUBLE)] AS e FROM embeddings GROUP BY 1, 2), a AS (SELECT k, b::INT AS bin FROM (SELECT DISTINCT k FROM g) CROSS JOIN range(0, 400) AS r(b)),
     j AS (SELECT a.k, a.bin, [8, 10, 14, 21][a.k + 1] AS track, [400, 350, 300, 200][a.k + 1] AS power, CASE WHEN g.bin % 3 <> 0 THEN e[1]::DOUBLE END AS width, CASE WHEN g.bin % 5 <> 0 THEN e[2]::DOUBLE END AS th, e[3]::DOUBLE AS sem FROM a LEFT JOIN g USING (k, bin)),
     d AS (SELECT *, CASE WHEN count(th) OVER w >= 3 THEN avg(th) OVER w END AS m5, CASE WHEN count(th) OVER w >= 3 THEN stddev_pop(th) OVER w END AS s5 FROM j WINDOW w AS (PARTITION BY k ORDER BY bin ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))"""
 
 
 def _dataset(spark: SparkSession, sf: str) -> DataFrame:
-    g = _t(spark, sf, "embeddings").select(F.get(F.array(*[F.lit(t) for t in tracks.POWER]), (F.col("vec_id") % 4).cast("int")).alias("track"), F.floor(F.col("vec_id") / 4).cast("int").alias("bin"), F.col("embedding").cast("array<double>").alias("e")).where("bin < 400")
+    """All vectors on the grid, several to a bin where there are more of them than bins."""
+    each = _t(spark, sf, "embeddings").select(F.get(F.array(*[F.lit(t) for t in tracks.POWER]), (F.col("vec_id") % 4).cast("int")).alias("track"), (F.floor(F.col("vec_id") / 4) % 400).cast("int").alias("bin"), F.col("embedding").cast("array<double>").alias("e"))
+    g = each.groupBy("track", "bin").agg(F.array(*[F.avg(F.get("e", F.lit(i))) for i in range(3)]).alias("e"))
     at = lambda i: F.get("e", F.lit(i))
     width = F.when(F.col("bin") % 3 != 0, at(0))
     labelled = g.select("track", "bin", width.alias("width"), (width - 1).alias("yl"), (width + 1).alias("yr"), F.lit(0.0).alias("edge_rough"), F.lit(0.5).alias("valid_frac"))

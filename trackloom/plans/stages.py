@@ -1,21 +1,23 @@
 """The pipeline from raw files to the scorecard, as numbered stages that read and write tables.
 
-Every stage is one plan over all tracks and leaves Parquet tables, so a run can begin at any stage whose tables are
-there.  Raw files lie under ``data`` as thermal/Thermal_<track>.mat, height_maps/Heightmap_<track>.ASC and
+Every stage is one plan over all tracks and leaves Parquet tables, parted by track, so a run can begin at any stage whose
+tables are there.  A run that resumes makes the parts that are missing and no others: tracks that have no part of a
+table yet, and forecasts of tracks that no model has been trained for; the lag, the scorecard and which folds are there are
+JSON, too.  Raw files lie under ``data`` as thermal/Thermal_<track>.mat, height_maps/Heightmap_<track>.ASC and
 sem/SEM_<track>/PlainImages/<name>_<tile>.tif; tables are written under ``out``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import rearranged, recentred
 from trackloom.operators import frames, grid, learning, scoring
-from trackloom.plans import tracks
+from trackloom.plans import extras, tracks
 from trackloom.sources import matlab, profiles
 
 KEYS = ["track", "bin"]
@@ -39,8 +41,9 @@ class Layout:
     train: tuple[int, ...] = (8, 10, 14)
     holdout: tuple[int, ...] = (21,)
     power: dict[int, float] = field(default_factory=lambda: dict(tracks.POWER))
-    lag: int = 14
+    lag: int | None = 14  # None: chosen by the training tracks
     settings: dict = field(default_factory=dict)  # of the boosted trees
+    todo: tuple[int, ...] | None = None  # the tracks to make tables of; None: all
 
     @property
     def tracks(self) -> tuple[int, ...]:
@@ -54,7 +57,41 @@ class Layout:
 
 
 def _read(spark: SparkSession, layout: Layout, name: str) -> DataFrame:
-    return spark.read.parquet(layout.table(name))
+    """A stage's table, of the tracks to do."""
+    found = spark.read.parquet(layout.table(name))
+    return found.where(F.col("track").isin(list(layout.todo))) if layout.todo is not None and "track" in found.columns else found
+
+
+def made_parts(spark: SparkSession, layout: Layout, name: str) -> set[int]:
+    """The tracks that a table has a part of."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(layout.table(name))
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [p.getPath().getName() for p in store.listStatus(folder)] if store.exists(folder) else []
+    return {int(p.removeprefix("track=")) for p in parts if p.removeprefix("track=").isdigit()}
+
+
+def _write(made: DataFrame, layout: Layout, name: str) -> None:
+    """Replace a table, or, where only some tracks are to do, their parts of it."""
+    out = made.write.mode("overwrite")
+    if "track" in made.columns:
+        out = out.partitionBy("track").option("partitionOverwriteMode", "static" if layout.todo is None else "dynamic")
+    out.parquet(layout.table(name))
+
+
+def _noted(spark: SparkSession, layout: Layout, name: str, rows: DataFrame) -> None:
+    rows.coalesce(1).write.mode("overwrite").json(layout.table(f"{name}.json"))
+
+
+def chosen_lag(spark: SparkSession, layout: Layout, table: DataFrame, features: list[str]) -> int:
+    """The layout's lag, or the one that the training tracks choose, which is noted as JSON and read from there again."""
+    if layout.lag is not None:
+        return layout.lag
+    if _has(spark, layout, "lag.json"):
+        return spark.read.schema("lag int, score double").json(layout.table("lag.json")).first().lag
+    best = tracks.pick_lag(table.where(F.col("track").isin(list(layout.train))), features).select(F.col("lag").cast("int").alias("lag"), "score")
+    _noted(spark, layout, "lag", best)
+    found = spark.read.schema("lag int, score double").json(layout.table("lag.json")).first()
+    return found.lag if found else 0
 
 
 def _has(spark: SparkSession, layout: Layout, name: str) -> bool:
@@ -65,10 +102,11 @@ def ingest(spark: SparkSession, layout: Layout) -> dict[str, DataFrame]:
     """Frames, height maps and mosaics of tiles, and the frames of the laser interval; raises if a track's files are missing.
 
     Video files are parsed once: all else reads the table of frames, a row a frame."""
-    if lost := profiles.missing(spark, [p for t in layout.tracks for p in layout.raw(t)]):
+    wanted = layout.tracks if layout.todo is None else layout.todo
+    if lost := profiles.missing(spark, [p for t in wanted for p in layout.raw(t)]):
         raise FileNotFoundError(", ".join(lost))
     spark.dataSource.register(matlab.MatFrames)
-    mine = F.col("track").isin(list(layout.tracks))
+    mine = F.col("track").isin(list(wanted))
     film = matlab.tracked(spark.read.format("matframes").load(f"{layout.data}/thermal")).where(mine)
     heights = profiles.asc_heights(spark, f"{layout.data}/height_maps").where(mine)
     tiles = grid.placed(profiles.tiles(spark, f"{layout.data}/sem/*/PlainImages").where(mine), ["track"], "tile")
@@ -126,37 +164,74 @@ def heights(spark: SparkSession, layout: Layout) -> dict[str, DataFrame]:
 
 
 def model(spark: SparkSession, layout: Layout) -> dict[str, DataFrame]:
-    """Forecasts of every track by models that its labels didn't train, and the holdouts' scorecard.
+    """Forecasts of the tracks to do by models that their labels didn't train, and the holdouts' scorecard.
 
-    Holdouts train nothing and choose nothing: the intervals' scale comes from the training tracks' forecasts.  Without
+    Holdouts train nothing and choose nothing: lag and intervals' scale come from the training tracks.  Without
     the table of heights the one before it is used, and nothing is forecast of heights."""
-    table = _read(spark, layout, "dataset_with_z" if _has(spark, layout, "dataset_with_z") else "dataset_ensemble")
+    everything = replace(layout, todo=None)
+    table = _read(spark, everything, "dataset_with_z" if _has(spark, layout, "dataset_with_z") else "dataset_ensemble")
     if "z_range" not in table.columns:
         table = table.withColumn("z_range", F.lit(None).cast("double"))
-    ready = tracks.modelling_table(table, layout.lag).withColumn("key", F.col("track") * 1000 + F.col("bin"))
+    lag = chosen_lag(spark, layout, table, [c for c in table.columns if c.startswith("th_")])
+    ready = tracks.modelling_table(table, lag).withColumn("key", F.col("track") * 1000 + F.col("bin"))
     features = [c for c in ready.columns if c not in (*LABELS, "key")]
 
     def forecasts() -> DataFrame:
-        rows = _read(spark, layout, "modelling")
-        made = learning.fold_forecasts(rows, "track", "key", features, HEADS, layout.train, **layout.settings)
+        rows = _read(spark, everything, "modelling")
+        made = learning.fold_forecasts(rows, "track", "key", features, HEADS, layout.train, only=layout.todo, **layout.settings)
         q = recentred(rearranged(F.array(*[f"q{i}" for i in range(len(scoring.QUANTILES))])), "pw")
         truth = rows.select("key", "bin", "x", F.col("w_ens").alias("w_true"), F.col("center").alias("c_true"), F.col("yl").alias("yl_true"), F.col("yr").alias("yr_true"), F.col("z_range").alias("zr_true"))
         return made.select("track", "key", q.alias("q"), "pw", "pc", "zr_pred").join(truth, "key").drop("key")
 
-    return {"modelling": ready, "forecasts": forecasts, "scorecard": lambda: scoring.scorecard(_read(spark, layout, "forecasts"), "track", layout.train, SCALES)}
+    return {"modelling": ready, "forecasts": forecasts, "scorecard": lambda: scorecard(spark, layout)}
+
+
+def scorecard(spark: SparkSession, layout: Layout) -> DataFrame:
+    """The holdouts' scores over the forecasts of all folds that are there, also noted as JSON with these folds."""
+    found = _read(spark, replace(layout, todo=None), "forecasts").where(F.col("track").isin(list(layout.tracks)))
+    card = scoring.scorecard(found, "track", layout.train, SCALES)
+    _noted(spark, layout, "final_results", card)
+    _noted(spark, layout, "folds", found.groupBy("track").agg(F.count("*").alias("rows")).orderBy("track"))
+    return card
+
+
+def reports(spark: SparkSession, layout: Layout) -> dict[str, DataFrame]:
+    """Tables to look at: missing shares of heights, width by power, spread of the labels, and what the figures show."""
+    everything = replace(layout, todo=None)
+    table = _read(spark, everything, "dataset_ensemble")
+    scores = _read(spark, everything, "scores")
+    return {
+        "report_heights": extras.missing_share(_read(spark, everything, "heights"), ["track"], ["z_mm"]),
+        "report_width_by_power": extras.width_by_power(table),
+        "report_spread": extras.spread_summary(table),
+        "plot_scores": extras.decimated(scores.select("track", "ix", "iy", "x_mm", "y_mm", "score"), {"ix": 10}),
+        "plot_bands": extras.final_bands(_read(spark, everything, "forecasts"), _read(spark, everything, "scorecard")),
+    }
 
 
-STAGES: dict[int, Callable[[SparkSession, Layout], dict]] = {0: ingest, 1: labels, 2: thermal, 3: surface, 4: dataset, 5: ensemble, 6: heights, 7: model}
+STAGES: dict[int, Callable[[SparkSession, Layout], dict]] = {0: ingest, 1: labels, 2: thermal, 3: surface, 4: dataset, 5: ensemble, 6: heights, 7: model, 9: reports}
+#: The last stage of the scorecard, and of all.
+LAST, TABLES = 7, {0: ("frames", "shots", "heights", "mosaic"), 1: ("scores", "labels"), 2: ("thermal",), 3: ("surface",), 4: ("dataset",), 5: ("dataset_ensemble",), 6: ("dataset_with_z",), 7: ("forecasts",)}
 
 
-def run(spark: SparkSession, layout: Layout, start: int = 0, only: int | None = None) -> DataFrame | None:
-    """Run the stages from ``start`` on, or one ``only``; gives the scorecard if the last one ran.
+def run(spark: SparkSession, layout: Layout, start: int = 0, only: int | None = None, resume: bool = False) -> DataFrame | None:
+    """Run the stages from ``start`` on, or one ``only``; gives the scorecard if the model's stage ran.
 
-    A stage's tables are written in turn, and one that is a function is made from those written before it."""
+    A stage's tables are written in turn, and one that is a function is made from those written before it.  To resume is
+    to do the tracks that some table of a stage has no part of, and the layout's own ``todo``, if it has one."""
     if only is not None and only not in STAGES:
         raise ValueError(f"no stage {only}")
-    for n in [only] if only is not None else [n for n in STAGES if n >= start]:
-        for name, made in STAGES[n](spark, layout).items():
-            (made() if callable(made) else made).write.mode("overwrite").parquet(layout.table(name))
-    last = only if only is not None else max(STAGES)
-    return _read(spark, layout, "scorecard") if last == max(STAGES) else None
+    numbers = [only] if only is not None else [n for n in STAGES if n >= start]
+    for n in numbers:
+        own = layout
+        if resume and n in TABLES:
+            lost = [t for t in layout.tracks if any(t not in made_parts(spark, layout, name) for name in TABLES[n])]
+            own = replace(layout, todo=tuple(t for t in lost if layout.todo is None or t in layout.todo))
+            if not own.todo and n != LAST:
+                continue
+        for name, made in STAGES[n](spark, own).items():
+            if n == LAST and name == "forecasts" and own.todo == ():
+                continue
+            # what a model learns from, and the scorecard, are of all tracks
+            _write(made() if callable(made) else made, replace(own, todo=None) if name in ("modelling", "scorecard") else own, name)
+    return _read(spark, replace(layout, todo=None), "scorecard") if LAST in numbers else None
