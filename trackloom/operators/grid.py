@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -62,12 +61,25 @@ def density_entropy(df: DataFrame, keys: Sequence[str], value: str, bins: int =
 
 
 def spectrum(df: DataFrame, keys: Sequence[str], position: str, value: str, n: int) -> DataFrame:
-    """(keys, k, amplitude): the discrete Fourier transform's magnitudes for k = 0 .. n/2, by the sums of its
-    definition; every row meets n/2 + 1 frequencies, and the sums combine before their shuffle."""
-    turn = F.lit(2 * math.pi / n) * ((F.col("k") * F.col(position)) % n)
-    each = df.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n // 2).cast("long"))))
-    sums = each.groupBy(*keys, "k").agg(F.sum(F.col(value) * F.cos(turn)).alias("re"), F.sum(F.col(value) * F.sin(turn)).alias("im"))
-    return sums.select(*keys, "k", F.hypot("re", "im").alias("amplitude"))
+    """(keys, k, amplitude): the discrete Fourier transform's magnitudes for k = 0 .. n/2 of series of ``n`` positions from 0 on; a
+    position that is missing, or whose value is unknown, counts as 0.
+
+    A series becomes one row, an array, and is transformed where it lies."""
+    cells = df.where(F.col(position).between(0, n - 1)).groupBy(*keys).agg(F.collect_list(F.struct(F.col(position).cast("int").alias("at"), F.col(value).cast("double").alias("v"))).alias("_cells"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["_cells"]
+            flat, rows = lists.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            series = np.zeros((batch.num_rows, n))
+            np.add.at(series, (rows, flat.field("at").to_numpy()), np.nan_to_num(flat.field("v").to_numpy(zero_copy_only=False)))
+            sizes = np.abs(np.fft.rfft(series, axis=1))
+            made = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * sizes.shape[1]), pa.array(sizes.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch[k] for k in keys], made], names=[*keys, "_f"])
+
+    kinds = dict(cells.dtypes)
+    found = cells.mapInArrow(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "_f array<double>"]))
+    return found.select(*keys, F.posexplode("_f").alias("k", "amplitude")).withColumn("k", F.col("k").cast("long"))
 
 
 def band_power(spectra: DataFrame, keys: Sequence[str], n_frequencies: int, n: int) -> DataFrame:

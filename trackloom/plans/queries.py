@@ -426,6 +426,25 @@ def conformal_best(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.best_scale(_calibration(spark, sf)).select(_r("scale"), _r("crps"))
 
 
+_TRAIN = ("click", "view", "purchase")
+_HELD_SQL = _GRID_SQL.replace("FROM fc CROSS JOIN", f"FROM (SELECT * FROM fc WHERE event_type IN {_TRAIN}) CROSS JOIN")
+
+
+@query(
+    _HELD_SQL
+    + f""", best AS (SELECT scale FROM g WHERE coverage >= 0.88 ORDER BY crps, scale LIMIT 1), h AS (SELECT event_type, y, point, scale, list_transform(q, lambda x: point + (x - point) * scale) AS w FROM fc, best WHERE event_type NOT IN {_TRAIN})
+    SELECT event_type, round(any_value(scale), 6) AS conformal_s, round(avg(abs(y - point)), 6) AS width_mae, round(avg({_loss("w")}), 6) AS width_crps, round(avg((y BETWEEN w[1] AND w[5])::INT), 6) AS width_cov90, round(avg((y BETWEEN w[2] AND w[4])::INT), 6) AS width_cov50,
+    round(avg(abs(y / 4 - point / 5)), 6) AS center_mae, round(avg(abs(y / 8 - (point / 5 - point / 2))), 6) AS yleft_mae, round(avg(abs(y - (point / 5 + point / 2))), 6) AS yright_mae, round(avg(abs(y / 10 - 3)), 6) AS zrange_mae FROM h GROUP BY 1""",
+    "cast",
+)
+def holdout_scorecard(spark: SparkSession, sf: str) -> DataFrame:
+    """Event types as tracks: some choose the scale of the intervals, the others are scored with it."""
+    y, p = F.col("y"), F.col("point")
+    f = _forecasts(spark, sf).select("event_type", "q", y.alias("w_true"), (y / 4).alias("c_true"), (y / 8).alias("yl_true"), y.alias("yr_true"), (y / 10).alias("zr_true"), p.alias("pw"), (p / 5).alias("pc"), F.lit(3.0).alias("zr_pred"))
+    made = scoring.scorecard(f, "event_type", _TRAIN, _SCALES)
+    return made.select("event_type", *[_r(c) for c in made.columns if c != "event_type"])
+
+
 @query("SELECT event_type, round(quantile_cont(abs(y - point) / greatest((q[5] - q[1]) / 2, 1e-9), 0.9), 6) AS factor FROM fc GROUP BY 1", "cast")
 def conformal_q90(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.score_quantile(_forecasts(spark, sf), ["event_type"], "y", "point", F.get("q", F.lit(0)), F.get("q", F.lit(4))).select("event_type", _r("factor"))
@@ -497,6 +516,38 @@ def ridge_gram(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("n", *[_r(c, 6) for c in g.columns if c.startswith("c_")], *[_r(c, 4) for c in g.columns if c.startswith("y_")])
 
 
+_RIDGE = (
+    ", m AS (SELECT count(*) AS n, avg(y) AS my, " + ", ".join(f"avg({c}) AS m{c}, sqrt(var_pop({c})) + 1e-9 AS s{c}" for c in "qdt") + " FROM tab), c AS (SELECT "
+    + ", ".join(f"any_value(n) * covar_pop({a}, {b}) / (any_value(s{a}) * any_value(s{b})) + {10 if a == b else 0} AS {a}{b}" for i, a in enumerate("qdt") for b in "qdt"[i:]) + ", "
+    + ", ".join(f"any_value(n) * covar_pop({a}, y) / any_value(s{a}) AS b{a}" for a in "qdt") + " FROM tab, m), "
+    "d AS (SELECT *, qq * (dd * tt - dt * dt) - qd * (qd * tt - dt * qt) + qt * (qd * dt - dd * qt) AS det FROM c), "
+    "w AS (SELECT (bq * (dd * tt - dt * dt) - qd * (bd * tt - dt * bt) + qt * (bd * dt - dd * bt)) / det AS wq, (qq * (bd * tt - dt * bt) - bq * (qd * tt - dt * qt) + qt * (qd * bt - bd * qt)) / det AS wd, "
+    "(qq * (dd * bt - bd * dt) - qd * (qd * bt - bd * qt) + bq * (qd * dt - dd * qt)) / det AS wt FROM d) "
+)
+
+
+@query(_RIDGE + "SELECT id, round(my + wq * (q - mq) / sq + wd * (d - md) / sd + wt * (t - mt) / st, 3) AS forecast FROM tab, m, w", "tab")
+def ridge_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices by ridge regression; its coefficients are a few numbers that the driver solves for."""
+    t = _tab(spark, sf)
+    weights, start = learning.ridge(t, ["q", "d", "t"], "y")
+    return t.select("id", F.round(sum((F.col(f).cast("double") * float(w) for f, w in zip("qdt", weights, strict=True)), F.lit(start)), 3).alias("forecast"))
+
+
+_PICK = """, s AS (SELECT user_id, rn, value AS y, (rn * 7919) % 101 + value / 10 AS f1, (rn * 31) % 17 - value / 7 AS f2 FROM sig), x AS (SELECT user_id, rn, 'f1' AS f, f1 AS v FROM s UNION ALL SELECT user_id, rn, 'f2', f2 FROM s),
+    p AS (SELECT s.user_id, f, k AS lag, s.y, x.v FROM s CROSS JOIN range(-6, 7) AS r(k) JOIN x ON x.user_id = s.user_id AND x.rn = s.rn - k),
+    c AS (SELECT user_id, f, lag, CASE WHEN count(*) >= 20 AND stddev_pop(y) * stddev_pop(v) > 0 THEN abs(covar_pop(y, v) / (stddev_pop(y) * stddev_pop(v))) END AS r FROM p GROUP BY ALL),
+    t AS (SELECT user_id, lag, avg(r) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id, lag ORDER BY r DESC, f) AS place FROM c WHERE r IS NOT NULL) WHERE place <= 1 GROUP BY ALL)
+    SELECT lag::INT AS lag, round(avg(score), 6) AS score FROM t GROUP BY 1 ORDER BY avg(score) DESC, 1 LIMIT 1"""
+
+
+@query(_PICK, "sig")
+def lag_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """The lag at which the better of two features follows the signals of all users best."""
+    s = _sig(spark, sf).select(F.col("user_id").alias("track"), F.col("rn").alias("bin"), F.col("value").alias("width"), ((F.col("rn") * 7919) % 101 + F.col("value") / 10).alias("f1"), ((F.col("rn") * 31) % 17 - F.col("value") / 7).alias("f2"))
+    return tracks.pick_lag(s, ["f1", "f2"], "width", 6, 20, 1).select(F.col("lag").cast("int").alias("lag"), _r("score"))
+
+
 @query("SELECT vec_id, round(avg(v), 6) AS flank FROM grid WHERE pos < 24 OR pos >= 40 GROUP BY 1", "grid")
 def mask_flanks(spark: SparkSession, sf: str) -> DataFrame:
     return _grid(spark, sf).where("pos < 24 or pos >= 40").groupBy("vec_id").agg(F.round(F.avg("v"), 6).alias("flank"))
