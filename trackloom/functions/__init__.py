@@ -85,12 +85,6 @@ def quality_weight(valid: Column | str, spread: Column | str, floor: float = 0.0
     return F.when(valid.isNotNull(), F.greatest(valid, F.lit(floor)) / (1 + F.coalesce(spread, F.lit(half)) / half))
 
 
-def quantile_edges(x: Column | str, bins: int = 32) -> Column:
-    """Inner quantiles that part a column into at most ``bins`` bins, each once.  (An aggregate.)"""
-    x = F.col(x) if isinstance(x, str) else x
-    return F.array_distinct(F.percentile(nan_to_null(x.cast("double")), F.array(*[F.lit(i / bins) for i in range(1, bins)])))
-
-
 def bin_code(x: Column | str, edges: Column | str) -> Column:
     """How many edges are at or below x; 0 for NULL."""
     x, edges = (F.col(c) if isinstance(c, str) else c for c in (x, edges))

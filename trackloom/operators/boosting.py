@@ -392,6 +392,7 @@ class Spread:
         each = max(1, CELLS // max(2**g.level * len(g.columns[m]) * g.settings.bins for m in models))
         for k in range(0, len(models), each):
             out |= self._pass(sent, models[k : k + each])
+        sent.unpersist()
         return out
 
     def _pass(self, sent, models: Sequence[int]) -> dict[tuple[int, int], tuple]:
@@ -441,6 +442,7 @@ class Spread:
                     v = np.sort(part.low.to_numpy())
                     out[m, node] = between(float(v[a - before[m, node]]), float(v[b - before[m, node]]), share)
             ranges = again
+        sent.unpersist()
         return out
 
     def grown(self, g: Growing) -> Growing:
@@ -460,6 +462,7 @@ class Spread:
         schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in fields if x.name != "f") + ", f array<double>"
         old, self.rows = self.rows, written(self.rows.mapInArrow(add, schema), "forecasts")
         dropped(old)
+        sent.unpersist()
         return g._replace(since={})
 
     def close(self) -> None:

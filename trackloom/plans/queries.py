@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import correlation, first_max, first_min, grid_bin, quality_weight, rearranged, recentred, supported
@@ -776,6 +776,26 @@ def thermal_features(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("bin", *[_r(c, places.get(c, 6 if c[0] in "at" else 9 if c[:2] in ("cx", "cy") else 5)) for c in made.columns if c != "bin"])
 
 
+_PATCH = """, s AS (SELECT pos AS y, vec_id AS x, 127 + v * 300 AS v FROM grid), n AS (SELECT max(x) AS last FROM s),
+    st AS (SELECT y, avg(d) AS g FROM (SELECT y, abs(lead(v) OVER (PARTITION BY y ORDER BY x) - v) AS d FROM s) GROUP BY y), rv AS (SELECT y, sum(g) OVER (ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS r FROM st),
+    c AS (SELECT arg_min(y, (r, y)) AS c FROM rv), f AS (SELECT floor((80 - (last - x) * 0.0237::DOUBLE) / 0.2::DOUBLE)::INT AS bin, x, CASE WHEN y < c - 4 THEN y ELSE y - c - 4 + greatest(c - 4, 0) END AS y, v FROM s, n, c WHERE x < last AND (y < c - 4 OR y >= c + 4)),
+    p AS (SELECT * FROM f WHERE bin IN (SELECT bin FROM f GROUP BY bin HAVING count(DISTINCT x) >= 8)), m AS (SELECT bin, avg(v) AS mean, stddev_pop(v) AS std FROM p GROUP BY 1),
+    g AS (SELECT bin, avg(d) AS grad FROM (SELECT bin, abs(lead(v) OVER (PARTITION BY bin, x ORDER BY y) - v) AS d FROM p) GROUP BY 1), l AS (SELECT bin, avg(w) AS locvar FROM (SELECT bin, x, var_pop(v) AS w FROM p GROUP BY 1, 2) GROUP BY 1),
+    e AS (SELECT bin, least(floor(v / (255::DOUBLE / 32)), 31) AS b, count(*) AS k, sum(count(*)) OVER (PARTITION BY bin) AS n FROM p WHERE v BETWEEN 0 AND 255 GROUP BY 1, 2), h AS (SELECT bin, sum(-k / (n * (255::DOUBLE / 32)) * ln(k / (n * (255::DOUBLE / 32)))) AS entropy FROM e GROUP BY 1),
+    z AS (SELECT bin, x, y, v - mean AS v, count(*) OVER (PARTITION BY bin, x) AS r FROM p JOIN m USING (bin)),
+    a AS (SELECT bin, x, k, r // 2 + 1 AS q, sqrt(sum(v * cos(2 * pi() * k * y / r)) ** 2 + sum(v * sin(2 * pi() * k * y / r)) ** 2) AS a FROM z CROSS JOIN range(0, 33) AS t(k) WHERE k <= r // 2 GROUP BY ALL),
+    b AS (SELECT bin, avg(low) AS low, avg(high) AS high FROM (SELECT bin, x, avg(a) FILTER (k >= 1 AND k < q // 8) AS low, avg(a) FILTER (k >= q // 2) AS high FROM a GROUP BY 1, 2) GROUP BY 1)
+    SELECT bin, round(mean, 4) AS s_mean, round(std, 4) AS s_std, round(grad, 4) AS s_grad, round(locvar, 3) AS s_locvar, round(low, 4) AS s_fftlow, round(high, 4) AS s_ffthigh, round(entropy, 6) AS s_entropy FROM m JOIN g USING (bin) JOIN l USING (bin) JOIN h USING (bin) JOIN b USING (bin)"""
+
+
+@query(_PATCH, "grid")
+def surface_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as the columns of an image: features by bin of what lies beside its smoothest row."""
+    image = _grid(spark, sf).select(F.lit(8).alias("track"), F.col("pos").alias("y"), F.col("vec_id").alias("x"), (127 + F.col("v") * 300).alias("value"))
+    made = tracks.surface_features(image, 0.0237, 0.0237 * 4.5, 5)
+    return made.select("bin", *[_r(c, {"s_locvar": 3, "s_entropy": 6}.get(c, 4)) for c in ("s_mean", "s_std", "s_grad", "s_locvar", "s_fftlow", "s_ffthigh", "s_entropy")])
+
+
 def _heads(trees: int, weight: str | None = None) -> list[learning.Head]:
     return [learning.Head("point", "y", None, trees, weight), *[learning.Head(f"q{i}", "y", a, trees, weight) for i, a in enumerate(scoring.QUANTILES)]]
 
