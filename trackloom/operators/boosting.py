@@ -536,7 +536,8 @@ def trained(rows: DataFrame, held: Sequence[int], heads: Sequence[tuple], n_feat
     y, w = [F.get("y", F.lit(t)) for t in range(targets)], [F.get("w", F.lit(i)) for i in range(weights)]
     seen = rows.groupBy("own").agg(F.count("*").alias("rows"), *[f(c).alias(f"{n}{t}") for t, c in enumerate(y) for n, f in (("n", F.count), ("low", F.min), ("high", F.max))], *[F.max(c).alias(f"w{i}") for i, c in enumerate(w)]).collect()
     ends = lambda name, f, none: f([r[name] for r in seen if r[name] is not None], default=none)
-    shift = [30 - math.ceil(math.log2(max(ends(f"w{i}", max, 1.0), 1e-300))) for i in range(weights)]
+    tops = [ends(f"w{i}", max, 1.0) for i in range(weights)]
+    shift = [30 - math.ceil(math.log2(min(max(w, 1e-60), 1e60) if w > 0 else 1.0)) for w in tops]
     pairs = sorted({(t, i) for t, i, _, _ in heads if i >= 0})
     totals = {}
     if pairs:
