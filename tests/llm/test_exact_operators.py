@@ -412,27 +412,28 @@ def planted():
 
 
 def counted(rows):
-    """Classes of kind 0 (group and kind) and kind 4, and terms within reach, counted by hand."""
+    """Classes of kind 0 and kind 4, and words and phrases within reach, counted by hand."""
+    phrases = lambda ws: ws + [f"{v} {w}" for v, w in zip(ws, ws[1:], strict=False)]
     near, places, of, holds = {}, {}, {}, {}
     for at, (_, t, _) in enumerate(rows):
         t = t or ""
-        for w in {x.lower() for x in re.findall(r"[^\W_]+", t)}:
+        for w in set(phrases(re.findall(r"[^\W_]+", t.lower()))):
             holds.setdefault(w, set()).add(at)
         for kind, pattern in ((0, r"[a-z0-9]+@([a-z0-9.]+)"), (4, r"\b[a-z0-9]{20,}\b")):
             for m in re.finditer(pattern, t):
                 if kind == 4 and len(re.findall("[0-9]+", m[0])) < 5:
                     continue
                 left, right = t[: m.start()], t[m.end() :]
-                around = re.findall(r"[^\W_]+", left[-48:]) + re.findall(r"[^\W_]+", right[:48])
+                before, behind = (re.findall(r"[^\W_]+", x.lower()) for x in (left[-48:], right[:48]))
                 if len(left) > 48 and left[-49:-47].isalnum():
-                    around = around[1:]
+                    before = before[1:]
                 if len(right) > 48 and right[47:49].isalnum():
-                    around = around[:-1]
-                for e in [f"{kind}:kind:", f"{kind}:own:{m[0]}"] + ([f"0:group:{m[1]}"] if kind == 0 else []):
+                    behind = behind[:-1]
+                for e in [f"{kind}:kind:", f"{kind}:own:{m[0]}", f"0:group:{m[1]}" if kind == 0 else "4:group:token="]:
                     of.setdefault(e, set()).add(at)
-                    for w in around:
-                        near.setdefault((e, w.lower()), set()).add(at)
-                        places.setdefault((e, w.lower()), set()).add((left[-48:], right[:48]))
+                    for w in phrases(before) + phrases(behind):
+                        near.setdefault((e, w), set()).add(at)
+                        places.setdefault((e, w), set()).add((left[-48:], right[:48]))
     out = {}
     for (e, w), docs in near.items():
         p, q = len(of[e]) / len(rows), len(docs) / len(holds[w])
@@ -444,10 +445,12 @@ def counted(rows):
 def test_what_discloses_is_counted_as_by_hand(spark):
     rows = [r for r in planted() if r[0] != 92]
     docs = table(spark, rows)
-    ents = pii.entities(pii.found_in(docs).cache())
+    places = pii.secret_places(docs).cache()
+    assert [r.place for r in places.collect()] == ["token="]
+    ents = pii.entities(pii.found_in(docs, None, places).cache(), places)
     got = {(r.entity, r.term): (r.total, r.with_entity, r.with_term, r.both) for r in pii.disclosing(docs, ents.cache(), pii.surroundings(ents)).collect()}
     assert got == counted(rows)
-    assert ("4:kind:", "token") in got and ("0:group:clinic.example.org", "dr") in got and ("4:kind:", "about") not in got
+    assert ("4:kind:", "token") in got and ("4:group:token=", "access token") in got and ("0:group:clinic.example.org", "dr") in got and ("4:kind:", "about") not in got
 
 
 def test_terms_are_spans_wherever_they_stand(spark):
@@ -473,6 +476,63 @@ def test_terms_appear_on_the_drivers_texts(spark):
     assert kinds["secret"] >= 10 and kinds["term"] >= 10
 
 
+def test_names_of_two_words_disclose_each_kind_of_entity(spark):
+    """First and last names are common, with every other name too; a pair of them stands beside one entity alone."""
+    first, last = ["Anna", "Bert", "Cleo", "Dina"], ["Moor", "Nagel", "Orth", "Pfau"]
+    values = ["anna@clinic.example.org", "10.20.30.40", "4111 1111 1111 1111", "+49 (30) 123-4567"]
+    rows = []
+    for n, value in enumerate(values):
+        for i in range(5):
+            rows.append((len(rows), f"case {'abcde'[i]} of kind {'xy'[i % 2]}: {first[n]} {last[n]} has {value} since {'abcde'[i]}", "s"))
+    for i in range(60):
+        a, b = i % 4, (i + 1 + i // 4 % 3) % 4
+        rows.append((100 + i, f"on {'abcde'[i % 5]} {first[a]} {last[b]} has nothing of kind {'xy'[i % 2]}: since case {'abcde'[i % 5]}", "s"))
+    rows += [(200 + n, f"later {first[n].upper()}, {last[n]} came; {first[n]} and {last[n]} left", "s") for n in range(4)]
+    text = {d: t for d, t, _ in rows}
+    got = {r.doc_id: [(k, text[r.doc_id][int(a) : int(b)]) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)] for r in pii.report(table(spark, rows), disclosure=0.85).collect()}
+    for n, kind in enumerate(PLAIN):
+        for i in range(5):
+            assert (kind, values[n]) in got[5 * n + i] and ("term", f"{first[n]} {last[n]}") in got[5 * n + i]
+        assert got[200 + n] == [("term", f"{first[n].upper()}, {last[n]}")]
+    assert not any(got[100 + i] for i in range(60))
+
+
+def places_by_hand(texts):
+    """(place, n_values, tied, identifying), from the definition."""
+    holds, at, of = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, t in enumerate(texts):
+        t = (t or "").lower()
+        for w in re.findall(r"[^\W_]+", t):
+            holds[w].add(i)
+        for m in re.finditer(r"""(?<![^\W_])([^\W_]{1,64}+)[ "']{0,4}+([=:])[ "']{0,4}+([^\W_]++(?:[-_+/][^\W_]++)*+)""", t):
+            at[m[1] + m[2], max(re.findall(r"[^\W_]+", m[3]), key=len)].add(i)
+            of[m[1] + m[2]].add(i)
+    out, n = {}, len(texts)
+    for p, rows in of.items():
+        words = [(len(x), len(holds[w])) for (q, w), x in at.items() if q == p]
+        tied = [1 + math.log(k / d) / math.log(n / len(rows)) for k, d in words] if len(rows) < n else [0]
+        own = [1 - math.log(d) / math.log(n) for _, d in words]
+        out[p] = (len(words), sum(tied) / len(tied), sum(own) / len(own))
+    return out
+
+
+def test_places_of_secrets_are_found_by_counts_alone(spark):
+    pets = ["otter", "heron", "badger", "marten", "plover"]
+    rows = [(i, f"login of {pets[i % 5]}\npassword: '{a}-{b}/{a}{i}' level: {['low', 'high'][i % 2]} note: the {pets[i % 5]} is back", "s") for i, (a, b) in enumerate(zip(["vex", "jolt", "quag", "brim", "fump", "zest", "yawl"], "abcdefg", strict=True))]
+    rows += [(10, 'password = \'\' password = ""', "s"), (11, "api_key=Umbra9 https://a.example/x", "s"), (12, 'the "KEY" = "corvid" of http://b.example/y', "s"), (13, "é key=ßtrøm here", "s"), (14, None, "s"), (14, None, "s")]
+    rows += [(20, rows[0][1], "s")] * 4 + [(30 + i, f"the plain {pets[i % 5]} note {i}: the low and the high way", "s") for i in range(40)]
+    docs = table(spark, rows)
+    got = {r.place: (r.n_values, round(r.tied, 9), round(r.identifying, 9)) for r in pii.secret_places(docs, identity=0.5).collect()}
+    want = places_by_hand([t for _, t, _ in rows])
+    assert got == {p: (k, round(t, 9), round(o, 9)) for p, (k, t, o) in want.items() if k >= 3 and t >= 0.9 and o >= 0.5}
+    assert set(got) == {"password:", "key="}
+    text = {d: t for d, t, _ in rows}
+    secret = {r.doc_id: {text[r.doc_id][int(a) : int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "secret"} for r in pii.report(docs).collect()}
+    assert secret[1] == {"jolt-b/jolt1"} and secret[20] == secret[0] == {"vex-a/vex0"} and secret[11] == {"Umbra9"} and secret[12] == {"corvid"} and secret[13] == {"ßtrøm"}
+    assert not any(secret[30 + i] for i in range(40)) and secret[14] == secret[10] == set()
+    assert pii.secret_places(table(spark, [])).count() == pii.secret_places(table(spark, rows[:1])).count() == 0
+
+
 def test_running_ends_over_many_runs(spark):
     sizes = [[], [3], [1, 2] * 100, list(range(5000))]
     rows = pii._with_ends(spark.createDataFrame([(i, x) for i, x in enumerate(sizes)], "i int, sizes array<bigint>")).collect()
