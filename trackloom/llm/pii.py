@@ -298,7 +298,8 @@ def spans_of(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     found = keep(found_in(docs, row, places), "matches")
     ents = keep(entities(found, places), "entities")
     near = keep(surroundings(ents), "surroundings")
-    terms = keep(least_terms(disclosing(docs, ents, near, disclosure, support)), "terms")
+    disclosed = keep(disclosing(docs, ents, near, disclosure, support).select("term").distinct(), "disclosing")
+    terms = keep(least_terms(disclosed), "terms")
     every = ents.select("row", F.col("kind").cast("int").alias("kind"), "start", "end")
     if not terms.isEmpty():
         at = occurrences(docs, terms).withColumnsRenamed({"doc_id": "d", "mark": "m"})
