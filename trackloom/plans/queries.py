@@ -583,17 +583,30 @@ _WINDOWS = """, w AS (SELECT g.vec_id, g.pos AS here, o.pos - s.first AS i, o.v
     p AS (SELECT vec_id, here, k, k * 50 / 32.0::DOUBLE AS f, sum(u * cos(2 * pi() * k * i / 32)) ** 2 + sum(u * sin(2 * pi() * k * i / 32)) ** 2 AS p FROM u CROSS JOIN range(0, 17) AS r(k) GROUP BY 1, 2, 3),
     t AS (SELECT vec_id, here, sum(p) FILTER (k > 0) + 1e-12 AS t FROM p GROUP BY 1, 2),
     d AS (SELECT vec_id, pos, v - lag(v) OVER (PARTITION BY vec_id ORDER BY pos) AS d FROM grid), s AS (SELECT vec_id, pos, stddev_pop(d) OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING) AS rstd3 FROM d),
-    x AS (SELECT vec_id, here AS pos, any_value(t) AS t, """ + ", ".join(f"coalesce(sum(p) FILTER (f >= {lo}::DOUBLE AND f < {hi}::DOUBLE), 0) AS {n}" for n, (lo, hi) in tracks.BANDS.items()) + """, sum(f * p) FILTER (k > 0) AS scent, coalesce(sum(p) FILTER (f >= 10), 0) AS hfrac FROM p JOIN t USING (vec_id, here) GROUP BY 1, 2)
-    SELECT vec_id, pos, """ + ", ".join(f"round({n} / t, 6) AS {n}" for n in (*tracks.BANDS, "scent", "hfrac")) + ", round(rstd3, 6) AS rstd3 FROM x JOIN s USING (vec_id, pos)"
+    x AS (SELECT vec_id, here AS pos, any_value(t) AS t, """ + ", ".join(f"coalesce(sum(p) FILTER (f >= {lo}::DOUBLE AND f < {hi}::DOUBLE), 0) AS {n}" for n, (lo, hi) in tracks.BANDS.items()) + """, sum(f * p) FILTER (k > 0) AS scent, coalesce(sum(p) FILTER (f >= 10), 0) AS hfrac FROM p JOIN t USING (vec_id, here) GROUP BY 1, 2)"""
+_SPECTRUM = (*tracks.BANDS, "scent", "hfrac", "rstd3")
+_SPECTRA = ", ".join(f"{n} / t AS {n}" for n in _SPECTRUM[:-1]) + ", rstd3 FROM x JOIN s USING (vec_id, pos)"
 
 
-@query(_WINDOWS, "grid")
+@query(_WINDOWS + f", o AS (SELECT vec_id, pos, {_SPECTRA}) SELECT vec_id, pos, " + ", ".join(f"round({n}, 6) AS {n}" for n in _SPECTRUM) + " FROM o", "grid")
 def spectral_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Spectra of the 32 positions around each position of a vector."""
     made = tracks.spectral_windows(_grid(spark, sf), ["vec_id"], "pos", "v")
     return made.select("vec_id", "pos", *[_r(c) for c in made.columns if c not in ("vec_id", "pos")])
 
 
+@query(
+    _WINDOWS + f", o AS (SELECT vec_id, pos, {_SPECTRA}) SELECT vec_id // 7 AS strip, pos AS bin, " + ", ".join(f"round(max({n}) FILTER (vec_id % 7 = {i}), 6) AS sp_{s}_{n}" for i, s in enumerate(extras.SERIES) for n in _SPECTRUM) + " FROM o GROUP BY 1, 2",
+    "grid",
+)
+def spectral_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven vectors as the series of a strip: the 49 columns of their spectra."""
+    series = [F.max(F.when(F.col("vec_id") % 7 == i, F.col("v"))).alias(s) for i, s in enumerate(extras.SERIES)]
+    table = _grid(spark, sf).groupBy(F.floor(F.col("vec_id") / 7).alias("strip"), F.col("pos").alias("bin")).agg(*series)
+    made = extras.spectral_columns(table, keys=["strip"])
+    return made.select("strip", "bin", *[_r(c) for c in made.columns if c not in ("strip", "bin")])
+
+
 @query(_plane_sql("fold", 3), "tab")
 def fold_planes(spark: SparkSession, sf: str) -> DataFrame:
     """Each fold's trimmed plane of price over quantity and discount."""
@@ -776,24 +789,101 @@ def thermal_features(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("bin", *[_r(c, places.get(c, 6 if c[0] in "at" else 9 if c[:2] in ("cx", "cy") else 5)) for c in made.columns if c != "bin"])
 
 
+def _looks() -> list:
+    return [_r(c, {"s_locvar": 3, "s_entropy": 6}.get(c, 4)) for c in ("s_mean", "s_std", "s_grad", "s_locvar", "s_fftlow", "s_ffthigh", "s_entropy")]
+
+
 _PATCH = """, s AS (SELECT pos AS y, vec_id AS x, 127 + v * 300 AS v FROM grid), n AS (SELECT max(x) AS last FROM s),
     st AS (SELECT y, avg(d) AS g FROM (SELECT y, abs(lead(v) OVER (PARTITION BY y ORDER BY x) - v) AS d FROM s) GROUP BY y), rv AS (SELECT y, sum(g) OVER (ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS r FROM st),
     c AS (SELECT arg_min(y, (r, y)) AS c FROM rv), f AS (SELECT floor((80 - (last - x) * 0.0237::DOUBLE) / 0.2::DOUBLE)::INT AS bin, x, CASE WHEN y < c - 4 THEN y ELSE y - c - 4 + greatest(c - 4, 0) END AS y, v FROM s, n, c WHERE x < last AND (y < c - 4 OR y >= c + 4)),
-    p AS (SELECT * FROM f WHERE bin IN (SELECT bin FROM f GROUP BY bin HAVING count(DISTINCT x) >= 8)), m AS (SELECT bin, avg(v) AS mean, stddev_pop(v) AS std FROM p GROUP BY 1),
+    p AS (SELECT * FROM f WHERE bin IN (SELECT bin FROM f GROUP BY bin HAVING count(DISTINCT x) >= 8))"""
+_LOOK = """, m AS (SELECT bin, avg(v) AS mean, stddev_pop(v) AS std FROM p GROUP BY 1),
     g AS (SELECT bin, avg(d) AS grad FROM (SELECT bin, abs(lead(v) OVER (PARTITION BY bin, x ORDER BY y) - v) AS d FROM p) GROUP BY 1), l AS (SELECT bin, avg(w) AS locvar FROM (SELECT bin, x, var_pop(v) AS w FROM p GROUP BY 1, 2) GROUP BY 1),
     e AS (SELECT bin, least(floor(v / (255::DOUBLE / 32)), 31) AS b, count(*) AS k, sum(count(*)) OVER (PARTITION BY bin) AS n FROM p WHERE v BETWEEN 0 AND 255 GROUP BY 1, 2), h AS (SELECT bin, sum(-k / (n * (255::DOUBLE / 32)) * ln(k / (n * (255::DOUBLE / 32)))) AS entropy FROM e GROUP BY 1),
     z AS (SELECT bin, x, y, v - mean AS v, count(*) OVER (PARTITION BY bin, x) AS r FROM p JOIN m USING (bin)),
     a AS (SELECT bin, x, k, r // 2 + 1 AS q, sqrt(sum(v * cos(2 * pi() * k * y / r)) ** 2 + sum(v * sin(2 * pi() * k * y / r)) ** 2) AS a FROM z CROSS JOIN range(0, 33) AS t(k) WHERE k <= r // 2 GROUP BY ALL),
-    b AS (SELECT bin, avg(low) AS low, avg(high) AS high FROM (SELECT bin, x, avg(a) FILTER (k >= 1 AND k < q // 8) AS low, avg(a) FILTER (k >= q // 2) AS high FROM a GROUP BY 1, 2) GROUP BY 1)
-    SELECT bin, round(mean, 4) AS s_mean, round(std, 4) AS s_std, round(grad, 4) AS s_grad, round(locvar, 3) AS s_locvar, round(low, 4) AS s_fftlow, round(high, 4) AS s_ffthigh, round(entropy, 6) AS s_entropy FROM m JOIN g USING (bin) JOIN l USING (bin) JOIN h USING (bin) JOIN b USING (bin)"""
+    b AS (SELECT bin, avg(low) AS low, avg(high) AS high FROM (SELECT bin, x, avg(a) FILTER (k >= 1 AND k < q // 8) AS low, avg(a) FILTER (k >= q // 2) AS high FROM a GROUP BY 1, 2) GROUP BY 1)"""
+_LOOKS = ", round(mean, 4) AS s_mean, round(std, 4) AS s_std, round(grad, 4) AS s_grad, round(locvar, 3) AS s_locvar, round(low, 4) AS s_fftlow, round(high, 4) AS s_ffthigh, round(entropy, 6) AS s_entropy FROM m JOIN g USING (bin) JOIN l USING (bin) JOIN h USING (bin) JOIN b USING (bin)"
 
 
-@query(_PATCH, "grid")
+@query(_PATCH + _LOOK + " SELECT bin" + _LOOKS, "grid")
 def surface_features(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors as the columns of an image: features by bin of what lies beside its smoothest row."""
     image = _grid(spark, sf).select(F.lit(8).alias("track"), F.col("pos").alias("y"), F.col("vec_id").alias("x"), (127 + F.col("v") * 300).alias("value"))
     made = tracks.surface_features(image, 0.0237, 0.0237 * 4.5, 5)
-    return made.select("bin", *[_r(c, {"s_locvar": 3, "s_entropy": 6}.get(c, 4)) for c in ("s_mean", "s_std", "s_grad", "s_locvar", "s_fftlow", "s_ffthigh", "s_entropy")])
+    return made.select("bin", *_looks())
+
+
+#: Vectors as the columns of tiles of 50, eight tiles to a track.
+_TILE, _TILE_MM = 50, 2.365
+_PIXEL = f"({_TILE_MM}::DOUBLE / {_TILE})"
+_CUT = f", tl AS (SELECT vec_id // 400 AS track, (vec_id % 400) // {_TILE} AS place, vec_id % {_TILE} AS x, pos AS y, 127 + v * 300 AS v FROM grid)"
+
+
+def _strips(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("vec_id")
+    return _grid(spark, sf).select(F.floor(v / 400).alias("track"), F.floor(v % 400 / _TILE).alias("place"), (v % _TILE).alias("x"), F.col("pos").alias("y"), (127 + F.col("v") * 300).alias("value"))
+
+
+def _melt_sql(image: str, keys: str) -> str:
+    """c: the smoothest row of each image, over five rows."""
+    return f""", st AS (SELECT {keys}, y, avg(d) AS g FROM (SELECT {keys}, y, abs(lead(v) OVER (PARTITION BY {keys}, y ORDER BY x) - v) AS d FROM {image}) GROUP BY ALL), rv AS (SELECT {keys}, y, sum(g) OVER (PARTITION BY {keys} ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS r FROM st),
+    c AS (SELECT {keys}, arg_min(y, (r, y)) AS c FROM rv GROUP BY ALL)"""
+
+
+_FLANK = "CASE WHEN y < c - 4 THEN y ELSE y - c - 4 + greatest(c - 4, 0) END AS y"
+
+
+@query(
+    _CUT
+    + _melt_sql("tl", "track, place")
+    + f""", x0 AS (SELECT b AS bin, 20 + (b + 0.5::DOUBLE) * 0.2::DOUBLE AS x0 FROM range(0, 400) AS r(b)), pl AS (SELECT bin, x0, floor((100 - x0) / {_TILE_MM}::DOUBLE)::INT AS place FROM x0), ce AS (SELECT bin, place, (100 - place * {_TILE_MM}::DOUBLE - x0) / {_TILE_MM}::DOUBLE * {_TILE} AS c0 FROM pl),
+    rg AS (SELECT bin, place, greatest(0, trunc(c0 - 0.2::DOUBLE / 2 / {_PIXEL})::INT) AS lo, least({_TILE}, trunc(c0 + 0.2::DOUBLE / 2 / {_PIXEL})::INT) AS hi FROM ce),
+    f AS (SELECT track * 400 + bin AS bin, x, {_FLANK}, v FROM tl JOIN c USING (track, place) JOIN rg ON rg.place = tl.place AND x >= lo AND x < hi AND hi - lo >= 3 WHERE y < c - 4 OR y >= c + 4),
+    p AS (SELECT * FROM f WHERE bin IN (SELECT bin FROM f GROUP BY bin HAVING count(DISTINCT y) >= 20))"""
+    + _LOOK
+    + " SELECT bin // 400 AS track, bin % 400 AS bin"
+    + _LOOKS,
+    "grid",
+)
+def tile_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features by bin of what lies beside each tile's smoothest row, without a mosaic."""
+    return tracks.tile_features(_strips(spark, sf), _TILE, _TILE_MM, _TILE_MM / _TILE * 4.5, 5, 3, 20).select("track", "bin", *_looks())
+
+
+@query(
+    _CUT
+    + f""", sm AS (SELECT track, place, avg(v) AS m, stddev_pop(v) AS d FROM tl WHERE y % 4 = 0 GROUP BY 1, 2), sz AS (SELECT track, place, x, y, (v - m) / (d + 1e-9::DOUBLE) AS v FROM tl JOIN sm USING (track, place) WHERE y % 4 = 0),
+    sp AS (SELECT a.track, a.place, o AS overlap, avg(a.v * b.v) AS r FROM sz a CROSS JOIN range(2, 6) AS r(o) JOIN sz b ON b.track = a.track AND b.place = a.place + 1 AND b.y = a.y AND b.x = a.x - ({_TILE} - o) GROUP BY 1, 2, 3),
+    sb AS (SELECT track, place, overlap, row_number() OVER (PARTITION BY track, place ORDER BY r DESC, overlap) AS k FROM sp), sg AS (SELECT track, place + 1 AS place, sum({_TILE} - overlap) OVER (PARTITION BY track ORDER BY place) AS start FROM sb WHERE k = 1), sl AS (SELECT track, max(start) + {_TILE - 1} AS last FROM sg GROUP BY 1),
+    s AS (SELECT track, y, (coalesce(last, {_TILE - 1}) - x - coalesce(start, 0))::INT AS x, avg(v) AS v FROM tl LEFT JOIN sg USING (track, place) LEFT JOIN sl USING (track) GROUP BY 1, 2, 3), n AS (SELECT track, max(x) AS last FROM s GROUP BY 1)"""
+    + _melt_sql("s", "track")
+    + f""", f AS (SELECT track * 400 + floor((80 - (last - x) * {_PIXEL}) / 0.2::DOUBLE)::INT AS bin, x, {_FLANK}, v FROM s JOIN n USING (track) JOIN c USING (track) WHERE x < last AND (y < c - 4 OR y >= c + 4)),
+    p AS (SELECT * FROM f WHERE bin IN (SELECT bin FROM f GROUP BY bin HAVING count(DISTINCT x) >= 3))"""
+    + _LOOK
+    + " SELECT bin // 400 AS track, bin % 400 AS bin"
+    + _LOOKS,
+    "grid",
+)
+def stitched_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The same features of a mosaic of the tiles, each laid with the overlap that its seam fits best."""
+    made = tracks.stitched_features(_strips(spark, sf), _TILE, _TILE_MM, 4, 0.04, 0.12, mask_mm=_TILE_MM / _TILE * 4.5, taps=5, columns=3)
+    return made.select("track", "bin", *_looks())
+
+
+@query(
+    _CUT
+    + f""", i AS (SELECT track, place, x, y, (v - 127) / 300 * abs(y - 32) AS v FROM tl), d AS (SELECT track, place, x, y, abs(coalesce(lead(v) OVER w - v, v - lag(v) OVER w)) AS g FROM i WINDOW w AS (PARTITION BY track, place, y ORDER BY x)),
+    rv AS (SELECT track, place, y, sum(avg(g)) OVER (PARTITION BY track, place ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS r FROM d GROUP BY 1, 2, y), tc AS (SELECT track, place, arg_min(y, (r, y)) AS c, quantile_cont(r, 0.2) * 1.6::DOUBLE AS top FROM rv GROUP BY 1, 2),
+    bm AS (SELECT track, place, x // 4 AS block, y, avg(g) AS m FROM d WHERE (x // 4 + 1) * 4 <= {_TILE} GROUP BY ALL), bs AS (SELECT track, place, block, y, sum(m) OVER (PARTITION BY track, place, block ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 < top AS ok, c FROM bm JOIN tc USING (track, place)),
+    e AS (SELECT track, place, block, coalesce(min(y) FILTER (NOT ok AND y > c), max(y) + 1) - coalesce(max(y) FILTER (NOT ok AND y < c), -1) - 1 AS n FROM bs GROUP BY 1, 2, 3 HAVING bool_or(ok AND y = c)),
+    o AS (SELECT track, place, block, n * {_PIXEL} AS width, trunc((100 - place * {_TILE_MM}::DOUBLE - (block * 4 + 2) * {_PIXEL} - 20) / 0.2::DOUBLE)::INT AS bin FROM e) SELECT track, bin, round(arg_max(width, (place, block)), 6) AS width FROM o WHERE bin BETWEEN 0 AND 399 GROUP BY 1, 2""",
+    "grid",
+)
+def band_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles that grow smooth towards a middle row: the width of this band by bin."""
+    tiles = _strips(spark, sf).withColumn("value", (F.col("value") - 127) / 300 * F.abs(F.col("y") - 32)).withColumn("width", F.lit(_TILE))
+    return extras.band_profile(tiles, 5, 3, _TILE_MM).select("track", "bin", _r("width"))
 
 
 def _heads(trees: int, weight: str | None = None) -> list[learning.Head]:

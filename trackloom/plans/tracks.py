@@ -162,13 +162,14 @@ def tile_features(tiles: DataFrame, width: int, tile_mm: float = 6.41, mask_mm:
     return _patch_features(flank.join(tall, ["track", "bin"]).select("track", "bin", "x", "y", "value"))
 
 
-def stitched_features(tiles: DataFrame, width: int, tile_mm: float = 6.41, thin: int = 4, least: float = 0.01, most: float = 0.12, **settings) -> DataFrame:
+def stitched_features(tiles: DataFrame, width: int, tile_mm: float = 6.41, thin: int = 4, least: float = 0.01, most: float = 0.12, columns: int = 8, **settings) -> DataFrame:
     """``surface_features`` of a mosaic of tiles (track, place, y, x, value), each laid with the overlap, of ``least`` to ``most`` of
-    a tile's width, at which its strip fits the next one's best over every ``thin``-th row."""
+    a tile's width, at which its strip fits the next one's best over every ``thin``-th row.  A bin of fewer than ``columns``
+    columns has no row."""
     overlaps = range(int(least * width), int(most * width))
     scan = grid.seam_scan(tiles.where(F.col("y") % thin == 0), ["track"], "place", "x", "y", "value", width, overlaps)
     mosaic = grid.stitched(tiles, grid.best_seam(scan, ["track"], width), ["track"], "place", "x", "y", "value", width)
-    return surface_features(mosaic, tile_mm / width, **settings)
+    return surface_features(mosaic, tile_mm / width, least=columns, **settings)
 
 
 def height_bins(heights: DataFrame, labelled: DataFrame, margin: float = 0.15, least: int = 200, every: tuple[int, int] = (40, 2)) -> DataFrame:
