@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from trackloom.functions import first_min, grid_bin, quality_weight, supported
 from trackloom.operators import frames, grid, order, robust, runs
@@ -22,6 +22,8 @@ from trackloom.operators.quantiles import estimated
 
 # Fixed values of the data: the grid in mm, pixel sizes in mm, brightness levels, powers in W by track.
 START, STOP, STEP, BINS = 20.0, 100.0, 0.2, 400
+#: The brightest grey, and the levels of its histogram.
+GREY, GREY_LEVELS = 255.0, 32
 HEIGHT_PIXEL, FRAME_PIXEL = 0.003982, 0.014
 LEVELS = (1400, 1600, 1800, 2000, 2200)
 DETAILED = (1400, 1800)
@@ -93,22 +95,36 @@ def thermal_features(shots: DataFrame, keys: Sequence[str] = ("track", "bin")) -
     return frames.described(shots, list(keys), LEVELS, DETAILED, FRAME_PIXEL)
 
 
-@pandas_udf(StructType().add("low", "double").add("high", "double"))
-def _bands(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Mean amplitudes of the low and the high part of each array's spectrum; NULL for a part without frequencies."""
+#: What ``_column_parts`` gives, a field each.
+_PARTS = {"n": LongType(), "s": DoubleType(), "ss": DoubleType(), "d": DoubleType(), "nd": LongType(), "v": DoubleType(), "low": DoubleType(), "high": DoubleType(), "one": DoubleType(), "hist": ArrayType(LongType())}
+
+
+@pandas_udf(StructType([StructField(n, kind) for n, kind in _PARTS.items()]))
+def _column_parts(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """What each column of pixels adds to a patch: known pixels, their sum and sum of squares, its steps and their number, its
+    variance, mean amplitudes of the low and the high part of its spectrum (NULL for a part without frequencies), the pixel of
+    a column of one, whose amplitude needs the patch's mean, and counts of grey levels."""
     for batch in values:
         out = []
         for v in batch:
+            v = np.asarray(v, float)
+            known, steps = v[~np.isnan(v)], np.abs(np.diff(v))
+            steps = steps[~np.isnan(steps)]
             a = np.abs(np.fft.rfft(v))
-            out.append([p.mean() if p.size else None for p in (a[1 : len(a) // 8], a[len(a) // 2 :])])
-        yield pd.DataFrame(out, columns=["low", "high"], dtype="float64")
+            bands = [p.mean() if p.size else None for p in (a[1 : len(a) // 8], a[len(a) // 2 :] if len(v) > 1 else a[:0])]
+            grey = known[(known >= 0) & (known <= GREY)]
+            hist = np.bincount(np.minimum((grey / (GREY / GREY_LEVELS)).astype(int), GREY_LEVELS - 1), minlength=GREY_LEVELS)
+            out.append([known.size, known.sum(), (known * known).sum(), steps.sum(), steps.size, known.var() if known.size else None, *bands, v[0] if len(v) == 1 else None, hist])
+        kinds = {n: "int64" if isinstance(kind, LongType) else "float64" for n, kind in _PARTS.items() if n != "hist"}
+        yield pd.DataFrame(out, columns=list(_PARTS)).astype(kinds)
 
 
 def _melt_rows(image: DataFrame, keys: Sequence[str], taps: int) -> DataFrame:
-    """(keys, _c): the smoothest row of each image (keys, y, x, value), by its mean step along x over ``taps`` rows."""
+    """(keys, _c, _last): the smoothest row of each image (keys, y, x, value), by its mean step along x over ``taps`` rows, and the
+    image's last column."""
     steps = order.windowed(image, [*keys, "y"], "x", 0, 1, lambda w: {"_d": F.abs(F.lead("value").over(w) - F.col("value"))})
-    rough = order.smoothed(steps.groupBy(*keys, "y").agg(F.avg("_d").alias("_g")), keys, "y", "_g", taps, "_rv")
-    return rough.groupBy(*keys).agg(first_min("_rv", "y").alias("_c"))
+    rough = order.smoothed(steps.groupBy(*keys, "y").agg(F.avg("_d").alias("_g"), F.max("x").alias("_x")), keys, "y", "_g", taps, "_rv")
+    return rough.groupBy(*keys).agg(first_min("_rv", "y").alias("_c"), F.max("_x").alias("_last"))
 
 
 def _flanks(image: DataFrame, half: int) -> DataFrame:
@@ -118,16 +134,32 @@ def _flanks(image: DataFrame, half: int) -> DataFrame:
     return both.withColumn("y", F.when(upper, F.col("y")).otherwise(F.col("y") - F.col("_c") - half + F.greatest(F.col("_c") - half, F.lit(0))))
 
 
-def _patch_features(patch: DataFrame) -> DataFrame:
-    """(track, bin, s_...) of patches (track, bin, x, y, value); a spectrum takes one pixel column, whose length is the image's
-    height."""
-    keys = ["track", "bin"]
-    look = grid.texture(patch, keys, "x", "y", "value").withColumnsRenamed({"mean": "s_mean", "deviation": "s_std", "gradient": "s_grad", "local_var": "s_locvar"})
-    entropy = grid.density_entropy(patch, keys, "value", 32, (0.0, 255.0)).withColumnRenamed("entropy", "s_entropy")
-    column = patch.groupBy(*keys, "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", F.col("value").cast("double").alias("v")))), lambda p: p.v).alias("_v"))
-    bands = column.join(look.select(*keys, "s_mean"), keys).select(*keys, _bands(F.transform("_v", lambda v: v - F.col("s_mean"))).alias("_b"))
-    bands = bands.groupBy(*keys).agg(F.avg("_b.low").alias("s_fftlow"), F.avg("_b.high").alias("s_ffthigh"))
-    return look.join(bands, keys).join(entropy, keys)
+def _patch_features(patch: DataFrame, columns: int = 1, rows: int = 1) -> DataFrame:
+    """(track, bin, s_...) of patches (track, bin, x, y, value) of so many columns and rows at least; a spectrum takes one pixel
+    column, whose length is the image's height.
+
+    Pixels are moved once, to the arrays of their columns, and what these add up to is all that a patch needs.  Unknown pixels
+    don't count, but leave their column without a spectrum.  A patch without a grey level has no row."""
+    pixels = F.array_sort(F.collect_list(F.struct("y", F.col("value").cast("double").alias("v"))))
+    each = patch.groupBy("track", "bin", "x").agg(pixels.alias("_p"))
+    each = each.select("track", "bin", _column_parts(F.transform("_p", lambda p: p.v)).alias("_c"), *([F.transform("_p", lambda p: p.y).alias("_y")] if rows > 1 else []))
+    total = lambda c: F.sum(f"_c.{c}").alias(f"_{c}")
+    known = lambda c: F.nanvl(F.col(f"_c.{c}"), F.lit(None))
+    tall = [F.size(F.array_distinct(F.flatten(F.collect_set("_y")))).alias("_rows")] if rows > 1 else []
+    summed = each.groupBy("track", "bin").agg(
+        *[total(c) for c in ("n", "s", "ss", "d", "nd")], F.count(F.lit(1)).alias("_columns"), F.avg(known("v")).alias("s_locvar"), F.avg(known("low")).alias("s_fftlow"), F.sum(known("high")).alias("_high"), F.count(known("high")).alias("_n_high"),
+        F.collect_list(known("one")).alias("_ones"), F.array(*[F.sum(F.get("_c.hist", F.lit(i))) for i in range(GREY_LEVELS)]).alias("_hist"), *tall,
+    )
+    summed = summed.where((F.col("_columns") >= columns) & (F.col("_rows") >= rows if rows > 1 else F.lit(True)))
+    adding = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
+    mean, greys = F.try_divide("_s", "_n"), F.aggregate("_hist", F.lit(0).cast("long"), lambda s, x: s + x)
+    summed = summed.withColumn("s_mean", mean).withColumn("_greys", greys).where("_greys > 0")
+    share = lambda c: c / (F.col("_greys") * F.lit(GREY / GREY_LEVELS))
+    return summed.select(
+        "track", "bin", "s_mean", F.sqrt(F.greatest(F.col("_ss") / F.col("_n") - F.col("s_mean") * F.col("s_mean"), F.lit(0.0))).alias("s_std"), F.try_divide("_d", "_nd").alias("s_grad"), "s_locvar", "s_fftlow",
+        F.try_divide(F.coalesce("_high", F.lit(0.0)) + adding("_ones", lambda x: F.abs(x - F.col("s_mean"))), F.col("_n_high") + F.size("_ones")).alias("s_ffthigh"),
+        adding(F.filter("_hist", lambda c: c > 0), lambda c: -share(c) * F.log(share(c))).alias("s_entropy"),
+    )
 
 
 def surface_features(mosaic: DataFrame, pixel: float, mask_mm: float = 0.75, taps: int = 51, least: int = 8) -> DataFrame:
@@ -135,11 +167,8 @@ def surface_features(mosaic: DataFrame, pixel: float, mask_mm: float = 0.75, tap
 
     The melt is the smoothest row; the rows within ``mask_mm`` of it are left out and the flanks joined.  A bin of fewer than
     ``least`` columns has no row."""
-    size = mosaic.groupBy("track").agg(F.max("x").alias("_last"))
-    placed = mosaic.join(size.join(_melt_rows(mosaic, ["track"], taps), "track"), "track").withColumn("bin", grid_bin(STOP - (F.col("_last") - F.col("x")) * pixel))
-    flank = _flanks(placed.where(F.col("bin").isNotNull()), int(mask_mm / pixel))
-    wide = flank.groupBy("track", "bin").agg(F.count_distinct("x").alias("_n")).where(F.col("_n") >= least).drop("_n")
-    return _patch_features(flank.join(wide, ["track", "bin"]).select("track", "bin", "x", "y", "value"))
+    placed = mosaic.join(_melt_rows(mosaic, ["track"], taps), "track").withColumn("bin", grid_bin(STOP - (F.col("_last") - F.col("x")) * pixel))
+    return _patch_features(_flanks(placed.where(F.col("bin").isNotNull()), int(mask_mm / pixel)), least)
 
 
 def tile_features(tiles: DataFrame, width: int, tile_mm: float = 6.41, mask_mm: float = 0.75, taps: int = 51, least: int = 8, least_rows: int = 50) -> DataFrame:
@@ -157,9 +186,7 @@ def tile_features(tiles: DataFrame, width: int, tile_mm: float = 6.41, mask_mm:
     ranges = bins.select("bin", at.cast("int").alias("place"), ends[0].alias("_from"), ends[1].alias("_to")).where(F.col("_to") - F.col("_from") >= least)
     columns = ranges.select("bin", "place", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("x"))  # 400 bins of some columns each
     found = tiles.join(_melt_rows(tiles, ["track", "place"], taps), ["track", "place"])
-    flank = _flanks(found, int(mask_mm / pixel)).join(F.broadcast(columns), ["place", "x"])
-    tall = flank.groupBy("track", "bin").agg(F.count_distinct("y").alias("_n")).where(F.col("_n") >= least_rows).drop("_n")
-    return _patch_features(flank.join(tall, ["track", "bin"]).select("track", "bin", "x", "y", "value"))
+    return _patch_features(_flanks(found, int(mask_mm / pixel)).join(F.broadcast(columns), ["place", "x"]), 1, least_rows)
 
 
 def stitched_features(tiles: DataFrame, width: int, tile_mm: float = 6.41, thin: int = 4, least: float = 0.01, most: float = 0.12, columns: int = 8, **settings) -> DataFrame:
