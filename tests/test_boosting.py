@@ -47,6 +47,33 @@ def test_all_tasks_grow_the_trees_that_one_would(spark, monkeypatch, table, sett
     assert np.mean(np.abs(held)) < 3 and 0.85 < np.mean([y <= alone[i][1] for _, i, _, _, _, y, _, _ in table if y is not None]) < 0.97
 
 
+@pytest.mark.parametrize("settings, counted", [({}, 1 << 20), ({}, 0), ({"second": True, "l2": 1.0, "least": 1.0}, 20_000), ({"bag": True, "rate": 1.0, "depth": 5}, 1 << 20)], ids=["first order", "no counts", "second order", "forest"])
+def test_trees_by_combinations_are_those_of_rows(spark, monkeypatch, table, settings, counted):
+    """A tree's rows are added up once, whatever its depth, and a quantile's leaf takes two passes; the trees are the same."""
+    passes, names, heads = [], [h.name for h in HEADS], [h._replace(trees=4) for h in HEADS]
+    monkeypatch.setattr(boosting, "COUNTED", counted)
+    monkeypatch.setattr(boosting.Cells, "_summed", lambda self, g, models, f=boosting.Cells._summed: (passes.append(g.tree), f(self, g, models))[1])
+    got = answers(learning.fold_forecasts(frame(spark, table, 7), "f", "id", FEATURES, heads, one_task=0, **settings), names)
+    assert passes == [*([] if settings.get("bag") else [-1]), *range(4)]
+    assert got == answers(learning.fold_forecasts(frame(spark, table), "f", "id", FEATURES, heads, **settings), names)
+
+
+def test_columns_carried_along_are_those_of_the_rows(spark, table):
+    made = learning.fold_forecasts(frame(spark, table), "f", "id", FEATURES, [HEADS[0]._replace(trees=1)], carried=["y"])
+    assert {r.id: r.y for r in made.collect()} == {r[1]: r[5] for r in table}
+
+
+def test_tables_of_many_combinations_are_grown_from_rows(spark, monkeypatch, table):
+    monkeypatch.setattr(boosting, "COMBINED", 500)
+    monkeypatch.setattr(boosting, "WRITE_EVERY", 4)
+    monkeypatch.setattr(boosting, "RANKED", 8)
+    monkeypatch.setattr(boosting, "VALUES", 100)
+    monkeypatch.setattr(boosting.Cells, "_summed", lambda *_: 1 / 0)
+    heads = [HEADS[0]._replace(trees=6), HEADS[1]._replace(trees=5)]
+    got = answers(learning.fold_forecasts(frame(spark, table, 7), "f", "id", FEATURES, heads, one_task=0), ["mean", "q9"])
+    assert got == answers(learning.fold_forecasts(frame(spark, table), "f", "id", FEATURES, heads), ["mean", "q9"])
+
+
 def test_trees_do_not_depend_on_the_partitioning(spark, table):
     got = [answers(learning.fold_forecasts(frame(spark, table[:600], n), "f", "id", FEATURES, HEADS[1:], one_task=0, depth=2), ["q9", "other"]) for n in (1, 6)]
     assert got[0] == got[1]

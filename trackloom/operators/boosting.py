@@ -6,6 +6,10 @@ quantile models take an exact order statistic: the leaf's residuals are counted
 counted anew, until what is left is short enough to be ranked.  Rows live in a written table; every few trees it is written
 again with the forecasts so far, so that a pass follows few trees, and a lost executor costs no more than its tasks.
 
+Where all rows fall into few combinations of bins, a tree is a matter of these: forecasts belong to combinations, one pass adds
+up a tree's rows by them, and all levels are chosen from the sums.  A leaf's order statistic is first bounded by counts of the
+target in each combination, so that two passes find it.
+
 Everything that decides is a whole number: gradients and weights are cut to a fixed unit before they are added, and a row's
 part in a tree comes from a hash of its key.  So the trees depend neither on the partitioning nor on who grows them: tables
 of few rows are grown by one task a model, with the same functions and to the same trees.
@@ -34,6 +38,10 @@ from trackloom.scratch import dropped, written
 ONE_TASK, WRITE_EVERY, RANKED = 200_000, 8, 4096
 #: Cells of the histograms that one task holds in a pass.
 CELLS = 1 << 22
+#: Combinations of bins up to which trees are grown by these; counts of targets by them that the driver holds.
+COMBINED, COUNTED = 1 << 16, 1 << 20
+#: Different values of a feature up to which its quantiles come from counts of values.
+VALUES = 1 << 18
 _BLOCK, _BITS, _RESIDUAL_BINS = 1 << 16, 30, 256
 
 
@@ -84,16 +92,34 @@ class Model(NamedTuple):
     rate: float
     trees: list[Tree]
 
-    def each(self, x: np.ndarray) -> Iterator[np.ndarray]:
-        codes = coded_values(x, self.edges)
+    def coded(self, codes: np.ndarray) -> np.ndarray:
+        out = np.full(len(codes), self.start)
         for tree in self.trees:
-            yield tree.value[leaves(codes, tree)]
+            out += self.rate * tree.value[leaves(codes, tree)]
+        return out
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.start)
-        for step in self.each(x):
-            out += self.rate * step
-        return out
+        return self.coded(coded_values(x, self.edges))
+
+
+class Forecasts:
+    """Forecasts (row, model) of the models of a fold, whose bins are the same.  Where there are at most ``COMBINED`` combinations
+    of bins, each is forecast once."""
+
+    def __init__(self, models: Sequence[Model]) -> None:
+        self.models, radix = models, [len(e) + 1 for e in models[0].edges]
+        self.steps = np.cumprod([1, *radix[:-1]]) if math.prod(radix) <= COMBINED else None
+        self.known = np.full((math.prod(radix) if self.steps is not None else 0, len(models)), np.nan)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        codes = coded_values(x, self.models[0].edges)
+        if self.steps is None:
+            return np.stack([m.coded(codes) for m in self.models], axis=1)
+        at = codes.astype(np.int64) @ self.steps
+        fresh, first = np.unique(at, return_index=True) if np.isnan(self.known[at, 0]).any() else ([], [])
+        if len(fresh):
+            self.known[fresh] = np.stack([m.coded(codes[first]) for m in self.models], axis=1)
+        return self.known[at]
 
 
 def coded_values(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
@@ -152,7 +178,11 @@ def drawn(job: Job, settings: Settings, keys: np.ndarray, weight: np.ndarray | N
     """How often each row takes part in a tree."""
     if settings.bag:
         return bagged(keys, settings.seed, job.draw, settings.rows)
-    u = uniform(keys, settings.seed, job.draw, tree)
+    return drawn_by(job, settings, uniform(keys, settings.seed, job.draw, tree), weight)
+
+
+def drawn_by(job: Job, settings: Settings, u: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
+    """The same without a bag, by each row's number in [0, 1)."""
     size = max(50.0, settings.rows * job.n)
     if weight is None or settings.second:
         return (u < size / max(job.n, 1)).astype(np.int64)
@@ -238,6 +268,15 @@ def _rows(batch: Batch, g: Growing, models: Sequence[int]) -> Iterator[tuple[int
         yield m, Rows(c, batch.y[own, job.target], f, batch.key[own], batch.w[own, job.weight] if job.weight >= 0 else None)
 
 
+def _parts(job: Job, settings: Settings, y: np.ndarray, f: np.ndarray, count: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """What each row, drawn so often, adds to a cell's sum and weight."""
+    gradient, n = y - f if job.quantile is None else np.where(y > f, job.quantile, job.quantile - 1.0), count
+    if settings.second:
+        share = whole_weight(weight, job.shift) >> 10 if weight is not None else np.full(len(count), 1 << 20)
+        gradient, n = gradient * (share * 2.0**-20), count * share
+    return np.rint(gradient / unit_of(job)) * count, n
+
+
 def _histograms(batch: Batch, g: Growing, models: Sequence[int], out: dict[int, np.ndarray]) -> None:
     """Adds to ``out`` each model's (node of the level, drawn feature, bin, sum or weight) over a batch."""
     first, nodes, width = 2**g.level - 1, 2**g.level, g.settings.bins
@@ -246,12 +285,7 @@ def _histograms(batch: Batch, g: Growing, models: Sequence[int], out: dict[int,
         at = leaves(r.codes, g.now[m]) - first
         weight = drawn(job, g.settings, r.key, r.weight, g.tree)
         some = np.flatnonzero((at >= 0) & (weight > 0))
-        gradient = r.y - r.f if job.quantile is None else np.where(r.y > r.f, job.quantile, job.quantile - 1.0)
-        count = weight
-        if g.settings.second:
-            share = whole_weight(r.weight, job.shift) >> 10 if r.weight is not None else np.full(len(count), 1 << 20)
-            gradient, weight = gradient * (share * 2.0**-20), count * share
-        whole = np.rint(gradient / unit_of(job)) * count
+        whole, weight = _parts(job, g.settings, r.y, r.f, weight, r.weight)
         shape = (nodes, len(columns), width)
         held = out.setdefault(m, np.zeros((*shape, 2), np.int64))
         step = max(1, _BLOCK // len(columns))
@@ -377,6 +411,9 @@ def _counts(batches: Iterator[pa.RecordBatch], g: Growing, models: Sequence[int]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(size, m), pa.int32()), pa.array(np.full(size, node), pa.int32()), pa.array(cut[3], pa.int32()), pa.array(cut[0]), pa.array(cut[1]), pa.array(cut[2].astype(np.int64))], names=["m", "node", "bin", "low", "high", "n"])
 
 
+_COUNTS = "m int, node int, bin int, low double, high double, n long"
+
+
 class Spread:
     """Rows of all models, in a written table (own, k, y, w, x and, after some trees, f)."""
 
@@ -410,14 +447,13 @@ class Spread:
         return {(r.m, r.node): (r.feature, r.cut, list(r.sides)) for r in best.collect()}
 
     def quantiles(self, g: Growing, models: Sequence[int]) -> dict[tuple[int, int], float]:
-        sent, out, before, sizes = self._sent(g), {}, {}, {}
-        wide = {m: g.jobs[m].high - g.jobs[m].low for m in models}
-        reach = {m: 4 * wide[m] + abs(g.jobs[m].high) + abs(g.jobs[m].low) + 1 for m in models}
-        ranges = {(m, node): (-reach[m], reach[m]) for m in models for node in range(len(g.now[m].feature)) if g.now[m].feature[node] < 0}
-        kind = "m int, node int, bin int, low double, high double, n long"
+        sent, out, before = self._sent(g), {}, {}
+        ranges, sizes = self._ranges(g, models)
         while ranges:
-            counted = self.rows.mapInArrow(lambda b, r=ranges: _counts(b, sent.value, models, r, False), kind)
-            found = counted.groupBy("m", "node", "bin").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).toPandas()
+            counted = self._counted(sent, models, ranges, False)
+            found = counted.groupBy("m", "node", "bin").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).toArrow().to_pandas()
+            below, found = found[found.bin < 0], found[found.bin >= 0]
+            before |= {(int(m), int(node)): int(n) for m, node, n in zip(below.m, below.node, below.n, strict=True)}
             short, again = {}, {}
             for (m, node), part in found.groupby(["m", "node"]):
                 part = part.sort_values("bin")
@@ -436,7 +472,7 @@ class Spread:
                 else:
                     again[m, node] = (low, high)
             if short:
-                values = self.rows.mapInArrow(lambda b, r=short: _counts(b, sent.value, models, r, True), kind).select("m", "node", "low").toPandas()
+                values = self._counted(sent, models, short, True).select("m", "node", "low").toArrow().to_pandas()
                 for (m, node), part in values.groupby(["m", "node"]):
                     a, b, share = ranks(sizes[m, node], g.jobs[m].quantile)
                     v = np.sort(part.low.to_numpy())
@@ -445,6 +481,15 @@ class Spread:
         sent.unpersist()
         return out
 
+    def _ranges(self, g: Growing, models: Sequence[int]) -> tuple[dict, dict]:
+        """Ends that the asked residuals of each leaf lie between, and the leaves' sizes where they are known."""
+        wide = {m: g.jobs[m].high - g.jobs[m].low for m in models}
+        reach = {m: 4 * wide[m] + abs(g.jobs[m].high) + abs(g.jobs[m].low) + 1 for m in models}
+        return {(m, node): (-reach[m], reach[m]) for m in models for node in range(len(g.now[m].feature)) if g.now[m].feature[node] < 0}, {}
+
+    def _counted(self, sent, models: Sequence[int], ranges: dict, single: bool) -> DataFrame:
+        return self.rows.mapInArrow(lambda b: _counts(b, sent.value, models, ranges, single), _COUNTS)
+
     def grown(self, g: Growing) -> Growing:
         """The rows with the forecasts of all trees so far, every ``WRITE_EVERY`` trees."""
         if (g.tree + 1) % WRITE_EVERY:
@@ -469,6 +514,266 @@ class Spread:
         dropped(self.rows)
 
 
+class Block(NamedTuple):
+    """Rows by combination of bins: number of the fold, combination, hash of the key, targets, weights."""
+
+    own: np.ndarray
+    cell: np.ndarray
+    key: np.ndarray | None
+    y: np.ndarray
+    w: np.ndarray | None
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Batches put together to ``_BLOCK`` rows or more."""
+
+    def block(some: list[pa.RecordBatch]) -> Block:
+        t = pa.Table.from_batches(some).combine_chunks()
+        plain = lambda c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
+        flat = lambda c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+        has = t.schema.names
+        return Block(plain("own"), plain("cell").astype(np.int64), plain("k").view(np.uint64) if "k" in has else None, flat("y"), flat("w") if "w" in has else None)
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) >= _BLOCK:
+            yield block(held)
+            held = []
+    if held:
+        yield block(held)
+
+
+def _training(b: Block, jobs: list[Job], models: Sequence[int]) -> Iterator[tuple[int, np.ndarray | slice, np.ndarray, np.ndarray]]:
+    """Of each model its training rows in a block, with their combinations and targets."""
+    last = None
+    for m in models:
+        job = jobs[m]
+        if last != (job.held, job.target):
+            mine = (b.own != job.held) & ~np.isnan(b.y[:, job.target])
+            rows = slice(None) if mine.all() else np.flatnonzero(mine)
+            last, cell, y = (job.held, job.target), b.cell[rows], b.y[rows, job.target]
+        yield m, rows, cell, y
+
+
+def _cell_sums(batches: Iterator[pa.RecordBatch], jobs: list[Job], settings: Settings, tree: int, models: Sequence[int], forecasts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Each model's (combination, sum, weight) over the rows drawn for a tree; a row's draw serves all folds."""
+    size = len(next(iter(forecasts.values())))
+    out = {m: np.zeros((size, 2), np.int64) for m in models}
+    for b in _blocks(batches):
+        chance: dict[int, np.ndarray] = {}
+        for m, rows, cell, y in _training(b, jobs, models):
+            job = jobs[m]
+            if job.draw not in chance:
+                chance[job.draw] = bagged(b.key, settings.seed, job.draw, settings.rows) if settings.bag else uniform(b.key, settings.seed, job.draw, tree)
+            weight = b.w[rows, job.weight] if job.weight >= 0 else None
+            count = chance[job.draw][rows] if settings.bag else drawn_by(job, settings, chance[job.draw][rows], weight)
+            # a block's sums are exact in a double
+            for side, value in enumerate(_parts(job, settings, y, forecasts[m][cell], count, weight)):
+                out[m][:, side] += np.rint(np.bincount(cell, value, size)).astype(np.int64)
+    for m, sums in out.items():
+        some = np.flatnonzero(sums[:, 1])
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), m), pa.int32()), pa.array(some, pa.int32()), pa.array(sums[some, 0]), pa.array(sums[some, 1])], names=["m", "cell", "s", "n"])
+
+
+def _target_counts(batches: Iterator[pa.RecordBatch], ends: list[tuple[float, float]], bins: int) -> Iterator[pa.RecordBatch]:
+    """Counts and ends of each target by fold, combination and bin."""
+    for b in _blocks(batches):
+        for t, (low, high) in enumerate(ends):
+            known = np.flatnonzero(~np.isnan(b.y[:, t]))
+            if not len(known):
+                continue
+            y = b.y[known, t]
+            at = np.clip((y - low) / max(high - low, 1e-300) * bins, 0, bins - 1).astype(np.int64)
+            some, at, n = np.unique((b.own[known].astype(np.int64) << 40) + (b.cell[known] << 16) + at, return_inverse=True, return_counts=True)
+            lows, highs = np.full(len(some), np.inf), np.full(len(some), -np.inf)
+            np.minimum.at(lows, at, y)
+            np.maximum.at(highs, at, y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), t), pa.int32()), pa.array(some), pa.array(lows), pa.array(highs), pa.array(n.astype(np.int64))], names=["t", "at", "low", "high", "n"])
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch], jobs: list[Job], models: Sequence[int], forecasts: dict[int, np.ndarray], leaf: dict[int, np.ndarray], ranges: dict, bins: int, single: bool) -> Iterator[pa.RecordBatch]:
+    """As ``_counts``, with the residuals below a leaf's range counted as bin -1."""
+    nodes = max(int(x.max()) for x in leaf.values()) + 1
+    low, high = {m: np.full(nodes, -np.inf) for m in models}, {m: np.full(nodes, -np.inf) for m in models}
+    for (m, node), (a, b) in ranges.items():
+        if node < nodes:
+            low[m][node], high[m][node] = a, b
+    models = [m for m in models if (high[m] > -np.inf).any()]
+    n, below = {m: np.zeros(nodes * bins, np.int64) for m in models}, {m: np.zeros(nodes, np.int64) for m in models}
+    lows, highs = {m: np.full(nodes * bins, np.inf) for m in models}, {m: np.full(nodes * bins, -np.inf) for m in models}
+    ends = {m: (low[m][leaf[m]], high[m][leaf[m]]) for m in models}
+
+    def made(m: int, node: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(node), m), pa.int32()), pa.array(node, pa.int32()), pa.array(at, pa.int32()), pa.array(a), pa.array(b), pa.array(k)], names=["m", "node", "bin", "low", "high", "n"])
+
+    for b in _blocks(batches):
+        for m, _, cell, y in _training(b, jobs, models):
+            v = y - forecasts[m][cell]
+            first = v >= ends[m][0][cell]
+            some = np.flatnonzero(first & (v <= ends[m][1][cell]))
+            if not single:
+                below[m] += np.bincount(leaf[m][cell[~first]], minlength=nodes)
+            if not len(some):
+                continue
+            v, node = v[some], leaf[m][cell[some]]
+            if single:
+                yield made(m, node, np.zeros(len(v), np.int64), v, v, np.ones(len(v), np.int64))
+                continue
+            at = node * bins + np.minimum(((v - low[m][node]) / np.maximum(high[m][node] - low[m][node], 1e-300) * bins).astype(np.int64), bins - 1)
+            n[m] += np.bincount(at, minlength=len(n[m]))
+            np.minimum.at(lows[m], at, v)
+            np.maximum.at(highs[m], at, v)
+    if not single:
+        for m in models:
+            some, under = np.flatnonzero(n[m]), np.flatnonzero(below[m])
+            yield made(m, some // bins, some % bins, lows[m][some], highs[m][some], n[m][some])
+            yield made(m, under, np.full(len(under), -1), np.zeros(len(under)), np.zeros(len(under)), below[m][under])
+
+
+class Cells(Spread):
+    """Rows of all models by combination of bins, in a written table (own, k, y, w, cell).  The driver holds what combinations
+    add up to, never rows."""
+
+    def __init__(self, rows: DataFrame, jobs: list[Job], codes: dict[int, np.ndarray], folds: int, targets: int) -> None:
+        super().__init__(rows)
+        self.codes, self.size = codes, len(next(iter(codes.values())))
+        self.forecasts: dict[int, np.ndarray] = {}
+        self.sums: dict[int, tuple[np.ndarray, ...]] = {}
+        self.entries: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
+        self.shared = None
+        bins = min(64, COUNTED // (self.size * folds * targets))
+        if bins and any(j.quantile is not None for j in jobs):
+            known = {j.target: (j.low, j.high) for j in jobs}
+            ends = [known.get(t, (0.0, 0.0)) for t in range(targets)]
+            counted = rows.select("own", "cell", "y").mapInArrow(lambda b: _target_counts(b, ends, bins), "t int, at long, low double, high double, n long")
+            found = counted.groupBy("t", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).toArrow()
+            t, at, low, high, n = (found[c].to_numpy() for c in ("t", "at", "low", "high", "n"))
+            for j in jobs:
+                if (j.held, j.target) not in self.entries:
+                    mine = (t == j.target) & (at >> 40 != j.held)
+                    self.entries[j.held, j.target] = (at[mine] >> 16) & ((1 << 24) - 1), low[mine], high[mine], n[mine]
+
+    def _forecast(self, g: Growing, m: int) -> np.ndarray:
+        return self.forecasts[m] if m in self.forecasts else np.full(self.size, g.starts.get(m, 0.0))
+
+    def splits(self, g: Growing, models: Sequence[int]) -> dict[tuple[int, int], tuple]:
+        if not g.level:
+            self.sums = {}
+            each = max(1, CELLS // 2 // self.size)
+            for k in range(0, len(models), each):
+                self._summed(g, list(models[k : k + each]))
+        first, nodes, width, out = 2**g.level - 1, 2**g.level, g.settings.bins, {}
+        for m in models:
+            if m not in self.sums:
+                continue
+            cell, s, n = self.sums[m]
+            codes, columns = self.codes[g.jobs[m].held][cell], g.columns[m]
+            at = leaves(codes, g.now[m]) - first
+            some = at >= 0
+            place = ((at[some, None] * len(columns) + np.arange(len(columns))) * width + codes[some][:, columns]).ravel()
+            held = np.zeros((nodes * len(columns) * width, 2), np.int64)
+            for side, value in enumerate((s, n)):
+                np.add.at(held[:, side], place, np.repeat(value[some], len(columns)))
+            held = held.reshape(nodes, len(columns), width, 2)
+            out |= {(m, node): chosen(cells, columns, g.jobs[m], g.settings) for node, cells in enumerate(held) if cells[0, :, 1].any()}
+        return out
+
+    def _summed(self, g: Growing, models: list[int]) -> None:
+        jobs, settings, tree = g.jobs, g.settings, g.tree
+        sent = self.rows.sparkSession.sparkContext.broadcast({m: self._forecast(g, m) for m in models})
+        cells = self.rows.mapInArrow(lambda b: _cell_sums(b, jobs, settings, tree, models, sent.value), "m int, cell int, s long, n long")
+        found = cells.groupBy("m", "cell").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).toArrow()
+        sent.unpersist()
+        of, *parts = (found[c].to_numpy() for c in ("m", "cell", "s", "n"))
+        order = np.argsort(of, kind="stable")
+        ends = np.searchsorted(of[order], [*models, models[-1] + 1])
+        for m, a, b in zip(models, ends[:-1], ends[1:], strict=True):
+            if b > a:
+                self.sums[m] = tuple(p[order[a:b]] for p in parts)
+
+    def _leaf(self, g: Growing, m: int) -> np.ndarray:
+        return leaves(self.codes[g.jobs[m].held], g.now[m])
+
+    def _ranges(self, g: Growing, models: Sequence[int]) -> tuple[dict, dict]:
+        """A rank lies between those of the least and of the largest values that its residuals may have by the counts of targets."""
+        if not self.entries:
+            return super()._ranges(g, models)
+        ranges, sizes = {}, {}
+        for m in models:
+            job = g.jobs[m]
+            cell, low, high, n = self.entries[job.held, job.target]
+            leaf, f = self._leaf(g, m)[cell], self._forecast(g, m)[cell]
+            for node in np.unique(leaf):
+                mine = np.flatnonzero(leaf == node)
+                total = int(n[mine].sum())
+                ends = []
+                for v, rank in zip((low[mine] - f[mine], high[mine] - f[mine]), ranks(total, job.quantile)[:2], strict=True):
+                    order = np.argsort(v)
+                    ends.append(float(v[order[np.searchsorted(np.cumsum(n[mine][order]), rank, side="right")]]))
+                ranges[m, int(node)], sizes[m, int(node)] = tuple(ends), total
+        return ranges, sizes
+
+    def _counted(self, sent, models: Sequence[int], ranges: dict, single: bool) -> DataFrame:
+        g, asked = sent.value, sorted({m for m, _ in ranges})
+        jobs, bins = g.jobs, max(_RESIDUAL_BINS, min(512, (1 << 19) // max(1, len(asked) * len(g.now[asked[0]].feature))))
+        if self.shared:
+            self.shared.unpersist()
+        shared = self.shared = self.rows.sparkSession.sparkContext.broadcast(({m: self._forecast(g, m) for m in asked}, {m: self._leaf(g, m) for m in asked}))
+        return self.rows.select("own", "cell", "y").mapInArrow(lambda b: _cell_counts(b, jobs, asked, *shared.value, ranges, bins, single), _COUNTS)
+
+    def grown(self, g: Growing) -> Growing:
+        for m, job in enumerate(g.jobs):
+            f = self._forecast(g, m)
+            for tree in g.since.get(m, []):
+                f = f + g.settings.rate * tree.value[leaves(self.codes[job.held], tree)]
+            self.forecasts[m] = f
+        return g._replace(since={})
+
+
+def combined(rows: DataFrame, jobs: list[Job], cuts: dict[int, list[np.ndarray]], folds: int, targets: int) -> Cells | None:
+    """``rows`` by their combinations of bins of all folds, if these are at most ``COMBINED``."""
+    edges = [np.unique(np.concatenate(e)) for e in zip(*cuts.values(), strict=True)]
+    radix = [len(e) + 1 for e in edges]
+    if math.prod(radix) >= 1 << 62 or COMBINED <= 0:
+        return None
+    steps = np.array([math.prod(radix[:i]) for i in range(len(radix))], np.int64)
+
+    def numbers(b: pa.RecordBatch) -> np.ndarray:
+        x = b["x"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+        return coded_values(x, edges).astype(np.int64) @ steps
+
+    def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.empty(0, np.int64)
+        for b in batches:
+            if b.num_rows and len(found) <= COMBINED:  # beyond, it is settled
+                found = np.union1d(found, numbers(b))
+        yield pa.RecordBatch.from_arrays([pa.array(found)], names=["cell"])
+
+    if math.prod(radix) <= COMBINED:
+        ids = np.arange(math.prod(radix))
+    else:
+        found = rows.select("x").mapInArrow(different, "cell long").distinct().limit(COMBINED + 1).toArrow()
+        if found.num_rows > COMBINED:
+            return None
+        ids = np.sort(found["cell"].to_numpy())
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*[b[c] for c in ("own", "k", "y", "w")], pa.array(np.searchsorted(ids, numbers(b)), pa.int32())], names=["own", "k", "y", "w", "cell"])
+
+    made = written(rows.mapInArrow(placed, "own int, k long, y array<double>, w array<double>, cell int"), "combined")
+    dropped(rows)
+    parts = [ids // s % r for s, r in zip(steps, radix, strict=True)]
+    # a bin of all edges lies above its lower edge, and so above as many edges of a fold as this
+    code = lambda own, e, u: np.where(u > 0, np.searchsorted(own, e[np.maximum(u, 1) - 1], side="right") if len(e) else 0, 0)
+    codes = {j: np.stack([code(own, e, u) for own, e, u in zip(cuts[j], edges, parts, strict=True)], axis=1).astype(np.int16) for j in cuts}
+    return Cells(made, jobs, codes, folds, targets)
+
+
 def grow(source: Local | Spread, jobs: list[Job], settings: Settings, edges: dict[int, list[np.ndarray]]) -> list[Model]:
     """The models of some jobs over a source of rows."""
     features = len(next(iter(edges.values()))) if edges else 0
@@ -556,7 +861,7 @@ def trained(rows: DataFrame, held: Sequence[int], heads: Sequence[tuple], n_feat
     needed = sorted({j.held for j in jobs})
     cuts = edges_of(rows, needed, settings.bins, n_features)
     if sum(r.rows for r in seen) > one_task:
-        source = Spread(rows)
+        source = combined(rows, jobs, cuts, len(seen), targets) or Spread(rows)
         models = grow(source, jobs, settings, cuts)
         source.close()
         return dict(zip(which, models, strict=True))
@@ -579,10 +884,19 @@ def trained(rows: DataFrame, held: Sequence[int], heads: Sequence[tuple], n_feat
 
 
 def edges_of(rows: DataFrame, held: Sequence[int], bins: int, n_features: int) -> dict[int, list[np.ndarray]]:
-    """The inner quantiles of each feature over the rows that are not of a held fold, each once."""
+    """The inner quantiles of each feature over the rows that are not of a held fold, each once.  Features of few values are counted
+    by value, once for all folds."""
     inner, out = [i / bins for i in range(1, bins)], {}
+    long = rows.select("own", F.posexplode("x").alias("feature", "v"))
+    several = rows.agg(*[F.approx_count_distinct(F.get("x", F.lit(f))) for f in range(n_features)]).first() if n_features else []
+    counted = written(long.where("v is not null").groupBy("own", "feature", "v").agg(F.count("*").alias("n")), "values") if max(several, default=0) <= VALUES else None
     for j in held:
-        long = rows.where(F.col("own") != j).select(F.posexplode("x").alias("feature", "v"))
-        found = {r.feature: r.p for r in percentiles(long, ["feature"], "v", inner).collect()}
+        if counted is None:
+            made = percentiles(long.where(F.col("own") != j), ["feature"], "v", inner)
+        else:
+            made = counted.where(F.col("own") != j).groupBy("feature").agg(F.percentile("v", F.array(*map(F.lit, inner)), F.col("n")).alias("p"))
+        found = {r.feature: r.p for r in made.collect()}
         out[j] = [np.unique(np.array(found.get(f) or [], np.float64)) for f in range(n_features)]
+    if counted is not None:
+        dropped(counted)
     return out

@@ -62,8 +62,8 @@ def _models(df: DataFrame, fold: str | None, folds: Sequence, held: Sequence[int
     return boosting.trained(rows, held, kinds, len(features), len(targets), len(weights), boosting.Settings(**settings), one_task, together)
 
 
-def fold_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str], heads: Sequence[Head], train_folds: Sequence | None = None, block: int = 64, only: Sequence | None = None, **settings) -> DataFrame:
-    """(fold, key, a column for each head): every row forecast by models that its fold's labels didn't train.
+def fold_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str], heads: Sequence[Head], train_folds: Sequence | None = None, block: int = 64, only: Sequence | None = None, carried: Sequence[str] = (), **settings) -> DataFrame:
+    """(fold, key, a column for each head, and doubles that are ``carried`` along): every row forecast by models that its fold's labels didn't train.
 
     Models for a fold are trained on all rows of the other folds among ``train_folds`` (all by default) whose target is
     known; folds outside of these are holdouts: they train nothing and share their models.  Settings are those of
@@ -80,7 +80,7 @@ def fold_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str],
     groups = [held_out[at : at + block] for at in range(0, len(held_out), block)]
     others = [f for f in asked_for if f not in numbers]
     kinds = dict(df.dtypes)
-    schema = f"`{fold}` {kinds[fold]}, `{key}` {kinds[key]}, " + ", ".join(f"`{h.name}` double" for h in heads)
+    schema = f"`{fold}` {kinds[fold]}, `{key}` {kinds[key]}, " + ", ".join(f"`{c}` double" for c in [*[h.name for h in heads], *carried])
     columns = [F.col(f).cast("double").alias(f) for f in features]
     made = None
     for some in [*groups, *([others] if others else [])]:
@@ -90,23 +90,29 @@ def fold_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str],
 
         def forecast(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             held, models = shared.value
+            known: dict[int, tuple[list[int], boosting.Forecasts]] = {}
+            for j in {j for j, _ in models}:
+                mine = [h for h in range(len(heads)) if (j, h) in models]
+                known[j] = mine, boosting.Forecasts([models[j, h] for h in mine])
             for pdf in batches:
-                number = np.array([held[None if pd.isna(f) else f] for f in pdf["_held"]], np.int64)
-                x, out = pdf[list(features)].to_numpy(float), {fold: pdf["_held"], key: pdf["_key"]}
-                for h, head in enumerate(heads):
-                    out[head.name] = np.full(len(pdf), np.nan)
-                    for j in np.unique(number):
-                        if (int(j), h) in models:
-                            out[head.name][number == j] = models[int(j), h].predict(x[number == j])
+                which, folds = pd.factorize(pdf["_held"], use_na_sentinel=False)
+                number = np.array([held[None if pd.isna(f) else f] for f in folds], np.int64)[which]
+                x, answers = pdf[list(features)].to_numpy(float), np.full((len(pdf), len(heads)), np.nan)
+                for j in np.unique(number):
+                    if int(j) in known:
+                        mine, made = known[int(j)]
+                        rows = np.flatnonzero(number == j)
+                        answers[np.ix_(rows, mine)] = made.of(x[rows])
+                out = {fold: pdf["_held"], key: pdf["_key"]} | {head.name: answers[:, h] for h, head in enumerate(heads)} | {c: pdf[f"_c_{c}"] for c in carried}
                 yield pd.DataFrame(out, index=pdf.index)
 
         asked = F.col(fold).isin([f for f in some if f is not None])
         asked = asked | F.col(fold).isNull() if None in some else asked
-        part = df.where(asked).select(F.col(fold).alias("_held"), F.col(key).alias("_key"), *columns).mapInPandas(forecast, schema)
+        part = df.where(asked).select(F.col(fold).alias("_held"), F.col(key).alias("_key"), *columns, *[F.col(c).cast("double").alias(f"_c_{c}") for c in carried]).mapInPandas(forecast, schema)
         made = part if made is None else made.unionByName(part)
     if made is None:
         return df.sparkSession.createDataFrame([], schema)
-    return made.select(fold, key, *[F.nanvl(F.col(h.name), F.lit(None).cast("double")).alias(h.name) for h in heads])
+    return made.select(fold, key, *[F.nanvl(F.col(h.name), F.lit(None).cast("double")).alias(h.name) for h in heads], *carried)
 
 
 def booster_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str], heads: Sequence[Head], train_folds: Sequence | None = None, **settings) -> DataFrame:
@@ -115,16 +121,16 @@ def booster_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str
     return fold_forecasts(df, fold, key, features, heads, train_folds, **{"second": True, "l2": 1.0, "least": 1.0, **settings})
 
 
-def forest_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str], target: str, trees: int = 120, depth: int = 7, least: int = 15, columns: float = 0.5, train_folds: Sequence | None = None, **settings) -> DataFrame:
-    """(fold, key, each, forecast, spread): the forecasts of all trees of a random forest, an array, their mean and population
+def forest_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str], target: str, trees: int = 120, depth: int = 7, least: int = 15, columns: float = 0.5, train_folds: Sequence | None = None, carried: Sequence[str] = (), **settings) -> DataFrame:
+    """(fold, key, each, carried, forecast, spread): the forecasts of all trees of a random forest, an array, their mean and population
     deviation, for every row by the forest of the other folds.  A tree sees its rows as often as a Poisson count of mean 1 by
     seed, tree and key says, and half of the columns."""
     heads = [Head(f"_t{k}", target, None, 1) for k in range(trees)]
     own = {"bag": True, "rate": 1.0, "rows": 1.0, "depth": depth, "least": least, "columns": columns, "together": 16, **settings}
-    made = fold_forecasts(df, fold, key, features, heads, train_folds, **own)
+    made = fold_forecasts(df, fold, key, features, heads, train_folds, carried=carried, **own)
     each = F.array(*[f"_t{k}" for k in range(trees)])
     mean = F.aggregate("each", F.lit(0.0), lambda s, x: s + x) / trees
-    out = made.select(fold, key, each.alias("each")).withColumn("forecast", mean)
+    out = made.select(fold, key, each.alias("each"), *carried).withColumn("forecast", mean)
     return out.withColumn("spread", F.sqrt(F.aggregate("each", F.lit(0.0), lambda s, x: s + (x - F.col("forecast")) ** 2) / trees))
 
 
