@@ -49,3 +49,15 @@ def test_few_values_and_no_rows(spark):
     assert got == want
     assert percentiles(df.where("k > 5"), ["k"], "v", [0.5], size=BIG).collect() == []
     assert percentiles(df, ["k"], F.col("v") * 2, [0.5]).columns == ["k", "n", "p"]
+
+
+def test_rows_that_files_hold_are_counted(spark, tmp_path, monkeypatch):
+    """40,000 values in a file so small that its bytes don't tell."""
+    from trackloom.operators import quantiles
+
+    path = str(tmp_path / "t")
+    spark.range(40_000, numPartitions=1).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 1000).cast("double").alias("v")).write.parquet(path)
+    df = spark.read.parquet(path)
+    monkeypatch.setattr(quantiles, "SMALL", 1 << 20)
+    monkeypatch.setattr(quantiles, "_SURE", 1 << 8)
+    assert quantiles.estimated(df) <= 1 << 20 and not quantiles.fits(df) and quantiles.fits(df.limit(10))

@@ -3,8 +3,8 @@
 The aggregate ``percentile`` holds all distinct values of a key in one buffer.  Here a key's values are counted in bins of
 about a two-thousandth of an octave, then the bins that hold a wanted rank in 2^20 bins each between their own ends; what is
 left in one of these is at most some two million different doubles, which are counted one by one.  Every step is an
-aggregation that combines before its shuffle; ranks are found in running sums over bins, never over rows.  A plan that Spark
-estimates at ``SMALL`` bytes or less can't fill a buffer, and takes the aggregate; both give the same doubles.
+aggregation that combines before its shuffle; ranks are found in running sums over bins, never over rows.  Tables that can't
+fill a buffer take the aggregate; both give the same doubles.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from trackloom.functions import nan_to_null
 from trackloom.scratch import written
 
-SMALL = 1 << 28
+#: Bytes of buffers that are no matter, those that a value takes there, and Spark's estimate below which rows aren't counted: it goes
+#: by the bytes of files, which may hold many times as many rows as their bytes suggest.
+SMALL, _VALUE, _SURE = 1 << 28, 64, 1 << 23
 _FINE = 1 << 20
 
 
@@ -27,6 +29,12 @@ def estimated(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def fits(rows: DataFrame, size: int | None = None) -> bool:
+    """Whether an aggregate may hold all values of ``rows`` at once: by their estimate, or, in doubt, by their count."""
+    size = estimated(rows) if size is None else size
+    return size <= SMALL and (size <= _SURE or rows.count() * _VALUE <= SMALL)
+
+
 def _octave(v: Column) -> Column:
     """A whole number that rises with v, about 2,048 to an octave on either side of 0."""
     place = 1 + F.floor((F.least(F.log2(F.abs(v)), F.lit(2000.0)) + 1080) * 2048)
@@ -65,7 +73,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: Column | str, fractio
     keys, points = list(keys), F.array(*[F.lit(float(f)) for f in fractions])
     v = nan_to_null((F.col(value) if isinstance(value, str) else value).cast("double"))
     rows = df.select(*keys, v.alias("_v"))
-    if (estimated(rows) if size is None else size) <= SMALL:
+    if fits(rows, size):
         return rows.groupBy(*keys).agg(F.count("_v").alias("n"), F.percentile("_v", points).alias(name))
     rows = rows.withColumn("b1", _octave(F.col("_v")))
     ends = [F.count("_v").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")]

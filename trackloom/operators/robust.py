@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators.quantiles import estimated, percentiles
+from trackloom.scratch import written
 
 
 def percentile_threshold(df: DataFrame, keys: Sequence[str], value: str, low: float = 0.30, high: float = 0.85, factor: float = 1.0) -> DataFrame:
@@ -56,7 +57,10 @@ def trimmed_plane(df: DataFrame, x: str, y: str, z: str, rounds: int = 3, low: f
 
 def trimmed_planes(df: DataFrame, keys: Sequence[str], x: str, y: str, z: str, rounds: int = 3, low: float = 0.05, high: float = 0.95, least: int = 100, size: int | None = None) -> DataFrame:
     """(keys, a, b, c): the trimmed plane of each key, with the rounds of ``trimmed_plane``; keys whose rows lie on one
-    line have NULLs.  Nothing meets on the driver.  ``size`` bounds the bytes of the rows (see ``percentiles``)."""
+    line have NULLs.  Nothing meets on the driver.  ``size`` bounds the bytes of the rows (see ``percentiles``).
+
+    What a round finds, a row a key, is written down, so that Spark sees how small it is: rows then stay where they lie instead
+    of meeting it in a task for each key."""
     size = estimated(df) if size is None else size
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(*keys, x, y, z)
 
@@ -68,13 +72,14 @@ def trimmed_planes(df: DataFrame, keys: Sequence[str], x: str, y: str, z: str, r
         s = s.withColumn("det", F.expr("xx * yy - xy * xy")).withColumn("a", F.expr("try_divide(xz * yy - yz * xy, det)")).withColumn("b", F.expr("try_divide(yz * xx - xz * xy, det)"))
         return s.select(*keys, "n", "a", "b", F.expr("mz - a * mx - b * my").alias("c"))
 
-    found = fitted(rows).drop("n")
+    found = written(fitted(rows).drop("n"), "planes") if rounds > 1 else fitted(rows).drop("n")
     for _ in range(rounds - 1):
         off = rows.join(found, list(keys)).withColumn("_off", F.col(z) - (F.col("a") * F.col(x) + F.col("b") * F.col(y) + F.col("c")))
         cut = percentiles(off, keys, "_off", [low, high], "_cut", size).drop("n")
+        cut = written(cut, "cuts")
         kept = off.join(cut, list(keys)).where(F.col("_off").between(F.get("_cut", F.lit(0)), F.get("_cut", F.lit(1))))
         again = fitted(kept.drop("a", "b", "c")).where(F.col("n") >= least).select(*keys, F.struct("a", "b", "c").alias("_new"))
-        found = found.join(again, list(keys), "left").select(*keys, *[F.when(F.col("_new").isNull(), F.col(v)).otherwise(F.col(f"_new.{v}")).alias(v) for v in "abc"])
+        found = written(found.join(again, list(keys), "left").select(*keys, *[F.when(F.col("_new").isNull(), F.col(v)).otherwise(F.col(f"_new.{v}")).alias(v) for v in "abc"]), "planes")
     return found
 
 
