@@ -348,3 +348,16 @@ def test_runs_over_many_chunks(spark, bridge):
     for chunk in (1, 7, 64, 1 << 16):
         got = runs.runs(d, ["k"], "i", F.col("v"), bridge, chunk).select("k", "first", "last", "n", "length").collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want), chunk
+
+
+def test_rows_of_a_few_keys_stay_where_they_lie(spark):
+    """What is found for a key is so small that it is broadcast; joined by key, all rows of a key would meet in one task."""
+    from trackloom.operators import learning, robust
+
+    n = F.col("id")
+    df = spark.range(2_000_000).select("id", (n % 3).alias("fold"), (n % 50).cast("double").alias("x"), (n % 7).cast("double").alias("y"), (n % 101).cast("double").alias("z"))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    line = plan(learning.anchor_forecast(df, "fold", "id", "x", "z"))
+    assert "BroadcastHashJoin" in line and "SortMergeJoin" not in line
+    made = robust.trimmed_planes(df, ["fold"], "x", "y", "z", rounds=2)
+    assert "Range" not in plan(made) and made.count() == 3

@@ -197,12 +197,13 @@ def anchor_forecast(df: DataFrame, fold: str, key: str, x: str, y: str) -> DataF
     terms = {"n": F.lit(1.0), "sx": dx, "sy": dy, "sxx": dx * dx, "sxy": dx * dy}
     own = known.join(F.broadcast(about)).groupBy(fold).agg(*[F.sum(c).alias(k) for k, c in terms.items()])
     total = own.agg(*[F.sum(k).alias(f"t_{k}") for k in terms])
-    middle = df.groupBy(fold).agg(F.percentile(x, F.lit(0.5)).alias("_med"))
+    middle = percentiles(df, [fold], x, [0.5]).select(fold, F.get("p", F.lit(0)).alias("_med"))
     rest = middle.join(own, fold, "left").join(F.broadcast(total)).join(F.broadcast(about))
     n, sx, sy, sxx, sxy = (F.col(f"t_{k}") - F.coalesce(k, F.lit(0.0)) for k in terms)
     slope = F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)
     lines = rest.select(fold, "_med", slope.alias("_b"), (F.col("_my") + F.try_divide(sy - slope * sx, n) - slope * F.col("_mx")).alias("_a"))
-    return df.join(lines, fold).select(fold, key, (F.col("_a") + F.col("_b") * F.coalesce(x, "_med")).alias("forecast"))
+    # a row a fold: once it is written, Spark sees that, and no fold's rows meet in one task
+    return df.join(written(lines, "lines"), fold).select(fold, key, (F.col("_a") + F.col("_b") * F.coalesce(x, "_med")).alias("forecast"))
 
 
 def neighbour_forecast(known: DataFrame, asked: DataFrame, key: str, features: Sequence[str], y: str, k: int = 15) -> DataFrame:
