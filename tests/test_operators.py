@@ -361,3 +361,15 @@ def test_rows_of_a_few_keys_stay_where_they_lie(spark):
     assert "BroadcastHashJoin" in line and "SortMergeJoin" not in line
     made = robust.trimmed_planes(df, ["fold"], "x", "y", "z", rounds=2)
     assert "Range" not in plan(made) and made.count() == 3
+
+
+def test_height_maps_are_not_moved_by_track(spark):
+    """One track, whose pixels would all meet in one task."""
+    from trackloom.plans import tracks
+
+    n = F.col("id")
+    heights = spark.range(1_000_000).select(F.lit(8).alias("track"), F.floor(n / 100).alias("ix"), (n % 100).alias("iy"), (20 + F.floor(n / 100) * 0.004).alias("x_mm"), (n % 100 * 0.01).alias("y_mm"), (n % 89 * 0.001).alias("z_mm"))
+    labelled = spark.range(200).select(F.lit(8).alias("track"), n.cast("int").alias("bin"), F.lit(0.4).alias("yl"), F.lit(0.6).alias("yr"))
+    made = tracks.height_bins(heights, labelled, 0.02, 20, (1, 1))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and made.count() == 200

@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from trackloom.functions import first_min, grid_bin, quality_weight, supported
 from trackloom.operators import frames, grid, order, robust, runs
 from trackloom.operators.quantiles import estimated
+from trackloom.scratch import written
 
 # Fixed values of the data: the grid in mm, pixel sizes in mm, brightness levels, powers in W by track.
 START, STOP, STEP, BINS = 20.0, 100.0, 0.2, 400
@@ -65,7 +66,7 @@ def label_bins(scored: DataFrame, variants: Sequence[tuple[float, int]] = ((1.0,
     than ``least`` labelled columns has a valid_frac only; bins without columns give no row.
     """
     each = F.array(*[F.struct(F.lit(i).alias("variant"), F.lit(float(f)).alias("factor"), F.lit(b).alias("bridge")) for i, (f, b) in enumerate(variants)])
-    level = robust.percentile_threshold(scored, ["track"], "score")
+    level = written(robust.percentile_threshold(scored, ["track"], "score"), "levels")  # a row a track: its pixels stay where they lie
     met = scored.join(level, "track").withColumn("_v", F.explode(F.filter(each, lambda v: F.col("score") > F.col("threshold") * v.factor)))
     keys = ["track", "ix", "variant", "bridge"]
     run = runs.longest_run(met.select("track", "ix", "iy", "_v.variant", "_v.bridge"), keys, "iy", F.lit(True), F.col("bridge"))
@@ -203,14 +204,16 @@ def height_bins(heights: DataFrame, labelled: DataFrame, margin: float = 0.15, l
     """(track, bin, z_peak, z_mean, z_valley, z_range) in micrometres over the melt's pixels of each bin, after each
     track's plane is taken off; the plane is fitted beside the melt, to every so manieth column, in order of x, and row.
     ``labelled`` is (track, bin, yl, yr) in mm."""
-    sides = labelled.groupBy("track").agg(F.percentile("yl", F.lit(0.5)).alias("_l"), F.percentile("yr", F.lit(0.5)).alias("_r"))
-    columns = heights.groupBy("track", "ix").agg(F.first("x_mm").alias("_x"))  # as many as an image is wide
-    place = F.row_number().over(Window.partitionBy("track").orderBy("_x", "ix")) - 1
-    chosen = columns.withColumn("_place", place).where(F.col("_place") % every[0] == 0).select("track", "ix")
-    thin = heights.where(F.col("iy") % every[1] == 0).join(chosen, ["track", "ix"]).join(sides, "track")
+    labelled = written(labelled.select("track", "bin", "yl", "yr"), "labelled")  # a row a bin, which is needed twice
+    sides = written(labelled.groupBy("track").agg(F.percentile("yl", F.lit(0.5)).alias("_l"), F.percentile("yr", F.lit(0.5)).alias("_r")), "sides")
+    thin = heights.where(F.col("iy") % every[1] == 0).join(sides, "track")
+    if every[0] > 1:
+        columns = heights.groupBy("track", "ix").agg(F.first("x_mm").alias("_x"))  # as many as an image is wide
+        place = F.row_number().over(Window.partitionBy("track").orderBy("_x", "ix")) - 1
+        thin = thin.join(columns.withColumn("_place", place).where(F.col("_place") % every[0] == 0).select("track", "ix"), ["track", "ix"])
     beside = thin.where(~F.coalesce(F.col("y_mm").between(F.col("_l") - margin, F.col("_r") + margin), F.lit(False)))
     planes = robust.trimmed_planes(beside, ["track"], "x_mm", "y_mm", "z_mm", size=estimated(heights))
-    flat = heights.where("z_mm is not null").withColumn("bin", grid_bin("x_mm")).join(labelled.select("track", "bin", "yl", "yr"), ["track", "bin"]).where("y_mm between yl and yr").join(planes, "track")
+    flat = heights.where("z_mm is not null").withColumn("bin", grid_bin("x_mm")).join(labelled, ["track", "bin"]).where("y_mm between yl and yr").join(planes, "track")
     um = (F.col("z_mm") - (F.col("a") * F.col("x_mm") + F.col("b") * F.col("y_mm") + F.col("c"))) * 1e3
     out = flat.withColumn("_z", um).groupBy("track", "bin").agg(F.count("_z").alias("_n"), F.avg("_z").alias("z_mean"), F.percentile("_z", F.array(*[F.lit(s) for s in (0.02, 0.05, 0.95, 0.98)])).alias("_p")).where(F.col("_n") >= least)
     p = lambda i: F.get("_p", F.lit(i))
