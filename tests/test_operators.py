@@ -373,3 +373,13 @@ def test_height_maps_are_not_moved_by_track(spark):
     made = tracks.height_bins(heights, labelled, 0.02, 20, (1, 1))
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and made.count() == 200
+
+
+def test_images_wider_than_the_grid_are_whole(spark):
+    """120 columns of 1 mm, the last at 100 mm, which is outside; 40 of them lie before the grid."""
+    from trackloom.plans import tracks
+
+    n = F.col("id")
+    image = spark.range(120 * 40).select(F.lit(8).alias("track"), F.floor(n / 40).alias("x"), (n % 40).alias("y"), (n * 37 % 251).cast("double").alias("value"))
+    bins = lambda **how: sorted(r.bin for r in tracks.surface_features(image, 1.0, 3.0, 5, 1, **how).collect())
+    assert bins(whole=True) == [400 - 5 * k for k in range(119, 0, -1)] and bins() == [400 - 5 * k for k in range(80, 0, -1)]

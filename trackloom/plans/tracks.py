@@ -163,12 +163,16 @@ def _patch_features(patch: DataFrame, columns: int = 1, rows: int = 1) -> DataFr
     )
 
 
-def surface_features(mosaic: DataFrame, pixel: float, mask_mm: float = 0.75, taps: int = 51, least: int = 8) -> DataFrame:
+def surface_features(mosaic: DataFrame, pixel: float, mask_mm: float = 0.75, taps: int = 51, least: int = 8, whole: bool = False) -> DataFrame:
     """(track, bin, s_mean, s_std, s_grad, s_locvar, s_fftlow, s_ffthigh, s_entropy) of the surface beside the melt.
 
     The melt is the smoothest row; the rows within ``mask_mm`` of it are left out and the flanks joined.  A bin of fewer than
-    ``least`` columns has no row."""
-    placed = mosaic.join(_melt_rows(mosaic, ["track"], taps), "track").withColumn("bin", grid_bin(STOP - (F.col("_last") - F.col("x")) * pixel))
+    ``least`` columns has no row.  If ``whole``, bins go on below 0 where an image begins before the grid does; else what lies there is
+    left out."""
+    far = (F.col("_last") - F.col("x")) * pixel
+    below = F.floor((STOP - START - far) / STEP).cast("int")
+    bin_ = F.when(below < BINS, below) if whole else grid_bin(STOP - far)
+    placed = mosaic.join(written(_melt_rows(mosaic, ["track"], taps), "melts"), "track").withColumn("bin", bin_)
     return _patch_features(_flanks(placed.where(F.col("bin").isNotNull()), int(mask_mm / pixel)), least)
 
 
