@@ -295,6 +295,12 @@ def test_blocks_of_the_mix_hold_whole_words(spark):
     assert len({(r.shard, r.place, r.source) for r in texts}) == len(texts)
 
 
+def test_slots_and_blocks_are_joined_without_a_broadcast(spark):
+    """They look as small as what they are exploded from, whatever their number."""
+    plan = mixing.Mix(table(spark, COPIES), block=1).pieces()._jdf.queryExecution().executedPlan().toString()
+    assert any("SortMergeJoin" in x and "block" in x for x in plan.splitlines())
+
+
 def test_mix_of_nothing_and_many_equal_rows(spark, monkeypatch):
     assert mixing.report(table(spark, [])).count() == 0
     assert mixing.mixed_documents(table(spark, [])).count() == 0

@@ -159,7 +159,8 @@ class Mix:
 
     def pieces(self) -> DataFrame:
         """(sid, block, take, shard, place, row, lo, hi, skip): what each slot of the mix takes of which document."""
-        both = self.slots.join(self.blocks, ["sid", "block"]).where("lo < take")
+        # Spark estimates both sides as what they are exploded from, and would broadcast one of them whole
+        both = self.slots.hint("merge").join(self.blocks.hint("merge"), ["sid", "block"]).where("lo < take")
         return both.withColumn("hi", F.least("hi", "take"))
 
     def taken(self) -> DataFrame:
