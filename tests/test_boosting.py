@@ -58,6 +58,42 @@ def test_trees_by_combinations_are_those_of_rows(spark, monkeypatch, table, sett
     assert got == answers(learning.fold_forecasts(frame(spark, table), "f", "id", FEATURES, heads, **settings), names)
 
 
+@pytest.mark.parametrize("second", [False, True])
+def test_a_draw_is_added_up_once_for_all_folds(monkeypatch, second):
+    """Rows of 3 folds and 5 combinations, some longer than an array; sums and counts are those of single rows."""
+    r, n, size = np.random.default_rng(5), 4000, 5
+    own, cell, y, w = r.integers(0, 3, n), r.integers(0, size, n), np.round(r.normal(size=n), 1), r.uniform(0.1, 1, n)
+    key = boosting._mixed(np.arange(n, dtype=np.uint64))
+    order = np.lexsort((y, cell, own))
+    starts = np.unique(np.concatenate([np.flatnonzero(np.diff(own[order] * size + cell[order], prepend=-1)), np.arange(0, n, 100)]))
+    ints, at = lambda v: boosting.pa.array(v, boosting.pa.int32()), order[starts]
+    batch = boosting.pa.RecordBatch.from_arrays([ints(np.zeros(len(at))), ints(own[at]), ints(cell[at]), *[boosting._packed(v[order], starts) for v in (y, key, w)]], names=["target", "own", "cell", "y", "k", "w"])
+    jobs = [boosting.Job(j, 0, 0 if second else -1, q, 1, h, int((own != j).sum()), 1 << 30, -4.0, 4.0, 30) for j in range(3) for h, q in enumerate([0.1, 0.9])]
+    settings, models = boosting.Settings(second=second), list(range(6))
+    f = {m: r.normal(size=size) for m in models}
+    parts, f_parts = [], boosting._parts
+    monkeypatch.setattr(boosting, "_parts", lambda *a: (parts.append(1), f_parts(*a))[1])
+    got = {}
+    for b in boosting._cell_sums(iter([batch.slice(0, 7), batch.slice(7)]), jobs, settings, 2, models, f):
+        got |= {(x["m"], x["cell"]): (x["s"], x["n"]) for x in b.to_pylist()}
+    assert len(parts) == 2 * 2  # two sides of two heads, whatever the folds
+    leaf, ranges = {m: np.array([1, 2, 1, 2, 1]) for m in models}, {(m, k): (-0.5, 0.7) for m in models for k in (1, 2)}
+    held = {}
+    for b in boosting._cell_counts(iter([batch.select(["target", "own", "cell", "y"])]), jobs, models, f, leaf, ranges, 16, False):
+        for x in b.to_pylist():
+            held[x["m"], x["node"], x["bin"] < 0] = held.get((x["m"], x["node"], x["bin"] < 0), 0) + x["n"]
+    for m, job in enumerate(jobs):
+        mine = own != job.held
+        count = boosting.drawn(job, settings, key, w if second else None, 2)
+        whole, weight = f_parts(job, settings, y, f[m][cell], count, boosting._share(job, settings, w if second else None, n))
+        for c in range(size):
+            assert got[m, c] == (whole[mine & (cell == c)].sum(), weight[mine & (cell == c)].sum())
+        v = y - f[m][cell]
+        for k in (1, 2):
+            rows = mine & (leaf[m][cell] == k)
+            assert held[m, k, True] == (v[rows] < -0.5).sum() and held[m, k, False] == ((v[rows] >= -0.5) & (v[rows] <= 0.7)).sum()
+
+
 def test_columns_carried_along_are_those_of_the_rows(spark, table):
     made = learning.fold_forecasts(frame(spark, table), "f", "id", FEATURES, [HEADS[0]._replace(trees=1)], carried=["y"])
     assert {r.id: r.y for r in made.collect()} == {r[1]: r[5] for r in table}

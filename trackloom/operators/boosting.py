@@ -7,8 +7,9 @@ counted anew, until what is left is short enough to be ranked.  Rows live in a w
 again with the forecasts so far, so that a pass follows few trees, and a lost executor costs no more than its tasks.
 
 Where all rows fall into few combinations of bins, a tree is a matter of these: forecasts belong to combinations, one pass adds
-up a tree's rows by them, and all levels are chosen from the sums.  A leaf's order statistic is first bounded by counts of the
-target in each combination, so that two passes find it.
+up a tree's rows by them, and all levels are chosen from the sums.  There the rows of a combination lie together, in the order of
+their target: which of them lie above a forecast or within a range is found by bisection, for all models of a draw.  A leaf's
+order statistic is first bounded by counts of the target in each combination, so that two passes find it.
 
 Everything that decides is a whole number: gradients and weights are cut to a fixed unit before they are added, and a row's
 part in a tree comes from a hash of its key.  So the trees depend neither on the partitioning nor on who grows them: tables
@@ -23,6 +24,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +37,7 @@ from trackloom.operators.quantiles import percentiles
 from trackloom.scratch import dropped, written
 
 #: Rows of a table up to which one task grows a model; trees after which forecasts are written; residuals ranked at once.
-ONE_TASK, WRITE_EVERY, RANKED = 200_000, 8, 4096
+ONE_TASK, WRITE_EVERY, RANKED = 200_000, 8, 1 << 14
 #: Cells of the histograms that one task holds in a pass.
 CELLS = 1 << 22
 #: Combinations of bins up to which trees are grown by these; counts of targets by them that the driver holds.
@@ -43,6 +45,8 @@ COMBINED, COUNTED = 1 << 16, 1 << 20
 #: Different values of a feature up to which its quantiles come from counts of values.
 VALUES = 1 << 18
 _BLOCK, _BITS, _RESIDUAL_BINS = 1 << 16, 30, 256
+#: Rows that a task puts in order at once; values in an array of these; rows that a pass takes at once.
+ORDERED, _ARRAY, _PASS = 1 << 20, 512, 1 << 16
 
 
 class Settings(NamedTuple):
@@ -124,8 +128,11 @@ class Forecasts:
 
 def coded_values(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
     """Bins of features by their edges; a missing value is in bin 0."""
-    out = np.stack([np.searchsorted(e, c, side="right") for e, c in zip(edges, x.T, strict=True)], axis=1)
-    return np.where(np.isnan(x), 0, out).astype(np.int16)
+    out = np.empty(x.shape, np.int16)
+    for f, (e, c) in enumerate(zip(edges, x.T, strict=True)):
+        out[:, f] = np.searchsorted(e, c, side="right")
+        out[np.isnan(c), f] = 0
+    return out
 
 
 def leaves(codes: np.ndarray, tree: Tree) -> np.ndarray:
@@ -140,16 +147,22 @@ def leaves(codes: np.ndarray, tree: Tree) -> np.ndarray:
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A hash of 64 bits of each number, by multiplications and shifts."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))
+    for _ in range(2):
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x
 
 
-def uniform(keys: np.ndarray, *salt: int) -> np.ndarray:
-    """Numbers in [0, 1) by keys (unsigned long) and salt."""
+def salted(keys: np.ndarray, *salt: int) -> np.ndarray:
     for s in salt:
         keys = _mixed(keys ^ np.uint64((s * 0x9E3779B97F4A7C15 + 0x1234567) % (1 << 64)))
-    return (_mixed(keys) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return keys
+
+
+def uniform(keys: np.ndarray, *salt: int) -> np.ndarray:
+    """Numbers in [0, 1) by keys (unsigned long) and salt."""
+    return (_mixed(salted(keys, *salt)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
 def poisson(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
@@ -183,10 +196,14 @@ def drawn(job: Job, settings: Settings, keys: np.ndarray, weight: np.ndarray | N
 
 def drawn_by(job: Job, settings: Settings, u: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
     """The same without a bag, by each row's number in [0, 1)."""
-    size = max(50.0, settings.rows * job.n)
     if weight is None or settings.second:
-        return (u < size / max(job.n, 1)).astype(np.int64)
-    return poisson(u, size * whole_weight(weight, job.shift) / max(job.total, 1))
+        return (u < chance_of(job, settings)).astype(np.int64)
+    return poisson(u, max(50.0, settings.rows * job.n) * whole_weight(weight, job.shift) / max(job.total, 1))
+
+
+def chance_of(job: Job, settings: Settings) -> float:
+    """Of a row whose weight doesn't matter: the same for all folds, but for small ones."""
+    return max(settings.rows, 50.0 / max(job.n, 1))
 
 
 def columns_of(job: Job, settings: Settings, features: int, tree: int) -> np.ndarray:
@@ -268,13 +285,19 @@ def _rows(batch: Batch, g: Growing, models: Sequence[int]) -> Iterator[tuple[int
         yield m, Rows(c, batch.y[own, job.target], f, batch.key[own], batch.w[own, job.weight] if job.weight >= 0 else None)
 
 
-def _parts(job: Job, settings: Settings, y: np.ndarray, f: np.ndarray, count: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """What each row, drawn so often, adds to a cell's sum and weight."""
-    gradient, n = y - f if job.quantile is None else np.where(y > f, job.quantile, job.quantile - 1.0), count
-    if settings.second:
-        share = whole_weight(weight, job.shift) >> 10 if weight is not None else np.full(len(count), 1 << 20)
-        gradient, n = gradient * (share * 2.0**-20), count * share
-    return np.rint(gradient / unit_of(job)) * count, n
+def _parts(job: Job, settings: Settings, y: np.ndarray, f: np.ndarray, count: np.ndarray, share: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """What each row, drawn so often, adds to a cell's sum and weight; see ``_share``."""
+    gradient = y - f if job.quantile is None else np.where(y > f, job.quantile, job.quantile - 1.0)
+    if not settings.second:
+        return np.rint(gradient / unit_of(job)) * count, count
+    return np.rint(gradient * (share * 2.0**-20) / unit_of(job)) * count, count * share
+
+
+def _share(job: Job, settings: Settings, weight: np.ndarray | None, rows: int) -> np.ndarray | None:
+    """Weights in the loss, if they belong there."""
+    if not settings.second:
+        return None
+    return whole_weight(weight, job.shift) >> 10 if weight is not None else np.full(rows, 1 << 20)
 
 
 def _histograms(batch: Batch, g: Growing, models: Sequence[int], out: dict[int, np.ndarray]) -> None:
@@ -285,7 +308,7 @@ def _histograms(batch: Batch, g: Growing, models: Sequence[int], out: dict[int,
         at = leaves(r.codes, g.now[m]) - first
         weight = drawn(job, g.settings, r.key, r.weight, g.tree)
         some = np.flatnonzero((at >= 0) & (weight > 0))
-        whole, weight = _parts(job, g.settings, r.y, r.f, weight, r.weight)
+        whole, weight = _parts(job, g.settings, r.y, r.f, weight, _share(job, g.settings, r.weight, len(r.y)))
         shape = (nodes, len(columns), width)
         held = out.setdefault(m, np.zeros((*shape, 2), np.int64))
         step = max(1, _BLOCK // len(columns))
@@ -515,127 +538,225 @@ class Spread:
 
 
 class Block(NamedTuple):
-    """Rows by combination of bins: number of the fold, combination, hash of the key, targets, weights."""
+    """Rows of combinations of bins, each combination's in the order of the target: number of the target, fold and combination of
+    each array, its first row and the one after its last; and by row the target, hash of the key, and weights."""
 
+    target: np.ndarray
     own: np.ndarray
     cell: np.ndarray
-    key: np.ndarray | None
+    first: np.ndarray
+    last: np.ndarray
     y: np.ndarray
+    key: np.ndarray | None
     w: np.ndarray | None
 
+    def of(self, job: Job) -> np.ndarray:
+        """The arrays of a model's training rows."""
+        return np.flatnonzero((self.target == job.target) & (self.own != job.held))
+
+
+def _packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Arrays of 8 bytes a value from each start on, as binary: moved whole, not by value."""
+    offsets = (np.append(starts, len(values)) * 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(arrays: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values one after another, and the arrays' lengths."""
+    _, offsets, data = arrays.buffers()
+    at = np.frombuffer(offsets, np.int32, len(arrays) + 1, arrays.offset * 4)
+    n = int(at[-1] - at[0]) // 8
+    return np.frombuffer(data, kind, n, int(at[0])) if n else np.empty(0, kind), np.diff(at) // 8
+
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    """Batches put together to ``_BLOCK`` rows or more."""
+    """Batches put together to ``_BLOCK`` rows or more, and cut to about ``_PASS`` rows."""
 
-    def block(some: list[pa.RecordBatch]) -> Block:
+    def cut(some: list[pa.RecordBatch]) -> Iterator[Block]:
         t = pa.Table.from_batches(some).combine_chunks()
         plain = lambda c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
-        flat = lambda c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
-        has = t.schema.names
-        return Block(plain("own"), plain("cell").astype(np.int64), plain("k").view(np.uint64) if "k" in has else None, flat("y"), flat("w") if "w" in has else None)
-
-    held: list[pa.RecordBatch] = []
+        (y, size), has = _unpacked(t["y"].combine_chunks(), np.float64), t.schema.names
+        target, own, cell, ends = plain("target"), plain("own"), plain("cell").astype(np.int64), np.cumsum(size, dtype=np.int64)
+        key = _unpacked(t["k"].combine_chunks(), np.uint64)[0] if "k" in has else None
+        w = _unpacked(t["w"].combine_chunks(), np.float64)[0].reshape(len(y), -1) if "w" in has else None
+        at = 0
+        while at < len(size):
+            start = int(ends[at]) - int(size[at])
+            to = max(at + 1, int(np.searchsorted(ends, start + _PASS, side="right")))
+            rows = slice(start, int(ends[to - 1]))
+            last = ends[at:to] - start
+            yield Block(target[at:to], own[at:to], cell[at:to], last - size[at:to], last, y[rows], key[rows] if key is not None else None, w[rows] if w is not None else None)
+            at = to
+
+    held, n = [], 0
     for b in batches:
         if b.num_rows:
             held.append(b)
-        if sum(x.num_rows for x in held) >= _BLOCK:
-            yield block(held)
-            held = []
+            n += b["y"].nbytes // 8
+        if n >= _BLOCK:
+            yield from cut(held)
+            held, n = [], 0
     if held:
-        yield block(held)
+        yield from cut(held)
 
 
-def _training(b: Block, jobs: list[Job], models: Sequence[int]) -> Iterator[tuple[int, np.ndarray | slice, np.ndarray, np.ndarray]]:
-    """Of each model its training rows in a block, with their combinations and targets."""
-    last = None
-    for m in models:
-        job = jobs[m]
-        if last != (job.held, job.target):
-            mine = (b.own != job.held) & ~np.isnan(b.y[:, job.target])
-            rows = slice(None) if mine.all() else np.flatnonzero(mine)
-            last, cell, y = (job.held, job.target), b.cell[rows], b.y[rows, job.target]
-        yield m, rows, cell, y
+def _first(y: np.ndarray, first: np.ndarray, last: np.ndarray, passed) -> np.ndarray:
+    """The first row of each range of rising ``y`` that has ``passed``, or the range's end."""
+    at = first - 1
+    for bit in reversed(range(int((last - first).max(initial=0)).bit_length())):
+        to = at + (1 << bit)
+        at = np.where((to < last) & ~passed(y[np.minimum(to, len(y) - 1)]), to, at)
+    return at + 1
+
+
+def _upto(values: np.ndarray) -> np.ndarray:
+    """Sums of whole numbers before each place, and of all."""
+    out = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values.astype(np.int64, copy=False), out=out[1:])
+    return out
 
 
 def _cell_sums(batches: Iterator[pa.RecordBatch], jobs: list[Job], settings: Settings, tree: int, models: Sequence[int], forecasts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Each model's (combination, sum, weight) over the rows drawn for a tree; a row's draw serves all folds."""
+    """Each model's (combination, sum, weight) over the rows drawn for a tree.  A draw serves all folds, and what its rows add on
+    either side of a quantile is added up once for all of them."""
     size = len(next(iter(forecasts.values())))
     out = {m: np.zeros((size, 2), np.int64) for m in models}
+    by_draw = sorted(models, key=lambda m: jobs[m].draw)
+    means, asked = [m for m in by_draw if jobs[m].quantile is None], [m for m in by_draw if jobs[m].quantile is not None]
+    alike = not any(jobs[m].weight >= 0 for m in models) or settings.second
     for b in _blocks(batches):
-        chance: dict[int, np.ndarray] = {}
-        for m, rows, cell, y in _training(b, jobs, models):
-            job = jobs[m]
-            if job.draw not in chance:
-                chance[job.draw] = bagged(b.key, settings.seed, job.draw, settings.rows) if settings.bag else uniform(b.key, settings.seed, job.draw, tree)
-            weight = b.w[rows, job.weight] if job.weight >= 0 else None
-            count = chance[job.draw][rows] if settings.bag else drawn_by(job, settings, chance[job.draw][rows], weight)
-            # a block's sums are exact in a double
-            for side, value in enumerate(_parts(job, settings, y, forecasts[m][cell], count, weight)):
-                out[m][:, side] += np.rint(np.bincount(cell, value, size)).astype(np.int64)
+        seeded, kept, shares = salted(b.key, settings.seed), {}, {}
+
+        def once(name: tuple, make):
+            """Kept until the next draw."""
+            if name not in kept:
+                if kept and next(iter(kept))[0] != name[0]:
+                    kept.clear()
+                kept[name] = make()
+            return kept[name]
+
+        def count(job: Job) -> np.ndarray:
+            if settings.bag:
+                return once((job.draw,), lambda: bagged(b.key, settings.seed, job.draw, settings.rows))
+            u = once((job.draw,), lambda: uniform(seeded, job.draw, tree))
+            weight = b.w[:, job.weight] if job.weight >= 0 else None
+            return once((job.draw, *((chance_of(job, settings),) if alike else job)), lambda: drawn_by(job, settings, u, weight))
+
+        def share(job: Job) -> np.ndarray | None:
+            if (job.weight, job.shift) not in shares:
+                shares[job.weight, job.shift] = _share(job, settings, b.w[:, job.weight] if job.weight >= 0 else None, len(b.y))
+            return shares[job.weight, job.shift]
+
+        def sides(job: Job) -> list[np.ndarray]:
+            """Sums up to each row, if it and those before were below or above the forecast, and of weights."""
+            one = np.ones(1)
+            below, n = _parts(job, settings, 0 * one, one, count(job), share(job))
+            above, _ = _parts(job, settings, one, 0 * one, count(job), share(job))
+            return [_upto(below), _upto(above), _upto(n)]
+
+        for m in means:
+            job, some = jobs[m], b.of(jobs[m])
+            if len(some):
+                f = np.repeat(forecasts[m][b.cell], b.last - b.first)
+                parts = _parts(job, settings, b.y, f, count(job), share(job))
+                for side, value in enumerate(parts):
+                    np.add.at(out[m][:, side], b.cell[some], np.add.reduceat(value.astype(np.int64), b.first)[some])
+        if asked:
+            of = [b.of(jobs[m]) for m in asked]
+            every, ends = np.concatenate(of), np.cumsum([0, *map(len, of)])
+            f = np.concatenate([forecasts[m][b.cell[some]] for m, some in zip(asked, of, strict=True)])
+            first, last = b.first[every], b.last[every]
+            at = _first(b.y, first, last, lambda y: y > f)  # noqa: B023
+            for m, some, i, j in zip(asked, of, ends[:-1], ends[1:], strict=True):
+                if len(some):
+                    job = jobs[m]
+                    below, above, n = once((job.draw, job.quantile, unit_of(job), *((chance_of(job, settings),) if alike else job)), lambda job=job: sides(job))
+                    p, a, z = at[i:j], first[i:j], last[i:j]
+                    np.add.at(out[m][:, 0], b.cell[some], below[p] - below[a] + above[z] - above[p])
+                    np.add.at(out[m][:, 1], b.cell[some], n[z] - n[a])
     for m, sums in out.items():
         some = np.flatnonzero(sums[:, 1])
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), m), pa.int32()), pa.array(some, pa.int32()), pa.array(sums[some, 0]), pa.array(sums[some, 1])], names=["m", "cell", "s", "n"])
 
 
-def _target_counts(batches: Iterator[pa.RecordBatch], ends: list[tuple[float, float]], bins: int) -> Iterator[pa.RecordBatch]:
-    """Counts and ends of each target by fold, combination and bin."""
+def _target_counts(batches: Iterator[pa.RecordBatch], low: np.ndarray, high: np.ndarray, bins: int) -> Iterator[pa.RecordBatch]:
+    """Counts and ends of each target by fold, combination and bin between the combination's ends; ``at`` is their place in the
+    array (target, fold, combination, bin)."""
+    n, lows, highs = np.zeros(low.size * bins, np.int64), np.full(low.size * bins, np.inf), np.full(low.size * bins, -np.inf)
     for b in _blocks(batches):
-        for t, (low, high) in enumerate(ends):
-            known = np.flatnonzero(~np.isnan(b.y[:, t]))
-            if not len(known):
-                continue
-            y = b.y[known, t]
-            at = np.clip((y - low) / max(high - low, 1e-300) * bins, 0, bins - 1).astype(np.int64)
-            some, at, n = np.unique((b.own[known].astype(np.int64) << 40) + (b.cell[known] << 16) + at, return_inverse=True, return_counts=True)
-            lows, highs = np.full(len(some), np.inf), np.full(len(some), -np.inf)
-            np.minimum.at(lows, at, y)
-            np.maximum.at(highs, at, y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), t), pa.int32()), pa.array(some), pa.array(lows), pa.array(highs), pa.array(n.astype(np.int64))], names=["t", "at", "low", "high", "n"])
+        place = np.ravel_multi_index((b.target, b.own, b.cell), low.shape)
+        group = np.repeat(place, b.last - b.first)
+        a, z = low.ravel()[group], high.ravel()[group]
+        at = group * bins + np.clip(np.nan_to_num((b.y - a) / np.maximum(z - a, 1e-300) * bins), 0, bins - 1).astype(np.int64)
+        fresh = np.diff(at, prepend=-1) != 0
+        fresh[b.first] = True
+        first = np.flatnonzero(fresh)  # values rise within an array, and bins with them
+        last = np.append(first[1:], len(at)) - 1
+        np.add.at(n, at[first], last - first + 1)
+        np.minimum.at(lows, at[first], b.y[first])
+        np.maximum.at(highs, at[first], b.y[last])
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(lows[some]), pa.array(highs[some]), pa.array(n[some])], names=["at", "low", "high", "n"])
 
 
 def _cell_counts(batches: Iterator[pa.RecordBatch], jobs: list[Job], models: Sequence[int], forecasts: dict[int, np.ndarray], leaf: dict[int, np.ndarray], ranges: dict, bins: int, single: bool) -> Iterator[pa.RecordBatch]:
-    """As ``_counts``, with the residuals below a leaf's range counted as bin -1."""
+    """As ``_counts``, with the residuals below a leaf's range counted as bin -1.  Leaves are numbered through the models."""
     nodes = max(int(x.max()) for x in leaf.values()) + 1
-    low, high = {m: np.full(nodes, -np.inf) for m in models}, {m: np.full(nodes, -np.inf) for m in models}
+    numbers = {m: i for i, m in enumerate(models)}
+    low, high = np.full(len(models) * nodes, -np.inf), np.full(len(models) * nodes, -np.inf)
     for (m, node), (a, b) in ranges.items():
-        if node < nodes:
-            low[m][node], high[m][node] = a, b
-    models = [m for m in models if (high[m] > -np.inf).any()]
-    n, below = {m: np.zeros(nodes * bins, np.int64) for m in models}, {m: np.zeros(nodes, np.int64) for m in models}
-    lows, highs = {m: np.full(nodes * bins, np.inf) for m in models}, {m: np.full(nodes * bins, -np.inf) for m in models}
-    ends = {m: (low[m][leaf[m]], high[m][leaf[m]]) for m in models}
+        if m in numbers and node < nodes:
+            low[numbers[m] * nodes + node], high[numbers[m] * nodes + node] = a, b
+    n, below = np.zeros(len(low) * bins, np.int64), np.zeros(len(low), np.int64)
+    lows, highs = np.full(len(n), np.inf), np.full(len(n), -np.inf)
 
-    def made(m: int, node: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(node), m), pa.int32()), pa.array(node, pa.int32()), pa.array(at, pa.int32()), pa.array(a), pa.array(b), pa.array(k)], names=["m", "node", "bin", "low", "high", "n"])
+    def made(at: np.ndarray, bin: np.ndarray, a: np.ndarray, b: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.array(models)[at // nodes], pa.int32()), pa.array(at % nodes, pa.int32()), pa.array(bin, pa.int32()), pa.array(a), pa.array(b), pa.array(k)], names=["m", "node", "bin", "low", "high", "n"])
 
     for b in _blocks(batches):
-        for m, _, cell, y in _training(b, jobs, models):
-            v = y - forecasts[m][cell]
-            first = v >= ends[m][0][cell]
-            some = np.flatnonzero(first & (v <= ends[m][1][cell]))
-            if not single:
-                below[m] += np.bincount(leaf[m][cell[~first]], minlength=nodes)
-            if not len(some):
-                continue
-            v, node = v[some], leaf[m][cell[some]]
-            if single:
-                yield made(m, node, np.zeros(len(v), np.int64), v, v, np.ones(len(v), np.int64))
-                continue
-            at = node * bins + np.minimum(((v - low[m][node]) / np.maximum(high[m][node] - low[m][node], 1e-300) * bins).astype(np.int64), bins - 1)
-            n[m] += np.bincount(at, minlength=len(n[m]))
-            np.minimum.at(lows[m], at, v)
-            np.maximum.at(highs[m], at, v)
+        of = [b.of(jobs[m]) for m in models]
+        every = np.concatenate(of)
+        node = np.concatenate([i * nodes + leaf[m][b.cell[some]] for (i, m), some in zip(enumerate(models), of, strict=True)])
+        f = np.concatenate([forecasts[m][b.cell[some]] for m, some in zip(models, of, strict=True)])
+        first, last, least, most = b.first[every], b.last[every], low[node], high[node]
+        start = _first(b.y, first, last, lambda y: y - f >= least)  # noqa: B023
+        end = _first(b.y, start, last, lambda y: y - f > most)  # noqa: B023
+        if not single:
+            np.add.at(below, node, start - first)
+        size = end - start
+        rows = np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        if not len(rows):
+            continue
+        v, at = b.y[rows] - np.repeat(f, size), np.repeat(node, size)
+        if single:
+            yield made(at, np.zeros(len(v), np.int64), v, v, np.ones(len(v), np.int64))
+            continue
+        at = at * bins + np.minimum(((v - low[at]) / np.maximum(high[at] - low[at], 1e-300) * bins).astype(np.int64), bins - 1)
+        n += np.bincount(at, minlength=len(n))
+        np.minimum.at(lows, at, v)
+        np.maximum.at(highs, at, v)
     if not single:
-        for m in models:
-            some, under = np.flatnonzero(n[m]), np.flatnonzero(below[m])
-            yield made(m, some // bins, some % bins, lows[m][some], highs[m][some], n[m][some])
-            yield made(m, under, np.full(len(under), -1), np.zeros(len(under)), np.zeros(len(under)), below[m][under])
+        some, under = np.flatnonzero(n), np.flatnonzero(below)
+        yield made(some // bins, some % bins, lows[some], highs[some], n[some])
+        yield made(under, np.full(len(under), -1), np.zeros(len(under)), np.zeros(len(under)), below[under])
+
+
+def ranked(v: np.ndarray, n: np.ndarray, rank: int) -> float:
+    """The value at a rank among values that stand for ``n`` each: those of the bin that holds it are put in order."""
+    low, high = float(v.min()), float(v.max())
+    if 0 < high - low < np.inf:
+        at = np.minimum((v - low) * (1024 / (high - low)), 1023).astype(np.int64)
+        upto = np.cumsum(np.bincount(at, n, 1024).astype(np.int64))
+        k = int(np.searchsorted(upto, rank, side="right"))
+        v, n, rank = v[at == k], n[at == k], rank - (int(upto[k - 1]) if k else 0)
+    order = np.argsort(v)
+    return float(v[order[np.searchsorted(np.cumsum(n[order]), rank, side="right")]])
 
 
 class Cells(Spread):
-    """Rows of all models by combination of bins, in a written table (own, k, y, w, cell).  The driver holds what combinations
-    add up to, never rows."""
+    """Rows of all models by combination of bins, in a written table (target, own, cell, low, high, and packed arrays y, k, w of rows
+    whose targets rise from low to high).  The driver holds what combinations add up to, never rows."""
 
     def __init__(self, rows: DataFrame, jobs: list[Job], codes: dict[int, np.ndarray], folds: int, targets: int) -> None:
         super().__init__(rows)
@@ -646,15 +767,21 @@ class Cells(Spread):
         self.shared = None
         bins = min(64, COUNTED // (self.size * folds * targets))
         if bins and any(j.quantile is not None for j in jobs):
-            known = {j.target: (j.low, j.high) for j in jobs}
-            ends = [known.get(t, (0.0, 0.0)) for t in range(targets)]
-            counted = rows.select("own", "cell", "y").mapInArrow(lambda b: _target_counts(b, ends, bins), "t int, at long, low double, high double, n long")
-            found = counted.groupBy("t", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).toArrow()
-            t, at, low, high, n = (found[c].to_numpy() for c in ("t", "at", "low", "high", "n"))
+            groups = rows.select("target", "own", "cell", "y")
+            ends = rows.groupBy("target", "own", "cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).toArrow()
+            place = tuple(ends[c].to_numpy() for c in ("target", "own", "cell"))
+            tops = np.zeros((2, targets, folds, self.size))
+            tops[0][place], tops[1][place] = ends["low"].to_numpy(), ends["high"].to_numpy()
+            sent = rows.sparkSession.sparkContext.broadcast(tops)
+            counted = groups.mapInArrow(lambda b: _target_counts(b, *sent.value, bins), "at long, low double, high double, n long")
+            found = counted.groupBy("at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).toArrow()
+            sent.unpersist()
+            at, low, high, n = (found[c].to_numpy() for c in ("at", "low", "high", "n"))
+            t, own, cell, _ = np.unravel_index(at, (targets, folds, self.size, bins))
             for j in jobs:
                 if (j.held, j.target) not in self.entries:
-                    mine = (t == j.target) & (at >> 40 != j.held)
-                    self.entries[j.held, j.target] = (at[mine] >> 16) & ((1 << 24) - 1), low[mine], high[mine], n[mine]
+                    mine = (t == j.target) & (own != j.held)
+                    self.entries[j.held, j.target] = cell[mine], low[mine], high[mine], n[mine]
 
     def _forecast(self, g: Growing, m: int) -> np.ndarray:
         return self.forecasts[m] if m in self.forecasts else np.full(self.size, g.starts.get(m, 0.0))
@@ -709,11 +836,8 @@ class Cells(Spread):
             for node in np.unique(leaf):
                 mine = np.flatnonzero(leaf == node)
                 total = int(n[mine].sum())
-                ends = []
-                for v, rank in zip((low[mine] - f[mine], high[mine] - f[mine]), ranks(total, job.quantile)[:2], strict=True):
-                    order = np.argsort(v)
-                    ends.append(float(v[order[np.searchsorted(np.cumsum(n[mine][order]), rank, side="right")]]))
-                ranges[m, int(node)], sizes[m, int(node)] = tuple(ends), total
+                a, b, _ = ranks(total, job.quantile)
+                ranges[m, int(node)], sizes[m, int(node)] = (ranked(low[mine] - f[mine], n[mine], a), ranked(high[mine] - f[mine], n[mine], b)), total
         return ranges, sizes
 
     def _counted(self, sent, models: Sequence[int], ranges: dict, single: bool) -> DataFrame:
@@ -722,7 +846,7 @@ class Cells(Spread):
         if self.shared:
             self.shared.unpersist()
         shared = self.shared = self.rows.sparkSession.sparkContext.broadcast(({m: self._forecast(g, m) for m in asked}, {m: self._leaf(g, m) for m in asked}))
-        return self.rows.select("own", "cell", "y").mapInArrow(lambda b: _cell_counts(b, jobs, asked, *shared.value, ranges, bins, single), _COUNTS)
+        return self.rows.select("target", "own", "cell", "y").mapInArrow(lambda b: _cell_counts(b, jobs, asked, *shared.value, ranges, bins, single), _COUNTS)
 
     def grown(self, g: Growing) -> Growing:
         for m, job in enumerate(g.jobs):
@@ -742,7 +866,7 @@ def combined(rows: DataFrame, jobs: list[Job], cuts: dict[int, list[np.ndarray]]
     steps = np.array([math.prod(radix[:i]) for i in range(len(radix))], np.int64)
 
     def numbers(b: pa.RecordBatch) -> np.ndarray:
-        x = b["x"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+        x = np.stack([b[f"x{f}"].to_numpy(zero_copy_only=False) for f in range(len(edges))], axis=1)
         return coded_values(x, edges).astype(np.int64) @ steps
 
     def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -755,17 +879,51 @@ def combined(rows: DataFrame, jobs: list[Job], cuts: dict[int, list[np.ndarray]]
     if math.prod(radix) <= COMBINED:
         ids = np.arange(math.prod(radix))
     else:
-        found = rows.select("x").mapInArrow(different, "cell long").distinct().limit(COMBINED + 1).toArrow()
+        found = rows.select([f"x{f}" for f in range(len(edges))]).mapInArrow(different, "cell long").distinct().limit(COMBINED + 1).toArrow()
         if found.num_rows > COMBINED:
             return None
         ids = np.sort(found["cell"].to_numpy())
 
+    weights = sum(c.startswith("w") for c in rows.columns)
+
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*[b[c] for c in ("own", "k", "y", "w")], pa.array(np.searchsorted(ids, numbers(b)), pa.int32())], names=["own", "k", "y", "w", "cell"])
-
-    made = written(rows.mapInArrow(placed, "own int, k long, y array<double>, w array<double>, cell int"), "combined")
+                cell = np.searchsorted(ids, numbers(b))
+                held.append([cell, *[b[c].to_numpy(zero_copy_only=False) for c in ("own", "k", *[f"y{t}" for t in range(targets)], *[f"w{i}" for i in range(weights)])]])
+                n += b.num_rows
+            if n >= ORDERED:
+                yield from ordered([np.concatenate(c) for c in zip(*held, strict=True)])
+                held, n = [], 0
+        if held:
+            yield from ordered([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    def ordered(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cell, own, key, *rest = columns
+        group = own.astype(np.int64) * len(ids) + cell
+        if folds * len(ids) <= 1 << 16:
+            group = group.astype(np.uint16)  # put in order in one pass
+        for t in range(targets):
+            y = rest[t]
+            order = np.argsort(y)
+            order = order[: len(y) - int(np.isnan(y).sum())]  # unknown ones come last
+            if not len(order):
+                continue
+            order = order[np.argsort(group[order], kind="stable")]
+            g, first = group[order], np.zeros(len(order), bool)
+            first[:1], first[1:] = True, g[1:] != g[:-1]
+            start = np.flatnonzero(first)
+            length = np.diff(np.append(start, len(order)))
+            pieces = -(-length // _ARRAY)
+            starts = np.repeat(start, pieces) + (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * _ARRAY
+            at, y, ends = order[starts], y[order], np.append(starts[1:], len(order)) - 1
+            w = np.stack([rest[targets + i][order] for i in range(weights)], axis=1).astype(np.float64).ravel() if weights else np.empty(0)
+            places = [pa.array(v, pa.int32()) for v in (np.full(len(at), t), own[at], cell[at])]
+            arrays = [*places, pa.array(y[starts]), pa.array(y[ends]), _packed(y, starts), _packed(key[order], starts), _packed(w, starts * weights)]
+            yield from pa.Table.from_arrays(arrays, names=["target", "own", "cell", "low", "high", "y", "k", "w"]).to_batches(max_chunksize=4096)
+
+    made = written(rows.mapInArrow(placed, "target int, own int, cell int, low double, high double, y binary, k binary, w binary"), "combined")
     dropped(rows)
     parts = [ids // s % r for s, r in zip(steps, radix, strict=True)]
     # a bin of all edges lies above its lower edge, and so above as many edges of a fold as this
@@ -823,22 +981,27 @@ def grow(source: Local | Spread, jobs: list[Job], settings: Settings, edges: dic
 
 
 def prepared(df: DataFrame, fold: str | None, folds: Sequence, key: str, features: Sequence[str], targets: Sequence[str], weights: Sequence[str]) -> DataFrame:
-    """(own, k, y, w, x) of the rows of the numbered ``folds``, written."""
+    """(own, k, y0, .., w0, .., x0, ..) of the rows of the numbered ``folds``, written."""
     spark = df.sparkSession
     if fold is None:
         own = df.withColumn("own", F.lit(0))
     else:
         numbers = spark.createDataFrame([(f, i) for i, f in enumerate(folds)], f"_fold {dict(df.dtypes)[fold]}, own int")
         own = df.join(F.broadcast(numbers), df[fold].eqNullSafe(numbers["_fold"]))  # one row a fold of the driver's list
-    cast = lambda cs: F.array(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cs]).cast("array<double>")
-    return written(own.select(F.col("own").cast("int").alias("own"), F.xxhash64(key).alias("k"), cast(targets).alias("y"), cast(weights).alias("w"), cast(features).alias("x")), "rows")
+    numbered = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"{name}{i}") for name, cs in (("y", targets), ("w", weights), ("x", features)) for i, c in enumerate(cs)]
+    return written(own.select(F.col("own").cast("int").alias("own"), F.xxhash64(key).alias("k"), *numbered), "rows")
+
+
+def _as_arrays(rows: DataFrame) -> DataFrame:
+    """(own, k, y, w, x) of ``prepared`` rows, numbered columns as arrays."""
+    return rows.select("own", "k", *[F.array(*[c for c in rows.columns if c[0] == name]).cast("array<double>").alias(name) for name in "ywx"])
 
 
 def trained(rows: DataFrame, held: Sequence[int], heads: Sequence[tuple], n_features: int, targets: int, weights: int, settings: Settings, one_task: int = ONE_TASK, together: int = 1) -> dict[tuple[int, int], Model]:
     """Models by (held fold, number of the head), each grown on all rows of ``rows`` (see ``prepared``) that are not of its
     held fold and whose target is known; none where there are no such rows.  A head is (target, weight or -1, quantile, trees).
     Tables of at most ``one_task`` rows are grown by a task for each ``together`` models of a fold."""
-    y, w = [F.get("y", F.lit(t)) for t in range(targets)], [F.get("w", F.lit(i)) for i in range(weights)]
+    y, w = [F.col(f"y{t}") for t in range(targets)], [F.col(f"w{i}") for i in range(weights)]
     seen = rows.groupBy("own").agg(F.count("*").alias("rows"), *[f(c).alias(f"{n}{t}") for t, c in enumerate(y) for n, f in (("n", F.count), ("low", F.min), ("high", F.max))], *[F.max(c).alias(f"w{i}") for i, c in enumerate(w)]).collect()
     ends = lambda name, f, none: f([r[name] for r in seen if r[name] is not None], default=none)
     tops = [ends(f"w{i}", max, 1.0) for i in range(weights)]
@@ -861,7 +1024,8 @@ def trained(rows: DataFrame, held: Sequence[int], heads: Sequence[tuple], n_feat
     needed = sorted({j.held for j in jobs})
     cuts = edges_of(rows, needed, settings.bins, n_features)
     if sum(r.rows for r in seen) > one_task:
-        source = combined(rows, jobs, cuts, len(seen), targets) or Spread(rows)
+        folds = max(r.own for r in seen) + 1
+        source = combined(rows, jobs, cuts, folds, targets) or Spread(_as_arrays(rows))
         models = grow(source, jobs, settings, cuts)
         source.close()
         return dict(zip(which, models, strict=True))
@@ -877,7 +1041,7 @@ def trained(rows: DataFrame, held: Sequence[int], heads: Sequence[tuple], n_feat
 
     tasks = [[m for m, (x, h) in enumerate(which) if x == j and h // together == c] for j in dict.fromkeys(x for x, _ in which) for c in sorted({h // together for x, h in which if x == j})]
     each = F.explode(F.array(*[F.struct(F.array(*map(F.lit, ms)).alias("ms"), F.lit(jobs[ms[0]].held).alias("held")) for ms in tasks])).alias("job")
-    met = rows.select("*", each).where(F.col("own") != F.col("job.held")).select("own", "k", "y", "w", "x", "job.ms")
+    met = _as_arrays(rows).select("*", each).where(F.col("own") != F.col("job.held")).select("own", "k", "y", "w", "x", "job.ms")
     made = {which[r.m]: pickle.loads(r.model) for r in met.groupBy("ms").applyInPandas(train, "m int, model binary").collect()}
     dropped(rows)
     return made
@@ -887,9 +1051,13 @@ def edges_of(rows: DataFrame, held: Sequence[int], bins: int, n_features: int) -
     """The inner quantiles of each feature over the rows that are not of a held fold, each once.  Features of few values are counted
     by value, once for all folds."""
     inner, out = [i / bins for i in range(1, bins)], {}
-    long = rows.select("own", F.posexplode("x").alias("feature", "v"))
-    several = rows.agg(*[F.approx_count_distinct(F.get("x", F.lit(f))) for f in range(n_features)]).first() if n_features else []
-    counted = written(long.where("v is not null").groupBy("own", "feature", "v").agg(F.count("*").alias("n")), "values") if max(several, default=0) <= VALUES else None
+    x = [f"x{f}" for f in range(n_features)]
+    long = rows.select("own", F.posexplode(F.array(*x).cast("array<double>")).alias("feature", "v"))
+    several = rows.agg(*[F.approx_count_distinct(c) for c in x]).first() if x else []
+    counted = None
+    if x and max(several) <= VALUES:
+        counts = [rows.where(F.col(c).isNotNull()).groupBy("own", c).agg(F.count("*").alias("n")).select("own", F.lit(f).alias("feature"), F.col(c).alias("v"), "n") for f, c in enumerate(x)]
+        counted = written(reduce(DataFrame.unionAll, counts), "values")
     for j in held:
         if counted is None:
             made = percentiles(long.where(F.col("own") != j), ["feature"], "v", inner)

@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,34 +82,37 @@ def fold_forecasts(df: DataFrame, fold: str, key: str, features: Sequence[str],
     others = [f for f in asked_for if f not in numbers]
     kinds = dict(df.dtypes)
     schema = f"`{fold}` {kinds[fold]}, `{key}` {kinds[key]}, " + ", ".join(f"`{c}` double" for c in [*[h.name for h in heads], *carried])
-    columns = [F.col(f).cast("double").alias(f) for f in features]
+    names = [fold, key, *[h.name for h in heads], *carried]
+    numbered = [F.col(c).cast("double").alias(f"_{kind}{i}") for kind, cs in (("x", features), ("c", carried)) for i, c in enumerate(cs)]
     made = None
     for some in [*groups, *([others] if others else [])]:
         held = {f: numbers.get(f, -1) for f in some}
         models = _models(df, fold, mine, sorted(set(held.values())), key, features, heads, dict(settings)) if mine else {}
         shared = df.sparkSession.sparkContext.broadcast((held, models))
 
-        def forecast(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def forecast(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held, models = shared.value
             known: dict[int, tuple[list[int], boosting.Forecasts]] = {}
             for j in {j for j, _ in models}:
                 mine = [h for h in range(len(heads)) if (j, h) in models]
                 known[j] = mine, boosting.Forecasts([models[j, h] for h in mine])
-            for pdf in batches:
-                which, folds = pd.factorize(pdf["_held"], use_na_sentinel=False)
-                number = np.array([held[None if pd.isna(f) else f] for f in folds], np.int64)[which]
-                x, answers = pdf[list(features)].to_numpy(float), np.full((len(pdf), len(heads)), np.nan)
-                for j in np.unique(number):
+            for b in batches:
+                own = b["_own"].to_numpy()
+                x = np.stack([b[f"_x{i}"].to_numpy(zero_copy_only=False) for i in range(len(features))], axis=1)
+                answers = np.full((len(heads), b.num_rows), np.nan)
+                for j in np.unique(own):
                     if int(j) in known:
                         mine, made = known[int(j)]
-                        rows = np.flatnonzero(number == j)
-                        answers[np.ix_(rows, mine)] = made.of(x[rows])
-                out = {fold: pdf["_held"], key: pdf["_key"]} | {head.name: answers[:, h] for h, head in enumerate(heads)} | {c: pdf[f"_c_{c}"] for c in carried}
-                yield pd.DataFrame(out, index=pdf.index)
+                        rows = np.flatnonzero(own == j)
+                        answers[np.ix_(mine, rows)] = made.of(x[rows]).T
+                yield pa.RecordBatch.from_arrays([b["_held"], b["_key"], *map(pa.array, answers), *[b[f"_c{i}"] for i in range(len(carried))]], names=names)
 
         asked = F.col(fold).isin([f for f in some if f is not None])
         asked = asked | F.col(fold).isNull() if None in some else asked
-        part = df.where(asked).select(F.col(fold).alias("_held"), F.col(key).alias("_key"), *columns, *[F.col(c).cast("double").alias(f"_c_{c}") for c in carried]).mapInPandas(forecast, schema)
+        own = F.lit(-1)
+        for f, j in held.items():
+            own = F.when(F.col(fold).eqNullSafe(F.lit(f)), j).otherwise(own)
+        part = df.where(asked).select(F.col(fold).alias("_held"), F.col(key).alias("_key"), own.alias("_own"), *numbered).mapInArrow(forecast, schema)
         made = part if made is None else made.unionByName(part)
     if made is None:
         return df.sparkSession.createDataFrame([], schema)
